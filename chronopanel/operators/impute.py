@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from chronopanel.operators.fill import imputation_mask
 from chronopanel.operators.neighbours import POINTS_PER_BLOCK, QUERIES_PER_BATCH, best_k, check_metric, distances, hashed_part, parts_for
 from chronopanel.operators.select import filter_countries
 from chronopanel.ordered import BLOCKS, _assign_blocks
-from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, data_columns, numeric_columns, q, replace_columns, to_long, to_wide
+from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, data_columns, numeric_columns, q, renewed, replace_columns, to_long, to_wide
 
 # Weight guard of the neighbour average, robust-scaling quantiles.
 WEIGHT_EPSILON = 1e-8
@@ -78,7 +78,7 @@ def _scaling_statistics(history: DataFrame, asked: DataFrame, features: Sequence
 
     wanted = (
         daily.groupBy("pattern", "f")
-        .cogroup(pairs.groupBy("pattern", "f"))
+        .cogroup(renewed(pairs).groupBy("pattern", "f"))
         .applyInPandas(ranks, f"pattern string, f int, {DATE} date, b int, local long, rank long, n long")
     )
 
@@ -97,13 +97,14 @@ def _scaling_statistics(history: DataFrame, asked: DataFrame, features: Sequence
     found = (
         blocked.select("pattern", "f", "b", DATE, "v", "c")
         .groupBy("pattern", "f", "b")
-        .cogroup(wanted.groupBy("pattern", "f", "b"))
+        .cogroup(renewed(wanted).groupBy("pattern", "f", "b"))
         .applyInPandas(look_up, f"pattern string, f int, {DATE} date, rank long, n long, value double")
     )
     per_feature = found.groupBy("pattern", DATE, "f").agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("values"), F.max("n").alias("n")
+        F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("found"), F.max("n").alias("n")
     )
-    return per_feature.groupBy("pattern", DATE).agg(F.sort_array(F.collect_list(F.struct("f", "n", "values"))).alias("stats"))
+    packed = F.struct("f", "n", F.col("found.rank").alias("ranks"), F.col("found.value").alias("values"))
+    return per_feature.groupBy("pattern", DATE).agg(F.collect_list(packed).alias("stats"))
 
 
 def _scales(stats, x: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +112,20 @@ def _scales(stats, x: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndar
     center, spread = np.zeros(len(used)), np.ones(len(used))
     for s in stats:
         i = int(np.searchsorted(used, s["f"]))
-        values = dict(s["values"])
+        values = dict(zip(s["ranks"], s["values"]))
         lo, mid, hi = (_quartile_without(values, int(s["n"]), p, x[i]) for p in SCALING_QUANTILES)
         center[i], spread[i] = mid, (hi - lo) or 1.0
     return center, spread
 
 
+def _weighted_average(i: int) -> Column:
+    """Inverse-distance mean of the i-th value over the neighbours that have it."""
+    valid = F.filter("best", lambda b: b["y"][i].isNotNull())
+    weight = F.aggregate(valid, F.lit(0.0), lambda a, b: a + 1 / (b["distance"] + WEIGHT_EPSILON))
+    total = F.aggregate(valid, F.lit(0.0), lambda a, b: a + b["y"][i] / (b["distance"] + WEIGHT_EPSILON))
+    return F.when(F.size(valid) > 0, total / weight)
+
+
 def knn_impute(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -168,7 +177,7 @@ def knn_impute(
         stats = _scaling_statistics(history, targets.select("pattern", DATE), features)
         targets = targets.join(stats, ["pattern", DATE])
     else:
-        targets = targets.withColumn("stats", F.lit(None).cast("array<struct<f:int,n:bigint,values:map<bigint,double>>>"))
+        targets = targets.withColumn("stats", F.lit(None).cast("array<struct<f:int,n:bigint,ranks:array<bigint>,values:array<double>>>"))
 
     # Blocks never mix years, so a target skips all blocks of later years.
     sizes = history.groupBy("pattern", F.year(DATE).alias("year")).agg(F.count("*").alias("n"))
@@ -224,16 +233,11 @@ def knn_impute(
         return pd.DataFrame({c: pd.Series(dtype="object") for c in (ENTITY, DATE, "n_country", "n_date", "distance", "y")}).astype({"distance": "float64"})
 
     group = ["pattern", "batch", "year", "salt"]
-    near = asked.groupBy(*group).cogroup(offered.groupBy(*group)).applyInPandas(meet, schema)
+    near = asked.groupBy(*group).cogroup(renewed(offered).groupBy(*group)).applyInPandas(meet, schema)
     best = near.groupBy(*KEYS).agg(
         F.slice(F.array_sort(F.collect_list(F.struct("distance", "n_country", "n_date", "y"))), 1, k).alias("best")
     )
-    averages = []
-    for i, c in enumerate(masked):
-        valid = F.filter("best", lambda b, i=i: b["y"][i].isNotNull())
-        weight = F.aggregate(valid, F.lit(0.0), lambda a, b: a + 1 / (b["distance"] + WEIGHT_EPSILON))
-        total = F.aggregate(valid, F.lit(0.0), lambda a, b, i=i: a + b["y"][i] / (b["distance"] + WEIGHT_EPSILON))
-        averages.append(F.when(F.size(valid) > 0, total / weight).alias(f"__v_{i}"))
+    averages = [_weighted_average(i).alias(f"__v_{i}") for i in range(len(masked))]
     filled = df.join(asks, list(KEYS), "left").join(best.select(*KEYS, *averages), list(KEYS), "left")
     exprs = {
         c: F.when(F.coalesce(F.col("want")[i], F.lit(False)) & F.col(f"__v_{i}").isNotNull(), F.col(f"__v_{i}")).otherwise(q(c))

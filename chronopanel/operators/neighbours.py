@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.schema import renewed
+
 POINTS_PER_BLOCK = 20_000
 QUERIES_PER_BATCH = 2_000
 
@@ -85,7 +87,7 @@ def knn_edges(df: DataFrame, id_column: str, vector: str, k: int = 15, metric: s
 
     near = (
         left.groupBy("batch", "block")
-        .cogroup(right.groupBy("batch", "block"))
+        .cogroup(renewed(right).groupBy("batch", "block"))
         .applyInPandas(meet, "id long, neighbour long, distance double")
     )
     # k rows per block and point: a bounded list per point.

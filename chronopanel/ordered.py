@@ -25,13 +25,10 @@ def _assign_blocks(df: DataFrame, by: Sequence[str], order: str, blocks: int) ->
     points = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
     cuts = F.percentile_approx(order, points, F.lit(20 * blocks))
     if by:
-        limits = df.groupBy(*by).agg(cuts.alias(_CUTS))
-        df = df.join(limits, list(by))
-        limit_column = F.col(_CUTS)
+        placed = df.join(df.groupBy(*by).agg(cuts.alias(_CUTS)), list(by))
     else:
-        limit_column = df.agg(cuts.alias(_CUTS)).scalar()
-    block = F.size(F.filter(limit_column, lambda c: c < F.col(order)))
-    return df.withColumn(_BLOCK, block).drop(_CUTS)
+        placed = df.withColumn(_CUTS, df.agg(cuts).scalar())
+    return placed.withColumn(_BLOCK, F.size(F.filter(_CUTS, lambda c: c < F.col(order)))).drop(_CUTS)
 
 
 def running_totals(
@@ -145,8 +142,8 @@ def rank_distinct(distinct: DataFrame, column: str, name: str, blocks: int = BLO
             lambda i: F.try_element_at("v", F.greatest(F.lit(1), F.floor(F.size("v") * i / blocks).cast("int"))),
         ).alias("cuts")
     )
-    cuts = ordered.scalar()
-    blocked = distinct.withColumn(_BLOCK, F.size(F.filter(cuts, lambda c: c < F.col(column))))
+    placed = distinct.withColumn(_CUTS, ordered.scalar())
+    blocked = placed.withColumn(_BLOCK, F.size(F.filter(_CUTS, lambda c: c < F.col(column)))).drop(_CUTS)
     sizes = blocked.groupBy(_BLOCK).agg(F.count("*").alias("__n"))
     # At most ``blocks`` rows: one per block.
     before = Window.partitionBy(F.lit(0)).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)

@@ -117,6 +117,11 @@ def validate_panel(
     return df
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, to cogroup frames of shared origin."""
+    return df.toDF(*df.columns)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names.
 
