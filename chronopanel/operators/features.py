@@ -387,7 +387,7 @@ def detrend(df, columns=None, method: str = "rolling_mean", window_size: int = 3
         }
     else:
         raise ValueError(f"unknown trend method {method!r}")
-    hidden = [c for c in df.columns if c.startswith("__")]
+    hidden = {"__x", *[f"__y_{i}" for i in range(len(names))]} if method == "linear_detrend" else set()
     kept = [exprs[c].alias(c) if c in exprs else q(c) for c in df.columns if c not in hidden]
     return df.select(*kept)
 

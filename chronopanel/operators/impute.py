@@ -13,14 +13,16 @@ from pyspark.sql import types as T
 from chronopanel.operators.fill import imputation_mask
 from chronopanel.operators.neighbours import POINTS_PER_BLOCK, QUERIES_PER_BATCH, best_k, check_metric, distances, hashed_part, parts_for
 from chronopanel.operators.select import filter_countries
-from chronopanel.ordered import BLOCKS, _assign_blocks
-from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, data_columns, numeric_columns, q, renewed, replace_columns, to_long, to_wide
+from chronopanel.ordered import BLOCKS, assign_blocks
+from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, data_columns, numeric_columns, q, renewed, replace_columns, spread, to_long, to_wide
 
 # Weight guard of the neighbour average, robust-scaling quantiles.
 WEIGHT_EPSILON = 1e-8
 SCALING_QUANTILES = (0.25, 0.5, 0.75)
 # Distinct sets of present features of the rows to impute, checked before use.
 MAX_PATTERNS = 10_000
+# History values looked up together when finding scaling statistics.
+VALUES_PER_BLOCK = 100_000
 
 
 def _order_positions(n: int) -> list[int]:
@@ -41,7 +43,7 @@ def _quartile_without(values: Mapping[int, float], n: int, p: float, own: float)
     return first if at == low else first + (pick(low + 1) - first) * (at - low)
 
 
-def _scaling_statistics(history: DataFrame, asked: DataFrame, features: Sequence[str]) -> DataFrame:
+def _scaling_statistics(history: DataFrame, asked: DataFrame, blocks: int) -> DataFrame:
     """Order statistics of every feature over the growing history of each pattern.
 
     ``history`` holds (pattern, Date, x); ``asked`` the (pattern, Date) pairs
@@ -51,7 +53,7 @@ def _scaling_statistics(history: DataFrame, asked: DataFrame, features: Sequence
     """
     long = history.select("pattern", DATE, F.posexplode("x").alias("f", "v")).where(F.substring("pattern", F.col("f") + 1, F.lit(1)) == "1")
     counts = long.groupBy("pattern", "f", DATE, "v").agg(F.count("*").alias("c"))
-    blocked = _assign_blocks(counts, ["pattern", "f"], "v", BLOCKS).withColumnRenamed("__block", "b")
+    blocked = assign_blocks(counts, ["pattern", "f"], "v", blocks).withColumnRenamed("__block", "b")
     daily = blocked.groupBy("pattern", "f", "b", DATE).agg(F.sum("c").alias("c"))
     pairs = daily.select("pattern", "f").distinct().join(asked.distinct(), "pattern")
 
@@ -141,8 +143,10 @@ def knn_impute(
     all, after scaling each feature by its median and interquartile range over
     exactly that history. Neighbours weigh by inverse distance. Every cell is
     computed from the panel as given, never from cells filled in the same pass.
+    The panel is checkpointed first: it is read once per step below.
     """
     check_metric(metric)
+    df = cut_lineage(df)
     columns = [c for c in (columns or numeric_columns(df)) if c in df.columns and c not in KEYS]
     features = list(features or numeric_columns(df))
     flags = mask if mask is not None else df.select(*KEYS, *[q(c).isNull().alias(c) for c in columns])
@@ -174,7 +178,7 @@ def knn_impute(
     history = rows_.join(serves, "own").select("pattern", *KEYS, "x", "y")
 
     if normalise:
-        stats = _scaling_statistics(history, targets.select("pattern", DATE), features)
+        stats = _scaling_statistics(history, targets.select("pattern", DATE), min(BLOCKS, parts_for(df.count(), VALUES_PER_BLOCK)))
         targets = targets.join(stats, ["pattern", DATE])
     else:
         targets = targets.withColumn("stats", F.lit(None).cast("array<struct<f:int,n:bigint,ranks:array<bigint>,values:array<double>>>"))
@@ -233,7 +237,8 @@ def knn_impute(
         return pd.DataFrame({c: pd.Series(dtype="object") for c in (ENTITY, DATE, "n_country", "n_date", "distance", "y")}).astype({"distance": "float64"})
 
     group = ["pattern", "batch", "year", "salt"]
-    near = asked.groupBy(*group).cogroup(renewed(offered).groupBy(*group)).applyInPandas(meet, schema)
+    left, right = spread(asked, *group), spread(renewed(offered), *group)
+    near = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(meet, schema)
     best = near.groupBy(*KEYS).agg(
         F.slice(F.array_sort(F.collect_list(F.struct("distance", "n_country", "n_date", "y"))), 1, k).alias("best")
     )
@@ -258,8 +263,8 @@ def knn_impute_staged(
 ) -> DataFrame:
     """Several neighbour passes, each for one kind of gap with its own ``k``.
 
-    Donor rows are appended for the passes and removed again. Every pass reads
-    the previous result from a checkpoint, which also bounds the plan.
+    Donor rows are appended for the passes and removed again. Every pass
+    checkpoints the result of the one before, which also bounds the plan.
     """
     own = df.select(ENTITY).distinct()
     panel = df.unionByName(donors, allowMissingColumns=True).select(*df.columns) if donors is not None else df
@@ -270,7 +275,7 @@ def knn_impute_staged(
             mask = None
         else:
             mask = imputation_mask(panel, columns, include_before=kind == "leading", include_after=kind == "trailing")
-        panel = cut_lineage(knn_impute(panel, columns, k, mask, **options))
+        panel = knn_impute(panel, columns, k, mask, **options)
     return filter_countries(panel, include=own) if donors is not None else panel
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.schema import renewed
+from chronopanel.schema import renewed, spread
 
 POINTS_PER_BLOCK = 20_000
 QUERIES_PER_BATCH = 2_000
@@ -86,8 +86,9 @@ def knn_edges(df: DataFrame, id_column: str, vector: str, k: int = 15, metric: s
         return pd.concat(found, ignore_index=True)
 
     near = (
-        left.groupBy("batch", "block")
-        .cogroup(renewed(right).groupBy("batch", "block"))
+        spread(left, "batch", "block")
+        .groupBy("batch", "block")
+        .cogroup(spread(renewed(right), "batch", "block").groupBy("batch", "block"))
         .applyInPandas(meet, "id long, neighbour long, distance double")
     )
     # k rows per block and point: a bounded list per point.

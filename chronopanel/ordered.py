@@ -20,8 +20,10 @@ _CUTS = "__cuts"
 _BLOCK = "__block"
 
 
-def _assign_blocks(df: DataFrame, by: Sequence[str], order: str, blocks: int) -> DataFrame:
+def assign_blocks(df: DataFrame, by: Sequence[str], order: str, blocks: int) -> DataFrame:
     """Add a block number that never decreases with ``order`` inside ``by``."""
+    if blocks <= 1:
+        return df.withColumn(_BLOCK, F.lit(0))
     points = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
     cuts = F.percentile_approx(order, points, F.lit(20 * blocks))
     if by:
@@ -45,7 +47,7 @@ def running_totals(
     holds a third of all rows is then a single row.
     """
     by = list(by)
-    blocked = _assign_blocks(df, by, order, blocks)
+    blocked = assign_blocks(df, by, order, blocks)
     per_block = blocked.groupBy(*by, _BLOCK).agg(*[F.sum(src).alias(f"__s_{new}") for new, src in totals.items()])
     before = Window.partitionBy(*by).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(

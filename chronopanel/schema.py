@@ -122,6 +122,15 @@ def renewed(df: DataFrame) -> DataFrame:
     return df.toDF(*df.columns)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows by key into the session's shuffle partitions, none of them merged later.
+
+    For work that is heavy per row: adaptive execution would merge partitions
+    by their bytes and leave such work on a few cores.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names.
 
