@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronopanel.functions.scalars import ratio
-from chronopanel.schema import DATE, ENTITY, KEYS, expanding, numeric_columns, q, series, whole
+from chronopanel.schema import DATE, ENTITY, KEYS, expanding, numeric_columns, q, series, spread, whole
 
 # Guards against division by zero, season length, trading days.
 EPSILON = 1e-8
@@ -169,7 +169,7 @@ def _recursive_features(df, names, alphas: dict[str, float], adjust: bool, missi
         extra = {f"{c}_{label}": means[i, :, j] for i, label in enumerate(labels) for j, c in enumerate(names)}
         return pd.concat([pdf.reset_index(drop=True), pd.DataFrame(extra)], axis=1)
 
-    out = df.groupBy(*by).applyInPandas(one_series, schema)
+    out = spread(df, *by).groupBy(*by).applyInPandas(one_series, schema)
     return out.select(
         *[q(c) for c in df.columns],
         *[F.nanvl(q(f.name), F.lit(None).cast("double")).alias(f.name) for f in added],

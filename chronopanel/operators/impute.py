@@ -143,10 +143,13 @@ def knn_impute(
     all, after scaling each feature by its median and interquartile range over
     exactly that history. Neighbours weigh by inverse distance. Every cell is
     computed from the panel as given, never from cells filled in the same pass.
-    The panel is checkpointed first: it is read once per step below.
+    The panel is checkpointed first because several steps read it.
     """
     check_metric(metric)
-    df = cut_lineage(df)
+    return _knn_pass(cut_lineage(df), columns, k, mask, features, metric, normalise)
+
+
+def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=None, metric="euclidean", normalise=True) -> DataFrame:
     columns = [c for c in (columns or numeric_columns(df)) if c in df.columns and c not in KEYS]
     features = list(features or numeric_columns(df))
     flags = mask if mask is not None else df.select(*KEYS, *[q(c).isNull().alias(c) for c in columns])
@@ -263,19 +266,20 @@ def knn_impute_staged(
 ) -> DataFrame:
     """Several neighbour passes, each for one kind of gap with its own ``k``.
 
-    Donor rows are appended for the passes and removed again. Every pass
-    checkpoints the result of the one before, which also bounds the plan.
+    Donor rows are appended for the passes and removed again. Every pass reads
+    the result of the one before from a checkpoint, which also bounds the plan.
     """
     own = df.select(ENTITY).distinct()
     panel = df.unionByName(donors, allowMissingColumns=True).select(*df.columns) if donors is not None else df
     for kind, k in stages:
         if kind not in STAGES:
             raise ValueError(f"stage must be one of {STAGES}")
+        panel = cut_lineage(panel)
         if kind == "all":
             mask = None
         else:
             mask = imputation_mask(panel, columns, include_before=kind == "leading", include_after=kind == "trailing")
-        panel = knn_impute(panel, columns, k, mask, **options)
+        panel = _knn_pass(panel, columns, k, mask, **options)
     return filter_countries(panel, include=own) if donors is not None else panel
 
 
@@ -371,7 +375,7 @@ def forecast_fill(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         pdf = pdf.sort_values(DATE)
         return pdf.assign(value=_fill_series(pdf["value"].to_numpy(dtype=float, na_value=np.nan)))
 
-    filled = long.groupBy(ENTITY, "variable").applyInPandas(one, long.schema)
+    filled = spread(long, ENTITY, "variable").groupBy(ENTITY, "variable").applyInPandas(one, long.schema)
     filled = filled.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
     wide = to_wide(filled, columns)
     rest = [c for c in df.columns if c not in columns and c not in KEYS]
@@ -446,10 +450,11 @@ def regression_impute(
             return frame
 
         for pdf in batches:
-            for key, group in pdf.groupby(["variable", DATE]):
-                seen = group[group["y"].notna()]
-                x = np.stack(seen["x"].to_numpy()) if len(seen) else np.zeros((0, width))
-                y = seen["y"].to_numpy(dtype=float)
+            every_x, every_y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(dtype=float)
+            known = ~np.isnan(every_y)
+            for key, at in pdf.groupby(["variable", DATE]).indices.items():
+                at = at[known[at]]
+                x, y = every_x[at], every_y[at]
                 gram = np.concatenate([(x.T @ x).ravel(), x.T @ y, [float(len(y))]])
                 sums[key] = sums[key] + gram if key in sums else gram
             if len(sums) * length > MAX_HELD_CELLS:

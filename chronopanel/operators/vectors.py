@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators import encode
 from chronopanel.operators.features import prepare_series
-from chronopanel.schema import DATE, ENTITY, KEYS, PanelError, numeric_columns, q, series
+from chronopanel.schema import DATE, ENTITY, KEYS, PanelError, numeric_columns, q, series, spread
 
 # Variance shares used when choosing and describing components.
 DEFAULT_VARIANCE = 0.95
@@ -170,7 +170,7 @@ def sliding_pca(
     first = F.greatest(F.lit(0), F.ceil((F.col("__i") - window + 1) / step))
     last = F.least(F.floor(F.col("__i") / step), F.floor((F.col("__n") - window) / step))
     member = numbered.where(first <= last).withColumn("__w", F.explode(F.sequence(first, last)))
-    ready = prepare_series(member, features, window_size=window, by=(ENTITY, "__w"), **(prepare or {}))
+    ready = prepare_series(spread(member, ENTITY, "__w"), features, window_size=window, by=(ENTITY, "__w"), **(prepare or {}))
     return _covariance_by_group(ready, features)
 
 
@@ -198,7 +198,8 @@ def dynamic_pca(
     The recursion is sequential inside a country and independent between them.
     """
     features = list(features or numeric_columns(df))
-    ready = prepare_series(df.select(*KEYS, *[q(c) for c in features]), features, **(prepare or {}))
+    rows_ = spread(df.select(*KEYS, *[q(c) for c in features]), ENTITY)
+    ready = prepare_series(rows_, features, **(prepare or {}))
     names = [ENTITY, DATE, "n_rows", "eigenvalues", "ratios", "cumulative", "components"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
