@@ -403,6 +403,7 @@ def regression_impute(
     from chronopanel.operators.encode import label_encode
 
     columns = list(columns)
+    df = cut_lineage(df)  # read by every step below
     flags = mask if mask is not None else df.select(*KEYS, *[q(c).isNull().alias(c) for c in columns])
     coded = label_encode(df, ENTITY, "__code")
     first = df.agg(F.min(DATE)).scalar()

@@ -8,7 +8,7 @@ from chronopanel.operators import aggregate, features, neighbours, vectors
 from chronopanel.plans import views
 from chronopanel.plans.registry import query
 from chronopanel.plans.views import table, with_views
-from chronopanel.schema import DATE, ENTITY, KEYS, q
+from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, q
 
 E4 = ["e1", "e2", "e3", "e4"]
 VEC = with_views("vec")
@@ -96,6 +96,11 @@ def _eigen(spark, sf):
     return vectors.sliding_pca(_panel(spark, sf), PANEL, window=36, step=12)
 
 
+def _latest(spark, sf):
+    """One small row per country, read several times below."""
+    return cut_lineage(vectors.latest_components(_eigen(spark, sf)))
+
+
 @query("vec5_sliding_pca")
 def sliding(spark, sf):
     return _eigen(spark, sf).select(*KEYS, "n_rows", *[F.col("eigenvalues")[i].alias(f"eigenvalue_{i + 1}") for i in range(3)])
@@ -125,13 +130,13 @@ def dynamic(spark, sf):
 
 @query("vec7_global_components")
 def global_components(spark, sf):
-    found = vectors.global_components(vectors.latest_components(_eigen(spark, sf)))
+    found = vectors.global_components(_latest(spark, sf))
     return found.select("component", "ratio", "cumulative", *[F.col("loadings")[i].alias(f"loading_{i + 1}") for i in range(3)])
 
 
 @query("vec7_project_components")
 def project(spark, sf):
-    latest = vectors.latest_components(_eigen(spark, sf))
+    latest = _latest(spark, sf)
     chosen = vectors.select_components(vectors.global_components(latest), 2)
     ready = features.prepare_series(_panel(spark, sf), PANEL)
     scored = vectors.project_components(ready, PANEL, latest, chosen)
