@@ -105,16 +105,44 @@ def resample(
 
 
 def complete_grid(df: DataFrame, freq: str = "M") -> DataFrame:
-    """All countries at all period ends between the first and last date of the panel."""
+    """All countries at all period ends between the first and last date of the panel.
+
+    Rows that are not dated at a period end have no place on the grid; their
+    country and period still do. Every row is expanded over the empty periods
+    up to its country's next row, and a country's first and last row also reach
+    to the ends of the panel, so the grid needs neither a product of countries
+    and dates nor a join: one shuffle by country, which later features share.
+    """
     check_frequency(freq)
     if freq == "D":
         return df
-    # The extent and the country list come from one small per-country
-    # aggregate; every country explodes its own copy of the period sequence.
-    extent = df.agg(F.sequence(period_index(F.min(DATE), freq), period_index(F.max(DATE), freq))).scalar()
-    grid = df.select(ENTITY).distinct().select(ENTITY, F.explode(extent).alias("__i"))
-    grid = grid.select(ENTITY, period_end(F.col("__i"), freq).alias(DATE))
-    return grid.join(df, list(KEYS), "left")
+    extent = df.agg(F.struct(period_index(F.min(DATE), freq).alias("lo"), period_index(F.max(DATE), freq).alias("hi"))).scalar()
+    w = series()
+    numbered = df.withColumn("__p", period_index(F.col(DATE), freq))
+    latest = numbered.withColumn("__following", F.lead("__p").over(w)).where(
+        F.col("__following").isNull() | (F.col("__following") > F.col("__p"))
+    )
+    spans = latest.withColumns(
+        {
+            "__extent": extent,
+            "__first": F.lag("__p").over(w).isNull(),
+            "__on_grid": F.col(DATE) == period_end(F.col("__p"), freq),
+        }
+    ).withColumn(
+        "__i",
+        F.explode(
+            F.sequence(
+                F.when(F.col("__first"), F.col("__extent.lo")).otherwise(F.col("__p")),
+                F.coalesce(F.col("__following") - 1, F.col("__extent.hi")),
+            )
+        ),
+    )
+    own = (F.col("__i") == F.col("__p")) & F.col("__on_grid")
+    return spans.select(
+        ENTITY,
+        period_end(F.col("__i"), freq).alias(DATE),
+        *[F.when(own, q(c)).alias(c) for c in data_columns(df)],
+    )
 
 
 def gap_kinds(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

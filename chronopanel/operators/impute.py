@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronopanel.operators.fill import imputation_mask
-from chronopanel.operators.neighbours import POINTS_PER_BLOCK, QUERIES_PER_BATCH, best_k, check_metric, distances, hashed_part, parts_for
+from chronopanel.operators.neighbours import POINTS_PER_BLOCK, QUERIES_PER_BATCH, best_k, check_metric, distances, hashed_part, parts_for, parts_for_cores
 from chronopanel.operators.select import filter_countries
-from chronopanel.ordered import BLOCKS, assign_blocks
+from chronopanel.ordered import MAX_BLOCKS, assign_blocks
 from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, data_columns, numeric_columns, q, renewed, replace_columns, spread, to_long, to_wide
 
 # Weight guard of the neighbour average, robust-scaling quantiles.
@@ -181,7 +181,7 @@ def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=N
     history = rows_.join(serves, "own").select("pattern", *KEYS, "x", "y")
 
     if normalise:
-        stats = _scaling_statistics(history, targets.select("pattern", DATE), min(BLOCKS, parts_for(df.count(), VALUES_PER_BLOCK)))
+        stats = _scaling_statistics(history, targets.select("pattern", DATE), min(MAX_BLOCKS, parts_for(df.count(), VALUES_PER_BLOCK)))
         targets = targets.join(stats, ["pattern", DATE])
     else:
         targets = targets.withColumn("stats", F.lit(None).cast("array<struct<f:int,n:bigint,ranks:array<bigint>,values:array<double>>>"))
@@ -189,7 +189,8 @@ def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=N
     # Blocks never mix years, so a target skips all blocks of later years.
     sizes = history.groupBy("pattern", F.year(DATE).alias("year")).agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("salts", F.ceil(F.col("n") / POINTS_PER_BLOCK).cast("int"))
-    batches = parts_for(targets.count(), QUERIES_PER_BATCH)
+    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batches = parts_for_cores(targets.count(), QUERIES_PER_BATCH, cores)
     batched = targets.withColumn("batch", hashed_part(KEYS, batches))
     blocks = (
         history.withColumn("year", F.year(DATE))

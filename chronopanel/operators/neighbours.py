@@ -9,7 +9,8 @@ and no candidate is left out, so the result is exact.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 
 from chronopanel.schema import renewed, spread
 
-POINTS_PER_BLOCK = 20_000
-QUERIES_PER_BATCH = 2_000
+# Blocks and batches are equally large, which moves the fewest copies for the memory of a task.
+POINTS_PER_BLOCK = 50_000
+QUERIES_PER_BATCH = 50_000
+# Smaller inputs are still cut up so that all cores have a pair of parts.
+SMALLEST_PART = 500
 
 METRICS = ("euclidean", "manhattan", "cosine")
 
@@ -34,6 +38,12 @@ def parts_for(rows: int, per_part: int) -> int:
     return max(1, -(-rows // per_part))
 
 
+def parts_for_cores(rows: int, per_part: int, cores: int) -> int:
+    """Parts of bounded size, and enough of them that their pairs occupy the cores."""
+    by_cores = min(math.isqrt(max(cores - 1, 0)) + 1, max(1, rows // SMALLEST_PART))
+    return max(parts_for(rows, per_part), by_cores)
+
+
 def hashed_part(keys: Sequence[str], parts: int):
     return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
 
@@ -64,7 +74,8 @@ def knn_edges(df: DataFrame, id_column: str, vector: str, k: int = 15, metric: s
     points = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     n = points.count()
     k = min(k, max(n - 1, 1))
-    blocks, batches = parts_for(n, POINTS_PER_BLOCK), parts_for(n, QUERIES_PER_BATCH)
+    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks, batches = parts_for_cores(n, POINTS_PER_BLOCK, cores), parts_for_cores(n, QUERIES_PER_BATCH, cores)
     placed = points.withColumn("block", hashed_part(["id"], blocks)).withColumn("batch", hashed_part(["id"], batches))
     # Each side is copied once per part of the other side.
     left = placed.select("id", "x", "batch", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))

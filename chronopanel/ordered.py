@@ -13,13 +13,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 64
-HASH_BITS = 12
+MIN_BLOCKS, MAX_BLOCKS = 16, 4096
+# Cut points compared at once; more are searched in two steps.
+SEARCH_WIDTH = 64
+HASH_BITS = 14
 
 _CUTS = "__cuts"
 _BLOCK = "__block"
 
 
+def default_blocks(df: DataFrame) -> int:
+    """Twice the session's shuffle partitions: the user's own sizing of the cluster."""
+    wanted = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_BLOCKS, min(MAX_BLOCKS, wanted))
+
+
+def _below(cuts: Column, value: Column) -> Column:
+    """How many of the sorted cut points lie below the value."""
+    return F.size(F.filter(cuts, lambda c: c < value))
+
+
+def _block_number(cuts: str, value: Column, blocks: int) -> Column:
+    if blocks <= SEARCH_WIDTH:
+        return _below(F.col(cuts), value)
+    # Every SEARCH_WIDTH-th cut point first, then only the points between two of those.
+    coarse = F.filter(cuts, lambda c, i: (i + 1) % SEARCH_WIDTH == 0)
+    chunk = _below(coarse, value) * SEARCH_WIDTH
+    return chunk + _below(F.slice(cuts, chunk + 1, F.lit(SEARCH_WIDTH - 1)), value)
+
+
 def assign_blocks(df: DataFrame, by: Sequence[str], order: str, blocks: int) -> DataFrame:
     """Add a block number that never decreases with ``order`` inside ``by``."""
     if blocks <= 1:
@@ -30,7 +52,7 @@ def assign_blocks(df: DataFrame, by: Sequence[str], order: str, blocks: int) ->
         placed = df.join(df.groupBy(*by).agg(cuts.alias(_CUTS)), list(by))
     else:
         placed = df.withColumn(_CUTS, df.agg(cuts).scalar())
-    return placed.withColumn(_BLOCK, F.size(F.filter(_CUTS, lambda c: c < F.col(order)))).drop(_CUTS)
+    return placed.withColumn(_BLOCK, _block_number(_CUTS, F.col(order), blocks)).drop(_CUTS)
 
 
 def running_totals(
@@ -38,7 +60,7 @@ def running_totals(
     by: Sequence[str],
     order: str,
     totals: dict[str, str],
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Cumulative sums along ``order`` inside each ``by`` group.
 
@@ -47,7 +69,7 @@ def running_totals(
     holds a third of all rows is then a single row.
     """
     by = list(by)
-    blocked = assign_blocks(df, by, order, blocks)
+    blocked = assign_blocks(df, by, order, blocks or default_blocks(df))
     per_block = blocked.groupBy(*by, _BLOCK).agg(*[F.sum(src).alias(f"__s_{new}") for new, src in totals.items()])
     before = Window.partitionBy(*by).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
@@ -70,7 +92,7 @@ def exact_quantiles(
     by: Sequence[str],
     value: str,
     probabilities: dict[str, float],
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``by`` group, exact at any size."""
     by = list(by)
@@ -127,16 +149,17 @@ def shuffled_rank(
 
 
 # Distinct values looked at to place the block limits of a text ranking.
-CUT_CANDIDATES = 1_000
+CUT_CANDIDATES = 4_096
 
 
-def rank_distinct(distinct: DataFrame, column: str, name: str, blocks: int = BLOCKS) -> DataFrame:
+def rank_distinct(distinct: DataFrame, column: str, name: str, blocks: int | None = None) -> DataFrame:
     """0-based rank of distinct values of any sortable type.
 
     Block limits come from the values with the smallest hashes, a bounded top-k
     that only balances the work; every value is ranked, inside its block and
     then by the block's offset.
     """
+    blocks = min(blocks or default_blocks(distinct), CUT_CANDIDATES)
     few = distinct.orderBy(F.xxhash64(column)).limit(CUT_CANDIDATES)
     ordered = few.agg(F.sort_array(F.collect_list(column)).alias("v")).select(
         F.transform(
@@ -145,7 +168,7 @@ def rank_distinct(distinct: DataFrame, column: str, name: str, blocks: int = BLO
         ).alias("cuts")
     )
     placed = distinct.withColumn(_CUTS, ordered.scalar())
-    blocked = placed.withColumn(_BLOCK, F.size(F.filter(_CUTS, lambda c: c < F.col(column)))).drop(_CUTS)
+    blocked = placed.withColumn(_BLOCK, _block_number(_CUTS, F.col(column), blocks)).drop(_CUTS)
     sizes = blocked.groupBy(_BLOCK).agg(F.count("*").alias("__n"))
     # At most ``blocks`` rows: one per block.
     before = Window.partitionBy(F.lit(0)).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)

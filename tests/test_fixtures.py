@@ -155,3 +155,21 @@ def test_market_groups():
     assert len(select.DEVELOPED_MARKETS) == 17
     assert len(set(select.EMERGING_MARKETS)) == 74
     assert not set(select.DEVELOPED_MARKETS) & set(select.EMERGING_MARKETS)
+
+
+def test_grid_places_only_period_ends(spark):
+    rows = [
+        ("A", D(2020, 2, 29), 1.0),
+        ("A", D(2020, 4, 10), 2.0),  # not a month end: its month is on the grid, its value is not
+        ("A", D(2020, 4, 20), 3.0),
+        ("B", D(2020, 1, 31), 4.0),
+        ("B", D(2020, 5, 3), 5.0),
+        ("B", D(2020, 5, 31), 6.0),
+        ("C", D(2020, 3, 1), 7.0),
+    ]
+    df = spark.createDataFrame(rows, "Country STRING, Date DATE, x DOUBLE")
+    got = {(r["Country"], r["Date"]): r["x"] for r in aggregate.complete_grid(df, "M").collect()}
+    ends = month_ends("2020-01-31", 5)
+    want = {(c, d): None for c in "ABC" for d in ends}
+    want |= {("A", D(2020, 2, 29)): 1.0, ("B", D(2020, 1, 31)): 4.0, ("B", D(2020, 5, 31)): 6.0}
+    assert got == want

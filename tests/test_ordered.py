@@ -19,7 +19,7 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id LONG, g STRING, v DOUBLE, y INT").cache()
 
 
-@pytest.mark.parametrize("blocks", [1, 2, 64])
+@pytest.mark.parametrize("blocks", [1, 2, 64, 65, 1000])
 def test_quantiles(skewed, blocks):
     probs = {"a": 0.1, "b": 0.25, "c": 0.5, "d": 1.0}
     pdf = skewed.toPandas()
