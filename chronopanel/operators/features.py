@@ -247,10 +247,11 @@ def seasonal(
 ) -> DataFrame:
     """Trend and residual of a classical period-12 decomposition.
 
-    The trend is a 2x12 moving average; it is centred by default, which reads
-    six later rows, and ``centered=False`` shifts it to past rows only. Series
-    with gaps, with under 24 rows, or (multiplicative) with values that are not
-    positive get zeros, as do the ends without a full window.
+    The trend is a 2x12 moving average, centred, and seasonal means cover the
+    whole series; both read later rows. ``centered=False`` uses nothing but the
+    current and earlier rows: a trailing average and the seasonal means so far.
+    Series with gaps, with under 24 rows, or (multiplicative) with values that
+    are not positive get zeros, as do the ends without a full window.
     """
     if model not in ("additive", "multiplicative"):
         raise ValueError("model must be additive or multiplicative")
@@ -258,17 +259,16 @@ def seasonal(
     w = series(by)
     half = SEASON // 2
     shift = 0 if centered else half
+    seen = whole(by) if centered else expanding(w)
     numbered = df.withColumn("__phase", (F.row_number().over(w) - 1) % SEASON)
     additive = model == "additive"
     steps, detrended = {}, {}
     for i, c in enumerate(names):
         inner = w.rowsBetween(1 - half - shift, half - 1 - shift)
         edge = lambda k, c=c: (F.lead(q(c), k) if k >= 0 else F.lag(q(c), -k)).over(w)
-        usable = (F.count(q(c)).over(whole(by)) == F.count("*").over(whole(by))) & (
-            F.count("*").over(whole(by)) >= 2 * SEASON
-        )
+        usable = (F.count(q(c)).over(seen) == F.count("*").over(seen)) & (F.count("*").over(seen) >= 2 * SEASON)
         if not additive:
-            usable = usable & (F.min(q(c)).over(whole(by)) > 0)
+            usable = usable & (F.min(q(c)).over(seen) > 0)
         trend = (0.5 * edge(-half - shift) + F.sum(q(c)).over(inner) + 0.5 * edge(half - shift)) / SEASON
         steps[f"__t_{i}"] = F.when(usable, trend)
     staged = _append(numbered, steps)
@@ -276,12 +276,17 @@ def seasonal(
         t = F.col(f"__t_{i}")
         detrended[f"__d_{i}"] = q(c) - t if additive else ratio(q(c), t)
     phase = Window.partitionBy(*by, "__phase")
+    if not centered:
+        phase = expanding(phase.orderBy(DATE))
     means = _append(_append(staged, detrended), {f"__m_{i}": F.avg(f"__d_{i}").over(phase) for i in range(len(names))})
     features = {}
     for i, c in enumerate(names):
-        # Each phase weighs the same however many rows it has: average the
-        # twelve phase means through their first row.
-        center = F.avg(F.when(F.col("__first"), F.col(f"__m_{i}"))).over(whole(by))
+        # Each phase weighs the same however many rows it has: average one row
+        # of each, the first twelve or (looking back only) the latest twelve.
+        if centered:
+            center = F.avg(F.when(F.col("__first"), F.col(f"__m_{i}"))).over(whole(by))
+        else:
+            center = F.avg(f"__m_{i}").over(w.rowsBetween(1 - SEASON, 0))
         d, m = F.col(f"__d_{i}"), F.col(f"__m_{i}")
         residual = d - (m - center) if additive else ratio(d, ratio(m, center))
         features[f"{c}_{suffix}_trend"] = _zero(F.col(f"__t_{i}"))

@@ -19,8 +19,6 @@ from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, data_columns, nu
 # Weight guard of the neighbour average, robust-scaling quantiles.
 WEIGHT_EPSILON = 1e-8
 SCALING_QUANTILES = (0.25, 0.5, 0.75)
-# Distinct sets of present features of the rows to impute, checked before use.
-MAX_PATTERNS = 10_000
 # History values looked up together when finding scaling statistics.
 VALUES_PER_BLOCK = 100_000
 
@@ -120,6 +118,22 @@ def _scales(stats, x: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndar
     return center, spread
 
 
+def _serving_patterns(owns: DataFrame, patterns: DataFrame, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(own, pattern) pairs in which the features a row has include those a target needs.
+
+    A target pattern is looked up by its rarest feature only, and the candidates
+    that come back are compared position by position.
+    """
+    filled = df.agg(*[F.count(q(c)).alias(f"f{i}") for i, c in enumerate(features)]).first()
+    rarest_first = sorted(range(len(features)), key=lambda i: filled[f"f{i}"])
+    has = lambda flags, i: F.substring(flags, i + 1, F.lit(1)) == "1"
+    places = F.sequence(F.lit(0), F.lit(len(features) - 1))
+    needed = patterns.withColumn("f", F.coalesce(*[F.when(has(F.col("pattern"), F.lit(i)), F.lit(i)) for i in rarest_first]))
+    offered = owns.withColumn("f", F.explode(F.filter(places, lambda i: has(F.col("own"), i))))
+    covered = F.forall(places, lambda i: ~has(F.col("pattern"), i) | has(F.col("own"), i))
+    return needed.join(offered, "f").where(covered).select("own", "pattern")
+
+
 def _weighted_average(i: int) -> Column:
     """Inverse-distance mean of the i-th value over the neighbours that have it."""
     valid = F.filter("best", lambda b: b["y"][i].isNotNull())
@@ -166,18 +180,9 @@ def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=N
     targets = (
         rows_.join(asks, list(KEYS)).where(F.col("own").contains("1")).select(*KEYS, "x", "want", F.col("own").alias("pattern"))
     )
-    patterns = [r[0] for r in targets.select("pattern").distinct().limit(MAX_PATTERNS + 1).collect()]
-    if not patterns:
-        return df
-    if len(patterns) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sets of present features; pass fewer features")
-    # Which history rows serve which pattern is decided per distinct own set.
-    known = F.array(*[F.lit(p) for p in patterns])
-    covers = lambda own, p: F.forall(
-        F.sequence(F.lit(1), F.lit(len(features))),
-        lambda i: (F.substring(p, i, F.lit(1)) == "0") | (F.substring(own, i, F.lit(1)) == "1"),
-    )
-    serves = rows_.select("own").distinct().select("own", F.explode(F.filter(known, lambda p: covers(F.col("own"), p))).alias("pattern"))
+    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batches = parts_for_cores(targets.count(), QUERIES_PER_BATCH, cores)
+    serves = _serving_patterns(rows_.select("own").distinct(), targets.select("pattern").distinct(), df, features)
     history = rows_.join(serves, "own").select("pattern", *KEYS, "x", "y")
 
     if normalise:
@@ -189,8 +194,6 @@ def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=N
     # Blocks never mix years, so a target skips all blocks of later years.
     sizes = history.groupBy("pattern", F.year(DATE).alias("year")).agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("salts", F.ceil(F.col("n") / POINTS_PER_BLOCK).cast("int"))
-    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches = parts_for_cores(targets.count(), QUERIES_PER_BATCH, cores)
     batched = targets.withColumn("batch", hashed_part(KEYS, batches))
     blocks = (
         history.withColumn("year", F.year(DATE))

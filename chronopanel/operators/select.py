@@ -219,3 +219,8 @@ def price_pivot(df: DataFrame, fields: Sequence[str], tickers: Sequence[str]) ->
     named = long.withColumn("name", F.concat_ws(".", "ticker", "field"))
     wanted = [f"{t}.{f}" for t in tickers for f in fields]
     return named.groupBy(DATE).pivot("name", wanted).agg(F.first("value", ignorenulls=True))
+
+
+def order_panel(df: DataFrame) -> DataFrame:
+    """Rows by country and date, for output only: operators order their own series."""
+    return df.orderBy(*[c for c in KEYS if c in df.columns])

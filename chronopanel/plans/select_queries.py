@@ -275,3 +275,8 @@ def text(spark, sf):
         scalars.name_before_dash(F.col("series_name")).alias("short_name"),
         scalars.dimensions_text(scalars.without_key(parsed, "LOCATION")).alias("cleaned"),
     )
+
+
+@query("top1_order_panel", f"{with_views('sp')} SELECT Country, Date, quantity FROM sp ORDER BY Country, Date")
+def ordered(spark, sf):
+    return select.order_panel(views.sparse(spark, sf).select(*KEYS, "quantity"))

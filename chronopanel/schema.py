@@ -112,7 +112,7 @@ def validate_panel(
         raise PanelError("no numeric variables")
     if min_rows and df.limit(min_rows).count() < min_rows:
         raise PanelError(f"fewer than {min_rows} rows")
-    if check_keys and df.groupBy(*KEYS).count().where("count > 1").limit(1).count():
+    if check_keys and df.where(F.col(DATE).isNotNull()).groupBy(*KEYS).count().where("count > 1").limit(1).count():
         raise PanelError("duplicate (Country, Date) keys; resolve them with aggregate.dedupe")
     return df
 

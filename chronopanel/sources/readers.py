@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronopanel.operators.labels import crisis_columns, mark_crises
-from chronopanel.schema import DATE, ENTITY, KEYS, nan_to_null, q, replace_columns
+from chronopanel.schema import DATE, ENTITY, KEYS, nan_to_null, q, replace_columns, validate_panel
 
 # Index columns left behind by other writers, name prefix.
 INDEX_COLUMN_PREFIX = "__index_level_"
@@ -48,13 +48,20 @@ def tidy_panel(df: DataFrame, drop_empty: bool = True) -> DataFrame:
     return drop_empty_columns(df) if drop_empty else df
 
 
-def read_panel(spark: SparkSession, path: str, subset: str | None = None, split: str | None = None) -> DataFrame:
-    """Read a stored panel; ``subset`` and ``split`` prune partitions."""
+def read_panel(
+    spark: SparkSession, path: str, subset: str | None = None, split: str | None = None, check_keys: bool = True
+) -> DataFrame:
+    """Read a stored panel; ``subset`` and ``split`` prune partitions.
+
+    Repeated (Country, Date) keys are an error: unique keys are what bounds the
+    length of a series, and with it every per-series window.
+    """
     df = spark.read.parquet(path)
     for column, wanted in (("subset", subset), ("split", split)):
         if wanted is not None and column in df.columns:
             df = df.where(F.col(column) == wanted).drop(column)
-    return tidy_panel(df)
+    panel = tidy_panel(df)
+    return validate_panel(panel, require_numeric=False, check_keys=True) if check_keys else panel
 
 
 def read_catalogue(spark: SparkSession, path: str, schema: str = CATALOGUE_SCHEMA) -> DataFrame:

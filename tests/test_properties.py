@@ -47,6 +47,8 @@ BACKWARD = {
     "momentum": lambda d: features.momentum(d, ["x"]),
     "volatility": lambda d: features.volatility(d, ["x"]),
     "global": lambda d: features.global_average(d, ["x"]),
+    "seasonal": lambda d: features.seasonal(d, ["z"], centered=False),
+    "seasonal_ratio": lambda d: features.seasonal(d, ["z"], "multiplicative", centered=False),
     "forward_fill": lambda d: fill.forward_fill(d, 2, latest_only=False),
     "knn": lambda d: impute.knn_impute(d, ["x", "y"], 3, features=["x", "y", "z"]),
     "regression": lambda d: impute.regression_impute(d.drop("label"), ["x"]),
