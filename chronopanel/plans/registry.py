@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronopanel import ship
 from chronopanel.schema import replace_columns, q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,7 @@ def query(name: str, sql: str | None = None, approx: Sequence[str] = (), digits:
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return rounded(fn(spark, sf_dir), list(approx), digits)
 
         run.__name__, run.__doc__ = name, fn.__doc__
