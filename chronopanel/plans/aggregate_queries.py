@@ -186,7 +186,7 @@ def best_frequency(spark, sf):
 
 
 # Each customer's row and a poorer, later copy of it.
-STACKED = """st AS (SELECT n_name AS Country, DATE '2000-01-31' AS Date, c_custkey AS rid, c_acctbal AS a, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 1.0 END AS b,
+STACKED = """st AS (SELECT n_name AS Country, DATE '2000-01-31' AS Date, c_custkey AS rid, c_acctbal AS a, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 1.0::DOUBLE END AS b,
   CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END AS c FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 

@@ -30,7 +30,7 @@ def pca(spark, sf):
 
 # Scores are centred, uncorrelated, and their variances sum to the number of
 # standardised features when all components are kept.
-@query("vec1_pca_properties", "SELECT count(*) AS n, true AS centred, true AS uncorrelated, 4.0 AS total_variance FROM embeddings", approx=["total_variance"])
+@query("vec1_pca_properties", "SELECT count(*) AS n, true AS centred, true AS uncorrelated, 4.0::DOUBLE AS total_variance FROM embeddings", approx=["total_variance"])
 def pca_properties(spark, sf):
     rows = views.vectors(spark, sf)
     scored = vectors.pca_transform(rows, vectors.pca_fit(rows, E4, 4), ["vec_id"])

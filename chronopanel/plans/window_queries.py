@@ -90,6 +90,7 @@ d AS (SELECT Country, Date, n, list_sum(list_transform(v, lambda a: pow(a - mu,
     "win5_rolling_skew",
     f"""{SP}, {MOMENTS.format(w=frame(6))} SELECT Country, Date, CASE WHEN n >= 3 AND m2 > 0 THEN m3 / pow(m2, 1.5) * sqrt(n * (n - 1.0)) / (n - 2) ELSE 0 END AS quantity_rolling_6_skew FROM d""",
     approx=["quantity_rolling_6_skew"],
+    digits=4,
 )
 def rolling_skew(spark, sf):
     return _features(features.rolling(_panel(spark, sf), ["quantity"], 6, ["skew"]), "quantity_rolling_6_skew")
@@ -99,6 +100,7 @@ def rolling_skew(spark, sf):
     "win6_rolling_kurt",
     f"""{SP}, {MOMENTS.format(w=frame(12))} SELECT Country, Date, CASE WHEN n >= 4 AND m2 > 0 THEN ((n + 1) * (m4 / (m2 * m2) - 3) + 6) * (n - 1.0) / ((n - 2) * (n - 3)) ELSE 0 END AS quantity_rolling_12_kurt FROM d""",
     approx=["quantity_rolling_12_kurt"],
+    digits=4,
 )
 def rolling_kurt(spark, sf):
     return _features(features.rolling(_panel(spark, sf), ["quantity"], 12, ["kurt"]), "quantity_rolling_12_kurt")

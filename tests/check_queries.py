@@ -92,8 +92,9 @@ def main() -> int:
             print(f"FAIL  {name}: columns {got_columns} vs {want_columns}", flush=True)
         elif got != want:
             bad += 1
-            only_got, only_want = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
-            print(f"FAIL  {name}: {len(got)} vs {len(want)} rows\n  columns {got_columns}\n  got  {only_got}\n  want {only_want}", flush=True)
+            extra, lacking = set(got) - set(want), set(want) - set(got)
+            only_got, only_want = sorted(extra)[:3], sorted(lacking)[:3]
+            print(f"FAIL  {name}: {len(got)} vs {len(want)} rows, {len(extra)} differ\n  columns {got_columns}\n  got  {only_got}\n  want {only_want}", flush=True)
         else:
             print(f"ok    {name}: {len(got)} rows {took:.1f}s (sql {sql_took:.1f}s)", flush=True)
     print("bad:", bad)
