@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.functions.scalars import experiment_parts
-from chronopanel.operators.joins import TIMELINE_MARGIN_DAYS, countries_in_both, crisis_intervals
+from chronopanel.operators.joins import countries_in_both, crisis_intervals
 from chronopanel.ordered import running_totals
 from chronopanel.schema import DATE, ENTITY, q
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.operators.aggregate import global_by_date
-from chronopanel.schema import DATE, ENTITY, KEYS, data_columns, expanding, q, replace_columns, series, to_long, to_wide, whole
+from chronopanel.schema import DATE, ENTITY, expanding, q, replace_columns, series, to_long, to_wide, whole
 
 BACKFILLS = ("mean", "median", "mode", "zero")
 

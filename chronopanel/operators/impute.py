@@ -8,13 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chronopanel.operators.fill import imputation_mask
 from chronopanel.operators.neighbours import POINTS_PER_BLOCK, QUERIES_PER_BATCH, best_k, check_metric, distances, hashed_part, parts_for, parts_for_cores
 from chronopanel.operators.select import filter_countries
 from chronopanel.ordered import MAX_BLOCKS, assign_blocks
-from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, data_columns, numeric_columns, q, renewed, replace_columns, spread, to_long, to_wide
+from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, numeric_columns, q, renewed, replace_columns, spread, to_long, to_wide
 
 # Weight guard of the neighbour average, robust-scaling quantiles.
 WEIGHT_EPSILON = 1e-8

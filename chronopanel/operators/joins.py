@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.functions.scalars import gap_frequency, year_to_date
-from chronopanel.schema import DATE, ENTITY, KEYS, data_columns, q, to_wide
+from chronopanel.schema import DATE, ENTITY, KEYS, q, to_wide
 
 # Fixed value: days shown around the data range of a timeline.
 TIMELINE_MARGIN_DAYS = 180

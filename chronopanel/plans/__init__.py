@@ -23,11 +23,7 @@ MODULES = (
 
 def load_queries() -> tuple[dict, dict]:
     """All registered queries and SQL texts."""
-    import importlib.util
-
     for name in MODULES:
-        if importlib.util.find_spec(f"chronopanel.plans.{name}") is None:
-            continue
         importlib.import_module(f"chronopanel.plans.{name}")
     from chronopanel.plans.registry import ORACLES, QUERIES
 

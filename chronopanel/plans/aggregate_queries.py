@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronopanel.operators import aggregate, classify
-from chronopanel.ordered import rank_distinct
 from chronopanel.plans import views
 from chronopanel.plans.registry import query
 from chronopanel.plans.select_queries import BUCKET_SQL, NAME_SQL

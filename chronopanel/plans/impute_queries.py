@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronopanel.operators import aggregate, fill, impute
+from chronopanel.operators import fill, impute
 from chronopanel.plans import views
 from chronopanel.plans.registry import query
 from chronopanel.plans.views import with_views

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronopanel.functions.scalars import year_to_date
-from chronopanel.operators import labels
 from chronopanel.plans import views
 from chronopanel.plans.registry import query
 from chronopanel.plans.views import scratch, table, with_views
-from chronopanel.schema import DATE, ENTITY, KEYS, q
+from chronopanel.schema import DATE, ENTITY
 from chronopanel.sources import readers, writers
 
 
