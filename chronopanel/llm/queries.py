@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel import ship
-from chronopanel.llm import language, line_dedup, mixing, topk_search
+from chronopanel.llm import language, line_dedup, mixing, packing, simhash, topk_search
 from chronopanel.llm.common import documents
 
 QUERIES: dict = {}
@@ -83,3 +83,20 @@ def op10(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     best = topk_search.top_k(vectors, F.col("vec_id") % 100 == 0)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+@query("op4_packing")
+def op4(spark, sf):
+    """Pieces of all documents with their sequences."""
+    cut = packing.pieces(documents(spark, sf).select("doc_id", "text"))
+    placed = packing.pack(cut.select(F.struct("doc.doc_id").alias("doc"), "piece", "start", "length", "ids_crc32"))
+    return placed.select("doc.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op9_simhash")
+def op9(spark, sf):
+    """Fingerprint and group of every document."""
+    grouped = simhash.group(documents(spark, sf).select("doc_id", "text"))
+    return grouped.select(
+        F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id")
+    )
