@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +47,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
         base = tempfile.gettempdir()
     return f"{base}/chronopanel-{name}-{uuid.uuid4().hex}"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body, or a lambda in it, uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel import ship
-from chronopanel.llm import language, line_dedup, mixing, packing, simhash, topk_search
+from chronopanel.llm import language, line_dedup, mixing, packing, simhash, spotsigs, topk_search
 from chronopanel.llm.common import documents
 
 QUERIES: dict = {}
@@ -100,3 +100,26 @@ def op9(spark, sf):
     return grouped.select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+@query("op7_spotsigs")
+def op7(spark, sf):
+    """Fingerprint of every document and of its edited text, which ends like the next document begins."""
+    docs = documents(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = spotsigs.fingerprints(docs).select("doc.doc_id", "doc.text", "sigs")
+    met = spotsigs.with_next(own, "doc_id")
+    n = F.length("doc.text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("doc.text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half))
+    done = met.select("doc", "next.sigs", n.cast("long").alias("n_chars"), edited.alias("edited")).withColumn(
+        "edited_sigs", spotsigs.signatures(F.col("edited"))
+    )
+    return done.select(
+        "doc.doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.as_text(F.col("doc.sigs")).alias("fingerprint"),
+        spotsigs.as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("doc.sigs"), F.col("edited_sigs")).alias("near_edited"),
+        spotsigs.likeness(F.col("doc.sigs"), F.col("sigs")).alias("near_next"),
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.llm import language, line_dedup, mixing, packing, simhash
+from chronopanel.llm.common import let
 
 
 def _with_text(df: DataFrame, doc: str, text: Column) -> DataFrame:
@@ -75,11 +76,9 @@ def take_mixture(docs: DataFrame, block_words: int = 512) -> DataFrame:
     met = texts.groupBy("d1", "d2").agg(F.first("doc").alias("doc")).join(copies, ["d1", "d2"])
     lead = r"^[\x20\x09-\x0D]+"
     words = F.split(F.regexp_replace("doc.text", lead, ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    split = met.select("doc", "spans", F.when(F.col("spans").isNotNull(), words).alias("words"))
-    cut = F.array_join(
-        F.flatten(F.transform("spans", lambda s: F.slice("words", (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))), ""
-    )
-    return _with_text(split, "doc", F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(cut))
+    part = lambda own, s: F.slice(own, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int"))
+    cut = let(words, lambda own: F.array_join(F.flatten(F.transform("spans", lambda s: part(own, s))), ""))
+    return _with_text(met, "doc", F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(cut))
 
 
 def pack_sequences(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
