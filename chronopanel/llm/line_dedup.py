@@ -43,16 +43,15 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """One row per keyed line: document, position, hash of the key, and 1 at the document's first line of that key."""
+    keys = F.transform(F.split("whole", "\n", -1), line_key)
     hashed = F.transform(
-        F.split("whole", "\n", -1),
-        lambda line, i: F.struct(
-            F.xxhash64(line_key(line)).alias("h1"),
-            F.xxhash64(F.lit("k"), line_key(line)).alias("h2"),
-            i.alias("pos"),
-            (F.length(line_key(line)) >= max(min_chars, 1)).alias("counts"),
+        keys,
+        lambda key, i: F.when(
+            F.length(key) >= max(min_chars, 1),
+            F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("k"), key).alias("h2"), i.alias("pos")),
         ),
     )
-    ordered = docs.select(*_DOC, F.array_sort(F.filter(hashed, lambda x: x["counts"])).alias("sorted"))
+    ordered = docs.select(*_DOC, F.array_sort(F.array_compact(hashed)).alias("sorted"))
     marked = F.transform(
         "sorted",
         lambda x, i: F.struct(
