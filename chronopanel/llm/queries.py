@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel import ship
-from chronopanel.llm import language, line_dedup, mixing, packing, simhash, spotsigs, topk_search
+from chronopanel.llm import language, line_dedup, mixing, packing, secrets, simhash, spotsigs, topk_search
 from chronopanel.llm.common import documents
 
 QUERIES: dict = {}
@@ -123,3 +123,24 @@ def op7(spark, sf):
         spotsigs.likeness(F.col("doc.sigs"), F.col("edited_sigs")).alias("near_edited"),
         spotsigs.likeness(F.col("doc.sigs"), F.col("sigs")).alias("near_next"),
     )
+
+
+def _joined(spans):
+    """kind:start:end of spans, comma-joined."""
+    each = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(each, ",")
+
+
+@query("op6_secrets")
+def op6(spark, sf):
+    """Secrets in every document: the base findings and those the network adds."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs))
+    base = F.filter("findings", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("findings", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    return found.select(
+        "doc.doc_id",
+        *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(F.col("findings")).alias("spans"),
+    )
