@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel import ship
-from chronopanel.llm import language, line_dedup, mixing, packing, secrets, simhash, spotsigs, topk_search
+from chronopanel.llm import language, line_dedup, mixing, packing, pii, secrets, simhash, spotsigs, topk_search
 from chronopanel.llm.common import documents
 
 QUERIES: dict = {}
@@ -144,3 +144,23 @@ def op6(spark, sf):
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("findings")).alias("spans"),
     )
+
+
+@query("op3_pii")
+def op3(spark, sf):
+    """Personal data in every document: the base spans and those the trees add."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    found = pii.scan(docs.select("text", "doc_id"), pii.fit(docs)).select("doc.doc_id", "base", "added")
+    named = lambda spans: F.transform(
+        spans,
+        lambda s: F.struct(
+            F.element_at(F.array(*map(F.lit, pii.KINDS)), s["no"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")
+        ),
+    )
+    count = lambda no: F.size(F.filter("base", lambda s: s["no"] == no)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(no).alias(f"n_{k}") for no, k in enumerate(pii.KINDS)],
+        F.sha2(_joined(named(F.col("base"))), 256).alias("base_sha256"),
+        _joined(named(F.array_sort(F.concat("base", "added")))).alias("spans"),
+    )
