@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel import ship
-from chronopanel.llm import language, line_dedup, mixing, packing, pii, secrets, simhash, spotsigs, topk_search
+from chronopanel.llm import language, line_dedup, mixing, packing, pii, quality, secrets, simhash, spotsigs, topk_search
 from chronopanel.llm.common import documents
 
 QUERIES: dict = {}
@@ -164,3 +164,14 @@ def op3(spark, sf):
         F.sha2(_joined(named(F.col("base"))), 256).alias("base_sha256"),
         _joined(named(F.array_sort(F.concat("base", "added")))).alias("spans"),
     )
+
+
+@query("op2_quality")
+def op2(spark, sf):
+    """Quality of every document, from its text, its source and its source's language section."""
+    docs = documents(spark, sf).select("doc_id", "text", "source", "lang")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("label"))
+    done = quality.score(docs, labels, F.col("source"), F.col("lang"))
+    return done.select(
+        "doc.doc_id", "quality", (F.col("quality") >= 0.5).alias("keep"), "doc_quality", "host_quality", "path_quality"
+    )
