@@ -25,7 +25,6 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,6 @@ from chronopanel.llm.common import kept, partitions
 from chronopanel.llm.tokens import encoder
 
 BUCKET_ROWS = 20_000
-_BATCH_CHARS = 1 << 22
 
 Pattern = tuple[tuple[int, ...], int]  # lengths in a sequence, number of such sequences
 
@@ -58,22 +56,14 @@ def pieces(
     def cut(texts: pd.Series) -> pd.Series:
         own = encoder(path)
         out: list[list[dict]] = []
-        values = ["" if t is None else t for t in texts]
-        at = 0
-        while at < len(values):  # bounded text per call of the tokenizer
-            end, held = at, 0
-            while end < len(values) and (end == at or held + len(values[end]) <= _BATCH_CHARS):
-                held += len(values[end])
-                end += 1
-            for ids in own.encode(values[at:end]):
-                ids += b"\0\0\0\0"
-                rows = []
-                for i, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[start : start + 4 * capacity]
-                    r = {"piece": i, "start": start // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
-                    rows.append(r | {"ids": part} if with_ids else r)
-                out.append(rows)
-            at = end
+        for text in texts:
+            ids = own.encode(text or "") + b"\0\0\0\0"
+            rows = []
+            for i, start in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[start : start + 4 * capacity]
+                r = {"piece": i, "start": start // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
+                rows.append(r | {"ids": part} if with_ids else r)
+            out.append(rows)
         return pd.Series(out)
 
     doc = F.struct(*[F.col(f"`{c}`") for c in df.columns])
