@@ -7,9 +7,9 @@ are linked; links through others count, so groups are connected components.
 *Candidates.* Equal fingerprints are one point. The 64 bits are put into ``bits + 1`` partitions, bits that go together
 in the data into the same one, so that what repeats elsewhere does not repeat in every partition. Each partition i gets a
 threshold t_i, -1 (not probed) or more, with sum 0: then of two fingerprints within ``bits`` bits at least one partition
-differs in at most t_i bits. A dynamic program chooses the thresholds with the fewest estimated candidate pairs, from the
-measured number of pairs equal in a partition and the measured share of ones of each bit. A partition with threshold t is
-probed by its value under every choice of t masked bits.
+differs in at most t_i bits. A dynamic program chooses the thresholds with the fewest estimated candidate pairs and
+probes, from the measured number of pairs equal in a partition and the measured share of ones of each bit. A partition
+with threshold t is probed by its value under every choice of t masked bits.
 *Hot buckets.* A bucket of more than ``MOST`` points is split: its free bits are partitioned again in the same way and
 its points probed anew within it. Each level fixes a third of the free bits, and points are distinct, so after a few
 levels no bucket can hold more than ``MOST``; none is capped and no link is lost.
@@ -24,6 +24,7 @@ gives an empty one. Input columns come back inside the struct ``doc``.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -174,7 +175,7 @@ def _probe_again(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def _links_of_bucket(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect all points of one bucket that belong together, fewer than there are points."""
+    """Pairs that connect all points of one bucket that belong together, fewer than points: each group's first with the rest."""
     n = len(fps)
     near = np.zeros((n, n), dtype=bool)
     for at in range(0, n, 256):
@@ -234,7 +235,7 @@ def _verify(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def links(points: DataFrame, bits: int = 2, most: int = MOST) -> DataFrame:
-    """(a, b): links between distinct fingerprints, enough to connect all that are within ``bits`` bits."""
+    """(a, b): pairs of distinct fingerprints of one group, enough to connect all that are within ``bits`` bits."""
     parts = bits + 1
     n, both = _bit_counts(points)
     groups = group_bits(n, both, parts)
@@ -255,7 +256,8 @@ def links(points: DataFrame, bits: int = 2, most: int = MOST) -> DataFrame:
         by_distance[0] = 1
         for o in odds:
             by_distance[1:] += by_distance[:-1] * o
-        costs.append([0.0, *(pairs * np.cumsum(by_distance))])
+        probes = [n * comb(len(g), t) for t in range(bits + 1)]
+        costs.append([0.0, *(pairs * np.cumsum(by_distance) + probes)])
     thresholds = allocate(costs, bits - parts + 1)
     masks = [_mask(set(g) - set(c)) for g, t in zip(groups, thresholds, strict=True) if t >= 0 for c in combinations(g, t)]
     rows = _probe(points, 2**64 - 1, masks)
@@ -266,7 +268,7 @@ def links(points: DataFrame, bits: int = 2, most: int = MOST) -> DataFrame:
             final = rows if final is None else final.unionByName(rows)
             break
         salted = rows.withColumn("salt", F.pmod("fp", F.lit(SALTS)))
-        spread = hot.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+        spread = hot.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
         cold = salted.join(spread, ["key", "salt"], "left_anti").select("fp", "key", "free")
         final = cold if final is None else final.unionByName(cold)
         rows = _probe_again(salted.join(spread, ["key", "salt"], "left_semi").select("fp", "key", "free"), parts)
