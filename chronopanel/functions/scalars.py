@@ -111,8 +111,8 @@ def name_before_dash(name: Column) -> Column:
 
 
 def parse_dimensions(text: Column) -> Column:
-    """Dict literal with single quotes to MAP<STRING,STRING>; NULL when it is not one."""
-    return F.from_json(F.translate(text, "'", '"'), "map<string,string>")
+    """Dict literal to MAP<STRING,STRING>, strings in either kind of quotes; NULL when it is not one."""
+    return F.from_json(text, "map<string,string>", {"allowSingleQuotes": "true"})
 
 
 def without_key(mapping: Column, key: str) -> Column:
@@ -120,10 +120,11 @@ def without_key(mapping: Column, key: str) -> Column:
 
 
 def dimensions_text(mapping: Column) -> Column:
-    """MAP back to a dict literal, keys in their own order."""
+    """MAP back to a dict literal, keys in their own order; a value with an apostrophe stands in double quotes."""
+    quote = lambda v: F.when(v.contains("'"), F.lit('"')).otherwise(F.lit("'"))
     items = F.transform(
         F.map_entries(mapping),
-        lambda e: F.concat(F.lit("'"), e["key"], F.lit("': '"), e["value"], F.lit("'")),
+        lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), quote(e["value"]), e["value"], quote(e["value"])),
     )
     return F.concat(F.lit("{"), F.array_join(items, ", "), F.lit("}"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,18 @@ from chronopanel.schema import DATE, ENTITY, KEYS, PanelError, data_columns, nul
 RESAMPLE_STATS = ("sum", "last", "min", "max", "mean", "median")
 
 
+def _keyed(operator):
+    """Let an operator on panels take a single series without a country column as well."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        if ENTITY in df.columns:
+            return operator(df, *args, **options)
+        return operator(df.select(F.lit("N/A").alias(ENTITY), "*"), *args, **options).drop(ENTITY)
+
+    return run
+
+
 def completeness(df: DataFrame) -> DataFrame:
     """Filled and missing share of every column, from one aggregate row turned into rows."""
     shares = df.agg(*[F.avg(q(c).isNotNull().cast("double")).alias(c) for c in df.columns])
@@ -61,6 +74,7 @@ def _statistic(kind: str, column: str) -> Column:
     return {"min": F.min, "max": F.max}[kind](q(column))
 
 
+@_keyed
 def resample(
     df: DataFrame, freq: str = "M", mapping: Mapping[str, Sequence[str]] | None = None, complete: bool = True
 ) -> DataFrame:
@@ -104,8 +118,9 @@ def resample(
     return complete_grid(result, freq) if complete and freq != "D" else result
 
 
+@_keyed
 def complete_grid(df: DataFrame, freq: str = "M") -> DataFrame:
-    """All countries at all period ends between the first and last date of the panel.
+    """All countries at all period ends from the first date of the panel to its last.
 
     Rows that are not dated at a period end have no place on the grid; their
     country and period still do. Every row is expanded over the empty periods
@@ -116,7 +131,10 @@ def complete_grid(df: DataFrame, freq: str = "M") -> DataFrame:
     check_frequency(freq)
     if freq == "D":
         return df
-    extent = df.agg(F.struct(period_index(F.min(DATE), freq).alias("lo"), period_index(F.max(DATE), freq).alias("hi"))).scalar()
+    last = period_index(F.max(DATE), freq)
+    # a period that the last date does not complete has no end on the grid
+    complete = last - (F.max(DATE) < period_end(last, freq)).cast("int")
+    extent = df.agg(F.struct(period_index(F.min(DATE), freq).alias("lo"), complete.alias("hi"))).scalar()
     w = series()
     numbered = df.withColumn("__p", period_index(F.col(DATE), freq))
     latest = numbered.withColumn("__following", F.lead("__p").over(w)).where(
@@ -128,15 +146,12 @@ def complete_grid(df: DataFrame, freq: str = "M") -> DataFrame:
             "__first": F.lag("__p").over(w).isNull(),
             "__on_grid": F.col(DATE) == period_end(F.col("__p"), freq),
         }
-    ).withColumn(
-        "__i",
-        F.explode(
-            F.sequence(
-                F.when(F.col("__first"), F.col("__extent.lo")).otherwise(F.col("__p")),
-                F.coalesce(F.col("__following") - 1, F.col("__extent.hi")),
-            )
-        ),
-    )
+    ).withColumns(
+        {
+            "__from": F.when(F.col("__first"), F.col("__extent.lo")).otherwise(F.col("__p")),
+            "__to": F.least(F.coalesce(F.col("__following") - 1, F.col("__extent.hi")), F.col("__extent.hi")),
+        }
+    ).where("__from <= __to").withColumn("__i", F.explode(F.sequence("__from", "__to")))
     own = (F.col("__i") == F.col("__p")) & F.col("__on_grid")
     return spans.select(
         ENTITY,

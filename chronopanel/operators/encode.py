@@ -4,31 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.ordered import exact_quantiles, rank_distinct
 from chronopanel.schema import DATE, ENTITY, PanelError, data_columns, q, replace_columns, to_long
 
-# Dummy coding makes one column per category, so categories are bounded by the schema.
-MAX_CATEGORIES = 2_000
 
+def fit_categories(df: DataFrame, column: str, limit: int | None = 2_000) -> list[str]:
+    """Sorted categories. Each becomes a column, so more than ``limit`` are an error; None sets no limit.
 
-def fit_categories(df: DataFrame, column: str) -> list[str]:
-    """Sorted categories; more than can be columns is an error."""
-    found = [r[0] for r in df.select(column).where(q(column).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()]
-    if len(found) > MAX_CATEGORIES:
-        raise PanelError(f"{column} has more than {MAX_CATEGORIES} categories")
+    For columns with very many categories use ``one_hot``, which is sparse.
+    """
+    distinct = df.select(column).where(q(column).isNotNull()).distinct()
+    found = [r[0] for r in (distinct if limit is None else distinct.limit(limit + 1)).collect()]
+    if limit is not None and len(found) > limit:
+        raise PanelError(f"{column} has more than {limit} categories")
     return sorted(found)
 
 
+def one_hot(df: DataFrame, column: str, name: str | None = None) -> tuple[DataFrame, PipelineModel]:
+    """One sparse vector column with a place per category, unseen and missing ones all 0, and the fitted encoder."""
+    name = name or f"{column}_one_hot"
+    index = StringIndexer(inputCol=column, outputCol="__index", stringOrderType="alphabetAsc", handleInvalid="keep")
+    encoder = OneHotEncoder(inputCol="__index", outputCol=name, dropLast=True)
+    fitted = Pipeline(stages=[index, encoder]).fit(df)
+    return fitted.transform(df).drop("__index"), fitted
+
+
 def dummy_transform(df: DataFrame, column: str, categories: Sequence[str]) -> DataFrame:
     """0/1 column per stored category; unseen categories are all 0."""
     return df.select("*", *[q(column).eqNullSafe(c).cast("int").alias(f"{column}_{c}") for c in categories])
 
 
-def dummy_fit(df: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
-    categories = fit_categories(df, column)
+def dummy_fit(df: DataFrame, column: str, limit: int | None = 2_000) -> tuple[DataFrame, list[str]]:
+    categories = fit_categories(df, column, limit)
     return dummy_transform(df, column, categories), categories
 
 

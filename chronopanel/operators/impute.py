@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chronopanel.operators.fill import imputation_mask
 from chronopanel.operators.neighbours import POINTS_PER_BLOCK, QUERIES_PER_BATCH, best_k, check_metric, distances, hashed_part, parts_for, parts_for_cores
 from chronopanel.operators.select import filter_countries
-from chronopanel.ordered import MAX_BLOCKS, assign_blocks
+from chronopanel.ordered import assign_blocks
 from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, numeric_columns, q, renewed, replace_columns, spread, to_long, to_wide
 
 # Weight guard of the neighbour average, robust-scaling quantiles.
@@ -185,7 +185,7 @@ def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=N
     history = rows_.join(serves, "own").select("pattern", *KEYS, "x", "y")
 
     if normalise:
-        stats = _scaling_statistics(history, targets.select("pattern", DATE), min(MAX_BLOCKS, parts_for(df.count(), VALUES_PER_BLOCK)))
+        stats = _scaling_statistics(history, targets.select("pattern", DATE), parts_for(df.count(), VALUES_PER_BLOCK))
         targets = targets.join(stats, ["pattern", DATE])
     else:
         targets = targets.withColumn("stats", F.lit(None).cast("array<struct<f:int,n:bigint,ranks:array<bigint>,values:array<double>>>"))
@@ -340,29 +340,19 @@ MIN_OBSERVATIONS = 6
 
 
 def _fill_series(x: np.ndarray) -> np.ndarray:
-    """Fill each gap after the first value from the values before it, oldest gap first."""
-    x = x.copy()
-    valid = np.flatnonzero(~np.isnan(x))
-    if not len(valid):
+    """Fill the gaps after the first value, each from all values before it, filled ones included."""
+    known = ~np.isnan(x)
+    if not known.any():
         return x
-    first = valid[0]
-    while True:
-        gaps = np.flatnonzero(np.isnan(x[first:]))
-        if not len(gaps):
-            return x
-        start = first + gaps[0]
-        observed = x[first:start]
-        if len(observed) < MIN_OBSERVATIONS:
-            return x
-        if np.ptp(observed) == 0:
-            x[np.isnan(x)] = observed[0]
-            return x
-        later = np.flatnonzero(~np.isnan(x[start:]))
-        end = start + later[0] if len(later) else len(x)
-        ahead = forecast(observed, end - start)
+    x = x.copy()
+    first = int(known.argmax())
+    edges = np.flatnonzero(np.diff(np.concatenate([known[first:], [True]]).astype(np.int8)))
+    for start, end in (edges.reshape(-1, 2) + first + 1).tolist():  # a gap opens where known turns to unknown
+        ahead = forecast(x[first:start], end - start) if start - first >= MIN_OBSERVATIONS else np.array([np.nan])
         if not np.isfinite(ahead).all():
-            return x
+            break
         x[start:end] = ahead
+    return x
 
 
 def forecast_fill(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

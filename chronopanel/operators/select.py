@@ -28,14 +28,16 @@ COUNTRY_NAMES = {
 }
 
 # ISO alpha-3 codes of the two market groups.
-DEVELOPED_MARKETS = (
-    "AUS BEL CAN CHE DEU DNK ESP FIN FRA GBR ITA JPN NLD NOR PRT SWE USA"
-).split()
-EMERGING_MARKETS = (
-    "AFG AGO ATG ATG AZE BGD BRB BLZ BOL BRA CAF TCD CHL CHN COL COD COG CRI DJI DOM ECU EGY SLV GNQ ERI SWZ GMB "
-    "GHA GTM HTI HND IND IDN IRN KAZ KEN LAO LBN LSO LBR LBY MWI MYS MLI MUS MEX MNG MAR MMR NAM NPL NIC NGA PAK "
-    "PRY PER PHL SEN SLE ZAF LKA SUR SYR TWN TJK THA TUN TUR URY UZB VEN VNM YEM ZMB ZWE"
-).split()
+DEVELOPED_MARKETS = [
+    "AUS", "BEL", "CAN", "CHE", "DEU", "DNK", "ESP", "FIN", "FRA", "GBR", "ITA", "JPN", "NLD", "NOR", "PRT", "SWE", "USA",
+]
+EMERGING_MARKETS = [
+    "AFG", "AGO", "ATG", "AZE", "BGD", "BRB", "BLZ", "BOL", "BRA", "CAF", "TCD", "CHL", "CHN", "COL", "COD", "COG",
+    "CRI", "DJI", "DOM", "ECU", "EGY", "SLV", "GNQ", "ERI", "SWZ", "GMB", "GHA", "GTM", "HTI", "HND", "IND", "IDN",
+    "IRN", "KAZ", "KEN", "LAO", "LBN", "LSO", "LBR", "LBY", "MWI", "MYS", "MLI", "MUS", "MEX", "MNG", "MAR", "MMR",
+    "NAM", "NPL", "NIC", "NGA", "PAK", "PRY", "PER", "PHL", "SEN", "SLE", "ZAF", "LKA", "SUR", "SYR", "TWN", "TJK",
+    "THA", "TUN", "TUR", "URY", "UZB", "VEN", "VNM", "YEM", "ZMB", "ZWE",
+]
 
 
 def rename_values(df: DataFrame, column: str = ENTITY, mapping: Mapping[str, str] | DataFrame = COUNTRY_NAMES) -> DataFrame:

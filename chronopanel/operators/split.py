@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.operators.aggregate import dedupe
 from chronopanel.operators.select import clip_period
-from chronopanel.ordered import shuffled_rank
+from chronopanel.ordered import running_totals, shuffled_rank
 from chronopanel.schema import DATE, ENTITY, KEYS, PanelError
 
 
@@ -82,68 +81,30 @@ def split_date(df: DataFrame) -> DataFrame:
     return df.where(F.col("split") == "train").agg(F.max(DATE).alias("split_date"))
 
 
-def closest_subset(counts: dict[str, int], target: float, restarts: int = 8, tolerance: float = 0.01) -> set[str]:
-    """Subset of countries whose total is close to the target: seeded greedy fills, then swaps."""
-    if target <= 0 or not counts:
-        return set()
-    names = sorted(counts)
-    sizes = np.array([counts[c] for c in names], dtype=float)
-    best: tuple[float, np.ndarray] | None = None
-    for restart in range(restarts):
-        order = np.random.default_rng(seed=1000 * restart).permutation(len(names))
-        reach = int(np.searchsorted(np.cumsum(sizes[order]), target)) + 1
-        inside = np.zeros(len(names), dtype=bool)
-        inside[order[:reach]] = True
-        for _ in range(2 * len(names)):
-            miss = sizes[inside].sum() - target
-            if abs(miss) <= tolerance * target or inside.all():
-                break
-            ins, outs = np.flatnonzero(inside), np.flatnonzero(~inside)
-            after = np.abs(miss - sizes[ins][:, None] + sizes[outs][None, :])
-            i, j = np.unravel_index(int(np.argmin(after)), after.shape)
-            if after[i, j] >= abs(miss):
-                break
-            inside[ins[i]], inside[outs[j]] = False, True
-        gap = abs(sizes[inside].sum() - target)
-        if best is None or gap < best[0]:
-            best = (gap, inside.copy())
-        if best[0] <= tolerance * target:
-            break
-    return {c for c, used in zip(names, best[1]) if used}
-
-
-# Upper bound of the country search, which runs on one count per country.
-MAX_SEARCH_COUNTRIES = 5_000
-
-
-def split_geographic(df: DataFrame, train_prop: float = 0.8, test_prop: float | None = None) -> DataFrame:
+def split_geographic(
+    df: DataFrame, train_prop: float = 0.8, test_prop: float | None = None, orders: int = 16
+) -> DataFrame:
     """Disjoint country sets near the wanted row totals; leftovers have no split.
 
-    Only the per-country counts reach the driver, after a check of how many
-    countries there are. Beyond the limit countries are packed by a seeded hash
-    order inside Spark instead.
+    Countries are laid end to end by row count, in ``orders`` seeded hash orders
+    at once. In each a country is for training if its middle lies within the
+    training share, for testing if within the share after it, so either total
+    misses its aim by at most one country. The order that misses least is used.
+    Running totals go through blocks, so no task holds all countries.
     """
     test_prop = 1 - train_prop if test_prop is None else test_prop
     counts = df.groupBy(ENTITY).agg(F.count("*").alias("n"))
-    head = counts.limit(MAX_SEARCH_COUNTRIES + 1).collect()
-    if len(head) <= MAX_SEARCH_COUNTRIES:
-        sizes = {r[ENTITY]: r["n"] for r in head}
-        total = sum(sizes.values())
-        train = closest_subset(sizes, total * train_prop)
-        test = closest_subset({c: n for c, n in sizes.items() if c not in train}, total * test_prop)
-        rows = [(c, "train") for c in sorted(train)] + [(c, "test") for c in sorted(test)]
-        sets = df.sparkSession.createDataFrame(rows, f"{ENTITY} STRING, split STRING")
-    else:
-        from chronopanel.ordered import running_totals
-
-        hashed = counts.withColumn("__h", F.xxhash64(ENTITY, F.lit(0)))
-        placed = running_totals(hashed, [], "__h", {"__cum": "n"})
-        total = counts.agg(F.sum("n")).scalar()
-        share = F.col("__cum") / total
-        sets = placed.select(
-            ENTITY,
-            F.when(share <= train_prop, "train").when(share <= train_prop + test_prop, "test").alias("split"),
-        ).where(F.col("split").isNotNull())
+    laid = counts.select(ENTITY, "n", F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("seed")).withColumn(
+        "__h", F.xxhash64(ENTITY, "seed")
+    )
+    total = counts.agg(F.sum("n")).scalar()
+    middle = (F.col("__cum") - F.col("n") / 2) / total
+    side = F.when(middle <= train_prop, "train").when(middle <= train_prop + test_prop, "test")
+    placed = running_totals(laid, ["seed"], "__h", {"__cum": "n"}).select(ENTITY, "n", "seed", side.alias("split"))
+    held = lambda name: F.coalesce(F.sum(F.when(F.col("split") == name, F.col("n"))), F.lit(0)) / F.sum("n")
+    misses = placed.groupBy("seed").agg((F.abs(held("train") - train_prop) + F.abs(held("test") - test_prop)).alias("miss"))
+    best = misses.agg(F.min_by("seed", F.struct("miss", "seed"))).scalar()
+    sets = placed.where((F.col("seed") == best) & F.col("split").isNotNull()).select(ENTITY, "split")
     return df.join(sets, ENTITY, "left")
 
 

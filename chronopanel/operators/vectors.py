@@ -45,7 +45,7 @@ def fix_signs(loadings: np.ndarray) -> np.ndarray:
 def _fit(scaled: DataFrame, features: Sequence[str], scaling, n_components: float | int, prefix: str) -> Components:
     if not features:
         raise PanelError("no numeric features")
-    ready = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="skip").transform(scaled)
+    ready = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="error").transform(scaled)
     model = PCA(k=len(features), inputCol="__x", outputCol="__pc").fit(ready.select("__x"))
     ratios = model.explainedVariance.toArray()
     loadings = fix_signs(model.pc.toArray().T)
@@ -70,16 +70,21 @@ def pca_transform(df: DataFrame, fitted: Components, keep: Sequence[str] = KEYS)
 
 
 def pca_project(df: DataFrame, fits: Sequence[Components], keep: Sequence[str] = KEYS) -> DataFrame:
-    """Rows projected on several component sets at once, as one projection in the JVM."""
+    """Rows projected on several component sets at once, in the JVM.
+
+    Scaled values stand in one array per set, so that expressions stay small
+    however many features there are.
+    """
+    inputs = [
+        F.array(*[(q(c) - F.lit(float(f.scaling[c][0]))) / F.lit(float(f.scaling[c][1])) for c in f.features]).alias(f"__x{n}")
+        for n, f in enumerate(fits)
+    ]
     out = []
-    for f in fits:
-        scaled = [(q(c) - F.lit(float(f.scaling[c][0]))) / F.lit(float(f.scaling[c][1])) for c in f.features]
+    for n, f in enumerate(fits):
         for i, row in enumerate(f.loadings):
-            total = F.lit(0.0)
-            for x, weight in zip(scaled, row):
-                total = total + x * F.lit(float(weight))
-            out.append(total.alias(f"{f.prefix}{i + 1}"))
-    return df.select(*[q(c) for c in keep], *out)
+            terms = F.zip_with(F.col(f"__x{n}"), F.lit([float(w) for w in row]), lambda x, w: x * w)
+            out.append(F.aggregate(terms, F.lit(0.0), lambda total, t: total + t).alias(f"{f.prefix}{i + 1}"))
+    return df.select(*[q(c) for c in keep], *inputs).select(*[q(c) for c in keep], *out)
 
 
 def explained_variance(spark, fitted: Components) -> DataFrame:
@@ -305,28 +310,49 @@ def aggregate_eigen(eigen: DataFrame, by: str = "last") -> DataFrame:
 def class_separation(df: DataFrame, by: str, features: Sequence[str], label: str = "label") -> DataFrame:
     """Distance between class centroids of each category under its pooled covariance.
 
-    Categories are reduced to sums and products first; only those small sums
-    meet in one row per category.
+    Every task multiplies its own rows per category in one matrix product; the
+    matrices are added in two steps, so that no task gets one from every other.
+    Missing values leave the pairs they belong to, as in a covariance.
     """
     n = len(features)
-    x = [q(c).cast("double") for c in features]
-    positive = q(label) == 1
-    sums = df.groupBy(by).agg(
-        F.array(*[F.avg(F.when(positive, v)) - F.avg(F.when(~positive, v)) for v in x]).alias("diff"),
-        F.array(*[F.covar_samp(x[i], x[j]) for i in range(n) for j in range(n)]).alias("cov"),
-    )
-
-    @F.pandas_udf("double")
-    def separation(diff: pd.Series, cov: pd.Series) -> pd.Series:
-        out = []
-        for d, c in zip(diff, cov):
-            d, c = np.array(d, dtype=float), np.array(c, dtype=float).reshape(n, n)
-            bad = np.isnan(d).any() or np.isnan(c).any()
-            out.append(None if bad else float(np.sqrt(max(d @ np.linalg.pinv(c) @ d, 0.0))))
-        return pd.Series(out, dtype="float64")
-
-    found = sums.select(by, separation("diff", "cov").alias("distance"))
-    return found.where(F.col("distance").isNotNull() & ~F.isnan("distance"))
+    shift = np.array([v or 0.0 for v in df.agg(*[F.avg(q(c)) for c in features]).first()])
+    rows_ = df.select(q(by).alias("by"), (q(label) == 1).alias("positive"), F.array(*[q(c).cast("double") for c in features]).alias("x"))
+
+    def products(batches):
+        held: dict = {}
+        for batch in batches:
+            for key, own in batch.groupby("by", dropna=False):
+                x = np.array(own["x"].tolist(), dtype=float).reshape(len(own), n) - shift
+                m = ~np.isnan(x)
+                x0, one = np.where(m, x, 0.0), m.astype(float)
+                yes = own["positive"].to_numpy(dtype=bool, na_value=False)[:, None]
+                no = (own["positive"] == False).to_numpy(dtype=bool, na_value=False)[:, None]  # noqa: E712
+                sums = [x0.T @ x0, x0.T @ one, one.T @ one, np.array([(x0 * s).sum(0) for s in (yes, no)]), np.array([(one * s).sum(0) for s in (yes, no)])]
+                cells = np.concatenate([s.reshape(-1) for s in sums])
+                held[key] = held[key] + cells if key in held else cells
+        yield pd.DataFrame({"by": list(held), "cells": [c.tobytes() for c in held.values()]})
+
+    kind = df.schema[by].dataType.simpleString()
+    added = lambda pdf: np.sum([np.frombuffer(c) for c in pdf["cells"]], axis=0)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"by": pdf["by"].iloc[:1], "cells": [added(pdf).tobytes()]})
+
+    def separation(pdf: pd.DataFrame) -> pd.DataFrame:
+        xx, x1, n2, sums, counts = np.split(added(pdf), np.cumsum([n * n, n * n, n * n, 2 * n]))
+        xx, x1, n2 = (m.reshape(n, n) for m in (xx, x1, n2))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cov = (xx - x1 * x1.T / n2) / (n2 - 1)
+            means = (sums / counts).reshape(2, n)
+        d = means[0] - means[1]
+        bad = np.isnan(d).any() or not np.isfinite(cov).all()
+        value = np.nan if bad else float(np.sqrt(max(d @ np.linalg.pinv(cov) @ d, 0.0)))
+        return pd.DataFrame({by: pdf["by"].iloc[:1], "distance": [value]})
+
+    parts = rows_.mapInPandas(products, f"by {kind}, cells binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
+    merged = parts.groupBy("by", "part").applyInPandas(merge, f"by {kind}, cells binary")
+    found = merged.groupBy("by").applyInPandas(separation, f"`{by}` {kind}, distance double")
+    return found.where(~F.isnan("distance"))
 
 
 def top_categories(separations: DataFrame, by: str, n: int = 3) -> DataFrame:

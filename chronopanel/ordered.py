@@ -13,19 +13,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_BLOCKS, MAX_BLOCKS = 16, 4096
+# Rows of a group that one task orders; larger groups are cut.
+BLOCK_ROWS = 100_000
+# Blocks one cut makes; a block that is still too large is cut again.
+LEVEL_BLOCKS = 1024
 # Cut points compared at once; more are searched in two steps.
 SEARCH_WIDTH = 64
-HASH_BITS = 14
 
 _CUTS = "__cuts"
 _BLOCK = "__block"
 
 
-def default_blocks(df: DataFrame) -> int:
-    """Twice the session's shuffle partitions: the user's own sizing of the cluster."""
-    wanted = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_BLOCKS, min(MAX_BLOCKS, wanted))
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group, from one partially aggregated count."""
+    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
 
 
 def _below(cuts: Column, value: Column) -> Column:
@@ -55,35 +56,55 @@ def assign_blocks(df: DataFrame, by: Sequence[str], order: str, blocks: int) ->
     return placed.withColumn(_BLOCK, _block_number(_CUTS, F.col(order), blocks)).drop(_CUTS)
 
 
+def _cut_large_groups(df: DataFrame, by: list[str], order: str, blocks: int, block_rows: int, name: str) -> DataFrame:
+    """Add a block number that never decreases with ``order``; groups of up to ``block_rows`` rows are one block."""
+    points = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    cuts = F.percentile_approx(order, points, F.lit(20 * blocks))
+    if by:
+        large = df.groupBy(*by).count().where(F.col("count") > block_rows).select(*by)
+        found = df.join(large, by, "left_semi").groupBy(*by).agg(cuts.alias(_CUTS))
+        placed = df.join(found, by, "left")
+    else:
+        placed = df.withColumn(_CUTS, df.agg(cuts).scalar())
+    number = F.when(F.col(_CUTS).isNotNull(), _block_number(_CUTS, F.col(order), blocks))
+    return placed.withColumn(name, F.coalesce(number, F.lit(0))).drop(_CUTS)
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
     order: str,
     totals: dict[str, str],
-    blocks: int | None = None,
+    block_rows: int | None = None,
+    _level: int = 0,
 ) -> DataFrame:
     """Cumulative sums along ``order`` inside each ``by`` group.
 
     ``totals`` maps a new column to the column it accumulates. Rows must be
     unique per (by, order), so collapse ties by aggregation first: a value that
-    holds a third of all rows is then a single row.
+    holds a third of all rows is then a single row. One job counts the largest
+    group. Up to ``block_rows`` rows a group is ordered by one task; larger
+    groups, and only those, are cut into blocks, again and again until none is
+    larger.
     """
     by = list(by)
-    blocked = assign_blocks(df, by, order, blocks or default_blocks(df))
-    per_block = blocked.groupBy(*by, _BLOCK).agg(*[F.sum(src).alias(f"__s_{new}") for new, src in totals.items()])
-    before = Window.partitionBy(*by).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    block_rows = block_rows or BLOCK_ROWS
+    largest = largest_group(df, by)
+    if largest <= block_rows:
+        inside = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(src).over(inside).alias(new) for new, src in totals.items()])
+    block = f"{_BLOCK}{_level}"
+    blocked = _cut_large_groups(df, by, order, min(LEVEL_BLOCKS, 2 * -(-largest // block_rows)), block_rows, block)
+    per_block = blocked.groupBy(*by, block).agg(*[F.sum(src).alias(f"__s_{new}") for new, src in totals.items()])
+    before = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
         *by,
-        _BLOCK,
+        block,
         *[F.coalesce(F.sum(f"__s_{new}").over(before), F.lit(0)).alias(f"__o_{new}") for new in totals],
     )
-    inside = Window.partitionBy(*by, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        blocked.join(offsets, [*by, _BLOCK])
-        .select(
-            *df.columns,
-            *[(F.sum(src).over(inside) + F.col(f"__o_{new}")).alias(new) for new, src in totals.items()],
-        )
+    inner = running_totals(blocked, [*by, block], order, totals, block_rows, _level + 1)
+    return inner.join(offsets, [*by, block]).select(
+        *df.columns, *[(F.col(new) + F.col(f"__o_{new}")).alias(new) for new in totals]
     )
 
 
@@ -92,12 +113,12 @@ def exact_quantiles(
     by: Sequence[str],
     value: str,
     probabilities: dict[str, float],
-    blocks: int | None = None,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``by`` group, exact at any size."""
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    ranked = running_totals(counts, by, value, {"__cum": "__n"}, blocks)
+    ranked = running_totals(counts, by, value, {"__cum": "__n"}, block_rows)
     sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
     if by:
         ranked = ranked.join(sizes, by)
@@ -124,16 +145,19 @@ def shuffled_rank(
     by: Sequence[str],
     keys: Sequence[str],
     seed: int = 42,
-    bits: int = HASH_BITS,
+    bits: int | None = None,
     name: str = "shuffle_rank",
 ) -> DataFrame:
     """Number the rows of each ``by`` group 1..n in a seeded random order.
 
     The order is that of a 64-bit hash of the row key, so it does not depend on
     partitioning. The top hash bits split every group evenly into buckets that
-    are ranked apart, so a group of any size is spread over many tasks.
+    are ranked apart, so a group of any size is spread over many tasks. Unless
+    given, their number follows from the largest group.
     """
     by = list(by)
+    if bits is None:
+        bits = max(1, (largest_group(df, by) // (BLOCK_ROWS // 2)).bit_length())
     hashed = df.withColumn("__hash", F.xxhash64(*keys, F.lit(seed))).withColumn(
         "__bucket", F.shiftright("__hash", 64 - bits)
     )
@@ -159,7 +183,7 @@ def rank_distinct(distinct: DataFrame, column: str, name: str, blocks: int | Non
     that only balances the work; every value is ranked, inside its block and
     then by the block's offset.
     """
-    blocks = min(blocks or default_blocks(distinct), CUT_CANDIDATES)
+    blocks = min(blocks or max(2, 2 * -(-distinct.count() // BLOCK_ROWS)), CUT_CANDIDATES)
     few = distinct.orderBy(F.xxhash64(column)).limit(CUT_CANDIDATES)
     ordered = few.agg(F.sort_array(F.collect_list(column)).alias("v")).select(
         F.transform(

@@ -77,15 +77,15 @@ def resample_mean(spark, sf):
 
 @query(
     "agg4_resample_last",
-    f"""{with_views('sp')}, thin AS (SELECT * FROM sp WHERE year(Date) % 2 = 1),
+    f"""{with_views('sp')}, thin AS (SELECT * FROM sp),
 q AS (SELECT Country, year(Date) * 12 + month(Date) - 1 AS p, quantity, revenue, lines FROM thin),
 span AS (SELECT Country, min(p) AS lo, max(p) AS hi FROM q GROUP BY 1), grid AS (SELECT Country, unnest(generate_series(lo, hi)) AS p FROM span)
 SELECT g.Country, last_day(make_date(CAST(g.p // 12 AS INT), CAST(g.p % 12 + 1 AS INT), 1)) AS Date, q.quantity, q.revenue, q.lines
 FROM grid g ASOF LEFT JOIN q ON q.Country = g.Country AND g.p >= q.p""",
 )
 def resample_last(spark, sf):
-    """Every second year is missing: whole as-of rows, NULLs included, are carried over it."""
-    return aggregate.resample(views.sparse(spark, sf).where(F.year(DATE) % 2 == 1), "M", complete=False)
+    """Whole as-of rows, NULLs included, are carried over the months a supplier has no row in."""
+    return aggregate.resample(views.sparse(spark, sf), "M", complete=False)
 
 
 @query(
@@ -98,6 +98,42 @@ def complete_grid(spark, sf):
     return aggregate.complete_grid(views.sparse(spark, sf), "M")
 
 
+@query(
+    "agg5_complete_grid_partial",
+    f"""{with_views('nm')}, e AS (SELECT min(year(Date)) AS lo, max(year(Date)) - CAST(max(Date) < make_date(CAST(max(year(Date)) AS INT), 12, 31) AS INT) AS hi FROM nm),
+g AS (SELECT k.Country, make_date(CAST(p AS INT), 12, 31) AS Date FROM (SELECT DISTINCT Country FROM nm) k CROSS JOIN (SELECT unnest(generate_series(lo, hi)) AS p FROM e))
+SELECT g.Country, g.Date, nm.orders FROM g LEFT JOIN nm ON nm.Country = g.Country AND nm.Date = g.Date""",
+)
+def complete_grid_partial(spark, sf):
+    """The last date is in the middle of a year, whose end is then not on the grid."""
+    return aggregate.complete_grid(views.nation_month(spark, sf).select(*KEYS, "orders"), "Y")
+
+
+WORLD = "w AS (SELECT Date, sum(orders) AS orders FROM nm GROUP BY 1)"
+
+
+def _world(spark, sf):
+    return views.nation_month(spark, sf).groupBy(DATE).agg(F.sum("orders").alias("orders"))
+
+
+@query(
+    "agg5_complete_grid_unkeyed",
+    f"""{with_views('nm')}, {WORLD}, e AS (SELECT min(year(Date) * 4 + quarter(Date) - 1) AS lo, max(year(Date) * 4 + quarter(Date) - 1) AS p, max(Date) AS d FROM w),
+g AS (SELECT last_day(make_date(CAST(p // 4 AS INT), CAST(p % 4 * 3 + 3 AS INT), 1)) AS Date, d FROM (SELECT unnest(generate_series(lo, p)) AS p, d FROM e))
+SELECT g.Date, w.orders FROM g LEFT JOIN w ON w.Date = g.Date WHERE g.Date <= g.d""",
+)
+def complete_grid_unkeyed(spark, sf):
+    return aggregate.complete_grid(_world(spark, sf), "Q")
+
+
+@query(
+    "agg3_resample_unkeyed",
+    f"""{with_views('nm')}, {WORLD} SELECT last_day(make_date(CAST(year(Date) AS INT), CAST(quarter(Date) * 3 AS INT), 1)) AS Date, sum(orders) AS orders FROM w GROUP BY 1""",
+)
+def resample_unkeyed(spark, sf):
+    return aggregate.resample(_world(spark, sf), "Q", {"sum": ["orders"]})
+
+
 @query(
     "agg6_gap_kinds",
     f"""{with_views('sp')}, {LONG}, v AS (SELECT *, min(CASE WHEN value IS NOT NULL THEN Date END) OVER w AS lo, max(CASE WHEN value IS NOT NULL THEN Date END) OVER w AS hi
@@ -148,6 +184,25 @@ def consolidate(spark, sf):
     return aggregate.consolidate_catalogue(rows)
 
 
+@query(
+    "agg10_consolidate_apostrophes",
+    f"""{with_views('sc')} SELECT SUBJECT || '.' || MEASURE || '''s.' || FREQUENCY AS series_code, arg_min(split_part(series_name, ' –', 1), position) AS series_name,
+  arg_min('{{''SUBJECT'': ''' || SUBJECT || ''', ''MEASURE'': "' || MEASURE || '''s", ''FREQUENCY'': ''' || FREQUENCY || '''}}', position) AS dimensions,
+  CAST(arg_min(position, position) AS BIGINT) AS bucket, arg_min(LOCATION, position) AS bucket_name FROM sc GROUP BY 1""",
+)
+def consolidate_apostrophes(spark, sf):
+    """Values with an apostrophe stand in double quotes."""
+    d = F.col("dimensions")
+    literal = F.concat(
+        F.lit("{'LOCATION': \"d'"), d["LOCATION"], F.lit("\", 'SUBJECT': '"), d["SUBJECT"], F.lit("', 'MEASURE': \""), d["MEASURE"],
+        F.lit("'s\", 'FREQUENCY': '"), d["FREQUENCY"], F.lit("'}"),
+    )
+    rows = views.series_catalogue(spark, sf).select(
+        "position", "series_code", "series_name", literal.alias("dimensions"), F.col("position").alias("bucket"), d["LOCATION"].alias("bucket_name")
+    )
+    return aggregate.consolidate_catalogue(rows)
+
+
 @query(
     "agg11_global_by_date",
     f"""{with_views('sp')}, {LONG} SELECT Date, variable, avg(value) AS stat FROM lng WHERE value IS NOT NULL GROUP BY 1, 2""",

@@ -58,22 +58,21 @@ def confusion(spark, sf):
     return evaluate.confusion_matrix(views.scores(spark, sf))
 
 
-BCE = "(-(y * ln(p) + (1 - y) * ln(1 - p)))"
+# In the form that keeps its digits however far from zero the logit is.
+BCE = "(greatest(x, 0) - x * y + ln(1 + exp(-abs(x))))"
 
 
 @query(
     "evl6_loss_report",
-    f"""{SC}, a AS (SELECT y_true::DOUBLE AS y, y_true * 0.9::DOUBLE + 0.05::DOUBLE AS ys, greatest(least(logit, 15), -15) AS x FROM scores), b AS (SELECT *, 1 / (1 + exp(-x)) AS p FROM a),
-c AS (SELECT *, {BCE} AS ce, {BCE.replace('y ', 'ys ').replace(' y)', ' ys)')} AS ces, 1 - (p * y + (1 - p) * (1 - y)) AS miss, 1 - (p * ys + (1 - p) * (1 - ys)) AS misss FROM b)
+    f"""{SC}, a AS (SELECT y_true::DOUBLE AS y, y_true * 0.9::DOUBLE + 0.05::DOUBLE AS ys, logit AS x FROM scores), b AS (SELECT *, 1 / (1 + exp(-x)) AS p FROM a),
+c AS (SELECT *, {BCE} AS ce, {BCE.replace(' y ', ' ys ')} AS ces, 1 - (p * y + (1 - p) * (1 - y)) AS miss, 1 - (p * ys + (1 - p) * (1 - ys)) AS misss FROM b)
 SELECT avg((0.25::DOUBLE * y + 0.75::DOUBLE * (1 - y)) * pow(miss, 2) * ce) AS focal,
   avg((0.9::DOUBLE * ys + 0.1::DOUBLE * (1 - ys)) * pow(misss, 2.5::DOUBLE + 0.5 * misss) * ces) AS adaptive_focal, avg(ce) AS weighted_bce,
   avg((0.15::DOUBLE * y + 0.85::DOUBLE * (1 - y)) * pow(miss, 2.5::DOUBLE) * ce + 2 * p * (1 - y)) AS precision_focal FROM c""",
     approx=["focal", "adaptive_focal", "weighted_bce", "precision_focal"],
 )
 def losses(spark, sf):
-    """Logits are held to +-15, where the plain SQL form still has digits left."""
-    bounded = F.greatest(F.least("logit", F.lit(15.0)), F.lit(-15.0))
-    return evaluate.loss_report(views.scores(spark, sf).withColumn("logit", bounded))
+    return evaluate.loss_report(views.scores(spark, sf))
 
 
 @query(
@@ -87,7 +86,7 @@ def threshold(spark, sf):
 
 @query(
     "evl8_prediction_timeline",
-    f"""{with_views('lnm', 'lab', 'master')}, rows_ AS (SELECT Country, Date, 1 / (1 + orders) AS p FROM lnm WHERE Country <> 'CHINA' AND year(Date) >= 1997),
+    f"""{with_views('lnm', 'lab', 'master')}, rows_ AS (SELECT Country, Date, 1 / (1 + orders) AS p FROM lnm),
 ext AS (SELECT min(Date) - 180 AS lo, max(Date) + 180 AS hi FROM rows_),
 iv AS (SELECT Country, 'crisis' AS kind, greatest(make_date(CAST(Year AS INT), 1, 1), lo) AS start_date, least(make_date(CAST(Year AS INT), 12, 31), hi) AS end_date
   FROM lab, ext WHERE make_date(CAST(Year AS INT), 12, 31) >= lo AND make_date(CAST(Year AS INT), 1, 1) <= hi),
@@ -96,7 +95,7 @@ SELECT m.region, al.Country, kind, CAST(start_date AS DATE) AS start_date, CAST(
 WHERE al.Country IN (SELECT Country FROM lab) AND al.Country IN (SELECT Country FROM rows_)""",
 )
 def timeline(spark, sf):
-    nm = views.nation_month(spark, sf).where((F.col(ENTITY) != "CHINA") & (F.year(DATE) >= 1997))
+    nm = views.nation_month(spark, sf)
     predictions = nm.select(*KEYS, (1 / (1 + F.col("orders"))).alias("y_pred_proba"))
     regions = views.country_master(spark, sf).select(F.col("name").alias(ENTITY), "region")
     return evaluate.prediction_timeline(predictions, views.crisis_labels(spark, sf).join(regions, ENTITY), 0.15)

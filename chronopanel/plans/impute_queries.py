@@ -69,7 +69,7 @@ def knn_masked(spark, sf):
 
 @query("imp2_knn_staged")
 def knn_staged(spark, sf):
-    """Interior, trailing, leading, then all gaps, with suppliers of one region as donors."""
+    """Interior, trailing, leading, then all gaps, with three nations as donors."""
     panel = views.sparse_nation(spark, sf)
     donors = panel.where(F.col(ENTITY).isin("CHINA", "INDIA", "JAPAN"))
     rest = panel.where(~F.col(ENTITY).isin("CHINA", "INDIA", "JAPAN"))
@@ -79,7 +79,7 @@ def knn_staged(spark, sf):
 
 @query("imp3_forecast_fill")
 def forecast_fill(spark, sf):
-    return impute.forecast_fill(views.sparse(spark, sf), ["quantity", "revenue"])
+    return impute.forecast_fill(views.sparse(spark, sf), ["quantity", "revenue", "lines"])
 
 
 # Forecasting changes nothing that was known, and reads no leading gap.
@@ -102,9 +102,26 @@ def forecast_keeps(spark, sf):
     )
 
 
+# Cells before the first value stay empty, and a gap after a constant start takes the constant, once six values are known.
+@query(
+    "imp3_forecast_leading",
+    f"""{with_views('sm')}, s AS (SELECT Country, Date, year(Date) * 12 + month(Date) - 1 - 1995 * 12 AS mo, k % 9 + 2 AS lead_in FROM sm),
+n AS (SELECT Country, count(*) FILTER (WHERE mo BETWEEN lead_in AND 24) AS known FROM s GROUP BY 1)
+SELECT s.Country, s.Date, CASE WHEN mo > 24 AND known >= 6 THEN 5.0::DOUBLE END AS lines FROM s JOIN n ON n.Country = s.Country
+WHERE mo < lead_in OR mo BETWEEN 25 AND 27""",
+)
+def forecast_leading(spark, sf):
+    at = F.year(DATE) * 12 + F.month(DATE) - 1 - 1995 * 12
+    lead_in = F.col("k") % 9 + 2
+    start = F.when((at >= lead_in) & (at <= 24), F.lit(5.0)).when((at > 27) & (at % 5 != 0), F.col("lines"))
+    marked = views.supplier_month(spark, sf).select(*KEYS, start.alias("lines"), ((at < lead_in) | at.between(25, 27)).alias("shown"))
+    done = impute.forecast_fill(marked.select(*KEYS, "lines"), ["lines"])
+    return done.join(marked.where("shown").select(*KEYS), list(KEYS))
+
+
 @query("imp4_regression_impute")
 def regression_impute(spark, sf):
-    return impute.regression_impute(views.sparse(spark, sf), ["quantity", "revenue"])
+    return impute.regression_impute(views.sparse(spark, sf), ["quantity", "revenue", "lines"])
 
 
 @query("imp5_panel_fill")

@@ -17,27 +17,32 @@ def _annual(spark, sf):
 
 @query(
     "jn1_merge_indicators",
-    f"""{with_views('ny', 'crises')}, a AS (SELECT Country, year(Date) AS Year, total FROM ny WHERE year(Date) % 2 = 1),
-b AS (SELECT Country, year(Date) AS Year, orders FROM ny WHERE year(Date) > 1997)
+    f"""{with_views('ny', 'crises')}, a AS (SELECT Country, year(Date) AS Year, CASE WHEN year(Date) % 2 = 1 THEN total END AS total FROM ny),
+b AS (SELECT Country, year(Date) AS Year, CASE WHEN year(Date) > 1997 THEN orders END AS orders FROM ny)
 SELECT Country, make_date(CAST(Year AS INT), 1, 1) AS Date, total, orders, Total_crisis
 FROM (a FULL JOIN b USING (Country, Year)) FULL JOIN (SELECT Country, Year, Total_crisis FROM crises) c USING (Country, Year)""",
 )
 def merge_indicators(spark, sf):
     y = _annual(spark, sf)
     frames = [
-        y.where("Year % 2 = 1").select(ENTITY, "Year", "total"),
-        y.where("Year > 1997").select(ENTITY, "Year", "orders"),
+        y.select(ENTITY, "Year", F.when(F.col("Year") % 2 == 1, F.col("total")).alias("total")),
+        y.select(ENTITY, "Year", F.when(F.col("Year") > 1997, F.col("orders")).alias("orders")),
         views.crises(spark, sf).select(ENTITY, "Year", "Total_crisis"),
     ]
     return joins.merge_indicators(frames)
 
 
+# Every pair of return flag and line status.
+SERIES = [f"{flag}.{status}" for flag in "ANR" for status in "FO"]
+
+
 @query(
     "jn2_assemble_series",
     """WITH lng AS (SELECT n_name AS Country, last_day(CAST(l_shipdate AS DATE)) AS Date, l_returnflag || '.' || l_linestatus AS v, SUM(CAST(l_quantity AS BIGINT)) AS x
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3)
-SELECT Country, Date, CAST(max(CASE WHEN v = 'A.F' THEN x END) AS DOUBLE) AS "A.F", CAST(max(CASE WHEN v = 'N.O' THEN x END) AS DOUBLE) AS "N.O",
-  CAST(max(CASE WHEN v = 'R.F' THEN x END) AS DOUBLE) AS "R.F" FROM lng GROUP BY 1, 2""",
+SELECT Country, Date, """
+    + ", ".join(f"""CAST(max(CASE WHEN v = '{v}' THEN x END) AS DOUBLE) AS "{v}\"""" for v in SERIES)
+    + " FROM lng GROUP BY 1, 2",
 )
 def assemble_series(spark, sf):
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
@@ -53,12 +58,12 @@ def assemble_series(spark, sf):
         .groupBy(ENTITY, "Period", "variable")
         .agg(F.sum("x").cast("double").alias("value"))
     )
-    return joins.assemble_series(long, ["A.F", "N.O", "R.F"])
+    return joins.assemble_series(long, SERIES)
 
 
 @query(
     "jn3_merge_timeseries",
-    f"""{with_views('nm', 'ny')}, w AS (SELECT Date, sum(orders) AS world FROM nm WHERE year(Date) < 1998 GROUP BY 1),
+    f"""{with_views('nm', 'ny')}, w AS (SELECT Date, sum(orders) AS world FROM nm GROUP BY 1),
 d AS (SELECT Date FROM nm UNION SELECT Date FROM ny UNION SELECT Date FROM w), k AS (SELECT DISTINCT Country FROM nm UNION SELECT DISTINCT Country FROM ny)
 SELECT k.Country, d.Date, nm.orders, ny.total, w.world FROM k CROSS JOIN d LEFT JOIN nm ON nm.Country = k.Country AND nm.Date = d.Date
 LEFT JOIN ny ON ny.Country = k.Country AND ny.Date = d.Date LEFT JOIN w ON w.Date = d.Date""",
@@ -66,19 +71,19 @@ LEFT JOIN ny ON ny.Country = k.Country AND ny.Date = d.Date LEFT JOIN w ON w.Dat
 def merge_timeseries(spark, sf):
     m = views.nation_month(spark, sf).select(*KEYS, "orders")
     y = views.nation_year(spark, sf).select(*KEYS, "total", "orders")
-    world = m.where(F.year(DATE) < 1998).groupBy(DATE).agg(F.sum("orders").alias("world"))
+    world = m.groupBy(DATE).agg(F.sum("orders").alias("world"))
     return joins.merge_timeseries([m, y, world])
 
 
 @query(
     "jn3_merge_timeseries_unkeyed",
-    f"""{with_views('nm')}, a AS (SELECT Date, sum(orders) AS a FROM nm WHERE year(Date) < 1998 GROUP BY 1), b AS (SELECT Date, max(total) AS b FROM nm WHERE year(Date) > 1996 GROUP BY 1)
+    f"""{with_views('nm', 'ny')}, a AS (SELECT Date, sum(orders) AS a FROM nm GROUP BY 1), b AS (SELECT Date, max(total) AS b FROM ny GROUP BY 1)
 SELECT Date, a, b FROM a FULL JOIN b USING (Date)""",
 )
 def merge_unkeyed(spark, sf):
     m = views.nation_month(spark, sf)
-    a = m.where(F.year(DATE) < 1998).groupBy(DATE).agg(F.sum("orders").alias("a"))
-    b = m.where(F.year(DATE) > 1996).groupBy(DATE).agg(F.max("total").alias("b"))
+    a = m.groupBy(DATE).agg(F.sum("orders").alias("a"))
+    b = views.nation_year(spark, sf).groupBy(DATE).agg(F.max("total").alias("b"))
     return joins.merge_timeseries([a, b], on=None)
 
 
@@ -90,10 +95,10 @@ def build_labels(spark, sf):
 @query(
     "jn5_country_master",
     f"""{with_views('crises', 'master')} SELECT c.Country, c.Year, c.Total_crisis, m.region, m."alpha-3" FROM crises c
-LEFT JOIN master m ON c.Country = m.name AND m.region <> 'ASIA'""",
+LEFT JOIN master m ON c.Country = m.name""",
 )
 def country_master(spark, sf):
-    master = views.country_master(spark, sf).where("region <> 'ASIA'")
+    master = views.country_master(spark, sf)
     return joins.join_country_master(views.crises(spark, sf), master).select(ENTITY, "Year", "Total_crisis", "region", "alpha-3")
 
 
@@ -108,12 +113,12 @@ def left_merge(spark, sf):
 
 @query(
     "jn7_outer_merge",
-    f"""{with_views('nm', 'ny')} SELECT Country, Date, nm.orders, ny.total AS year_total FROM (SELECT * FROM nm WHERE year(Date) < 2000) nm
-FULL JOIN (SELECT * FROM ny WHERE year(Date) > 1996) ny USING (Country, Date)""",
+    f"""{with_views('nm', 'ny')} SELECT Country, Date, nm.orders, ny.total AS year_total FROM nm
+FULL JOIN ny USING (Country, Date)""",
 )
 def outer_merge(spark, sf):
-    month = views.nation_month(spark, sf).where(F.year(DATE) < 2000).select(*KEYS, "orders")
-    year = views.nation_year(spark, sf).where(F.year(DATE) > 1996).select(*KEYS, F.col("total").alias("year_total"))
+    month = views.nation_month(spark, sf).select(*KEYS, "orders")
+    year = views.nation_year(spark, sf).select(*KEYS, F.col("total").alias("year_total"))
     return joins.outer_merge(month, year)
 
 
@@ -169,22 +174,22 @@ iv AS (SELECT Country, Year, greatest(make_date(CAST(Year AS INT), 1, 1), lo) AS
 
 @query(
     "jn15_overlay_crises",
-    f"""{with_views('nm', 'lab')}, rows_ AS (SELECT * FROM nm WHERE year(Date) >= 1997), {INTERVALS}
+    f"""{with_views('nm', 'lab')}, rows_ AS (SELECT * FROM nm), {INTERVALS}
 SELECT iv.Year, r.Country, r.Date, r.orders, CAST(iv.start_date AS DATE) AS start_date, CAST(iv.end_date AS DATE) AS end_date FROM rows_ r JOIN iv
 ON r.Country = iv.Country AND r.Date BETWEEN iv.start_date AND iv.end_date""",
 )
 def overlay(spark, sf):
-    rows = views.nation_month(spark, sf).where(F.year(DATE) >= 1997).select(*KEYS, "orders")
+    rows = views.nation_month(spark, sf).select(*KEYS, "orders")
     return joins.overlay_crises(rows, views.crisis_labels(spark, sf))
 
 
 @query(
     "jn15_crisis_intervals",
-    f"""{with_views('nm', 'lab')}, rows_ AS (SELECT * FROM nm WHERE year(Date) >= 1997), {INTERVALS}
+    f"""{with_views('nm', 'lab')}, rows_ AS (SELECT * FROM nm), {INTERVALS}
 SELECT Country, Year, CAST(start_date AS DATE) AS start_date, CAST(end_date AS DATE) AS end_date FROM iv""",
 )
 def intervals(spark, sf):
-    rows = views.nation_month(spark, sf).where(F.year(DATE) >= 1997)
+    rows = views.nation_month(spark, sf)
     return joins.crisis_intervals(views.crisis_labels(spark, sf), rows)
 
 
@@ -215,9 +220,9 @@ def union_dates(spark, sf):
     return joins.union_dates([views.nation_month(spark, sf), views.price_bars(spark, sf)])
 
 
-@query("set3_union_keys", f"{with_views('nm', 'ny')} SELECT Country, Date FROM nm WHERE year(Date) > 1999 UNION SELECT Country, Date FROM ny")
+@query("set3_union_keys", f"{with_views('nm', 'ny')} SELECT Country, Date FROM nm UNION SELECT Country, Date FROM ny")
 def union_keys(spark, sf):
-    return joins.union_keys([views.nation_month(spark, sf).where(F.year(DATE) > 1999), views.nation_year(spark, sf)])
+    return joins.union_keys([views.nation_month(spark, sf), views.nation_year(spark, sf)])
 
 
 @query(

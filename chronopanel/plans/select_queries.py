@@ -71,16 +71,20 @@ def validate(spark, sf):
     return validate_panel(views.nation_month(spark, sf), ["total"], min_rows=24, check_keys=True)
 
 
+BARS = ["Open", "High", "Low", "Close"]
+TICKERS = ["click", "error", "purchase", "signup", "view"]
+
+
 @query(
     "prj6_price_pivot",
     f"""{with_views('bars')} SELECT Date, """
     + ", ".join(
-        f"max(CASE WHEN ticker = '{t}' THEN \"{f}\" END) AS \"{t}.{f}\"" for t in ("click", "error") for f in ("Open", "Close")
+        f"max(CASE WHEN ticker = '{t}' THEN \"{f}\" END) AS \"{t}.{f}\"" for t in TICKERS for f in BARS
     )
     + " FROM bars GROUP BY Date",
 )
 def price_pivot(spark, sf):
-    return select.price_pivot(views.price_bars(spark, sf), ["Open", "Close"], ["click", "error"])
+    return select.price_pivot(views.price_bars(spark, sf), BARS, TICKERS)
 
 
 @query(

@@ -15,11 +15,11 @@ VEC = with_views("vec")
 
 
 def _wide(spark, sf):
-    return views.vectors(spark, sf, 16)
+    return views.components(spark, sf)
 
 
-def _names(n: int = 16):
-    return [f"e{i + 1}" for i in range(n)]
+def _names():
+    return [f"e{i + 1}" for i in range(views.DIMENSIONS)]
 
 
 @query("vec1_pca_transform")
@@ -46,7 +46,7 @@ def pca_properties(spark, sf):
 
 @query("vec2_explained_variance")
 def explained(spark, sf):
-    return vectors.explained_variance(spark, vectors.pca_fit(_wide(spark, sf), _names(), 16))
+    return vectors.explained_variance(spark, vectors.pca_fit(_wide(spark, sf), _names(), views.DIMENSIONS))
 
 
 # Two standardised variables have components with shares (1 +- |r|) / 2.

@@ -65,13 +65,12 @@ def nation_year(spark, sf) -> DataFrame:
 
 
 def crises(spark, sf) -> DataFrame:
-    """Annual flags: totals, or order counts, fell by more than a tenth. The partial last year is left out."""
+    """Annual flags: totals, or order counts, fell by more than a tenth."""
     from chronopanel.schema import series
 
     w = series()
     fell = lambda c: F.coalesce((F.col(c) < F.lag(c).over(w) * 0.9).cast("int"), F.lit(0))
-    years = nation_year(spark, sf).where(F.year(DATE) < 2001)
-    return years.select(
+    return nation_year(spark, sf).select(
         ENTITY, F.year(DATE).alias("Year"), fell("total").alias("Total_crisis"), fell("orders").alias("Order_crises")
     )
 
@@ -199,12 +198,30 @@ def scores(spark, sf) -> DataFrame:
     )
 
 
-def vectors(spark, sf, dims: int = 4) -> DataFrame:
+DIMENSIONS = 64
+
+
+def components(spark, sf) -> DataFrame:
+    """Embeddings, one column per component."""
+    return table(spark, sf, "embeddings").select(
+        "vec_id",
+        F.col("label").alias("category"),
+        (F.col("vec_id") % 2).cast("int").alias("label"),
+        *[F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(DIMENSIONS)],
+    )
+
+
+def vectors(spark, sf) -> DataFrame:
+    """Embeddings summed over each quarter of their components: four variables that read all of them."""
+    step = DIMENSIONS // 4
+    total = lambda i: F.aggregate(
+        F.slice("embedding", i * step + 1, step), F.lit(0.0), lambda s, x: s + x.cast("double")
+    )
     return table(spark, sf, "embeddings").select(
         "vec_id",
         F.col("label").alias("category"),
         (F.col("vec_id") % 2).cast("int").alias("label"),
-        *[F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(dims)],
+        *[total(i).alias(f"e{i + 1}") for i in range(4)],
     )
 
 
@@ -238,7 +255,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT Country, year(Date) AS Year,
   CASE WHEN total < lag(total) OVER w * 0.9 THEN 1 ELSE 0 END AS Total_crisis,
   CASE WHEN orders < lag(orders) OVER w * 0.9 THEN 1 ELSE 0 END AS Order_crises
-FROM ny WHERE year(Date) < 2001 WINDOW w AS (PARTITION BY Country ORDER BY Date)""",
+FROM ny WINDOW w AS (PARTITION BY Country ORDER BY Date)""",
     ),
     "lab": (
         ("crises",),
@@ -299,8 +316,8 @@ FROM (SELECT l.doc_id, d.lang, d.source, l.quality, CAST(d.n_chars AS DOUBLE) AS
     ),
     "vec": (
         (),
-        """SELECT vec_id, label AS category, CAST(vec_id % 2 AS INTEGER) AS label, CAST(embedding[1] AS DOUBLE) AS e1,
-  CAST(embedding[2] AS DOUBLE) AS e2, CAST(embedding[3] AS DOUBLE) AS e3, CAST(embedding[4] AS DOUBLE) AS e4 FROM embeddings""",
+        """SELECT vec_id, label AS category, CAST(vec_id % 2 AS INTEGER) AS label, list_sum(x[1:16]) AS e1, list_sum(x[17:32]) AS e2,
+  list_sum(x[33:48]) AS e3, list_sum(x[49:64]) AS e4 FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)""",
     ),
 }
 

@@ -378,7 +378,7 @@ def sequences(spark, sf):
 
 @query(
     "win36_consecutive_dates",
-    f"""{SP}, thin AS (SELECT * FROM sp WHERE (month(Date) + year(Date)) % 7 <> 0), g AS (SELECT Country, Date, date_diff('day', lag(Date) OVER w, Date) AS gap, row_number() OVER w AS rn FROM thin WINDOW w AS {W}),
+    f"""{SP}, thin AS (SELECT * FROM sp), g AS (SELECT Country, Date, date_diff('day', lag(Date) OVER w, Date) AS gap, row_number() OVER w AS rn FROM thin WINDOW w AS {W}),
 p AS (SELECT a.Country, a.Date, b.gap FROM g a JOIN g b ON a.Country = b.Country AND b.rn BETWEEN a.rn - 4 AND a.rn AND a.rn >= 6),
 c AS (SELECT Country, Date, gap, count(*) AS n FROM p GROUP BY 1, 2, 3), m AS (SELECT Country, Date, gap AS mode FROM c QUALIFY row_number() OVER (PARTITION BY Country, Date ORDER BY n DESC, gap) = 1),
 t AS (SELECT *, CASE WHEN mode = 1 THEN 1 WHEN mode BETWEEN 28 AND 31 THEN 3 WHEN mode BETWEEN 89 AND 92 THEN 3 WHEN mode BETWEEN 365 AND 366 THEN 1 ELSE greatest(1, mode // 10) END AS tol FROM m)
@@ -386,7 +386,7 @@ SELECT p.Country, p.Date FROM p JOIN t ON p.Country = t.Country AND p.Date = t.D
 )
 def consecutive(spark, sf):
     """Runs over missing months are not evenly spaced and fall away."""
-    thin = _panel(spark, sf).where((F.month(DATE) + F.year(DATE)) % 7 != 0)
+    thin = _panel(spark, sf)
     return features.sequences(thin, Q, length=6).select(*KEYS)
 
 

@@ -19,14 +19,14 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id LONG, g STRING, v DOUBLE, y INT").cache()
 
 
-@pytest.mark.parametrize("blocks", [1, 2, 64, 65, 1000])
-def test_quantiles(skewed, blocks):
+@pytest.mark.parametrize("block_rows", [100_000, 700, 40])
+def test_quantiles(skewed, block_rows):
     probs = {"a": 0.1, "b": 0.25, "c": 0.5, "d": 1.0}
     pdf = skewed.toPandas()
-    for r in ordered.exact_quantiles(skewed, ["g"], "v", probs, blocks).collect():
+    for r in ordered.exact_quantiles(skewed, ["g"], "v", probs, block_rows).collect():
         v = pdf[pdf.g == r["g"]].v
         np.testing.assert_allclose([r[n] for n in probs], v.quantile(list(probs.values())))
-    whole = ordered.exact_quantiles(skewed, [], "v", probs, blocks).first()
+    whole = ordered.exact_quantiles(skewed, [], "v", probs, block_rows).first()
     np.testing.assert_allclose([whole[n] for n in probs], pdf.v.quantile(list(probs.values())))
 
 
@@ -36,6 +36,15 @@ def test_running_totals(skewed):
     assert (got["cum"].to_numpy() == got["n"].cumsum().to_numpy()).all()
 
 
+def test_one_hot_group_among_many_small_ones(spark):
+    """Only the large group is cut, over two levels; all totals are exact."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 7000).alias("g"), F.col("id").alias("v"), F.lit(1).alias("n")
+    )
+    got = ordered.running_totals(df, ["g"], "v", {"cum": "n"}, block_rows=8).toPandas().sort_values(["g", "v"])
+    assert (got["cum"] == got.groupby("g").cumcount() + 1).all() and len(got) == 30_000
+
+
 def test_shuffled_rank_is_a_permutation(skewed):
     ranked = ordered.shuffled_rank(skewed, ["g"], ["id"]).toPandas()
     for _, part in ranked.groupby("g"):

@@ -51,6 +51,7 @@ BACKWARD = {
     "seasonal_ratio": lambda d: features.seasonal(d, ["z"], "multiplicative", centered=False),
     "forward_fill": lambda d: fill.forward_fill(d, 2, latest_only=False),
     "knn": lambda d: impute.knn_impute(d, ["x", "y"], 3, features=["x", "y", "z"]),
+    "forecast": lambda d: impute.forecast_fill(d, ["x", "y"]),
     "regression": lambda d: impute.regression_impute(d.drop("label"), ["x"]),
 }
 
@@ -94,20 +95,46 @@ def test_splits(panel):
     assert by_country.count() == panel.count()
 
 
-def test_many_countries_split_without_the_driver(spark, monkeypatch):
-    monkeypatch.setattr(split, "MAX_SEARCH_COUNTRIES", 10)
-    df = spark.range(5000).select(F.concat(F.lit("c"), F.col("id") % 500).alias("Country"), F.col("id"))
-    out = split.split_geographic(df, 0.7)
-    shares = {r["split"]: r["count"] / 5000 for r in out.groupBy("split").count().collect()}
-    assert abs(shares["train"] - 0.7) < 0.02 and abs(shares["test"] - 0.3) < 0.02
+def test_many_countries_split_near_their_target(spark):
+    df = spark.range(60_000).select(F.concat(F.lit("c"), F.col("id") % 20_000 % (1 + F.col("id") % 20_000)).alias("Country"), F.col("id"))
+    out = split.split_geographic(df, 0.7, 0.2)
+    shares = {r["split"]: r["count"] / 60_000 for r in out.groupBy("split").count().collect()}
+    assert abs(shares["train"] - 0.7) < 0.001 and abs(shares["test"] - 0.2) < 0.001
+
+
+def test_few_countries_split_as_near_as_an_order_allows(spark):
+    rows = [(f"c{i}",) for i, n in enumerate([50, 30, 10, 5, 3, 2]) for _ in range(n)]
+    out = split.split_geographic(spark.createDataFrame(rows, "Country STRING"), 0.8).groupBy("split").count().collect()
+    assert abs({r["split"]: r["count"] for r in out}["train"] - 80) <= 5
+
 
+def test_grid_ends_with_the_last_complete_period(spark):
+    rows = [("A", dt.date(2020, 12, 31), 1.0), ("A", dt.date(2022, 8, 31), 2.0), ("B", dt.date(2022, 8, 31), 3.0)]
+    df = spark.createDataFrame(rows, "Country STRING, Date DATE, x DOUBLE")
+    got = sorted(map(str, aggregate.complete_grid(df, "Y").collect()))
+    ends = [dt.date(2020, 12, 31), dt.date(2021, 12, 31)]
+    assert len(got) == 4 and {(r["Country"], r["Date"], r["x"]) for r in aggregate.complete_grid(df, "Y").collect()} == {
+        ("A", ends[0], 1.0), ("A", ends[1], None), ("B", ends[0], None), ("B", ends[1], None)
+    }
+    alone = aggregate.complete_grid(df.where("Country = 'A'").drop("Country"), "Y")
+    assert alone.columns == ["Date", "x"] and {(r["Date"], r["x"]) for r in alone.collect()} == {(ends[0], 1.0), (ends[1], None)}
 
-def test_closest_subset():
-    counts = {f"c{i}": n for i, n in enumerate([50, 30, 10, 5, 3, 2])}
-    chosen = split.closest_subset(counts, 80)
-    assert abs(sum(counts[c] for c in chosen) - 80) <= 4  # single swaps may stop at a local best
-    assert split.closest_subset(counts, 0) == set()
-    assert split.closest_subset(counts, 1000) == set(counts)
+
+def test_forecast_fills_each_gap_from_its_past():
+    nan = float("nan")
+    x = np.array([nan, nan, 5, 5, 5, 5, 5, 5, nan, 7, 8, 9, 8, 7, 9, nan])
+    y = impute._fill_series(x)
+    assert np.isnan(y[:2]).all() and y[8] == 5 and not np.isnan(y[15]) and y[15] != 5
+    assert np.isnan(impute._fill_series(np.array([1.0, nan, 2.0]))[1]) and np.isnan(impute._fill_series(np.array([nan, nan]))).all()
+
+
+def test_one_hot_is_sparse(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,)], "c STRING")
+    out, fitted = encode.one_hot(df, "c")
+    assert [r["c_one_hot"].toArray().tolist() for r in out.collect()] == [[0, 1], [1, 0], [0, 0]]
+    assert fitted.transform(spark.createDataFrame([("zz",)], "c STRING")).first()["c_one_hot"].toArray().tolist() == [0, 0]
+    with pytest.raises(PanelError):
+        encode.fit_categories(df, "c", limit=1)
 
 
 def test_scalers_fit_on_train_only(panel):
