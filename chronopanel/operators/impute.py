@@ -383,12 +383,17 @@ MAX_HELD_CELLS = 4_000_000
 
 
 def regression_impute(
-    df: DataFrame, columns: Sequence[str], mask: DataFrame | None = None, ridge: float = 1e-6, estimator=None
+    df: DataFrame,
+    columns: Sequence[str],
+    mask: DataFrame | None = None,
+    ridge: float = 1e-6,
+    estimator=None,
+    features: Sequence[str] | None = None,
 ) -> DataFrame:
     """Predict masked cells of a date from a regression on all earlier dates.
 
-    Inputs are the other variables (missing ones as 0), the days since the
-    first date, year and month. The default linear fit needs no loop: each date contributes its
+    Inputs are the other variables, or those of ``features`` (missing ones as
+    0), the days since the first date, year and month. The default linear fit needs no loop: each date contributes its
     cross-product matrix, matrices are summed over earlier dates, and every
     date solves its own small system. Any MLlib regressor can be passed
     instead and is fitted once per date and column with masked cells.
@@ -400,13 +405,15 @@ def regression_impute(
     flags = mask if mask is not None else df.select(*KEYS, *[q(c).isNull().alias(c) for c in columns])
     coded = label_encode(df, ENTITY, "__code")
     first = df.agg(F.min(DATE)).scalar()
-    variables = numeric_columns(df)
+    variables = numeric_columns(df) if features is None else list(features)
+    most = max(sum(v != c for v in variables) for c in columns)
     base = coded.withColumns(
         {"__days": F.datediff(DATE, first).cast("double"), "__year": F.year(DATE).cast("double"), "__month": F.month(DATE).cast("double")}
     )
 
     def inputs(c: str) -> list:
         others = [F.coalesce(q(v).cast("double"), F.lit(0.0)) for v in variables if v != c]
+        others += [F.lit(0.0)] * (most - len(others))  # all targets' systems have one size
         return [*others, F.col("__code").cast("double"), F.col("__days"), F.col("__year"), F.col("__month")]
 
     joined = base.join(flags.select(*KEYS, *[q(c).alias(f"__w_{i}") for i, c in enumerate(columns)]), list(KEYS), "left")
@@ -429,7 +436,7 @@ def regression_impute(
         ).alias("r"),
     ).select(*KEYS, "r.*")
 
-    width = len(variables) - 1 + 5
+    width = most + 5
 
     def products(batches):
         """Cross products per variable and date, summed inside the task before the shuffle."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from chronopanel.operators import encode, split
 from chronopanel.operators.evaluate import window_metrics
 from chronopanel.operators.select import filter_date_range
-from chronopanel.schema import PanelError, cut_lineage, numeric_columns, q
+from chronopanel.schema import DATE, KEYS, PanelError, cut_lineage, numeric_columns, q
 
 LABEL = "label"
 MODELS = {"random_forest": RandomForestClassifier, "gradient_boosting": GBTClassifier}
@@ -140,22 +140,38 @@ def fit_predict_rolling(
 
     The driver loops over windows (calendar steps); every fit and prediction is
     a distributed job. Training and test rows are checkpointed once so that no
-    window re-runs the plan that produced them.
+    window re-runs the plan that produced them. A test row takes the place of
+    the training row of its key once it lies before the window; which rows that
+    concerns is found once, so a window's training set is a mere filter, stored
+    while the model is fitted. Sizes come from one count per date.
     """
     spark = train.sparkSession
-    train, test = cut_lineage(train), cut_lineage(test)
+    test = cut_lineage(test)
+    again = test.select(*KEYS, F.lit(True).alias("__again")).distinct()
+    stacked = train.join(again, list(KEYS), "left").withColumn("__kind", F.when(F.col("__again"), 1).otherwise(0)).drop("__again")
+    stacked = cut_lineage(stacked.unionByName(test.withColumn("__kind", F.lit(2))))
+    positive = F.sum(q(label).cast("double"))
+    per_date = stacked.groupBy(DATE, "__kind").agg(F.count("*").alias("n"), positive.alias("p")).collect()  # calendar days
+
+    def in_training(kind, date, start):
+        """Training rows (0), those a test row replaces later (1), test rows (2)."""
+        return (kind == 0) | ((kind == 1) & (date >= start)) | ((kind == 2) & (date < start))
+
     windows = split.rolling_windows(test, test_months, step_months, include_last).orderBy("window").collect()
     predictions, history, sizes, model = None, None, [], None
     for w in windows:
         rows_ = filter_date_range(test, w["start_date"], w["end_date"])
         if rows_.limit(1).count() == 0:
             continue
-        seen = split.expanding_train(train, test, w["start_date"])
+        start = w["start_date"]
+        seen = stacked.where(in_training(F.col("__kind"), F.col(DATE), F.lit(start))).drop("__kind").persist()
         model = train_classifier(seen, kind, label=label, **params)
+        seen.unpersist()
         part = predict(model, rows_, label).withColumn("window", F.lit(w["window"]))
         predictions = part if predictions is None else predictions.unionByName(part)
-        size = seen.agg(F.count("*"), F.avg(q(label).cast("double"))).first()
-        sizes.append((w["window"], w["start_date"], w["end_date"], size[0], size[1]))
+        own = [r for r in per_date if in_training(r["__kind"], r[DATE], start)]
+        n = sum(r["n"] for r in own)
+        sizes.append((w["window"], start, w["end_date"], n, sum(r["p"] or 0.0 for r in own) / n if n else None))
         if hasattr(model.stages[-1], "featureImportances"):
             part = importances(spark, model, w["window"])
             history = part if history is None else history.unionByName(part)

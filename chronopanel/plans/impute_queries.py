@@ -124,6 +124,52 @@ def regression_impute(spark, sf):
     return impute.regression_impute(views.sparse(spark, sf), ["quantity", "revenue", "lines"])
 
 
+def _kept(before, after, columns):
+    """Rows, known cells that stayed as they were, and cells that were filled."""
+    renamed = after.select(*KEYS, *[F.col(c).alias(f"{c}_after") for c in columns])
+    lost = [F.count(F.when(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"{c}_after")), 1)) for c in columns]
+    return before.join(renamed, list(KEYS)).agg(
+        F.count("*").alias("n"),
+        sum(lost[1:], lost[0]).alias("changed"),
+        *[F.count(F.when(F.col(c).isNull() & F.col(f"{c}_after").isNotNull(), 1)).alias(f"filled_{c}") for c in columns],
+    )
+
+
+# Every gap with any earlier row of its own date or before, in another row, can be filled.
+@query(
+    "imp2_knn_staged_keeps_values",
+    f"""{SPN} SELECT count(*) AS n, CAST(0 AS BIGINT) AS changed FROM spn WHERE Country NOT IN ('CHINA', 'INDIA', 'JAPAN')""",
+)
+def knn_staged_keeps(spark, sf):
+    panel = views.sparse_nation(spark, sf)
+    rest = panel.where(~F.col(ENTITY).isin("CHINA", "INDIA", "JAPAN"))
+    return _kept(rest, knn_staged(spark, sf), C).select("n", "changed")
+
+
+# The target is an exact linear function of another variable: a regression on earlier dates restores it.
+@query(
+    "imp4_regression_linear",
+    f"""{with_views('nm')}, b AS (SELECT *, 3 * orders + 7 AS y, dense_rank() OVER (ORDER BY Date) AS d FROM nm)
+SELECT Country, Date, CAST(y AS DOUBLE) AS y FROM b WHERE d > 24""",
+    approx=["y"],
+    digits=1,
+)
+def regression_linear(spark, sf):
+    panel = views.nation_month(spark, sf).select(*KEYS, "orders", (F.col("orders") * 3 + 7).alias("y"))
+    first = panel.agg(F.min(DATE)).scalar()
+    m = F.year(DATE) * 12 + F.month(DATE)
+    gaps = panel.select(*KEYS, "orders", F.when((m % 3 != 0) | (F.months_between(DATE, first) < 23.5), F.col("y")).alias("y"))
+    done = impute.regression_impute(gaps, ["y"], features=["orders"])
+    late = done.select(*KEYS, "y", F.months_between(DATE, first).alias("m")).where("m > 23.5")
+    return late.select(*KEYS, "y")
+
+
+@query("imp5_panel_fill_keys", f"""{with_views('sp')} SELECT CAST(1 AS BIGINT) AS copies FROM sp LIMIT 1""")
+def panel_fill_keys(spark, sf):
+    """Keys of the finished panel are unique."""
+    return panel_fill(spark, sf).groupBy(*KEYS).agg(F.count("*").alias("copies")).agg(F.max("copies").alias("copies"))
+
+
 @query("imp5_panel_fill")
 def panel_fill(spark, sf):
     from chronopanel.plans.recipes import run_recipe

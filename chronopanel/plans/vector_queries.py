@@ -160,6 +160,64 @@ def top_categories(spark, sf):
     return vectors.top_categories(found, "category")
 
 
+@query(
+    "top5_top_categories_pair",
+    f"""{VEC}, s AS (SELECT category, avg(CASE WHEN label = 1 THEN e1 END) - avg(CASE WHEN label = 0 THEN e1 END) AS d1, avg(CASE WHEN label = 1 THEN e2 END) - avg(CASE WHEN label = 0 THEN e2 END) AS d2,
+  var_samp(e1) AS a, var_samp(e2) AS b, covar_samp(e1, e2) AS c FROM vec GROUP BY 1)
+SELECT category, sqrt((b * d1 * d1 - 2 * c * d1 * d2 + a * d2 * d2) / (a * b - c * c)) AS distance FROM s ORDER BY distance DESC, category LIMIT 3""",
+    approx=["distance"],
+)
+def top_categories_pair(spark, sf):
+    return vectors.top_categories(vectors.class_separation(views.vectors(spark, sf), "category", ["e1", "e2"]), "category")
+
+
+# Two standardised variables load with equal weight on either component.
+@query(
+    "top2_top_components_pair",
+    "SELECT 'PC' AS prefix, unnest(['e1', 'e2']) AS feature, sqrt(0.5)::DOUBLE AS abs_loading",
+    approx=["abs_loading"],
+)
+def top_components_pair(spark, sf):
+    fitted = vectors.pca_fit(views.vectors(spark, sf), ["e1", "e2"], 2)
+    return vectors.top_components(vectors.loadings_rows(spark, fitted), 1, 10)
+
+
+# Ranks of two variables with loadings 3:1 in the first component and 1:3 in the second, in both classes.
+@query("top3_top_rank_components_fixed", "SELECT f.feature, CAST(6 AS BIGINT) AS score FROM (SELECT unnest(['e1', 'e2']) AS feature) f, (SELECT count(*) AS n FROM embeddings) c WHERE c.n > 0")
+def top_rank_fixed(spark, sf):
+    side = views.vectors(spark, sf).groupBy((F.col("label") == 1).alias("minority")).count()
+    cells = side.select(F.when(F.col("minority"), "Minority_PC").otherwise("Majority_PC").alias("prefix"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("component"), F.lit(f"e{j + 1}").alias("feature"), F.lit(j).alias("position"), F.lit(0.75 if (c - 1) == j else 0.25).alias("loading"))
+        for c in (1, 2) for j in (0, 1)
+    ])).alias("x")).select("prefix", "x.*")
+    return vectors.top_rank_components(cells, 10)
+
+
+# A variable and a linear function of it have one component, the standardised variable times the root of two.
+@query(
+    "vec3_class_pca_line",
+    f"""{VEC}, m AS (SELECT avg(e1) AS m, stddev_pop(e1) AS s FROM vec) SELECT vec_id, abs(sqrt(2) * (e1 - m) / s) AS score FROM vec, m""",
+    approx=["score"],
+    digits=5,
+)
+def class_pca_line(spark, sf):
+    rows = views.vectors(spark, sf).select("vec_id", "label", "e1", (F.col("e1") * 2 + 1).alias("e2"))
+    fits = vectors.class_pca_fit(rows, "label", ["e1", "e2"], 1)
+    scored = vectors.class_pca_transform(rows, fits, ["vec_id", "label"])
+    return scored.select("vec_id", F.abs(F.when(F.col("label") == 1, F.col("Minority_PC1")).otherwise(F.col("Majority_PC1"))).alias("score"))
+
+
+@query(
+    "vec4_loadings_table_line",
+    "SELECT unnest(['Majority_PC', 'Majority_PC', 'Minority_PC', 'Minority_PC']) AS prefix, unnest(['e1', 'e2', 'e1', 'e2']) AS feature, 100.0::DOUBLE AS percent",
+    approx=["percent"],
+)
+def loadings_line(spark, sf):
+    rows = views.vectors(spark, sf).select("label", "e1", (F.col("e1") * 2 + 1).alias("e2"))
+    fits = vectors.class_pca_fit(rows, "label", ["e1", "e2"], 1)
+    return vectors.loadings_table(vectors.loadings_rows(spark, *fits), 10, 1).select("prefix", "feature", "percent")
+
+
 PAIRS = [(a, b) for i, a in enumerate(E4) for b in E4[i + 1 :]]
 
 
