@@ -158,7 +158,8 @@ def _recursive_mean(x: np.ndarray, alphas: np.ndarray, adjust: bool) -> np.ndarr
 def _recursive_features(df, names, alphas: dict[str, float], adjust: bool, missing_to_zero: bool, by) -> DataFrame:
     labels, values = list(alphas), np.array(list(alphas.values()))
     added = [T.StructField(f"{c}_{label}", T.DoubleType()) for label in labels for c in names]
-    schema = T.StructType([*df.schema.fields, *added])
+    keys = [*by, DATE]
+    schema = T.StructType([*[df.schema[c] for c in keys], *added])
 
     def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(DATE)
@@ -167,13 +168,16 @@ def _recursive_features(df, names, alphas: dict[str, float], adjust: bool, missi
         if missing_to_zero:
             means = np.nan_to_num(means, nan=0.0)
         extra = {f"{c}_{label}": means[i, :, j] for i, label in enumerate(labels) for j, c in enumerate(names)}
-        return pd.concat([pdf.reset_index(drop=True), pd.DataFrame(extra)], axis=1)
-
-    out = spread(df, *by).groupBy(*by).applyInPandas(one_series, schema)
-    return out.select(
-        *[q(c) for c in df.columns],
-        *[F.nanvl(q(f.name), F.lit(None).cast("double")).alias(f.name) for f in added],
-    )
+        return pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(extra)], axis=1)
+
+    # only keys and inputs go through Python; the other columns meet the results by key
+    inputs = df.select(*[q(c) for c in keys], *[q(c) for c in names if c not in keys])
+    out = spread(inputs, *by).groupBy(*by).applyInPandas(one_series, schema)
+    cells = [F.nanvl(q(f.name), F.lit(None).cast("double")).alias(f.name) for f in added]
+    found = out.select(*[q(c) for c in keys], *cells)
+    if set(df.columns) - set(keys):
+        found = df.join(found, keys)
+    return found.select(*[q(c) for c in df.columns], *[q(f.name) for f in added])
 
 
 def ewm(df, columns=None, spans: int | Sequence[int] = (3, 6, 12), suffix: str = "ewm", by=(ENTITY,)) -> DataFrame:

@@ -49,12 +49,13 @@ def tidy_panel(df: DataFrame, drop_empty: bool = True) -> DataFrame:
 
 
 def read_panel(
-    spark: SparkSession, path: str, subset: str | None = None, split: str | None = None, check_keys: bool = True
+    spark: SparkSession, path: str, subset: str | None = None, split: str | None = None, check_keys: bool = False
 ) -> DataFrame:
     """Read a stored panel; ``subset`` and ``split`` prune partitions.
 
-    Repeated (Country, Date) keys are an error: unique keys are what bounds the
-    length of a series, and with it every per-series window.
+    Unique (Country, Date) keys are what bounds the length of a series, and with
+    it every per-series window; ``check_keys`` reads the table once more to make
+    sure of them.
     """
     df = spark.read.parquet(path)
     for column, wanted in (("subset", subset), ("split", split)):

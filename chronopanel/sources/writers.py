@@ -61,14 +61,18 @@ def artefact_name(kind: str, params: Mapping) -> str:
     return "_".join(str(p).replace("/", "-").replace(" ", "") for p in parts)
 
 
+def _exists(path: str) -> bool:
+    """Whether the path's own file system has it."""
+    sc = SparkSession.getActiveSession().sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
+
+
 def train_or_load(kind: str, params: Mapping, folder: str, fit) -> PipelineModel:
     """Load the model stored under this kind and parameters, or fit and store it."""
     path = f"{folder}/{artefact_name(kind, params)}"
-    try:
+    if _exists(path):
         return PipelineModel.load(path)
-    except Exception as err:  # missing path; anything else is raised again
-        if "does not exist" not in str(err) and "PATH_NOT_FOUND" not in str(err):
-            raise
     model = fit()
     model.write().overwrite().save(path)
     return model
