@@ -52,3 +52,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once per row, however often the body, or a lambda in it, uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of our own on whatever file system it is."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

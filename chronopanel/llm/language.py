@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 HASH_BITS = 16
 BUCKETS = 1 << HASH_BITS
 UND = "und"
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _GRAMS = (1, 2, 3)
 
 _letters: list[np.ndarray] = []

@@ -150,7 +150,7 @@ def op6(spark, sf):
 def op3(spark, sf):
     """Personal data in every document: the base spans and those the trees add."""
     docs = documents(spark, sf).select("doc_id", "text")
-    found = pii.scan(docs.select("text", "doc_id"), pii.fit(docs)).select("doc.doc_id", "base", "added")
+    found = pii.scan(docs, pii.fit(docs), keep=["doc_id"]).select("doc.doc_id", "base", "added")
     named = lambda spans: F.transform(
         spans,
         lambda s: F.struct(

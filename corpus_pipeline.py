@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronopanel import ship
 from chronopanel.llm import stages
-from chronopanel.llm.common import documents, shared_folder
+from chronopanel.llm.common import documents, remove, shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``."""
+    """The stages applied to ``documents``; a stage's folder goes once the next one is written, the last one stays."""
     docs = documents(spark, sf_dir)
-    folder = shared_folder(spark, "pipeline")
+    folder, before = shared_folder(spark, "pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return docs
