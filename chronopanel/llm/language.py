@@ -170,4 +170,5 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         return pd.DataFrame({"lang_pred": names, "score": score})
 
     doc = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.select(doc.alias("doc"), answer(F.col(text_col).cast("string")).alias("a")).select("doc", "a.lang_pred", "a.score")
+    # called non-deterministic lest a later filter on the answer evaluate it twice
+    return df.select(doc.alias("doc"), answer.asNondeterministic()(F.col(text_col).cast("string")).alias("a")).select("doc", "a.lang_pred", "a.score")

@@ -67,7 +67,8 @@ def pieces(
         return pd.Series(out)
 
     doc = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.select(doc.alias("doc"), cut(F.col(text_col).cast("string")).alias("cut")).select("doc", F.inline("cut"))
+    # called non-deterministic lest the optimiser evaluate it a second time to filter empty arrays
+    return df.select(doc.alias("doc"), cut.asNondeterministic()(F.col(text_col).cast("string")).alias("cut")).select("doc", F.inline("cut"))
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:

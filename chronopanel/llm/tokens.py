@@ -15,7 +15,7 @@ from array import array
 
 import numpy as np
 
-GENERATION_WORDS = 150_000
+GENERATION_WORDS = 250_000
 
 _BLANKS = " \t\n\r"
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())

@@ -27,7 +27,7 @@ ODD = ["don't I'll you're '", "it's'sx 'S", "x<|endoftext|>y <|startoftext|>", "
        "___ a_b", "Σας ΟΔΟΣ", "İstanbul", "中文 字", "", " \n\t ", "ª º ² ½ µ", "a" * 3000, "1 22 a3b4", "w.,;w ..w", "é"]
 
 
-@pytest.mark.parametrize("generation", [150_000, 3])
+@pytest.mark.parametrize("generation", [250_000, 3])
 def test_token_ids(monkeypatch, generation):
     monkeypatch.setattr(tokens, "GENERATION_WORDS", generation)
     own = tokens.Encoder(PATH)
