@@ -265,3 +265,22 @@ def test_quality_shrinks_sparse_sites(spark):
     within = (ss - s * s / n).sum() / (n.sum() - len(n))
     between = ((n * (s / n - 0.6) ** 2).sum() - (len(n) - 1) * within) / (n.sum() - (n * n).sum() / n.sum())
     assert k == pytest.approx(within / between)
+
+
+def ordinary(rng, n=40):
+    return " ".join("".join(rng.choice("the ing er on ther tion ly re".split()) for _ in range(rng.randint(1, 7))) for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [3, 400])
+def test_secrets_beside_the_base(spark, n):
+    """With the parameters of the query, secrets of other patterns are added among ordinary words, at any size."""
+    rng = random.Random(8)
+    word = lambda n, alphabet: "".join(rng.choice(alphabet) for _ in range(n))
+    planted = ["bearer: Zx81kkQ0aPq9LmNo77Tu", "auth_key=q7Rt5Yw2Ke8Zp3Lm6Xn1", "credential: 9fK2mQ7xT4vB8nL3cW6s"]
+    texts = [f"{ordinary(rng)} token = {word(40, '0123456789abcdef')} {ordinary(rng)}" if i % 3 else ordinary(rng) for i in range(n)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(f"{ordinary(rng)} {p} {ordinary(rng)}",) for p in planted], "text STRING")
+    network = secrets.fit(df)
+    got = {r["doc"]["text"]: [f for f in r["findings"] if not f["base"]] for r in secrets.scan(df, network).collect()}
+    missed = [p for p in planted if not any(p[-20:] in t[f["start"] : f["end"]] for t, fs in got.items() if p in t for f in fs)]
+    wrong = sum(len(fs) for t, fs in got.items() if not any(p in t for p in planted))
+    assert not missed and wrong <= n // 10
