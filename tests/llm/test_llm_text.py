@@ -284,3 +284,27 @@ def test_secrets_beside_the_base(spark, n):
     missed = [p for p in planted if not any(p[-20:] in t[f["start"] : f["end"]] for t, fs in got.items() if p in t for f in fs)]
     wrong = sum(len(fs) for t, fs in got.items() if not any(p in t for p in planted))
     assert not missed and wrong <= n // 10
+
+
+def test_long_candidates_are_seen_whole():
+    """The middle of a long candidate counts, and rows made at once are those made one by one."""
+    text = "see " + "a" * 70 + "Zx81kkQ0aPq9LmNo77Tu" + "b" * 70 + " end é short-one"
+    spans = [(0, 4, 164), (0, 171, 180)]
+    owners, codes = map(np.concatenate, zip(*secrets.encode_all(text, spans, piece=50)))
+    assert owners.tolist() == [0] * 121 + [1]
+    one = [secrets.encode(text, s, min(s + 40, e)) for _, a, e in spans for s in range(a, max(a, e - 40) + 1)]
+    assert (codes == np.stack(one)).all()
+    network = secrets.Network()
+    network.kernel[:], network.out[:], network.out_bias = 0, 0, -5.0
+    network.kernel[2, ord("Q") - 31, 0], network.out[0] = 1.0, 10.0
+    assert secrets._best(network, [(text, spans), ("", [])])[0][0] > 0.9
+
+
+def test_recall_sets_the_threshold():
+    """Half of the findings look like other words: their low probabilities still pass."""
+    network, rng = secrets.Network(), np.random.default_rng(1)
+    x, y = np.full((400, secrets.LENGTH), 66), np.arange(400) % 4 == 0
+    x[(y & (rng.random(400) < 0.5)), 30] = 20
+    network.calibrate(x.astype(np.int64), y.astype(float), np.zeros(400, int), 0.98)
+    p = network.probability(x)
+    assert (p[y] >= network.thresholds[0]).mean() >= 0.98 and network.thresholds[0] < 0.5
