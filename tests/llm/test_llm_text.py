@@ -308,3 +308,18 @@ def test_recall_sets_the_threshold():
     network.calibrate(x.astype(np.int64), y.astype(float), np.zeros(400, int), 0.98)
     p = network.probability(x)
     assert (p[y] >= network.thresholds[0]).mean() >= 0.98 and network.thresholds[0] < 0.5
+
+
+@pytest.mark.parametrize("n", [3, 300])
+def test_pii_beside_the_base(spark, n):
+    """With the parameters of the query, other writings are added, however frequent, at any size; numbers are not."""
+    rng = random.Random(12)
+    digits = lambda n: str(rng.randint(1, 9)) + "".join(str(rng.randint(0, 9)) for _ in range(n - 1))
+    planted = {"call ({0}) 555-{1}": 3, "write to mara (at) mail (dot) ber.com": 0, "host 10[.]20[.]3[.]4": 1}
+    rows = [(None, f"w{i}@mail.example.com and +1 ({digits(3)}) 555-{digits(4)} und 10.1.2.{i % 250} for {digits(8)} or 2024-05-1{i % 10}") for i in range(n)]
+    rows += [(no, t.format(digits(3), digits(4))) for t, no in planted.items() for _ in range(1 + n // 10)]
+    df = spark.createDataFrame(rows, "no INT, text STRING")
+    got = pii.scan(df, pii.fit(df)).collect()
+    for r in got:
+        kinds = [a["no"] for a in r["added"]]
+        assert kinds == ([] if r["doc"]["no"] is None else [r["doc"]["no"]]), (r["doc"]["text"], r["added"])
