@@ -96,11 +96,11 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pat
             i -= 1
         return lengths[i] if i >= 0 else None
 
-    def two_smallest(but: dict[int, int]) -> list[int]:
+    def smallest(many: int, but: dict[int, int]) -> list[int]:
         out: list[int] = []
         for w in lengths:
-            out += [w] * min(2 - len(out), left[w] - but.get(w, 0))
-            if len(out) == 2:
+            out += [w] * min(many - len(out), left[w] - but.get(w, 0))
+            if len(out) == many:
                 break
         return out
 
@@ -117,12 +117,15 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pat
             del left[top]
             lengths.pop(bisect_left(lengths, top))
             continue
-        small = two_smallest({top: 1})
-        pair_fits = len(small) == 2 and sum(small) <= room
+        small = smallest(3, {top: 1})
+        pair_fits = len(small) >= 2 and sum(small[:2]) <= room
         if partner == room or not pair_fits:
             use((top, partner))
             continue
-        # two more pieces can join: the longest fitting one still dominates if no two that fit exceed it
+        if len(small) == 3 and sum(small) <= room:  # three that fit can be worth more than one at least as long as any two
+            passed.append(top)
+            continue
+        # two more pieces can join, not three: the longest fitting one still dominates if no two that fit exceed it
         best_two = 0
         for w in reversed(lengths[: bisect_right(lengths, room)]):
             other = longest(room - w, {top: 1, w: 1} if w != top else {top: 2})

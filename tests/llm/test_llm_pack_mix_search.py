@@ -89,6 +89,15 @@ def test_reduction_keeps_an_optimum():
         assert sum(n for _, n in fixed) + least_bins(left, capacity) == least_bins(items, capacity)
 
 
+def test_reduction_where_three_more_fit():
+    """A longest partner that no two exceed does not dominate three."""
+    items = [50, 45, 22, 22, 21, 20, 20, 20]
+    counts = {w: items.count(w) for w in items}
+    fixed, rest = packing.reduce_by_dominance(counts, 110)
+    left = sorted((w for w, n in rest.items() for _ in range(n)), reverse=True)
+    assert sum(n for _, n in fixed) + least_bins(left, 110) == least_bins(items, 110) == 2
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rng = random.Random(2)
