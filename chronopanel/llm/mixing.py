@@ -1,9 +1,9 @@
-"""Mix sources to target weights by fixed-length blocks, block draws per output shard and index permutations.
+"""Mix sources to target weights by fixed-length blocks and index permutations.
 
 Each source's documents form one stream of words, in an order fixed by hashes, cut into blocks of ``block_words``. The
-output is a row of slots, dealt out to shards of ``shard_slots``. How many slots of a shard a source gets is a
-multinomial draw conditioned on the targets: a pseudorandom permutation of all slots meets the sources' quotas laid end
-to end, so shares differ by chance from shard to shard while the whole meets its targets to the word. Slot j of a source
+output is a row of slots, dealt out to shards of ``shard_slots``. How many slots of a shard a source gets is not
+drawn: a fixed affine permutation of all slots meets the sources' quotas laid end to end, which spreads each source rather
+evenly over shards, and the whole meets its targets to the word. Shards do not reach the results of ``taken``. Slot j of a source
 takes block ``perm(j mod blocks)``, ``perm`` being the source's own affine permutation: a full round takes every block
 once, and of the last round the final slot takes only the words the target still asks for. Blocks meet documents by
 index. Everything follows from hashes and counts, so reruns agree.
