@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel import ship
-from chronopanel.llm import language, line_dedup, mixing, packing, pii, quality, secrets, simhash, spotsigs, topk_search
+from chronopanel.llm import divergence, language, line_dedup, mixing, packing, pii, quality, secrets, simhash, spotsigs, topk_search
 from chronopanel.llm.common import documents
 
 QUERIES: dict = {}
@@ -175,3 +175,44 @@ def op2(spark, sf):
     return done.select(
         "doc.doc_id", "quality", (F.col("quality") >= 0.5).alias("keep"), "doc_quality", "host_quality", "path_quality"
     )
+
+
+DIVERGENCE_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+ls AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+gt AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+gs AS (
+  SELECT g.lang, g.source, coalesce(ls.v, 0) AS v, coalesce(s.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN ls ON g.lang = ls.lang
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM gt GROUP BY ALL) s ON g.lang = s.lang AND g.source = s.source),
+p AS (
+  SELECT gs.lang, gs.source, k.term, coalesce(gt.n, 0) AS n,
+    CAST(1 + 1000000000::HUGEINT * (coalesce(gt.n, 0) + 1) // (gs.total + gs.v) AS HUGEINT) AS p,
+    CAST(1 + 1000000000::HUGEINT * (k.n + 1) // (ls.total + ls.v) AS HUGEINT) AS all_p
+  FROM gs JOIN k ON gs.lang = k.lang JOIN ls ON ls.lang = gs.lang
+  LEFT JOIN gt ON gt.lang = gs.lang AND gt.source = gs.source AND gt.term = k.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM gs a JOIN gs b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, term AS item, (p - all_p) * (p - all_p) // all_p AS value FROM p WHERE n > 0 AND p > all_p),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op11_divergence", DIVERGENCE_SQL)
+def op11(spark, sf):
+    """How far the sources of each language differ, and the terms each overuses."""
+    return divergence.audit(documents(spark, sf).select("text", "lang", "source"))
