@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel import ship
-from chronopanel.llm import divergence, language, line_dedup, mixing, packing, pii, quality, secrets, simhash, spotsigs, topk_search
+from chronopanel.llm import divergence, language, line_dedup, mixing, ngram_join, packing, pii, quality, secrets, simhash, spotsigs, topk_search
 from chronopanel.llm.common import documents
 
 QUERIES: dict = {}
@@ -216,3 +216,10 @@ FROM ranked WHERE part = 'pair' OR rank <= 200
 def op11(spark, sf):
     """How far the sources of each language differ, and the terms each overuses."""
     return divergence.audit(documents(spark, sf).select("text", "lang", "source"))
+
+
+@query("op13_ngram_join")
+def op13(spark, sf):
+    """Documents linked by the likeness of their five-word shingles."""
+    done = ngram_join.join(documents(spark, sf).select("doc_id", "text"))
+    return done.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
