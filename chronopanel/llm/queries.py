@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel import ship
-from chronopanel.llm import divergence, language, line_dedup, mixing, ngram_join, packing, pii, quality, secrets, simhash, spotsigs, topk_search
+from chronopanel.llm import collocations, divergence, language, line_dedup, mixing, ngram_join, packing, pii, quality, secrets, simhash, spotsigs, topk_search
 from chronopanel.llm.common import documents
 
 QUERIES: dict = {}
@@ -223,3 +223,47 @@ def op13(spark, sf):
     """Documents linked by the likeness of their five-word shingles."""
     done = ngram_join.join(documents(spark, sf).select("doc_id", "text"))
     return done.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+COLLOCATIONS_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3
+  FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) CROSS JOIN (VALUES (1), (2), (3)) AS ks(k)
+  WHERE i + k - 1 <= len(ws)),
+f AS (
+  SELECT lang, k, phrase, any_value(w1) AS w1, CASE WHEN k > 1 THEN any_value(w2) END AS w2,
+    CASE WHEN k > 2 THEN any_value(w3) END AS w3, count(*) AS n FROM g GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.n AS a, 1 AS cut, x.n AS l, y.n AS r
+  FROM c JOIN f x ON x.lang = c.lang AND x.k = 1 AND x.phrase = c.w1
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - 1 AND y.phrase = concat_ws(' ', c.w2, c.w3)
+  UNION ALL
+  SELECT c.lang, c.phrase, c.n, 2, x.n, y.n
+  FROM c JOIN f x ON c.k = 3 AND x.lang = c.lang AND x.k = 2 AND x.phrase = c.w1 || ' ' || c.w2
+  JOIN f y ON y.lang = c.lang AND y.k = 1 AND y.phrase = c.w3),
+s AS (
+  SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+best AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+gone AS (
+  SELECT DISTINCT x.lang, x.phrase FROM c x JOIN c y ON x.k = 2 AND y.k = 3 AND x.lang = y.lang
+    AND (x.phrase = y.w1 || ' ' || y.w2 OR x.phrase = y.w2 || ' ' || y.w3) AND 100 * y.n >= 50 * x.n),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b ANTI JOIN gone USING (lang, phrase))
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, CAST(total.n AS BIGINT) AS n, score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", COLLOCATIONS_SQL)
+def op12(spark, sf):
+    """The phrases of two and three words that go together best, by language."""
+    return collocations.collocations(documents(spark, sf).select("text", "lang"))
