@@ -7,12 +7,14 @@ others count, so groups are connected components.
 *Orders.* If two sets of n and m shingles link, then under any order of all shingles the first n - ceil(percent * n /
 100) + 1 of the one and the like of the other share a shingle. ``ORDERS`` orders are used: each puts shingles that very
 many texts hold last and otherwise goes by a hash of its own. Two texts are compared only if they meet under every one.
-*Candidates.* The first order's prefixes are the postings. Every posting list is named by its smallest text, its
-leader, and a text joins the group of each leader it meets: two texts that share a prefix shingle are in one group, and
-the hundreds of lists that a few near copies share are one group only. A group of more than ``BLOCK`` texts (or
-``BLOCK_SHINGLES`` shingles) is cut into blocks, each pair of blocks one task's tile. Before that all its texts are
-compared with the leader, and blocks of texts that link with the leader need not meet each other, so that a huge group
-of near copies costs its size and not its square. No list, group or prefix is capped.
+*Candidates.* The first order's prefixes are the postings. There a prefix is longer by a tenth of the set, of which a
+partner then has at least that tenth: texts too few of whose postings occur in any other text are out, which are those
+that merely quote a passage. Every posting list is named by its smallest text, its leader, and a text joins the group of
+each leader it meets: two texts that share a prefix shingle are in one group, and the hundreds of lists that a few near
+copies share are one group only. A group of more than ``BLOCK`` texts (or ``BLOCK_SHINGLES`` shingles) is cut into
+blocks, each pair of blocks one task's tile. Before that all its texts are compared with one of them, its centre, and
+blocks of texts that link with the centre need not meet each other, so that a huge group of near copies costs its size
+and not its square. No list, group or prefix is capped.
 *Verification.* A tile holds the whole texts of its blocks. It intersects the filters of all orders and of the sizes,
 counts the shingles common to what is left by products of 0/1 matrices, exact in single precision, and emits links that
 connect what belongs together, not all pairs.
@@ -22,8 +24,7 @@ with odds of 3 %. Null and empty texts have an empty set and are linked with not
 also repeated rows, are one point. A group is named by its smallest id; rows with a null id get their group's name (null
 if all of it are). An empty table gives an empty one. Very long texts are read whole. Other columns are not read.
 
-Scale: what is shuffled is about a fifth of the shingles as two numbers, and the texts that share a prefix shingle with
-another. Shingles held by more than one part in 2^18 of all are found by counts in the tasks, those seen under ``LOSS``
+Scale: what is shuffled is about three tenths of the shingles as two numbers, and the texts left as candidates. Shingles held by more than one part in 2^18 of all are found by counts in the tasks, those seen under ``LOSS``
 times in a chunk left out there, so there are at most 2^18 of them and their list is broadcast (which ones they are
 changes the work, never the result); their postings are merged map-side. The numbers of texts to be fetched are
 broadcast as a bit table of at most 8 MB, which when full only lets more texts through.
@@ -46,9 +47,12 @@ BLOCK = 512
 BLOCK_SHINGLES = 400_000
 HOT_PARTS = 18
 LOSS = 4
+SHARED = 10
 CHUNK = 1 << 22
-_HELD_WORDS = 300_000
+STRETCH = 1 << 20
 _COLUMNS = 4096
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -59,35 +63,62 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _HELD_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return value
-
-
 class Shingler:
-    """Sets of texts; remembers the hashes of words between texts."""
+    """Sets of texts. Words are hashed by a polynomial over their bytes, all words of a stretch of text at once."""
 
     def __init__(self, words: int):
         self.words = words
-        self.hashes = _WordHashes()
         self.factors = _mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
+        self.letters = _mix(np.arange(256, dtype=np.uint64) + np.uint64(SEED))
+        self.letters[0x41:0x5B] = self.letters[0x61:0x7B]
+        self.blank = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _reach(self, size: int) -> None:
+        """Powers of the base and of its inverse up to this length."""
+        with np.errstate(over="ignore"):
+            while len(self.powers) < size:
+                step, back = self.powers[-1] * _BASE, self.inverses[-1] * _UNBASE
+                self.powers = np.concatenate([self.powers, self.powers * step])
+                self.inverses = np.concatenate([self.inverses, self.inverses * back])
+
+    def _stretch(self, data: np.ndarray, blank: np.ndarray) -> np.ndarray:
+        self._reach(len(data) + 1)
+        edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.letters[data] * self.powers[: len(data)])])
+            return _mix((sums[end] - sums[start]) * self.inverses[start] + (end - start).astype(np.uint64) * _ODD[2])
+
+    def word_hashes(self, text: str) -> np.ndarray:
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        blank = self.blank[data]
+        out, at, ahead = [], 0, STRETCH
+        while at < len(data):  # stretches end at a blank, or after a word that is longer than they are
+            end = min(at + ahead, len(data))
+            if end < len(data):
+                last = np.flatnonzero(blank[at:end])
+                if not len(last):
+                    ahead *= 2
+                    continue
+                end = at + int(last[-1]) + 1
+            out.append(self._stretch(data[at:end], blank[at:end]))
+            at, ahead = end, STRETCH
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
     def __call__(self, text: str | None) -> tuple[int, np.ndarray]:
         """Number of the text (signed) and its sorted distinct shingles."""
-        parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not parts:
-            return 0, np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.hashes.__getitem__, parts), np.uint64, len(parts))
-        width, n = min(self.words, len(parts)), max(1, len(parts) - self.words + 1)
+        h = self.word_hashes(text or "")
+        if not len(h):
+            return 0, h
+        width, n = min(self.words, len(h)), max(1, len(h) - self.words + 1)
         with np.errstate(over="ignore"):
             total = np.full(n, width, np.uint64)
             for i in range(width):
                 total += h[i : i + n] * self.factors[i]
-        number = xxhash.xxh64_intdigest(b" ".join(parts), SEED)
-        return number - (number >> 63 << 64), np.unique(_mix(total))
+        tokens = np.sort(_mix(total))
+        number = xxhash.xxh64_intdigest(h.tobytes(), SEED)
+        return number - (number >> 63 << 64), tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])]
 
 
 class Orders:
@@ -109,15 +140,17 @@ class Orders:
     def keys(self, tokens: np.ndarray, order: int, hot: np.ndarray) -> np.ndarray:
         return (_mix(tokens ^ _mix(np.uint64([order + 1]))) >> np.uint64(1)) | (hot.astype(np.uint64) << np.uint64(63))
 
-    def length(self, n: int) -> int:
-        return n - -(-self.percent * n // 100) + 1
-
-    def first(self, keys: np.ndarray) -> np.ndarray:
-        """Places of the prefix of a set with these keys."""
-        size = self.length(len(keys))
+    def first(self, keys: np.ndarray, share: int = 1) -> np.ndarray:
+        """Places of the prefix of a set with these keys, of which a partner has at least ``share``."""
+        size = len(keys) - -(-self.percent * len(keys) // 100) + share
         return np.argpartition(keys, size - 1)[:size] if size < len(keys) else np.arange(len(keys))
 
 
+def shared_at_least(n: int, percent: int) -> int:
+    """How many shingles of a set's prefix in the first order its partners must have; the prefix is that much longer."""
+    return min(-(-n // SHARED), -(-percent * n // 100))
+
+
 def _distinct_texts(texts, shingler, seen):
     for text in texts:
         number, tokens = shingler(text)
@@ -174,7 +207,7 @@ def postings(texts: DataFrame, words: int, orders, hot: bool) -> DataFrame:
             tokens_out, points_out = [], []
             for number, _, tokens in _distinct_texts(batch["text"], shingler, seen):
                 marks = known.is_hot(tokens)
-                own = known.first(known.keys(tokens, 0, marks))
+                own = known.first(known.keys(tokens, 0, marks), shared_at_least(len(tokens), known.percent))
                 own = own[marks[own] == hot]
                 tokens_out.append(tokens[own])
                 points_out.append(np.full(len(own), number, np.int64))
@@ -309,13 +342,23 @@ def _compare(tiles: DataFrame, texts: DataFrame, words: int, orders) -> DataFram
     return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long")
 
 
-def groups(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(leader, point, parts): members of candidate groups and into how many blocks their group is cut."""
-    sized = members.join(sizes, "point")
-    cut = sized.groupBy("leader").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts")
-    )
-    return members.join(cut, "leader")
+def members(texts: DataFrame, sizes: DataFrame, words: int, orders, percent: int) -> DataFrame:
+    """(leader, point, n): candidate groups of two texts and more; a checkpoint."""
+    met = postings(texts, words, orders, hot=False).repartition("token").distinct()
+    in_list = Window.partitionBy("token").orderBy("point")
+    first = F.first("point").over(in_list.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("leader")
+    cold = met.select("point", first, F.lead("point").over(in_list).alias("next"))
+    cold = cold.where("point <> leader OR next IS NOT NULL").select("point", "leader")
+    often = kept(postings(texts, words, orders, hot=True).distinct())
+    leaders = often.groupBy("token").agg(F.min("point").alias("leader"))
+    shared = cold.unionByName(often.join(F.broadcast(leaders), "token").select("point", "leader"))
+    # one row per text and leader, with how many of the text's shingles they stand for
+    shared = kept(shared.groupBy("point", "leader").agg(F.count("*").alias("times")))
+    least = F.least(F.ceil(F.col("n") / SHARED), F.ceil(F.col("n") * percent / 100))
+    able = shared.groupBy("point").agg(F.sum("times").alias("times")).join(sizes, "point").where(F.col("times") >= least)
+    left = shared.select("leader", "point").join(able.select("point", "n"), "point")
+    some = left.groupBy("leader").count().where("count > 1").select("leader")
+    return kept(left.join(some, "leader").select("leader", "point", "n"))
 
 
 def links(texts: DataFrame, sizes: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -323,35 +366,32 @@ def links(texts: DataFrame, sizes: DataFrame, words: int = 5, percent: int = 80)
     spark = texts.sparkSession
     total = sizes.agg(F.sum("n")).first()[0] or 0
     orders = spark.sparkContext.broadcast(Orders(hot_shingles(texts, words, total), percent))
-    in_list = Window.partitionBy("token").orderBy("point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cold = postings(texts, words, orders, hot=False).select("point", F.first("point").over(in_list).alias("leader"))
-    often = kept(postings(texts, words, orders, hot=True))
-    leaders = often.groupBy("token").agg(F.min("point").alias("leader"))
-    met = cold.unionByName(often.join(F.broadcast(leaders), "token").select("point", "leader")).where("point <> leader")
-    members = kept(met.distinct())
-    members = members.unionByName(members.select("leader").distinct().select(F.col("leader").alias("point"), "leader"))
-    wanted = members.select("point").distinct()
+    inside = members(texts, sizes, words, orders, percent)
+    wanted = inside.select("point").distinct()
     table = spark.sparkContext.broadcast(_bit_table(wanted, wanted.count()))
     folder = shared_folder(spark, "ngram-join")
     _wanted_texts(texts, words, table).write.parquet(folder)
     fetched = spark.read.parquet(folder)
 
-    members = kept(groups(members, sizes))
-    small = members.where("parts = 1").select("leader", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "point")
-    large = members.where("parts > 1")
+    cut = inside.groupBy("leader").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"), F.min("point").alias("centre")
+    )
+    inside = kept(inside.join(cut, "leader").drop("n"))
+    small = inside.where("parts = 1").select("leader", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "point")
+    large = inside.where("parts > 1")
     found = kept(_compare(small, fetched, words, orders))
     if not large.isEmpty():
         salt = F.pmod(F.xxhash64("point"), "parts").cast("int")
-        own = large.where("point <> leader").select("leader", salt.alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("side"), "point")
-        every = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))
-        heads = large.where("point = leader").select("leader", every.alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "point")
+        own = large.where("point <> centre").select("leader", salt.alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("side"), "point")
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        heads = large.where("point = centre").select("leader", every.alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "point")
         stars = kept(_compare(own.unionByName(heads), fetched, words, orders))
-        # a tile's links may run leader - x only, so what links with its leader is either end beside it
-        ends = stars.select(F.col("a").alias("leader"), F.col("b").alias("point")).union(stars.select("b", "a")).distinct()
-        marked = large.join(ends.withColumn("near", F.lit(1)), ["leader", "point"], "left")
-        near = F.coalesce("near", F.lit(0)) + (F.col("point") == F.col("leader")).cast("int") > 0
-        block = salt + F.when(near, F.col("parts").cast("int")).otherwise(0)
-        other = F.explode(F.sequence(F.lit(0), 2 * F.col("parts").cast("int") - 1)).alias("other")
+        # a link of a star may be written from either end
+        ends = stars.select(F.col("a").alias("centre"), F.col("b").alias("point")).union(stars.select("b", "a")).distinct()
+        marked = large.join(ends.withColumn("near", F.lit(1)), ["centre", "point"], "left")
+        near = F.col("near").isNotNull() | (F.col("point") == F.col("centre"))
+        block = salt + F.when(near, F.col("parts")).otherwise(0)
+        other = F.explode(F.sequence(F.lit(0), 2 * F.col("parts") - 1)).alias("other")
         tiles = marked.select("leader", "point", "parts", block.alias("block"), other)
         tiles = tiles.where("block < parts OR other < parts").select(
             "leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "point"
