@@ -8,8 +8,9 @@ others count, so groups are connected components.
 100) + 1 of the one and the like of the other share a shingle. ``ORDERS`` orders are used: each puts shingles that very
 many texts hold last and otherwise goes by a hash of its own. Two texts are compared only if they meet under every one.
 *Candidates.* The first order's prefixes are the postings. There a prefix is longer by a tenth of the set, of which a
-partner then has at least that tenth: texts too few of whose postings occur in any other text are out, which are those
-that merely quote a passage. Every posting list is named by its smallest text, its leader, and a text joins the group of
+partner, which may be a fifth smaller, then has almost that tenth: texts too few of whose postings occur in any other
+text are out, which are those that merely quote a passage, and every text leaves out the groups it meets by fewest
+shingles, up to less than half of that. Every posting list is named by its smallest text, its leader, and a text joins the group of
 each leader it meets: two texts that share a prefix shingle are in one group, and the hundreds of lists that a few near
 copies share are one group only. A group of more than ``BLOCK`` texts (or ``BLOCK_SHINGLES`` shingles) is cut into
 blocks, each pair of blocks one task's tile. Before that all its texts are compared with one of them, its centre, and
@@ -354,9 +355,13 @@ def members(texts: DataFrame, sizes: DataFrame, words: int, orders, percent: int
     shared = cold.unionByName(often.join(F.broadcast(leaders), "token").select("point", "leader"))
     # one row per text and leader, with how many of the text's shingles they stand for
     shared = kept(shared.groupBy("point", "leader").agg(F.count("*").alias("times")))
-    least = F.least(F.ceil(F.col("n") / SHARED), F.ceil(F.col("n") * percent / 100))
-    able = shared.groupBy("point").agg(F.sum("times").alias("times")).join(sizes, "point").where(F.col("times") >= least)
-    left = shared.select("leader", "point").join(able.select("point", "n"), "point")
+    need = F.ceil(F.col("n") * percent / 100)
+    least = F.least(F.ceil(need / SHARED), F.ceil(need * percent / 100))  # of the smallest partner
+    able = shared.groupBy("point").agg(F.sum("times").alias("all")).join(sizes, "point").where(F.col("all") >= least)
+    # partners still meet when each leaves out groups for less than half of what they share
+    rarest = Window.partitionBy("point").orderBy("times", "leader").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = shared.join(able.select("point", "n", least.alias("least")), "point").withColumn("upto", F.sum("times").over(rarest))
+    left = left.where(2 * F.col("upto") >= F.col("least")).select("leader", "point", "n")
     some = left.groupBy("leader").count().where("count > 1").select("leader")
     return kept(left.join(some, "leader").select("leader", "point", "n"))
 
