@@ -20,7 +20,8 @@ Null text is empty, a null language ``und``. Repeated rows count again. Texts wi
 without candidates has no rows. Ties in rank go by count, then by UTF-8 bytes. An empty table gives an empty one. Other
 columns are not read. Very long texts are read whole, piece by piece; a path is never longer than a piece.
 
-Scale: tasks empty their dictionaries at ``HELD`` grams and send each gram once. Words that make up more than one part in
+Scale: tasks count the grams of ``HELD_BYTES`` of text at a time, by 64 bits of hash (two of some millions share one with
+odds of one in a million), and send each once. Words that make up more than one part in
 ``HOT_PARTS`` of all (at most as many; found in a first pass by counts in the tasks, those rarer than a quarter of that
 left out there) are spread by their second word, and where that is hot too by the third; only their few partial sums meet
 again. The rest of the work is on phrases of at least ``min_count`` occurrences. Ranks are limited before their shuffle.
@@ -28,115 +29,136 @@ again. The rest of the work is on phrases of at least ``min_count`` occurrences.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.llm.common import kept
+from chronopanel.llm.hashing import WordHashes, mix
 
-HELD = 600_000
+HELD_BYTES = 1 << 23
 HOT_PARTS = 2048
 SALTS = 64
-
-_CUTS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c | 0x20 if 0x41 <= c <= 0x5A else c for c in range(256))
-
-
-def pieces(text: str) -> list[list[bytes]]:
-    """Words of every piece that has any."""
-    cut = text.encode("utf-8", "surrogatepass").translate(_CUTS).split(b"\n")
-    return [words for words in (piece.split() for piece in cut) if words]
-
-
-def _strings(values) -> pa.Array:
-    return pa.array(values, pa.binary()).cast(pa.string())
-
-
-def hot_words(docs: DataFrame) -> dict[str, frozenset[bytes]]:
-    """By language, the words that make up more than one part in ``HOT_PARTS`` of all, at most so many."""
+_GRAMS = 1 << 17
+
+_CUTS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c | 0x20 if 0x41 <= c <= 0x5A else c for c in range(256))
+
+
+@dataclass
+class Words:
+    """The words of many texts: their bytes with one blank after each, where each begins and ends, its hash and piece."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    piece: np.ndarray
+
+    @staticmethod
+    def of(texts: list[bytes], hashes: WordHashes) -> Words:
+        raw = np.frombuffer(b"\n".join(texts).translate(_CUTS) + b"\n", np.uint8)
+        blank = (raw == 32) | (raw == 10)
+        after = blank & ~np.concatenate([[True], blank[:-1]])  # the blank that ends a word
+        keep = ~blank | after
+        data = np.where(blank, np.uint8(32), raw)[keep]
+        piece = np.cumsum(raw == 10, dtype=np.int32)[np.flatnonzero(after) - 1]
+        end = np.flatnonzero(data == 32)
+        start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+        return Words(data, start, end, hashes.of_bytes(data.tobytes()), piece)
+
+    def strings(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
+        """Text from the beginning of one word to the end of another, empty where the last is before the first."""
+        begin, size = self.start[first], np.maximum(self.end[np.maximum(last, 0)] - self.start[first], 0)
+        size = np.where(last < first, 0, size)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], size)
+        buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(self.data[at]))]
+        return pa.Array.from_buffers(pa.binary(), len(first), buffers).cast(pa.string())
+
+
+def _by_language(batches, hashes: WordHashes):
+    """(language, words) of the texts of a task, several megabytes at a time."""
+    held: dict = defaultdict(list)
+    size = 0
+
+    def out():
+        for lang, texts in held.items():
+            words = Words.of(texts, hashes)
+            if len(words.start):
+                yield lang, words
+        held.clear()
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            held[lang].append(data)
+            size += len(data)
+            if size > HELD_BYTES:
+                yield from out()
+                size = 0
+    yield from out()
+
+
+def hot_words(docs: DataFrame) -> dict[str, np.ndarray]:
+    """By language, the hashes of words that make up more than one part in ``HOT_PARTS`` of all, at most so many."""
 
     def count(batches):
-        found: dict = defaultdict(Counter)
-        held = total = 0
-
-        def out():
-            often = [(lang, w, n) for lang, own in found.items() for w, n in own.items() if n * HOT_PARTS * 4 > total]
-            often.append(("", b"", total))
-            found.clear()
-            columns = list(zip(*often, strict=True))
-            return pa.record_batch(
-                [pa.array(columns[0], pa.string()), _strings(columns[1]), pa.array(columns[2], pa.int64())], ["lang", "word", "n"]
-            )
-
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = found[lang]
-                before = len(own)
-                for words in pieces(text):
-                    own.update(words)
-                    total += len(words)
-                held += len(own) - before
-                if held > HELD:
-                    yield out()
-                    held = total = 0
-        yield out()
-
-    counts = docs.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        for lang, words in _by_language(batches, WordHashes()):
+            found, times = np.unique(words.hash, return_counts=True)
+            often = times * HOT_PARTS * 4 > len(words.hash)
+            hashes = np.append(found[often].view(np.int64), 0)
+            counts = np.append(times[often], len(words.hash))
+            columns = [pa.array([lang] * len(counts), pa.string()), pa.array(hashes), pa.array(counts), pa.array(np.arange(len(counts)) == len(counts) - 1)]
+            yield pa.record_batch(columns, ["lang", "word", "n", "sum"])
+
+    counts = docs.mapInArrow(count, "lang string, word long, n long, sum boolean").groupBy("lang", "word", "sum").agg(F.sum("n").alias("n"))
     counts = kept(counts)
-    total = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
-    hot: dict = defaultdict(set)
-    for r in counts.where((F.col("word") != "") & (F.col("n") > total // HOT_PARTS)).collect():
-        hot[r["lang"]].add(r["word"].encode())
-    return {lang: frozenset(words) for lang, words in hot.items()}
+    total = counts.where("sum").agg(F.sum("n")).first()[0] or 0
+    hot: dict = defaultdict(list)
+    for r in counts.where(~F.col("sum") & (F.col("n") > total // HOT_PARTS)).collect():
+        hot[r["lang"]].append(r["word"])
+    return {lang: np.array(words, np.int64).view(np.uint64) for lang, words in hot.items()}
 
 
 def grams(docs: DataFrame, hot) -> DataFrame:
-    """(first, salt, rest, n): grams counted per task; ``first`` is the first word, a tab and the language."""
-    fields = [("first", pa.string()), ("salt", pa.int32()), ("rest", pa.string()), ("n", pa.int64())]
+    """(first, spread, rest, n): grams counted per task; ``first`` is the first word, a tab and the language.
+
+    ``spread`` is 0, 1 if the first word is hot and 2 if the second is as well.
+    """
 
     def count(batches):
-        found: dict = defaultdict(Counter)
-
-        def out():
-            for lang, own in found.items():
-                often, ending = hot.value.get(lang, ()), b"\t" + lang.encode()
-                firsts, salts, rests = [], [], []
-                keys = sorted(own)
-                for gram in keys:
-                    first, _, rest = gram.partition(b" ")
-                    firsts.append(first + ending)
-                    rests.append(rest)
-                    salt = 0
-                    if first in often:
-                        second = rest.partition(b" ")[0]
-                        salt = 1 + xxhash.xxh32_intdigest(rest if second in often else second) % SALTS
-                    salts.append(salt)
-                yield pa.record_batch(
-                    [_strings(firsts), pa.array(salts, pa.int32()), _strings(rests), pa.array([own[g] for g in keys], pa.int64())],
-                    schema=pa.schema(fields),
-                )
-            found.clear()
-
-        held = 0
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = found[lang]
-                before = len(own)
-                for words in pieces(text):
-                    if len(words) > 2:
-                        own.update(map(b" ".join, zip(words, words[1:], words[2:], strict=False)))
-                    if len(words) > 1:
-                        own[words[-2] + b" " + words[-1]] += 1
-                    own[words[-1]] += 1
-                held += len(own) - before
-                if held > HELD:
-                    yield from out()
-                    held = 0
-        yield from out()
-
-    return docs.mapInArrow(count, "first string, salt int, rest string, n long")
+        hashes = WordHashes()
+        factors = mix(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
+        for lang, words in _by_language(batches, hashes):
+            n = len(words.hash)
+            size = np.ones(n, np.int64)
+            two = words.piece[:-1] == words.piece[1:]
+            size[:-1] += two
+            size[:-2] += two[:-1] & two[1:]
+            with np.errstate(over="ignore"):
+                key = words.hash * factors[0] + size.astype(np.uint64)
+                for k in (1, 2):
+                    key[:-k] += np.where(size[:-k] > k, words.hash[k:] * factors[k], np.uint64(0))
+            _, at, times = np.unique(mix(key), return_index=True, return_counts=True)
+            following = words.hash[np.minimum(at + 1, n - 1)]
+            order = np.lexsort([following, words.hash[at]])  # neighbours that look alike pack well
+            at, times, following = at[order], times[order], following[order]
+            often = hot.value.get(lang, np.zeros(0, np.uint64))
+            first_hot = np.isin(words.hash[at], often)
+            spread = first_hot.astype(np.int32) + (first_hot & (size[at] > 1) & np.isin(following, often))
+            for lo in range(0, len(at), _GRAMS):
+                own = slice(lo, lo + _GRAMS)
+                first = pc.binary_join_element_wise(words.strings(at[own], at[own]), pa.scalar(lang), "\t")
+                rest = words.strings(np.minimum(at[own] + 1, n - 1), at[own] + np.where(size[at[own]] > 1, size[at[own]] - 1, -1))
+                columns = [first, pa.array(spread[own], pa.int32()), rest, pa.array(times[own], pa.int64())]
+                yield pa.record_batch(columns, ["first", "spread", "rest", "n"])
+
+    return docs.mapInArrow(count, "first string, spread int, rest string, n long")
 
 
 def flows(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -146,40 +168,28 @@ def flows(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame, DataFr
     (lang, w, n), ``totals`` (lang, n).
     """
     hot = docs.sparkSession.sparkContext.broadcast(hot_words(docs))
-    summed = grams(docs, hot).repartition("first", "salt").groupBy("first", "salt", "rest").agg(F.sum("n").alias("n"))
-    summed = summed.withColumn("second", F.substring_index("rest", " ", 1))
+    second = F.substring_index("rest", " ", 1)
+    number = lambda c: 1 + F.pmod(F.xxhash64(c), F.lit(SALTS))
+    salt = F.when(F.col("spread") == 1, number(second)).when(F.col("spread") == 2, number(F.col("rest"))).otherwise(0).cast("int")
+    summed = grams(docs, hot).withColumn("salt", salt).drop("spread").repartition("first", "salt")
+    summed = summed.groupBy("first", "salt", "rest").agg(F.sum("n").alias("n")).withColumn("second", second)
     edge = F.col("rest").contains(" ") & (F.col("n") >= min_count)
-    by_pair = summed.groupBy("first", "salt", "second").agg(F.sum("n").alias("n"), F.max(F.when(edge, F.col("n"))).alias("out"))
-    by_word = by_pair.groupBy("first", "salt").agg(F.sum("n").alias("n"))
-    lang = F.expr("substring(first, instr(first, '\t') + 1)").alias("lang")
-    word = F.substring_index("first", "\t", 1)
     third = F.expr("substring(rest, instr(rest, ' ') + 1)").alias("w3")
-    edges = summed.where(edge).select(lang, word.alias("w1"), F.col("second").alias("w2"), third, "n")
-    pairs = (
-        by_pair.where(F.col("second") != "").where((F.col("n") >= min_count) | (F.col("salt") > 0))
-        .groupBy("first", "second").agg(F.sum("n").alias("n"), F.max("out").alias("out"))
-        .where(F.col("n") >= min_count).select(lang, word.alias("w1"), F.col("second").alias("w2"), "n", F.coalesce("out", F.lit(0)).alias("out"))
-    )
-    words = (
-        by_word.where((F.col("n") >= min_count) | (F.col("salt") > 0))
-        .groupBy("first").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select(lang, word.alias("w"), "n")
-    )
-    totals = by_word.groupBy(lang).agg(F.sum("n").alias("n"))
-    # one table, written once: the branches share their shuffle and not what they would recompute of it later
-    none = F.lit(None).cast("string")
-    zero = F.lit(0).cast("long")
-    table = kept(
-        edges.select(F.lit(3).alias("k"), "lang", "w1", "w2", "w3", "n", zero.alias("out"))
-        .unionByName(pairs.select(F.lit(2).alias("k"), "lang", "w1", "w2", none.alias("w3"), "n", "out"))
-        .unionByName(words.select(F.lit(1).alias("k"), "lang", F.col("w").alias("w1"), none.alias("w2"), none.alias("w3"), "n", zero.alias("out")))
-        .unionByName(totals.select(F.lit(0).alias("k"), "lang", none.alias("w1"), none.alias("w2"), none.alias("w3"), "n", zero.alias("out")))
+    # all in the partition of the first word: what is frequent, or only a part of a hot word's, is carried along
+    by_pair = summed.groupBy("first", "salt", "second").agg(
+        F.sum("n").alias("n"), F.max(F.when(edge, F.col("n"))).alias("out"), F.collect_list(F.when(edge, F.struct(third, "n"))).alias("edges")
     )
-    return (
-        table.where("k = 3").select("lang", "w1", "w2", "w3", "n"),
-        table.where("k = 2").select("lang", "w1", "w2", "n", "out"),
-        table.where("k = 1").select("lang", F.col("w1").alias("w"), "n"),
-        table.where("k = 0").select("lang", "n"),
+    frequent = (F.col("second") != "") & ((F.col("n") >= min_count) | (F.col("salt") > 0))
+    by_word = by_pair.groupBy("first", "salt").agg(
+        F.sum("n").alias("n"), F.collect_list(F.when(frequent, F.struct(F.col("second").alias("w2"), "n", "out", "edges"))).alias("pairs")
     )
+    lang = F.expr("substring(first, instr(first, '\t') + 1)").alias("lang")
+    table = kept(by_word.select(lang, F.substring_index("first", "\t", 1).alias("w1"), "n", "pairs"))
+    parts = table.select("lang", "w1", F.inline("pairs"))
+    edges = parts.select("lang", "w1", "w2", F.inline("edges")).select("lang", "w1", "w2", "w3", "n")
+    pairs = parts.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"), F.coalesce(F.max("out"), F.lit(0)).alias("out"))
+    words = table.groupBy("lang", F.col("w1").alias("w")).agg(F.sum("n").alias("n"))
+    return edges, pairs.where(F.col("n") >= min_count), words.where(F.col("n") >= min_count), table.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _node(*words: str) -> Column:

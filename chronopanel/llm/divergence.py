@@ -126,7 +126,7 @@ def price_block(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right
     """
     width = max(1, min(LOW, 1 + int(max(left.max(initial=0), right.max(initial=0)))))
     level = np.arange(width)
-    one_hot = lambda c: (c[:, :, None] == level).reshape(len(c), -1).astype(np.float32)
+    one_hot = lambda c: (c[:, :, None] == level).reshape(len(c), c.shape[1] * width).astype(np.float32)
     tables = (one_hot(left).T @ one_hot(right)).astype(np.int64)
     tables = tables.reshape(left.shape[1], width, right.shape[1], width)
     p = shares(level[None, :], n_left[:, None], vocabulary)[:, :, None, None]

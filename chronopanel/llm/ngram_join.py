@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from chronopanel.llm.common import kept, remove, shared_folder
 from chronopanel.llm.graph import components
+from chronopanel.llm.hashing import SEED, WordHashes, mix
 
-SEED = 42
 ORDERS = 3
 BLOCK = 512
 BLOCK_SHINGLES = 400_000
@@ -50,66 +50,20 @@ HOT_PARTS = 18
 LOSS = 4
 SHARED = 10
 CHUNK = 1 << 22
-STRETCH = 1 << 20
 _COLUMNS = 4096
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(32))) * _ODD[3]
-        x = (x ^ (x >> np.uint64(29))) * _ODD[0]
-        return x ^ (x >> np.uint64(32))
 
 
 class Shingler:
-    """Sets of texts. Words are hashed by a polynomial over their bytes, all words of a stretch of text at once."""
+    """Sets of texts."""
 
     def __init__(self, words: int):
         self.words = words
-        self.factors = _mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
-        self.letters = _mix(np.arange(256, dtype=np.uint64) + np.uint64(SEED))
-        self.letters[0x41:0x5B] = self.letters[0x61:0x7B]
-        self.blank = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _reach(self, size: int) -> None:
-        """Powers of the base and of its inverse up to this length."""
-        with np.errstate(over="ignore"):
-            while len(self.powers) < size:
-                step, back = self.powers[-1] * _BASE, self.inverses[-1] * _UNBASE
-                self.powers = np.concatenate([self.powers, self.powers * step])
-                self.inverses = np.concatenate([self.inverses, self.inverses * back])
-
-    def _stretch(self, data: np.ndarray, blank: np.ndarray) -> np.ndarray:
-        self._reach(len(data) + 1)
-        edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.letters[data] * self.powers[: len(data)])])
-            return _mix((sums[end] - sums[start]) * self.inverses[start] + (end - start).astype(np.uint64) * _ODD[2])
-
-    def word_hashes(self, text: str) -> np.ndarray:
-        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        blank = self.blank[data]
-        out, at, ahead = [], 0, STRETCH
-        while at < len(data):  # stretches end at a blank, or after a word that is longer than they are
-            end = min(at + ahead, len(data))
-            if end < len(data):
-                last = np.flatnonzero(blank[at:end])
-                if not len(last):
-                    ahead *= 2
-                    continue
-                end = at + int(last[-1]) + 1
-            out.append(self._stretch(data[at:end], blank[at:end]))
-            at, ahead = end, STRETCH
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        self.factors = mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
+        self.hashes = WordHashes()
 
     def __call__(self, text: str | None) -> tuple[int, np.ndarray]:
         """Number of the text (signed) and its sorted distinct shingles."""
-        h = self.word_hashes(text or "")
+        h = self.hashes.of_bytes((text or "").encode("utf-8", "surrogatepass"))
         if not len(h):
             return 0, h
         width, n = min(self.words, len(h)), max(1, len(h) - self.words + 1)
@@ -117,7 +71,7 @@ class Shingler:
             total = np.full(n, width, np.uint64)
             for i in range(width):
                 total += h[i : i + n] * self.factors[i]
-        tokens = np.sort(_mix(total))
+        tokens = np.sort(mix(total))
         number = xxhash.xxh64_intdigest(h.tobytes(), SEED)
         return number - (number >> 63 << 64), tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])]
 
@@ -139,7 +93,7 @@ class Orders:
         return found
 
     def keys(self, tokens: np.ndarray, order: int, hot: np.ndarray) -> np.ndarray:
-        return (_mix(tokens ^ _mix(np.uint64([order + 1]))) >> np.uint64(1)) | (hot.astype(np.uint64) << np.uint64(63))
+        return (mix(tokens ^ mix(np.uint64([order + 1]))) >> np.uint64(1)) | (hot.astype(np.uint64) << np.uint64(63))
 
     def first(self, keys: np.ndarray, share: int = 1) -> np.ndarray:
         """Places of the prefix of a set with these keys, of which a partner has at least ``share``."""
