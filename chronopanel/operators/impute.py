@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.operators.fill import imputation_mask
-from chronopanel.operators.neighbours import POINTS_PER_BLOCK, QUERIES_PER_BATCH, best_k, check_metric, distances, hashed_part, parts_for, parts_for_cores
+from chronopanel.operators.neighbours import HELD_NUMBERS, SAMPLE, BoxCells, cells_for, check_metric, nearest, parts_for, search
 from chronopanel.operators.select import filter_countries
 from chronopanel.ordered import assign_blocks
 from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, numeric_columns, q, renewed, replace_columns, spread, to_long, to_wide
 
-# Weight guard of the neighbour average, robust-scaling quantiles.
+# Weight guard of the neighbour average, quantiles whose distance scales a feature (its median cancels out).
 WEIGHT_EPSILON = 1e-8
-SCALING_QUANTILES = (0.25, 0.5, 0.75)
+SCALING_QUANTILES = (0.25, 0.75)
 # History values looked up together when finding scaling statistics.
 VALUES_PER_BLOCK = 100_000
 
@@ -40,97 +40,136 @@ def _quartile_without(values: Mapping[int, float], n: int, p: float, own: float)
     return first if at == low else first + (pick(low + 1) - first) * (at - low)
 
 
-def _scaling_statistics(history: DataFrame, asked: DataFrame, blocks: int) -> DataFrame:
+def _complete(own: Sequence[str], patterns: Sequence[str]) -> np.ndarray:
+    """(pattern, row): whether a row has every feature of a pattern; both as strings of 0 and 1."""
+    bits = lambda flags: np.array([list(f.encode()) for f in flags], dtype=np.uint8).reshape(len(flags), -1) - ord("0")
+    if not len(own) or not len(patterns):
+        return np.zeros((len(patterns), len(own)), bool)
+    kinds, kind = np.unique(np.asarray(own, dtype=object).astype(str), return_inverse=True)
+    have, need = bits(kinds).astype(np.float32), bits(patterns).astype(np.float32)
+    return (need @ (1 - have).T == 0)[:, kind]
+
+
+def _daily_sizes(rows: pd.DataFrame, asks: pd.DataFrame) -> list[tuple]:
+    """(pattern, dates, rows up to each that have the pattern) of one block of values."""
+    rows = rows.sort_values(DATE, kind="stable")
+    day, c = rows[DATE].to_numpy(), rows["c"].to_numpy()
+    out = []
+    for pattern, dates, ok in zip(asks["pattern"], asks["dates"], _complete(rows["own"], list(asks["pattern"])), strict=True):
+        at = np.searchsorted(day[ok], np.array(dates, dtype=object), side="right")
+        out.append((pattern, dates, np.concatenate([[0], np.cumsum(c[ok])])[at]))
+    return out
+
+
+def _values_at(rows: pd.DataFrame, asks: pd.DataFrame) -> list[np.ndarray]:
+    """For every ask (pattern, Date, local ranks) the values of these ranks in a block sorted by value."""
+    rows = rows.sort_values("v", kind="stable")
+    v, c, day = rows["v"].to_numpy(), rows["c"].to_numpy(), rows[DATE].to_numpy()
+    patterns = list(dict.fromkeys(asks["pattern"]))
+    complete = dict(zip(patterns, _complete(rows["own"], patterns), strict=True))
+    out = []
+    for pattern, d, local in zip(asks["pattern"], asks[DATE], asks["local"], strict=True):
+        ends = np.cumsum(np.where(complete[pattern] & (day <= d), c, 0))
+        out.append(v[np.searchsorted(ends, np.asarray(local), side="right")])
+    return out
+
+
+def _scaling_statistics(rows: DataFrame, asked: DataFrame, blocks: int) -> DataFrame:
     """Order statistics of every feature over the growing history of each pattern.
 
-    ``history`` holds (pattern, Date, x); ``asked`` the (pattern, Date) pairs
-    that need scaling. Values are collapsed to counts, cut into value blocks,
-    and only the blocks' daily counts are brought together; each wanted rank is
-    then looked up inside its own block.
+    ``rows`` holds (own, Date, x), ``asked`` the (pattern, Date) pairs that need scaling. A row is read once per feature
+    it has, whatever the patterns: values are collapsed to counts per date and missing-value mask and cut into value
+    blocks; every pattern asks every block of its features how many of its rows count by each date, and then only the
+    blocks that hold a wanted rank for the value.
     """
-    long = history.select("pattern", DATE, F.posexplode("x").alias("f", "v")).where(F.substring("pattern", F.col("f") + 1, F.lit(1)) == "1")
-    counts = long.groupBy("pattern", "f", DATE, "v").agg(F.count("*").alias("c"))
-    blocked = assign_blocks(counts, ["pattern", "f"], "v", blocks).withColumnRenamed("__block", "b")
-    daily = blocked.groupBy("pattern", "f", "b", DATE).agg(F.sum("c").alias("c"))
-    pairs = daily.select("pattern", "f").distinct().join(asked.distinct(), "pattern")
-
-    def ranks(pdf: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        """Daily block counts of one pattern and feature to the (date, block, local rank) to look up."""
-        dates = sorted(asks[DATE])
-        table = pdf.pivot_table(index=DATE, columns="b", values="c", aggfunc="sum", fill_value=0).sort_index()
-        cumulative = table.cumsum()
-        blocks = cumulative.columns.to_numpy()
-        position = np.searchsorted(cumulative.index.to_numpy(), np.array(dates, dtype=object), side="right") - 1
+    long = rows.select("own", DATE, F.posexplode("x").alias("f", "v")).where(F.col("v").isNotNull())
+    counts = long.groupBy("own", "f", DATE, "v").agg(F.count("*").alias("c"))
+    if blocks > 1:
+        blocked = assign_blocks(counts, ["f"], "v", blocks).withColumnRenamed("__block", "b")
+    else:
+        blocked = counts.withColumn("b", F.lit(0))
+    blocked = blocked.select("own", "f", DATE, "v", "c", "b")
+    has = F.filter(F.sequence(F.lit(0), F.length("pattern") - 1), lambda i: F.substring("pattern", i + 1, F.lit(1)) == "1")
+    asks = asked.groupBy("pattern").agg(F.sort_array(F.collect_set(DATE)).alias("dates")).withColumn("f", F.explode(has))
+    schema = f"pattern string, f int, {DATE} date, n long, ranks array<long>, values array<double>"
+
+    def alone(pdf: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+        """One block per feature: the ranks are known at once."""
         out = []
-        for d, at in zip(dates, position):
-            if at < 0:
-                continue
-            upto = cumulative.iloc[at].to_numpy()
-            ends = np.cumsum(upto)
-            n = int(ends[-1])
-            for r in _order_positions(n):
-                j = int(np.searchsorted(ends, r, side="right"))
-                out.append((d, int(blocks[j]), int(r - (ends[j] - upto[j])), r, n))
-        key = pdf.iloc[0]
-        frame = pd.DataFrame(out, columns=[DATE, "b", "local", "rank", "n"])
-        return frame.assign(pattern=key["pattern"], f=key["f"])[["pattern", "f", DATE, "b", "local", "rank", "n"]]
-
-    wanted = (
-        daily.groupBy("pattern", "f")
-        .cogroup(renewed(pairs).groupBy("pattern", "f"))
-        .applyInPandas(ranks, f"pattern string, f int, {DATE} date, b int, local long, rank long, n long")
-    )
+        if len(pdf):
+            for pattern, dates, sizes in _daily_sizes(pdf, want):
+                out += [(pattern, d, int(n), _order_positions(int(n))) for d, n in zip(dates, sizes, strict=True) if n]
+        frame = pd.DataFrame(out, columns=["pattern", DATE, "n", "local"])
+        if not len(frame):
+            return pd.DataFrame(columns=["pattern", "f", DATE, "n", "ranks", "values"])
+        values = _values_at(pdf, frame)
+        f = int(pdf["f"].iloc[0])
+        return frame.assign(f=f, ranks=frame["local"], values=[x.tolist() for x in values])[["pattern", "f", DATE, "n", "ranks", "values"]]
+
+    if blocks == 1:
+        found = blocked.groupBy("f").cogroup(renewed(asks).groupBy("f")).applyInPandas(alone, schema)
+    else:
+        found = _statistics_by_blocks(blocked, asks)
+    return found.groupBy("pattern", DATE).agg(F.collect_list(F.struct("f", "n", "ranks", "values")).alias("stats"))
+
 
-    def look_up(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("v")
-        v, c, day = rows["v"].to_numpy(), rows["c"].to_numpy(), rows[DATE].to_numpy()
+def _statistics_by_blocks(blocked: DataFrame, asks: DataFrame) -> DataFrame:
+    """``_scaling_statistics`` where a feature has several blocks of values: sizes first, then the values of the ranks."""
+    per_block = blocked.select("f", "b").distinct().join(asks, "f")
+
+    def sizes(pdf: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for d, group in asks.groupby(DATE):
-            ends = np.cumsum(np.where(day <= d, c, 0))
-            at = np.searchsorted(ends, group["local"].to_numpy(), side="right")
-            out.append(group.assign(value=v[at]))
-        empty = asks.assign(value=np.nan)
-        frame = pd.concat(out, ignore_index=True) if out else empty
-        return frame[["pattern", "f", DATE, "rank", "n", "value"]]
-
-    found = (
-        blocked.select("pattern", "f", "b", DATE, "v", "c")
-        .groupBy("pattern", "f", "b")
-        .cogroup(renewed(wanted).groupBy("pattern", "f", "b"))
-        .applyInPandas(look_up, f"pattern string, f int, {DATE} date, rank long, n long, value double")
-    )
-    per_feature = found.groupBy("pattern", DATE, "f").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("found"), F.max("n").alias("n")
+        if len(pdf) and len(want):
+            f, b = int(pdf["f"].iloc[0]), int(pdf["b"].iloc[0])
+            for pattern, dates, n in _daily_sizes(pdf, want):
+                out += [(pattern, f, d, b, int(x)) for d, x in zip(dates, n, strict=True) if x]
+        return pd.DataFrame(out, columns=["pattern", "f", DATE, "b", "n"])
+
+    counted = (
+        blocked.groupBy("f", "b").cogroup(renewed(per_block).groupBy("f", "b")).applyInPandas(sizes, f"pattern string, f int, {DATE} date, b int, n long")
     )
-    packed = F.struct("f", "n", F.col("found.rank").alias("ranks"), F.col("found.value").alias("values"))
-    return per_feature.groupBy("pattern", DATE).agg(F.collect_list(packed).alias("stats"))
+    lists = counted.groupBy("pattern", "f", DATE).agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("blocks"))
 
-
-def _scales(stats, x: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Center and spread per used feature from the history without the row itself."""
-    center, spread = np.zeros(len(used)), np.ones(len(used))
+    def ranks(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                number = np.array([x["b"] for x in row.blocks])
+                size = np.array([x["n"] for x in row.blocks])
+                ends = np.cumsum(size)
+                n = int(ends[-1])
+                wanted = np.array(_order_positions(n), dtype=np.int64)
+                at = np.searchsorted(ends, wanted, side="right")
+                for j in np.unique(at):
+                    own = wanted[at == j]
+                    out.append((row.pattern, row.f, getattr(row, DATE), int(number[j]), n, own.tolist(), (own - (ends[j] - size[j])).tolist()))
+            yield pd.DataFrame(out, columns=["pattern", "f", DATE, "b", "n", "ranks", "local"])
+
+    wanted = lists.mapInPandas(ranks, f"pattern string, f int, {DATE} date, b int, n long, ranks array<long>, local array<long>")
+
+    def look_up(pdf: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+        if not len(want):
+            return pd.DataFrame(columns=["pattern", "f", DATE, "n", "ranks", "values"])
+        values = [x.tolist() for x in _values_at(pdf, want)]
+        return want.assign(values=values)[["pattern", "f", DATE, "n", "ranks", "values"]]
+
+    schema = f"pattern string, f int, {DATE} date, n long, ranks array<long>, values array<double>"
+    return blocked.groupBy("f", "b").cogroup(renewed(wanted).groupBy("f", "b")).applyInPandas(look_up, schema)
+
+
+def _spreads(stats, x: np.ndarray) -> np.ndarray:
+    """Interquartile range of each feature over the history without the row itself, 1 where it is zero or unknown."""
+    values: dict[int, dict[int, float]] = {}
+    sizes: dict[int, int] = {}
     for s in stats:
-        i = int(np.searchsorted(used, s["f"]))
-        values = dict(zip(s["ranks"], s["values"]))
-        lo, mid, hi = (_quartile_without(values, int(s["n"]), p, x[i]) for p in SCALING_QUANTILES)
-        center[i], spread[i] = mid, (hi - lo) or 1.0
-    return center, spread
-
-
-def _serving_patterns(owns: DataFrame, patterns: DataFrame, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(own, pattern) pairs in which the features a row has include those a target needs.
-
-    A target pattern is looked up by its rarest feature only, and the candidates
-    that come back are compared position by position.
-    """
-    filled = df.agg(*[F.count(q(c)).alias(f"f{i}") for i, c in enumerate(features)]).first()
-    rarest_first = sorted(range(len(features)), key=lambda i: filled[f"f{i}"])
-    has = lambda flags, i: F.substring(flags, i + 1, F.lit(1)) == "1"
-    places = F.sequence(F.lit(0), F.lit(len(features) - 1))
-    needed = patterns.withColumn("f", F.coalesce(*[F.when(has(F.col("pattern"), F.lit(i)), F.lit(i)) for i in rarest_first]))
-    offered = owns.withColumn("f", F.explode(F.filter(places, lambda i: has(F.col("own"), i))))
-    covered = F.forall(places, lambda i: ~has(F.col("pattern"), i) | has(F.col("own"), i))
-    return needed.join(offered, "f").where(covered).select("own", "pattern")
+        values.setdefault(s["f"], {}).update(zip(s["ranks"], s["values"], strict=True))
+        sizes[s["f"]] = int(s["n"])
+    out = np.ones(len(x))
+    for f, known in values.items():
+        if sizes[f] > 1:
+            low, high = (_quartile_without(known, sizes[f], p, x[f]) for p in SCALING_QUANTILES)
+            out[f] = (high - low) or 1.0
+    return out
 
 
 def _weighted_average(i: int) -> Column:
@@ -153,15 +192,67 @@ def knn_impute(
     """Fill masked cells from the ``k`` nearest rows dated the same day or earlier.
 
     A row is compared on the features it has, with history rows that have them
-    all, after scaling each feature by its median and interquartile range over
+    all, after scaling each feature by its interquartile range over
     exactly that history. Neighbours weigh by inverse distance. Every cell is
     computed from the panel as given, never from cells filled in the same pass.
     The panel is checkpointed first because several steps read it.
+
+    Rows carry their gaps inside the array of their features: a row is never
+    copied per pattern of gaps. Rows lie in cells of similar rows; the ranges
+    of a cell bound how near it can come under the scaling of any row, so a row
+    meets few cells.
     """
-    check_metric(metric)
+    if check_metric(metric) == "cosine":
+        raise ValueError("neighbour imputation compares by euclidean or manhattan distance")
     return _knn_pass(cut_lineage(df), columns, k, mask, features, metric, normalise)
 
 
+def _cells(rows_: DataFrame, targets: DataFrame) -> tuple[BoxCells, DataFrame, dict[int, int]]:
+    """Cells with what is known of them, the rows with their cell, and rows per cell."""
+    sample = rows_.orderBy(F.xxhash64(*KEYS)).limit(SAMPLE).select("x").collect()
+    if not sample:
+        return BoxCells(()), rows_.withColumn("cell", F.lit(0)), {}
+    x = np.array([r["x"] for r in sample], dtype=float)
+    used = targets.agg(*[F.avg(F.substring("pattern", i + 1, 1).cast("double")).alias(f"u{i}") for i in range(x.shape[1])]).first()
+    cut = BoxCells.cut(x, cells_for(rows_.count()), np.array([u or 0.0 for u in used]))
+    empty = BoxCells(cut)
+    schema = rows_.schema.simpleString().removeprefix("struct<").removesuffix(">")
+
+    def place(batches):
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(cell=empty.assign(np.array(batch["x"].tolist(), dtype=float)))
+
+    placed = cut_lineage(rows_.mapInPandas(place, f"{schema}, cell int"))
+
+    def summary(low, high, known, n, first):
+        return pd.DataFrame({"low": [low.tolist()], "high": [high.tolist()], "known": [known.tolist()], "n": [n], "first": [first]})
+
+    def ranges(batches):
+        for batch in batches:
+            for cell, own in batch.groupby("cell"):
+                x = np.array(own["x"].tolist(), dtype=float)
+                there = ~np.isnan(x)
+                low, high = np.where(there, x, np.inf).min(axis=0), np.where(there, x, -np.inf).max(axis=0)
+                yield summary(low, high, there.sum(axis=0), len(own), min(own[DATE])).assign(cell=np.int32(cell))
+
+    def merge(key, own: pd.DataFrame) -> pd.DataFrame:
+        stack = lambda c: np.array(own[c].tolist(), dtype=float)
+        low, high, known = stack("low").min(axis=0), stack("high").max(axis=0), stack("known").sum(axis=0)
+        return summary(low, high, known.astype(int), own["n"].sum(), min(own["first"])).assign(cell=key[0])
+
+    kind = "low array<double>, high array<double>, known array<long>, n long, first date, cell int"
+    found = placed.select(DATE, "x", "cell").mapInPandas(ranges, kind).groupBy("cell").applyInPandas(merge, kind).collect()
+    size = 1 + max(r["cell"] for r in found)
+    width = len(found[0]["low"])
+    low, high, known = np.full((size, width), np.inf), np.full((size, width), -np.inf), np.zeros((size, width))
+    first = np.full(size, np.inf)
+    for r in found:
+        low[r["cell"]], high[r["cell"]], known[r["cell"]] = r["low"], r["high"], r["known"]
+        first[r["cell"]] = r["first"].toordinal()
+    return BoxCells(cut, low, high, known, first), placed, {r["cell"]: r["n"] for r in found}
+
+
 def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=None, metric="euclidean", normalise=True) -> DataFrame:
     columns = [c for c in (columns or numeric_columns(df)) if c in df.columns and c not in KEYS]
     features = list(features or numeric_columns(df))
@@ -176,75 +267,74 @@ def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=N
         F.array(*[q(c).cast("double") for c in masked]).alias("y"),
         F.concat(*[F.when(q(c).isNotNull(), "1").otherwise("0") for c in features]).alias("own"),
     )
-    targets = (
-        rows_.join(asks, list(KEYS)).where(F.col("own").contains("1")).select(*KEYS, "x", "want", F.col("own").alias("pattern"))
-    )
-    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches = parts_for_cores(targets.count(), QUERIES_PER_BATCH, cores)
-    serves = _serving_patterns(rows_.select("own").distinct(), targets.select("pattern").distinct(), df, features)
-    history = rows_.join(serves, "own").select("pattern", *KEYS, "x", "y")
-
+    targets = rows_.join(asks, list(KEYS)).where(F.col("own").contains("1")).select(*KEYS, "x", F.col("own").alias("pattern"))
     if normalise:
-        stats = _scaling_statistics(history, targets.select("pattern", DATE), parts_for(df.count(), VALUES_PER_BLOCK))
-        targets = targets.join(stats, ["pattern", DATE])
-    else:
-        targets = targets.withColumn("stats", F.lit(None).cast("array<struct<f:int,n:bigint,ranks:array<bigint>,values:array<double>>>"))
-
-    # Blocks never mix years, so a target skips all blocks of later years.
-    sizes = history.groupBy("pattern", F.year(DATE).alias("year")).agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("salts", F.ceil(F.col("n") / POINTS_PER_BLOCK).cast("int"))
-    batched = targets.withColumn("batch", hashed_part(KEYS, batches))
-    blocks = (
-        history.withColumn("year", F.year(DATE))
-        .join(sizes.select("pattern", "year", "salts"), ["pattern", "year"])
-        .withColumn("salt", F.pmod(F.xxhash64(*KEYS), F.col("salts")).cast("int"))
-    )
-    per_pattern = sizes.groupBy("pattern").agg(F.collect_list(F.struct("year", "salts")).alias("blocks"))
-    asked = (
-        batched.join(per_pattern, "pattern")
-        .select(*batched.columns, F.explode(F.filter("blocks", lambda b: b["year"] <= F.year(DATE))).alias("b"))
-        .select(*batched.columns, F.col("b.year").alias("year"), F.explode(F.sequence(F.lit(0), F.col("b.salts") - 1)).alias("salt"))
-    )
-    used_batches = batched.groupBy("pattern").agg(F.collect_set("batch").alias("batches"))
-    offered = blocks.join(used_batches, "pattern").select(
-        "pattern", *KEYS, "x", "y", "year", "salt", F.explode("batches").alias("batch")
-    )
+        stats = _scaling_statistics(rows_.select("own", DATE, "x"), targets.select("pattern", DATE), parts_for(df.count(), VALUES_PER_BLOCK))
+        targets = targets.join(stats, ["pattern", DATE], "left")
+
+    def scaled(batches):
+        for pdf in batches:
+            x = [np.array(r, dtype=float) for r in pdf["x"]]
+            stats = pdf["stats"] if normalise else [None] * len(pdf)
+            spreads = [_spreads(s, own).tolist() if s is not None else [1.0] * len(own) for s, own in zip(stats, x, strict=True)]
+            yield pd.DataFrame({ENTITY: pdf[ENTITY], DATE: pdf[DATE], "x": pdf["x"], "pattern": pdf["pattern"], "scale": spreads})
+
+    kind = f"{ENTITY} string, {DATE} date, x array<double>, pattern string, scale array<double>"
+    targets = cut_lineage(targets.mapInPandas(scaled, kind))
+    cells, placed, sizes = _cells(rows_.select(*KEYS, "x", "y"), targets)
+
+    def bounds(pdf: pd.DataFrame) -> np.ndarray:
+        day = np.array([d.toordinal() for d in pdf[DATE]], dtype=float)
+        stacked = lambda c: np.array(pdf[c].tolist(), dtype=float)
+        return cells.bounds(stacked("x"), stacked("scale"), day, metric)
+
     schema = f"{ENTITY} string, {DATE} date, n_country string, n_date date, distance double, y array<double>"
 
     def meet(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(candidates):
-            used = np.array([i for i, c in enumerate(queries["pattern"].iloc[0]) if c == "1"])
-            x = np.stack([np.array(r, dtype=float) for r in candidates["x"]])[:, used]
+            candidates = candidates.sort_values([ENTITY, DATE])
+            every = np.array(candidates["x"].tolist(), dtype=float)
             country, day = candidates[ENTITY].to_numpy(), candidates[DATE].to_numpy()
-            for row in queries.itertuples(index=False):
-                own = np.array(row.x, dtype=float)[used]
-                usable = np.flatnonzero((day <= row.Date) & ~((country == row.Country) & (day == row.Date)))
+            ordinal = np.array([d.toordinal() for d in day])
+            y = candidates["y"].to_numpy()
+            for pattern, own in queries.groupby("pattern", sort=False):
+                used = np.flatnonzero(np.frombuffer(pattern.encode(), np.uint8) == ord("1"))
+                usable = np.flatnonzero(~np.isnan(every[:, used]).any(axis=1))
                 if not len(usable):
                     continue
-                center, spread = _scales(row.stats, own, used) if row.stats is not None else (np.zeros(len(used)), np.ones(len(used)))
-                d = distances((x[usable] - center) / spread, (own - center) / spread, metric)
-                pick = best_k(d, [country[usable], day[usable]], k)
-                at = usable[pick]
-                out.append(
-                    pd.DataFrame(
-                        {
-                            ENTITY: row.Country,
-                            DATE: row.Date,
-                            "n_country": country[at],
-                            "n_date": day[at],
-                            "distance": d[pick],
-                            "y": candidates["y"].to_numpy()[at],
-                        }
+                points = every[np.ix_(usable, used)]
+                step = max(1, HELD_NUMBERS // len(usable))
+                for at in range(0, len(own), step):
+                    part = own.iloc[at : at + step]
+                    x, scale = (np.array(part[c].tolist(), dtype=float)[:, used] for c in ("x", "scale"))
+                    d = np.zeros((len(part), len(usable)))
+                    for f in range(len(used)):
+                        gap = np.abs(points[:, f][None, :] - x[:, f][:, None]) / scale[:, f][:, None]
+                        d += gap if metric == "manhattan" else gap * gap
+                    d = d if metric == "manhattan" else np.sqrt(d)
+                    asked = np.array([t.toordinal() for t in part[DATE]])
+                    self_ = (part[ENTITY].to_numpy()[:, None] == country[usable][None, :]) & (asked[:, None] == ordinal[usable][None, :])
+                    d[self_ | (ordinal[usable][None, :] > asked[:, None])] = np.inf
+                    row, column = nearest(d, k)
+                    found = usable[column]
+                    out.append(
+                        pd.DataFrame(
+                            {
+                                ENTITY: part[ENTITY].to_numpy()[row],
+                                DATE: part[DATE].to_numpy()[row],
+                                "n_country": country[found],
+                                "n_date": day[found],
+                                "distance": d[row, column],
+                                "y": y[found],
+                            }
+                        )
                     )
-                )
         if out:
             return pd.concat(out, ignore_index=True)
         return pd.DataFrame({c: pd.Series(dtype="object") for c in (ENTITY, DATE, "n_country", "n_date", "distance", "y")}).astype({"distance": "float64"})
 
-    group = ["pattern", "batch", "year", "salt"]
-    left, right = spread(asked, *group), spread(renewed(offered), *group)
-    near = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(meet, schema)
+    near = search(targets, placed, list(KEYS), k, sizes, bounds, meet, schema)
     best = near.groupBy(*KEYS).agg(
         F.slice(F.array_sort(F.collect_list(F.struct("distance", "n_country", "n_date", "y"))), 1, k).alias("best")
     )

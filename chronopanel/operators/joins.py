@@ -145,6 +145,28 @@ def align_window_labels(window_rows: DataFrame, labelled: DataFrame, label: str
     return window_rows.join(labelled.select(*KEYS, label), list(KEYS), "inner")
 
 
+def history_join(targets: DataFrame, history: DataFrame, bucket: str = "month", parts: int = 8) -> DataFrame:
+    """Every row of ``targets`` with every row of ``history`` dated the same day or earlier, itself left out.
+
+    A history row comes in the struct ``history``. Dates fall into calendar buckets (``month``, ``quarter`` or ``year``):
+    a target meets each bucket up to its own by equality, and only in its own are dates compared row by row, so no pair
+    of a later bucket is ever formed. Each bucket is dealt out to ``parts`` tasks. Rows without a date have no history
+    and are in none.
+    """
+    months = {"month": 1, "quarter": 3, "year": 12}[bucket]
+    start = F.trunc(DATE, bucket)
+    first = history.agg(F.min(start)).scalar()
+    upto = F.sequence(first, start, F.make_ym_interval(F.lit(0), F.lit(months)))
+    left = targets.withColumns({"__own": start, "__bucket": F.explode(F.when(first <= start, upto))})
+    left = left.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = history.select(
+        start.alias("__bucket"), F.pmod(F.xxhash64(*KEYS), F.lit(parts)).cast("int").alias("__part"), F.struct(*[q(c) for c in history.columns]).alias("history")
+    )
+    past = (F.col("__bucket") < F.col("__own")) | (F.col(f"history.{DATE}") <= F.col(DATE))
+    itself = (F.col(f"history.{DATE}") == F.col(DATE)) & F.col(f"history.{ENTITY}").eqNullSafe(F.col(ENTITY))
+    return left.join(right, ["__bucket", "__part"]).where(past & ~itself).drop("__own", "__bucket", "__part")
+
+
 def crisis_intervals(crises: DataFrame, panel: DataFrame) -> DataFrame:
     """Calendar-year intervals of crisis years, clipped to the shown range of the panel."""
     lo = panel.agg(F.date_sub(F.min(DATE), TIMELINE_MARGIN_DAYS)).scalar()

@@ -1,29 +1,40 @@
-"""Exact nearest neighbours by blocks.
+"""Exact nearest neighbours that visit few cells.
 
-Points are hashed into blocks of bounded size and queries into batches. Every
-batch meets every block once, in one task that holds just the two of them,
-computes distances with numpy and emits only the best ``k`` per query; the
-per-block winners are merged afterwards. No pair of rows is ever materialised
-and no candidate is left out, so the result is exact.
+Points are put into cells of points that lie together. Of every cell a little is known exactly: the range of every
+feature (``BoxCells``) or the distances to its pivot (``PivotCells``), from which follows how near a query could be to
+anything in it. Cells are visited best first: each query meets its nearest cell, which gives a distance its ``k``
+neighbours cannot exceed, then in rounds of growing size the next ones, as long as they could hold something as near.
+Where cells are cut follows a bounded sample; what is known of them, and so the result, covers all points. Cells and
+queries meet in tasks of bounded size that compute distances with numpy and emit the best ``k`` per query; no pair of
+rows is ever materialised. On data without any structure every cell has to be visited.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.schema import renewed, spread
+from chronopanel.schema import cut_lineage, renewed, spread
 
-# Blocks and batches are equally large, which moves the fewest copies for the memory of a task.
+# Points and queries that one task holds at once.
 POINTS_PER_BLOCK = 50_000
 QUERIES_PER_BATCH = 50_000
-# Smaller inputs are still cut up so that all cores have a pair of parts.
-SMALLEST_PART = 500
+# Cells aim at this many points, within a range of cells that is small enough for every task.
+POINTS_PER_CELL = 1024
+LEAST_CELLS, MOST_CELLS = 8, 4096
+# Rows that decide where cells are cut.
+SAMPLE = 20_000
+# Numbers a task works on at once.
+HELD_NUMBERS = 2_000_000
+# A round of a search visits so many times the cells visited before.
+ROUND = 8
+# What rounding may add to a bound.
+SLACK = 1e-9
 
 METRICS = ("euclidean", "manhattan", "cosine")
 
@@ -38,74 +49,301 @@ def parts_for(rows: int, per_part: int) -> int:
     return max(1, -(-rows // per_part))
 
 
-def parts_for_cores(rows: int, per_part: int, cores: int) -> int:
-    """Parts of bounded size, and enough of them that their pairs occupy the cores."""
-    by_cores = min(math.isqrt(max(cores - 1, 0)) + 1, max(1, rows // SMALLEST_PART))
-    return max(parts_for(rows, per_part), by_cores)
+def cells_for(points: int) -> int:
+    return min(max(parts_for(points, POINTS_PER_CELL), LEAST_CELLS), MOST_CELLS)
 
 
-def hashed_part(keys: Sequence[str], parts: int):
-    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+def nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` smallest finite distances of every row, equal ones by column."""
+    if d.shape[1] > k:
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        row, column = np.nonzero((d <= limit) & np.isfinite(d))
+    else:
+        row, column = np.nonzero(np.isfinite(d))
+    order = np.lexsort([column, d[row, column], row])
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+@dataclass(frozen=True)
+class BoxCells:
+    """Cells of rows with missing features, cut by a tree; what all rows of a cell lie in, per feature.
+
+    ``tree`` has (feature, threshold, below, above, missing) per node, a leaf its number as -1 - number.
+    """
+
+    tree: tuple[tuple[int, float, int, int, int], ...]
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+    known: np.ndarray | None = None
+    first: np.ndarray | None = None
+
+    @staticmethod
+    def cut(x: np.ndarray, cells: int, use: np.ndarray) -> tuple:
+        """Tree over sample rows: the widest feature, by its own scale and by how many queries ``use`` it, is cut at its
+        median; rows without it go apart."""
+        with np.errstate(all="ignore"):
+            some = ~np.isnan(x).all(axis=0)
+            scale = np.ones(x.shape[1])
+            scale[some] = np.maximum(np.nanstd(x[:, some], axis=0), 1e-300)
+        size = max(len(x) / cells, 1)
+        tree: list = []
+        leaves = 0
+
+        def grow(rows: np.ndarray) -> int:
+            nonlocal leaves
+            own = x[rows]
+            there = ~np.isnan(own)
+            width = np.zeros(x.shape[1])
+            for f in np.flatnonzero(there.sum(axis=0) > 1):
+                width[f] = own[there[:, f], f].std() / scale[f] * there[:, f].mean() * use[f]
+            f = int(width.argmax()) if len(width) else 0
+            if len(rows) <= size or not len(width) or width[f] <= 1e-12:
+                leaves += 1
+                return -leaves
+            at = float(np.median(own[there[:, f], f]))
+            if not (own[there[:, f], f] > at).any():
+                at = float(own[own[:, f] < at, f].max())
+            node = len(tree)
+            tree.append(None)
+            below, above = rows[there[:, f] & (own[:, f] <= at)], rows[there[:, f] & (own[:, f] > at)]
+            tree[node] = (f, at, grow(below), grow(above), grow(rows[~there[:, f]]))
+            return node
+
+        root = grow(np.arange(len(x)))
+        return tuple(tree) if root >= 0 else ()
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int32)
+
+        def go(node: int, rows: np.ndarray) -> None:
+            if not len(rows):
+                return
+            if node < 0:
+                out[rows] = -1 - node
+                return
+            f, at, below, above, missing = self.tree[node]
+            v = x[rows, f]
+            gone = np.isnan(v)
+            go(below, rows[~gone & (v <= at)])
+            go(above, rows[~gone & (v > at)])
+            go(missing, rows[gone])
+
+        if self.tree:
+            go(0, np.arange(len(x)))
+        return out
+
+    def bounds(self, x: np.ndarray, scale: np.ndarray, day: np.ndarray, metric: str) -> np.ndarray:
+        """Least distance of every query to anything in every cell; inf where a cell has nothing it could use."""
+        out = np.zeros((len(x), len(self.low)))
+        out[self.first[None, :] > day[:, None]] = np.inf
+        for f in range(x.shape[1]):
+            q = np.flatnonzero(~np.isnan(x[:, f]))
+            if not len(q):
+                continue
+            v, s = x[q, f][:, None], scale[q, f][:, None]
+            gap = np.maximum(np.maximum(self.low[None, :, f] - v, v - self.high[None, :, f]), 0) / s
+            gap = gap * gap if metric == "euclidean" else gap
+            gap[:, self.known[:, f] == 0] = np.inf
+            out[q] += gap
+        return (np.sqrt(out) if metric == "euclidean" else out) * (1 - SLACK)
+
+
+@dataclass(frozen=True)
+class PivotCells:
+    """Cells of complete points around pivots; how near and far its points are from the pivot.
+
+    Under ``cosine`` points and queries have length one and distances are compared through euclidean ones; points
+    without a direction have a cell of their own at distance one.
+    """
+
+    pivots: np.ndarray
+    metric: str
+    near: np.ndarray | None = None
+    far: np.ndarray | None = None
+
+    def between(self, x: np.ndarray) -> np.ndarray:
+        """Distances of points to pivots."""
+        if self.metric == "manhattan":
+            out = np.zeros((len(x), len(self.pivots)))
+            for f in range(x.shape[1]):
+                out += np.abs(x[:, f][:, None] - self.pivots[None, :, f])
+            return out
+        middle = self.pivots.mean(axis=0)
+        x, pivots = x - middle, self.pivots - middle
+        square = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * x @ pivots.T
+        return np.sqrt(np.maximum(square, 0))
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        d = self.between(x)
+        # distances through products carry an error of about the root of the machine precision times the lengths
+        middle = self.pivots.mean(axis=0)
+        reach = np.linalg.norm(x - middle, axis=1).max(initial=0) + np.linalg.norm(self.pivots - middle, axis=1).max(initial=0)
+        loose = 1e-6 * (reach + self.far[None, :])
+        low = np.maximum(np.maximum(d - self.far[None, :], self.near[None, :] - d) - loose, 0)
+        return low * low / 2 if self.metric == "cosine" else low
+
 
+def search(
+    queries: DataFrame,
+    points: DataFrame,
+    keys: Sequence[str],
+    k: int,
+    sizes: dict[int, int],
+    bounds: Callable[[pd.DataFrame], np.ndarray],
+    meet: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    found: str,
+) -> DataFrame:
+    """What ``meet`` finds, with ``found`` as schema, for each query in all cells that could hold one of its ``k`` nearest.
 
-def distances(points: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of all points to one query."""
+    ``queries`` are unique by ``keys``, ``points`` carry their ``cell``; ``sizes`` are points per cell. ``found`` has the
+    keys and ``distance``; of what comes back each query's ``k`` smallest distances are its nearest.
+    """
+    spark = queries.sparkSession
+    schema = queries.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    numbers = np.array(sorted(sizes))
+    table = spark.createDataFrame([(c, parts_for(n, POINTS_PER_BLOCK)) for c, n in sizes.items()], "cell int, parts int")
+
+    def routed(asked: DataFrame, lo: int, hi: int) -> DataFrame:
+        """Queries with their cells number ``lo`` to ``hi`` by bound, as far as those could hold a nearest one."""
+
+        def route(batches):
+            for batch in batches:
+                step = max(1, HELD_NUMBERS // max(len(numbers), 1))
+                for at in range(0, len(batch), step):
+                    part = batch.iloc[at : at + step]
+                    low = bounds(part)[:, numbers]
+                    limit = part["limit"].to_numpy(dtype=float)
+                    limit = np.where(np.isnan(limit), np.inf, limit)[:, None]
+                    order = np.argsort(low, axis=1, kind="stable")[:, lo:hi]
+                    ranked = np.take_along_axis(low, order, axis=1)
+                    row, place = np.nonzero(np.isfinite(ranked) & (ranked <= limit))
+                    yield part.iloc[row].drop(columns=["limit"]).assign(cell=numbers[order[row, place]].astype(np.int32))
+
+        return asked.mapInPandas(route, f"{schema}, cell int")
+
+    def met(asked: DataFrame) -> DataFrame:
+        loads = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_PER_BATCH).cast("int").alias("batches")).join(table, "cell")
+        loads = cut_lineage(loads)
+        range_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = asked.join(loads, "cell").withColumn("batch", F.pmod(F.xxhash64(*keys), "batches").cast("int"))
+        right = points.join(renewed(loads), "cell").withColumn("part", F.pmod(F.xxhash64(*points.columns[:1], F.lit(1)), "parts").cast("int"))
+        group = ["cell", "batch", "part"]
+        left = left.withColumn("part", range_("parts")).drop("batches", "parts")
+        right = right.withColumn("batch", range_("batches")).drop("batches", "parts")
+        return spread(left, *group).groupBy(*group).cogroup(spread(renewed(right), *group).groupBy(*group)).applyInPandas(meet, found)
+
+    near = met(routed(queries.withColumn("limit", F.lit(None).cast("double")), 0, 1))
+    by_distance = Window.partitionBy(*keys).orderBy("distance")
+    done = 1
+    while done < len(numbers):
+        near = cut_lineage(near)
+        limits = near.select(*keys, "distance", F.row_number().over(by_distance).alias("place")).where(F.col("place") == k)
+        limited = queries.join(limits.select(*keys, F.col("distance").alias("limit")), list(keys), "left")
+        if routed(limited, done, len(numbers)).isEmpty():
+            break
+        near = near.unionByName(met(routed(limited, done, done * ROUND)))
+        done *= ROUND
+    return near
+
+
+def distances(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all points (columns) to all queries (rows), by differences feature by feature."""
     if metric == "cosine":
-        norms = np.linalg.norm(points, axis=1) * np.linalg.norm(query)
-        return 1.0 - points @ query / np.where(norms > 0, norms, 1.0)
-    delta = points - query
-    return np.abs(delta).sum(axis=1) if metric == "manhattan" else np.sqrt((delta * delta).sum(axis=1))
+        norms = np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(points, axis=1))
+        return 1.0 - (queries @ points.T) / np.where(norms > 0, norms, 1.0)
+    out = np.zeros((len(queries), len(points)))
+    for f in range(points.shape[1]):
+        delta = points[:, f][None, :] - queries[:, f][:, None]
+        out += np.abs(delta) if metric == "manhattan" else delta * delta
+    return out if metric == "manhattan" else np.sqrt(out)
 
 
-def best_k(d: np.ndarray, ties: Sequence[np.ndarray], k: int) -> np.ndarray:
-    """Positions of the ``k`` smallest distances, equal ones ordered by ``ties``."""
-    if len(d) > 4 * k:
-        limit = np.partition(d, k - 1)[k - 1]
-        near = np.flatnonzero(d <= limit)
-    else:
-        near = np.arange(len(d))
-    order = np.lexsort([t[near] for t in reversed(ties)] + [d[near]])
-    return near[order[:k]]
+def _direction(x: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norms > 0, norms, 1.0)
+
+
+def _spread_out(sample: np.ndarray, n: int, metric: str) -> np.ndarray:
+    """``n`` pivots of a sample: half of them each the farthest from all before, which finds every cluster, half at random."""
+    if not len(sample):
+        return sample
+    chosen = [0]
+    away = PivotCells(sample[:1], metric).between(sample)[:, 0]
+    while len(chosen) < min(n // 2, len(sample)) and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, PivotCells(sample[chosen[-1:]], metric).between(sample)[:, 0])
+    others = np.setdiff1d(np.arange(len(sample)), chosen)
+    return sample[[*chosen, *others[: n - len(chosen)]]]
+
+
+def _placed(points: DataFrame, cells: PivotCells) -> DataFrame:
+    """Points with their cell and how far they are from its pivot; those without a direction in the cell after the last."""
+
+    def place(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(batch["x"].to_numpy())
+            d = cells.between(_direction(x) if cells.metric == "cosine" else x)
+            cell = d.argmin(axis=1)
+            away = d[np.arange(len(x)), cell]
+            if cells.metric == "cosine":
+                none = ~x.any(axis=1)
+                cell[none], away[none] = len(cells.pivots), 1.0
+            yield batch.assign(cell=cell.astype(np.int32), away=away)
+
+    return points.mapInPandas(place, "id long, x array<double>, cell int, away double")
 
 
 def knn_edges(df: DataFrame, id_column: str, vector: str, k: int = 15, metric: str = "euclidean") -> DataFrame:
-    """(id, neighbour, distance, rank) of the ``k`` nearest other points of every point."""
+    """(id, neighbour, distance, rank) of the ``k`` nearest other points of every point.
+
+    Pivots come from a bounded, hash-ordered sample; every point belongs to its nearest one, and the triangle inequality
+    bounds how near a cell can come.
+    """
     check_metric(metric)
-    points = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    points = cut_lineage(df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")))
     n = points.count()
     k = min(k, max(n - 1, 1))
-    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks, batches = parts_for_cores(n, POINTS_PER_BLOCK, cores), parts_for_cores(n, QUERIES_PER_BATCH, cores)
-    placed = points.withColumn("block", hashed_part(["id"], blocks)).withColumn("batch", hashed_part(["id"], batches))
-    # Each side is copied once per part of the other side.
-    left = placed.select("id", "x", "batch", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = placed.select("id", "x", "block", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
+    sample = points.orderBy(F.xxhash64("id")).limit(4 * cells_for(n)).collect()
+    width = len(sample[0]["x"]) if sample else 1
+    drawn = np.array([r["x"] for r in sample], dtype=float).reshape(len(sample), width)
+    cells = PivotCells(_spread_out(_direction(drawn) if metric == "cosine" else drawn, cells_for(n), metric), metric)
+    placed = cut_lineage(_placed(points, cells)) if sample else points.withColumns({"cell": F.lit(0), "away": F.lit(0.0)})
+    known = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("away").alias("near"), F.max("away").alias("far")).collect()
+    near, far = np.zeros(len(cells.pivots) + 1), np.zeros(len(cells.pivots) + 1)
+    for r in known:
+        near[r["cell"]], far[r["cell"]] = r["near"], r["far"]
+    cells = PivotCells(cells.pivots, metric, near[:-1], far[:-1])
+
+    def bounds(batch: pd.DataFrame) -> np.ndarray:
+        x = np.stack(batch["x"].to_numpy())
+        low = cells.bounds(_direction(x) if metric == "cosine" else x)
+        if metric == "cosine":
+            low[~x.any(axis=1)] = 0.0  # everything is at distance one from a query without direction
+        return np.column_stack([low, np.ones(len(x))])
 
     def meet(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(queries) and len(candidates):
-            ids = candidates["id"].to_numpy()
-            x = np.stack(candidates["x"].to_numpy())
-            for qid, qx in zip(queries["id"], queries["x"]):
-                d = distances(x, np.asarray(qx), metric)
-                d = np.where(ids == qid, np.inf, d)
-                pick = best_k(d, [ids], k)
-                pick = pick[np.isfinite(d[pick])]
-                found.append(pd.DataFrame({"id": qid, "neighbour": ids[pick], "distance": d[pick]}))
-        if not found:
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        return pd.concat(found, ignore_index=True)
-
-    near = (
-        spread(left, "batch", "block")
-        .groupBy("batch", "block")
-        .cogroup(spread(renewed(right), "batch", "block").groupBy("batch", "block"))
-        .applyInPandas(meet, "id long, neighbour long, distance double")
-    )
-    # k rows per block and point: a bounded list per point.
-    merged = near.groupBy("id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("best")
-    )
+            candidates = candidates.sort_values("id")
+            ids, asked = candidates["id"].to_numpy(), queries["id"].to_numpy()
+            x, qx = np.stack(candidates["x"].to_numpy()), np.stack(queries["x"].to_numpy())
+            for at in range(0, len(asked), max(1, HELD_NUMBERS // len(ids))):
+                own = slice(at, at + max(1, HELD_NUMBERS // len(ids)))
+                d = distances(x, qx[own], metric)
+                d[asked[own][:, None] == ids[None, :]] = np.inf
+                row, column = nearest(d, k)
+                found.append(pd.DataFrame({"id": asked[own][row], "neighbour": ids[column], "distance": d[row, column]}))
+        empty = pd.DataFrame({"id": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "distance": np.zeros(0)})
+        return pd.concat(found, ignore_index=True) if found else empty
+
+    sizes = {r["cell"]: r["n"] for r in known}
+    near_ = search(points, placed.select("id", "x", "cell"), ["id"], k, sizes, bounds, meet, "id long, neighbour long, distance double")
+    # k rows per cell a point visits: a bounded list per point
+    merged = near_.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("best"))
     return merged.select("id", F.posexplode("best").alias("pos", "b")).select(
         "id", F.col("b.neighbour").alias("neighbour"), F.col("b.distance").alias("distance"), (F.col("pos") + 1).alias("rank")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronopanel.operators import fill, impute
+from chronopanel.operators import fill, impute, joins
 from chronopanel.plans import views
 from chronopanel.plans.registry import query
 from chronopanel.plans.views import with_views
@@ -14,59 +14,94 @@ SPN = with_views("spn")
 C = ["total", "orders"]
 
 # Brute force: every target against every earlier row, features unpivoted.
-KNN = """t AS (SELECT row_number() OVER (ORDER BY Country, Date) AS id, * FROM spn),
+KNN = """t AS (SELECT row_number() OVER (ORDER BY Country, Date) AS id, * FROM {source}),
 l AS (SELECT id, Country, Date, 't' AS f, total AS v FROM t UNION ALL SELECT id, Country, Date, 'o', orders FROM t UNION ALL SELECT id, Country, Date, 'm', mean_price FROM t),
-tg AS (SELECT id, Country, Date FROM t WHERE {wanted}),
+tg AS (SELECT id, Country, Date FROM t WHERE total IS NULL OR orders IS NULL),
 fx AS (SELECT tg.id, tg.Date, l.f, l.v, count(*) OVER (PARTITION BY tg.id) AS nf FROM tg JOIN l ON l.id = tg.id WHERE l.v IS NOT NULL),
 pr AS (SELECT fx.id, h.id AS hid, fx.f, fx.v AS tv, h.v AS hv, fx.nf FROM fx JOIN l h ON h.f = fx.f AND h.v IS NOT NULL AND h.Date <= fx.Date AND h.id <> fx.id),
 cm AS (SELECT *, count(*) OVER (PARTITION BY id, hid) AS have FROM pr), ok AS (SELECT * FROM cm WHERE have = nf),
 sc AS (SELECT id, f, quantile_cont(hv, 0.75) - quantile_cont(hv, 0.25) AS iqr FROM ok GROUP BY 1, 2),
 ds AS (SELECT ok.id, ok.hid, {distance} AS d FROM ok JOIN sc ON sc.id = ok.id AND sc.f = ok.f GROUP BY 1, 2),
-nn AS (SELECT ds.*, h.total, h.orders FROM ds JOIN t h ON h.id = ds.hid QUALIFY row_number() OVER (PARTITION BY ds.id ORDER BY d, h.Country, h.Date) <= 5),
+nn AS (SELECT ds.*, h.total, h.orders FROM ds JOIN t h ON h.id = ds.hid QUALIFY row_number() OVER (PARTITION BY ds.id ORDER BY d, h.Country, h.Date) <= {k}),
 im AS (SELECT id, sum(total / (d + 1e-8)) / sum(CASE WHEN total IS NOT NULL THEN 1 / (d + 1e-8) END) AS total, sum(orders / (d + 1e-8)) / sum(CASE WHEN orders IS NOT NULL THEN 1 / (d + 1e-8) END) AS orders FROM nn GROUP BY 1)
-SELECT t.Country, t.Date, coalesce(t.total, {total}) AS total, coalesce(t.orders, im.orders) AS orders, t.mean_price FROM t LEFT JOIN im ON im.id = t.id"""
+SELECT t.Country, t.Date, coalesce(t.total, im.total) AS total, coalesce(t.orders, im.orders) AS orders, t.mean_price FROM t LEFT JOIN im ON im.id = t.id"""
+# The same pass for interior gaps only: what it fills before the first or after the last value is taken back.
+INTERIOR = """SELECT r.Country, r.Date, CASE WHEN b.total IS NULL AND NOT (r.Date > g.lo AND r.Date < g.hi) THEN NULL ELSE r.total END AS total,
+  CASE WHEN b.orders IS NULL AND NOT (r.Date > g.lo2 AND r.Date < g.hi2) THEN NULL ELSE r.orders END AS orders, r.mean_price
+FROM (WITH {knn}) r JOIN {source} b ON b.Country = r.Country AND b.Date = r.Date
+JOIN (SELECT Country, min(CASE WHEN total IS NOT NULL THEN Date END) AS lo, max(CASE WHEN total IS NOT NULL THEN Date END) AS hi,
+  min(CASE WHEN orders IS NOT NULL THEN Date END) AS lo2, max(CASE WHEN orders IS NOT NULL THEN Date END) AS hi2 FROM {source} GROUP BY 1) g ON g.Country = r.Country"""
 SPREAD = "CASE WHEN iqr = 0 THEN 1 ELSE iqr END"
 EUCLID = f"sqrt(sum(pow((hv - tv) / {SPREAD}, 2)))"
 MANHATTAN = f"sum(abs(hv - tv) / {SPREAD})"
 
 
-@query(
-    "jn10_imp1_knn_euclidean",
-    f"{SPN}, {KNN.format(wanted='total IS NULL OR orders IS NULL', distance=EUCLID, total='im.total')}",
-    approx=C,
-    digits=3,
-)
+
+
+def _knn_sql(source="spn", distance=EUCLID, k=5) -> str:
+    return KNN.format(source=source, distance=distance, k=k)
+
+
+@query("jn10_imp1_knn_euclidean", f"{SPN}, {_knn_sql()}", approx=C, digits=3)
 def knn(spark, sf):
     return impute.knn_impute(views.sparse_nation(spark, sf), C)
 
 
-@query(
-    "imp1_knn_manhattan",
-    f"{SPN}, {KNN.format(wanted='total IS NULL OR orders IS NULL', distance=MANHATTAN, total='im.total')}",
-    approx=C,
-    digits=3,
-)
+@query("imp1_knn_manhattan", f"{SPN}, {_knn_sql(distance=MANHATTAN)}", approx=C, digits=3)
 def knn_manhattan(spark, sf):
     return impute.knn_impute(views.sparse_nation(spark, sf), C, metric="manhattan")
 
 
-@query(
-    "imp1_knn_masked",
-    f"""{SPN}, g AS (SELECT Country, min(CASE WHEN total IS NOT NULL THEN Date END) AS lo, max(CASE WHEN total IS NOT NULL THEN Date END) AS hi,
-  min(CASE WHEN orders IS NOT NULL THEN Date END) AS lo2, max(CASE WHEN orders IS NOT NULL THEN Date END) AS hi2 FROM spn GROUP BY 1), full_result AS (
-{KNN.format(wanted='total IS NULL OR orders IS NULL', distance=EUCLID, total='im.total').replace('t AS (', '__t AS (', 1).replace('__t AS (', 'WITH t AS (', 1)})
-SELECT r.Country, r.Date, CASE WHEN spn.total IS NULL AND NOT (r.Date > g.lo AND r.Date < g.hi) THEN NULL ELSE r.total END AS total,
-  CASE WHEN spn.orders IS NULL AND NOT (r.Date > g.lo2 AND r.Date < g.hi2) THEN NULL ELSE r.orders END AS orders, r.mean_price
-FROM full_result r JOIN spn ON spn.Country = r.Country AND spn.Date = r.Date JOIN g ON g.Country = r.Country""",
-    approx=C,
-    digits=3,
-)
+@query("imp1_knn_masked", f"{SPN} {INTERIOR.format(source='spn', knn=_knn_sql())}", approx=C, digits=3)
 def knn_masked(spark, sf):
     """Interior gaps only."""
     panel = views.sparse_nation(spark, sf)
     return impute.knn_impute(panel, C, mask=fill.imputation_mask(panel, C))
 
 
+# The panel that grows with the tables: quantities from the suppliers and months most like them in revenue and lines.
+@query(
+    "imp1_knn_supplier",
+    f"""{with_views('sp')}, t AS (SELECT row_number() OVER (ORDER BY Country, Date) AS id, * FROM sp),
+tg AS (SELECT * FROM t WHERE quantity IS NULL AND (revenue IS NOT NULL OR lines IS NOT NULL)),
+pr AS (SELECT g.id, h.id AS hid, h.quantity, g.revenue AS r, g.lines AS n, h.revenue AS hr, h.lines AS hn FROM tg g JOIN t h
+  ON h.Date <= g.Date AND h.id <> g.id AND (g.revenue IS NULL OR h.revenue IS NOT NULL) AND (g.lines IS NULL OR h.lines IS NOT NULL)),
+sc AS (SELECT id, quantile_cont(CASE WHEN r IS NOT NULL THEN hr END, [0.25, 0.75]) AS qr, quantile_cont(CASE WHEN n IS NOT NULL THEN hn END, [0.25, 0.75]) AS qn FROM pr GROUP BY id),
+sp2 AS (SELECT id, CASE WHEN qr[2] - qr[1] = 0 THEN 1 ELSE qr[2] - qr[1] END AS sr, CASE WHEN qn[2] - qn[1] = 0 THEN 1 ELSE qn[2] - qn[1] END AS sn FROM sc),
+ds AS (SELECT pr.id, pr.hid, pr.quantity, coalesce(abs(hr - r) / sr, 0) + coalesce(abs(hn - n) / sn, 0) AS d FROM pr JOIN sp2 ON sp2.id = pr.id),
+nn AS (SELECT ds.* FROM ds JOIN t h ON h.id = ds.hid QUALIFY row_number() OVER (PARTITION BY ds.id ORDER BY d, h.Country, h.Date) <= 5),
+im AS (SELECT id, sum(quantity / (d + 1e-8)) / sum(CASE WHEN quantity IS NOT NULL THEN 1 / (d + 1e-8) END) AS quantity FROM nn GROUP BY 1)
+SELECT t.Country, t.Date, coalesce(t.quantity, im.quantity) AS quantity, t.revenue, t.lines FROM t LEFT JOIN im ON im.id = t.id""",
+    approx=["quantity"],
+    digits=3,
+)
+def knn_supplier(spark, sf):
+    return impute.knn_impute(views.sparse(spark, sf), ["quantity"], metric="manhattan")
+
+
+@query(
+    "jn10_history_join",
+    f"""{SPN} SELECT a.Country, a.Date, count(*) AS n, sum(h.orders) AS orders, max(h.Date) AS latest
+FROM spn a JOIN spn h ON h.Date <= a.Date AND NOT (h.Country = a.Country AND h.Date = a.Date) WHERE a.total IS NULL GROUP BY 1, 2""",
+)
+def history(spark, sf):
+    """What is known of other rows up to the date of every row without a total."""
+    panel = views.sparse_nation(spark, sf)
+    met = joins.history_join(panel.where("total IS NULL").select(*KEYS), panel.select(*KEYS, "orders"), "quarter")
+    return met.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum("history.orders").alias("orders"), F.max(f"history.{DATE}").alias("latest"))
+
+
+# Two passes, the second on what the first has filled.
+@query(
+    "imp2_knn_two_stages",
+    f"{SPN}, one AS ({INTERIOR.format(source='spn', knn=_knn_sql(distance=MANHATTAN))}), {_knn_sql('one', MANHATTAN, 3)}",
+    approx=C,
+    digits=2,
+)
+def knn_two_stages(spark, sf):
+    return impute.knn_impute_staged(views.sparse_nation(spark, sf), [("interior", 5), ("all", 3)], C, metric="manhattan")
+
+
 @query("imp2_knn_staged")
 def knn_staged(spark, sf):
     """Interior, trailing, leading, then all gaps, with three nations as donors."""
