@@ -20,11 +20,14 @@ Null text is empty, a null language ``und``. Repeated rows count again. Texts wi
 without candidates has no rows. Ties in rank go by count, then by UTF-8 bytes. An empty table gives an empty one. Other
 columns are not read. Very long texts are read whole, piece by piece; a path is never longer than a piece.
 
-Scale: tasks count the grams of ``HELD_BYTES`` of text at a time, by 64 bits of hash (two of some millions share one with
-odds of one in a million), and send each once. Words that make up more than one part in
-``HOT_PARTS`` of all (at most as many; found in a first pass by counts in the tasks, those rarer than a quarter of that
-left out there) are spread by their second word, and where that is hot too by the third; only their few partial sums meet
-again. The rest of the work is on phrases of at least ``min_count`` occurrences. Ranks are limited before their shuffle.
+Words travel as 64 bits of hash with their language and are spelled out again once only frequent phrases are left (of
+10^9 distinct words some two share a number with odds of 3 %).
+
+Scale: tasks count the grams of ``HELD_BYTES`` of text at a time and send each once. Words that make up more than one
+part in ``HOT_PARTS`` of all (at most as many; found in a first pass by counts in the tasks, those rarer than a quarter of
+that left out there) are spread by their second word, and where that is hot too by the third; only their few partial
+sums meet again. The rest of the work is on phrases of at least ``min_count`` occurrences. Ranks are limited before their
+shuffle.
 """
 
 from __future__ import annotations
@@ -33,18 +36,17 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.llm.common import kept
-from chronopanel.llm.hashing import WordHashes, mix
+from chronopanel.llm.hashing import WordHashes, bit_table, mix
 
 HELD_BYTES = 1 << 23
 HOT_PARTS = 2048
 SALTS = 64
-_GRAMS = 1 << 17
 
 _CUTS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c | 0x20 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -71,14 +73,12 @@ class Words:
         start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
         return Words(data, start, end, hashes.of_bytes(data.tobytes()), piece)
 
-    def strings(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
-        """Text from the beginning of one word to the end of another, empty where the last is before the first."""
-        begin, size = self.start[first], np.maximum(self.end[np.maximum(last, 0)] - self.start[first], 0)
-        size = np.where(last < first, 0, size)
-        offsets = np.concatenate([[0], np.cumsum(size)])
-        at = np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], size)
-        buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(self.data[at]))]
-        return pa.Array.from_buffers(pa.binary(), len(first), buffers).cast(pa.string())
+    def numbers(self, lang: str) -> np.ndarray:
+        """Number of every word in its language."""
+        return mix(self.hash ^ np.uint64(xxhash.xxh64_intdigest(lang)))
+
+    def text(self, at: int) -> str:
+        return self.data[self.start[at] : self.end[at]].tobytes().decode("utf-8", "surrogatepass")
 
 
 def _by_language(batches, hashes: WordHashes):
@@ -94,7 +94,7 @@ def _by_language(batches, hashes: WordHashes):
         held.clear()
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for lang, text in zip(batch["lang"], batch["text"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
             held[lang].append(data)
             size += len(data)
@@ -104,61 +104,72 @@ def _by_language(batches, hashes: WordHashes):
     yield from out()
 
 
-def hot_words(docs: DataFrame) -> dict[str, np.ndarray]:
-    """By language, the hashes of words that make up more than one part in ``HOT_PARTS`` of all, at most so many."""
+def hot_words(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """Numbers of words that make up more than one part in ``HOT_PARTS`` of all, and (lang, n), all words by language."""
 
     def count(batches):
         for lang, words in _by_language(batches, WordHashes()):
-            found, times = np.unique(words.hash, return_counts=True)
+            found, times = np.unique(words.numbers(lang), return_counts=True)
             often = times * HOT_PARTS * 4 > len(words.hash)
-            hashes = np.append(found[often].view(np.int64), 0)
-            counts = np.append(times[often], len(words.hash))
-            columns = [pa.array([lang] * len(counts), pa.string()), pa.array(hashes), pa.array(counts), pa.array(np.arange(len(counts)) == len(counts) - 1)]
-            yield pa.record_batch(columns, ["lang", "word", "n", "sum"])
+            yield pd.DataFrame({"lang": lang, "word": found[often].view(np.int64), "n": times[often], "sum": False})
+            yield pd.DataFrame({"lang": [lang], "word": [0], "n": [len(words.hash)], "sum": [True]})
 
-    counts = docs.mapInArrow(count, "lang string, word long, n long, sum boolean").groupBy("lang", "word", "sum").agg(F.sum("n").alias("n"))
-    counts = kept(counts)
-    total = counts.where("sum").agg(F.sum("n")).first()[0] or 0
-    hot: dict = defaultdict(list)
-    for r in counts.where(~F.col("sum") & (F.col("n") > total // HOT_PARTS)).collect():
-        hot[r["lang"]].append(r["word"])
-    return {lang: np.array(words, np.int64).view(np.uint64) for lang, words in hot.items()}
+    schema = "lang string, word long, n long, sum boolean"
+    found = kept(docs.mapInPandas(count, schema).groupBy("lang", "word", "sum").agg(F.sum("n").alias("n")))
+    totals = found.where("sum").select("lang", "n")
+    every = totals.agg(F.sum("n")).first()[0] or 0
+    hot = found.where(~F.col("sum") & (F.col("n") > every // HOT_PARTS)).select("word").collect()
+    return np.sort(np.array([r["word"] for r in hot], np.int64).view(np.uint64)), totals
 
 
 def grams(docs: DataFrame, hot) -> DataFrame:
-    """(first, spread, rest, n): grams counted per task; ``first`` is the first word, a tab and the language.
+    """(w1, salt, w2, w3, n): grams counted per task, words as numbers, 0 after the end of a piece.
 
-    ``spread`` is 0, 1 if the first word is hot and 2 if the second is as well.
+    The salt is 0 where the first word is not hot; it follows the second word, and where that is hot too the third.
     """
 
     def count(batches):
         hashes = WordHashes()
         factors = mix(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
         for lang, words in _by_language(batches, hashes):
-            n = len(words.hash)
-            size = np.ones(n, np.int64)
-            two = words.piece[:-1] == words.piece[1:]
-            size[:-1] += two
-            size[:-2] += two[:-1] & two[1:]
+            one = words.numbers(lang)
+            two, three = np.zeros_like(one), np.zeros_like(one)
+            same = words.piece[:-1] == words.piece[1:]
+            two[:-1] = np.where(same, one[1:], np.uint64(0))
+            three[:-2] = np.where(same[:-1] & same[1:], one[2:], np.uint64(0))
             with np.errstate(over="ignore"):
-                key = words.hash * factors[0] + size.astype(np.uint64)
-                for k in (1, 2):
-                    key[:-k] += np.where(size[:-k] > k, words.hash[k:] * factors[k], np.uint64(0))
-            _, at, times = np.unique(mix(key), return_index=True, return_counts=True)
-            following = words.hash[np.minimum(at + 1, n - 1)]
-            order = np.lexsort([following, words.hash[at]])  # neighbours that look alike pack well
-            at, times, following = at[order], times[order], following[order]
-            often = hot.value.get(lang, np.zeros(0, np.uint64))
-            first_hot = np.isin(words.hash[at], often)
-            spread = first_hot.astype(np.int32) + (first_hot & (size[at] > 1) & np.isin(following, often))
-            for lo in range(0, len(at), _GRAMS):
-                own = slice(lo, lo + _GRAMS)
-                first = pc.binary_join_element_wise(words.strings(at[own], at[own]), pa.scalar(lang), "\t")
-                rest = words.strings(np.minimum(at[own] + 1, n - 1), at[own] + np.where(size[at[own]] > 1, size[at[own]] - 1, -1))
-                columns = [first, pa.array(spread[own], pa.int32()), rest, pa.array(times[own], pa.int64())]
-                yield pa.record_batch(columns, ["first", "spread", "rest", "n"])
-
-    return docs.mapInArrow(count, "first string, spread int, rest string, n long")
+                key = mix(one * factors[0] + two * factors[1] + three * factors[2])
+            _, at, times = np.unique(key, return_index=True, return_counts=True)
+            alike = np.lexsort([two[at], one[at]])  # neighbours that look alike pack well
+            at, times = at[alike], times[alike]
+            one, two, three = one[at], two[at], three[at]
+            first_hot, second_hot = np.isin(one, hot.value), np.isin(two, hot.value)
+            salt = 1 + mix(np.where(second_hot, two ^ mix(three), two)) % np.uint64(SALTS)
+            yield pd.DataFrame(
+                {
+                    "w1": one.view(np.int64),
+                    "salt": np.where(first_hot, salt, np.uint64(0)).astype(np.int32),
+                    "w2": two.view(np.int64),
+                    "w3": three.view(np.int64),
+                    "n": times,
+                }
+            )
+
+    return docs.mapInPandas(count, "w1 long, salt int, w2 long, w3 long, n long")
+
+
+def _spelled(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, lang, text) of the words in ``words`` (word)."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(words.select("word"), words.count()))
+
+    def spell(batches):
+        for lang, found in _by_language(batches, WordHashes()):
+            numbers, at = np.unique(found.numbers(lang), return_index=True)
+            wanted = table.value[(numbers & np.uint64(len(table.value) - 1)).astype(np.int64)]
+            texts = [found.text(i) for i in at[wanted]]
+            yield pd.DataFrame({"word": numbers[wanted].view(np.int64), "lang": lang, "text": texts})
+
+    return docs.mapInPandas(spell, "word long, lang string, text string").dropDuplicates(["word"])
 
 
 def flows(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -167,29 +178,30 @@ def flows(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame, DataFr
     ``edges`` (lang, w1, w2, w3, n), ``pairs`` (lang, w1, w2, n, out) with the heaviest edge that leaves, ``words``
     (lang, w, n), ``totals`` (lang, n).
     """
-    hot = docs.sparkSession.sparkContext.broadcast(hot_words(docs))
-    second = F.substring_index("rest", " ", 1)
-    number = lambda c: 1 + F.pmod(F.xxhash64(c), F.lit(SALTS))
-    salt = F.when(F.col("spread") == 1, number(second)).when(F.col("spread") == 2, number(F.col("rest"))).otherwise(0).cast("int")
-    summed = grams(docs, hot).withColumn("salt", salt).drop("spread").repartition("first", "salt")
-    summed = summed.groupBy("first", "salt", "rest").agg(F.sum("n").alias("n")).withColumn("second", second)
-    edge = F.col("rest").contains(" ") & (F.col("n") >= min_count)
-    third = F.expr("substring(rest, instr(rest, ' ') + 1)").alias("w3")
-    # all in the partition of the first word: what is frequent, or only a part of a hot word's, is carried along
-    by_pair = summed.groupBy("first", "salt", "second").agg(
-        F.sum("n").alias("n"), F.max(F.when(edge, F.col("n"))).alias("out"), F.collect_list(F.when(edge, F.struct(third, "n"))).alias("edges")
-    )
-    frequent = (F.col("second") != "") & ((F.col("n") >= min_count) | (F.col("salt") > 0))
-    by_word = by_pair.groupBy("first", "salt").agg(
-        F.sum("n").alias("n"), F.collect_list(F.when(frequent, F.struct(F.col("second").alias("w2"), "n", "out", "edges"))).alias("pairs")
+    hot, totals = hot_words(docs)
+    found = grams(docs, docs.sparkSession.sparkContext.broadcast(hot)).repartition("w1", "salt")
+    summed = found.groupBy("w1", "salt", "w2", "w3").agg(F.sum("n").alias("n"))
+    edge = F.when((F.col("w3") != 0) & (F.col("n") >= min_count), F.col("n"))
+    none, nothing = F.lit(0).cast("long"), F.lit(None).cast("long")
+    # what passes the gram, the pair and the word it begins with, in the partition of its first word
+    level = lambda k, w2, w3, out: F.struct(F.lit(k).alias("k"), w2.alias("x2"), w3.alias("x3"), out.alias("out"))
+    levels = F.array(level(3, F.col("w2"), F.col("w3"), edge), level(2, F.col("w2"), none, edge), level(1, none, none, nothing))
+    passed = summed.select("w1", "salt", "n", F.inline(levels)).where("(k < 3 OR out IS NOT NULL) AND (k < 2 OR x2 <> 0)")
+    passed = passed.groupBy("w1", "salt", "k", "x2", "x3").agg(F.sum("n").alias("n"), F.max("out").alias("out"))
+    frequent = kept(passed.where((F.col("n") >= min_count) | (F.col("salt") > 0)))
+    # the parts of a hot word's flows meet again
+    whole = frequent.groupBy("k", "w1", F.col("x2").alias("w2"), F.col("x3").alias("w3")).agg(F.sum("n").alias("n"), F.max("out").alias("out"))
+    whole = kept(whole.where(F.col("n") >= min_count))
+    spelled = kept(_spelled(docs, whole.where("k = 1").select(F.col("w1").alias("word"))))
+    named = lambda w: spelled.select(F.col("word").alias(w), F.col("text").alias(f"{w}_text"))
+    words = whole.where("k = 1").join(spelled, F.col("w1") == F.col("word")).select("lang", F.col("text").alias("w"), "n")
+    first = spelled.select(F.col("word").alias("w1"), "lang", F.col("text").alias("w1_text"))
+    longer = whole.where("k > 1").join(first, "w1").join(named("w2"), "w2").join(named("w3"), "w3", "left")
+    longer = kept(
+        longer.select("k", "lang", F.col("w1_text").alias("w1"), F.col("w2_text").alias("w2"), F.col("w3_text").alias("w3"), "n", F.coalesce("out", none).alias("out"))
     )
-    lang = F.expr("substring(first, instr(first, '\t') + 1)").alias("lang")
-    table = kept(by_word.select(lang, F.substring_index("first", "\t", 1).alias("w1"), "n", "pairs"))
-    parts = table.select("lang", "w1", F.inline("pairs"))
-    edges = parts.select("lang", "w1", "w2", F.inline("edges")).select("lang", "w1", "w2", "w3", "n")
-    pairs = parts.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"), F.coalesce(F.max("out"), F.lit(0)).alias("out"))
-    words = table.groupBy("lang", F.col("w1").alias("w")).agg(F.sum("n").alias("n"))
-    return edges, pairs.where(F.col("n") >= min_count), words.where(F.col("n") >= min_count), table.groupBy("lang").agg(F.sum("n").alias("n"))
+    edges = longer.where("k = 3").select("lang", "w1", "w2", "w3", "n")
+    return edges, longer.where("k = 2").select("lang", "w1", "w2", "n", "out"), kept(words), totals
 
 
 def _node(*words: str) -> Column:

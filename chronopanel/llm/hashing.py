@@ -1,8 +1,10 @@
-"""Hashes of all words of a text at once, by numpy."""
+"""Hashes of all words of a text at once, by numpy, and bit tables of numbers."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SEED = 42
 #: Bytes that are worked on together.
@@ -63,3 +65,19 @@ class WordHashes:
             out.append(self._stretch(data[at:end], blank[at:end]))
             at, ahead = end, STRETCH
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def bit_table(numbers: DataFrame, n: int) -> np.ndarray:
+    """Which low bits the ``n`` numbers of a one-column table have: at least 2^16 flags, 16 for each, at most 2^26.
+
+    Small enough for every task whatever the table; a full one only lets more through.
+    """
+    name = numbers.columns[0]
+    bits = min(max(16, int(16 * n).bit_length()), 26)
+    low = F.col(name).bitwiseAND(F.lit((1 << bits) - 1))
+    mask = F.expr(f"shiftleft(1L, CAST(({name} & {(1 << bits) - 1}L) % 64 AS INT))")
+    rows = numbers.select(F.floor(low / 64).alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    for r in rows:
+        table[r["word"]] = r["mask"]
+    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.llm.common import kept, remove, shared_folder
 from chronopanel.llm.graph import components
-from chronopanel.llm.hashing import SEED, WordHashes, mix
+from chronopanel.llm.hashing import SEED, WordHashes, bit_table, mix
 
 ORDERS = 3
 BLOCK = 512
@@ -173,18 +173,6 @@ def postings(texts: DataFrame, words: int, orders, hot: bool) -> DataFrame:
     return texts.mapInPandas(emit, "token long, point long")
 
 
-def _bit_table(points: DataFrame, n: int) -> np.ndarray:
-    """Bits of the points that are wanted, by their low bits; its size is bounded and independent of the texts."""
-    bits = min(max(16, int(16 * n).bit_length()), 26)
-    at = F.col("point").bitwiseAND(F.lit((1 << bits) - 1))
-    mask = F.expr(f"shiftleft(1L, CAST((point & {(1 << bits) - 1}L) % 64 AS INT))")
-    rows = points.select(F.floor(at / 64).alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    for r in rows:
-        table[r["word"]] = r["mask"]
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
-
-
 def _wanted_texts(texts: DataFrame, words: int, table) -> DataFrame:
     """(point, text) of the distinct texts in the bit table."""
 
@@ -327,7 +315,7 @@ def links(texts: DataFrame, sizes: DataFrame, words: int = 5, percent: int = 80)
     orders = spark.sparkContext.broadcast(Orders(hot_shingles(texts, words, total), percent))
     inside = members(texts, sizes, words, orders, percent)
     wanted = inside.select("point").distinct()
-    table = spark.sparkContext.broadcast(_bit_table(wanted, wanted.count()))
+    table = spark.sparkContext.broadcast(bit_table(wanted, wanted.count()))
     folder = shared_folder(spark, "ngram-join")
     _wanted_texts(texts, words, table).write.parquet(folder)
     fetched = spark.read.parquet(folder)
