@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chronopanel.functions.scalars import ratio
 from chronopanel.schema import DATE, ENTITY, KEYS, expanding, numeric_columns, q, series, spread, whole
@@ -135,56 +134,44 @@ def exceedance(
     return _append(df, features)
 
 
-def _recursive_mean(x: np.ndarray, alphas: np.ndarray, adjust: bool) -> np.ndarray:
-    """Exponentially weighted means of all columns (rows of time) for all alphas at once."""
-    steps, width = x.shape
-    out = np.empty((len(alphas), steps, width))
-    keep = (1.0 - alphas)[:, None]
-    new = np.ones_like(keep) if adjust else alphas[:, None]
-    mean = np.full((len(alphas), width), np.nan)
-    weight = np.ones((len(alphas), width))
-    for t in range(steps):
-        now = x[t][None, :]
-        seen, here = ~np.isnan(mean), ~np.isnan(now)
-        weight = np.where(seen, weight * keep, weight)
-        both = seen & here
-        mixed = (weight * np.where(seen, mean, 0.0) + new * np.where(here, now, 0.0)) / (weight + new)
-        mean = np.where(both, mixed, np.where(seen, mean, np.where(here, now, np.nan)))
-        weight = np.where(both, weight + new if adjust else 1.0, weight)
-        out[:, t, :] = mean
-    return out
+def _recursive_mean(values, alpha: float, adjust: bool, missing_to_zero: bool) -> Column:
+    """Exponentially weighted means of an array in time order, one after every element, as a fold with (mean, weight).
+
+    Both decay through gaps: a mean stays as it is while its weight shrinks, until the next value comes.
+    """
+    null, new = F.lit(None).cast("double"), F.lit(1.0 if adjust else float(alpha))
+
+    def step(state: Column, now: Column) -> Column:
+        weight = F.when(state["mean"].isNull(), F.lit(1.0)).otherwise(state["weight"] * F.lit(1.0 - alpha))
+        mixed = (weight * state["mean"] + new * now) / (weight + new)
+        mean = F.when(now.isNull(), state["mean"]).when(state["mean"].isNull(), now).otherwise(mixed)
+        met = now.isNotNull() & state["mean"].isNotNull()
+        shown = F.coalesce(mean, F.lit(0.0)) if missing_to_zero else mean
+        after = F.when(met, weight + new if adjust else F.lit(1.0)).otherwise(weight)
+        return F.struct(mean.alias("mean"), after.alias("weight"), F.array_append(state["out"], shown).alias("out"))
+
+    start = F.struct(null.alias("mean"), F.lit(1.0).alias("weight"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(values, start, step, lambda state: state["out"])
 
 
 def _recursive_features(df, names, alphas: dict[str, float], adjust: bool, missing_to_zero: bool, by) -> DataFrame:
-    labels, values = list(alphas), np.array(list(alphas.values()))
-    added = [T.StructField(f"{c}_{label}", T.DoubleType()) for label in labels for c in names]
-    keys = [*by, DATE]
-    schema = T.StructType([*[df.schema[c] for c in keys], *added])
-
-    def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(DATE)
-        x = pdf[names].to_numpy(dtype="float64", na_value=np.nan)
-        means = _recursive_mean(x, values, adjust)
-        if missing_to_zero:
-            means = np.nan_to_num(means, nan=0.0)
-        extra = {f"{c}_{label}": means[i, :, j] for i, label in enumerate(labels) for j, c in enumerate(names)}
-        return pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(extra)], axis=1)
-
-    # only keys and inputs go through Python; the other columns meet the results by key
-    inputs = df.select(*[q(c) for c in keys], *[q(c) for c in names if c not in keys])
-    out = spread(inputs, *by).groupBy(*by).applyInPandas(one_series, schema)
-    cells = [F.nanvl(q(f.name), F.lit(None).cast("double")).alias(f.name) for f in added]
-    found = out.select(*[q(c) for c in keys], *cells)
-    if set(df.columns) - set(keys):
-        found = df.join(found, keys)
-    return found.select(*[q(c) for c in df.columns], *[q(f.name) for f in added])
+    """Every series becomes one array of rows (bounded by the calendar), each mean a fold over it, all in the JVM."""
+    rest = [c for c in df.columns if c not in by]
+    row = F.struct(q(DATE), *[q(c) for c in rest if c != DATE])
+    series_ = df.groupBy(*[q(c) for c in by]).agg(F.sort_array(F.collect_list(row)).alias("__rows"))
+    value = lambda c: F.transform("__rows", lambda r: F.nanvl(r[c].cast("double"), F.lit(None).cast("double")))
+    added = {f"{c}_{label}": _recursive_mean(value(c), a, adjust, missing_to_zero) for label, a in alphas.items() for c in names}
+    folded = series_.select(*[q(c) for c in by], "__rows", *[e.alias(n) for n, e in added.items()])
+    zipped = F.arrays_zip("__rows", *[q(n) for n in added])
+    each = folded.select(*[q(c) for c in by], F.explode(zipped).alias("__r"))
+    found = each.select(*[q(c) for c in by], *[F.col("__r")["__rows"][c].alias(c) for c in rest], *[F.col("__r")[n].alias(n) for n in added])
+    return found.select(*[q(c) for c in df.columns], *[q(n) for n in added])
 
 
 def ewm(df, columns=None, spans: int | Sequence[int] = (3, 6, 12), suffix: str = "ewm", by=(ENTITY,)) -> DataFrame:
     """Recursive exponentially weighted mean per span, decaying through gaps.
 
-    The recursion has no window form, so each series (bounded by the calendar)
-    runs through one vectorised pass over all columns and spans.
+    The recursion has no window form; each series (bounded by the calendar) is folded in time order.
     """
     spans = [spans] if isinstance(spans, int) else list(spans)
     alphas = {f"{suffix}_{s}": 2.0 / (s + 1) for s in spans}
@@ -456,6 +443,39 @@ def prepare_series(
     return out
 
 
+def prepare_windows(
+    x: np.ndarray, standardise: bool = True, trend: str | None = "rolling_mean", window_size: int = 36, period: int | None = 12
+) -> np.ndarray:
+    """``prepare_series`` of many windows (window x row x variable) at once, each by its own values only."""
+    windows, n, width = x.shape
+    known = ~np.isnan(x)
+    last = np.maximum.accumulate(np.where(known, np.arange(n)[None, :, None], -1), axis=1)
+    x = np.where(last >= 0, np.take_along_axis(x, np.maximum(last, 0), axis=1), 0.0)
+    if standardise:
+        deviation = x.std(axis=1, keepdims=True)
+        x = (x - x.mean(axis=1, keepdims=True)) / np.where(deviation > 0, deviation, 1.0)
+    span = min(window_size // 3, 12)
+    if trend == "differencing" or (trend == "rolling_mean" and span == 1):
+        x = np.concatenate([np.zeros((windows, 1, width)), np.diff(x, axis=1)], axis=1)
+    elif trend == "rolling_mean":
+        sums = np.concatenate([np.zeros((windows, 1, width)), np.cumsum(x, axis=1)], axis=1)
+        first = np.maximum(np.arange(n) + 1 - span, 0)
+        x = x - (sums[:, 1:] - sums[:, first]) / (np.arange(n) + 1 - first)[None, :, None]
+    elif trend == "linear_detrend":
+        at = np.arange(n) - (n - 1) / 2
+        slope = np.einsum("t,wtv->wv", at, x) / max((at * at).sum(), 1e-300)
+        x = x - x.mean(axis=1, keepdims=True) - at[None, :, None] * slope[:, None, :]
+    elif trend:
+        raise ValueError(f"unknown trend method {trend!r}")
+    if period and n >= 2 * period:
+        out = np.empty_like(x)
+        for phase in range(period):
+            own = x[:, phase::period]
+            out[:, phase::period] = own - own.mean(axis=1, keepdims=True)
+        x = out
+    return x
+
+
 def sequences(df, columns=None, length: int = 12, label: str | None = None, consecutive: bool = True) -> DataFrame:
     """Every run of ``length`` rows of a country, keyed and labelled by its last row.
 

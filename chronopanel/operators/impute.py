@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -390,37 +391,95 @@ def _unit_root(x: np.ndarray) -> bool:
     return bool(beta[1] / se > -2.86)
 
 
-def _fit_autoregression(x: np.ndarray, max_p: int) -> np.ndarray:
-    """Least-squares AR coefficients (constant first) of the order with the lowest AIC."""
-    best, chosen = np.inf, np.array([x.mean()])
-    for p in range(0, min(max_p, (len(x) - 2) // 2) + 1):
-        y = x[max_p if len(x) > 2 * max_p + 2 else p :]
-        start = len(x) - len(y)
-        design = np.column_stack([np.ones(len(y)), *[x[start - i : len(x) - i] for i in range(1, p + 1)]])
-        beta, *_ = np.linalg.lstsq(design, y, rcond=None)
-        rss = float(((y - design @ beta) ** 2).sum())
-        aic = len(y) * np.log(max(rss / len(y), 1e-300)) + 2 * (p + 2)
-        if aic < best:
-            best, chosen = aic, beta
-    return chosen
+@dataclass(frozen=True)
+class Arma:
+    """x[t] = constant + sum ar[i] x[t-1-i] + e[t] + sum ma[j] e[t-1-j], with the errors of the series it was fitted to."""
 
+    constant: float
+    ar: np.ndarray
+    ma: np.ndarray
+    errors: np.ndarray
 
-def forecast(x: np.ndarray, steps: int, max_p: int = 5, max_d: int = 2) -> np.ndarray:
-    """Forecast of a series by an autoregression on its differences."""
+    def ahead(self, x: np.ndarray, steps: int) -> np.ndarray:
+        """What follows the series, later errors taken as zero."""
+        values, errors = list(x), list(self.errors)
+        for _ in range(steps):
+            value = self.constant
+            value += sum(c * values[-1 - i] for i, c in enumerate(self.ar))
+            value += sum(c * errors[-1 - j] for j, c in enumerate(self.ma))
+            values.append(value)
+            errors.append(0.0)
+        return np.array(values[len(x) :])
+
+
+def _lags(x: np.ndarray, n: int, start: int) -> np.ndarray:
+    """Columns of x one to ``n`` steps back, for the rows from ``start`` on, zero before the series."""
+    padded = np.concatenate([np.zeros(n), x])
+    return np.column_stack([padded[n + start - i : n + len(x) - i] for i in range(1, n + 1)]) if n else np.zeros((len(x) - start, 0))
+
+
+def _errors(z: np.ndarray, beta: np.ndarray, p: int, q_: int) -> np.ndarray:
+    """One-step errors of a standardised series under coefficients (constant, ar, ma), zero before row p."""
+    out = np.zeros(len(z) + q_)
+    plain = np.zeros(len(z))
+    plain[p:] = z[p:] - beta[0] - _lags(z, p, p) @ beta[1 : 1 + p]
+    for t in range(p, len(z)):
+        out[t + q_] = plain[t] - sum(beta[1 + p + j] * out[t + q_ - 1 - j] for j in range(q_))
+    return out[q_:]
+
+
+# Share of the variance that counts as none, so that series that fit exactly take the fewest terms.
+EXACT_FIT = 1e-12
+
+
+def fit_arma(x: np.ndarray, max_p: int = 5, max_q: int = 5) -> Arma:
+    """Two-stage least squares with the orders of the lowest AIC.
+
+    A long autoregression estimates the errors; the series is then regressed on its own lags and on lagged errors. The
+    cross products of all lags are formed once, and every pair of orders solves its part of them. Orders whose errors
+    would grow without bound are left out. A series too short for a term goes without it.
+    """
+    n, centre = len(x), x.mean()
+    scale = x.std() or 1.0
+    z = (x - centre) / scale
+    long = min(max(max_p, max_q) + 3, (n - 2) // 3)
+    design = np.column_stack([np.ones(n - long), _lags(z, long, long)])
+    errors = np.zeros(n)
+    errors[long:] = z[long:] - design @ np.linalg.lstsq(design, z[long:], rcond=None)[0]
+    max_p, max_q = min(max_p, (n - 2) // 3), min(max_q, (n - 2 - long) // 4)
+    start = min(max(max_p, long), n - 2)
+    every = np.column_stack([np.ones(n - start), _lags(z, max_p, start), _lags(errors, max(max_q, 0), start), z[start:]])
+    gram = every.T @ every
+    orders = [(p, q_) for p in range(max_p + 1) for q_ in range(max(max_q, 0) + 1) if p + q_ + 2 <= n - start]
+    columns = lambda p, q_: [0, *range(1, 1 + p), *range(1 + max_p, 1 + max_p + q_)]
+    used = np.zeros((len(orders), len(gram) - 1), bool)
+    for i, order in enumerate(orders):
+        used[i, columns(*order)] = True
+    # all pairs of orders at once: what an order does not use is replaced by the identity
+    systems = np.where(used[:, :, None] & used[:, None, :], gram[:-1, :-1], 0.0)
+    systems += np.where(used, EXACT_FIT * n, 1.0)[:, :, None] * np.eye(len(gram) - 1)
+    right = np.where(used, gram[:-1, -1], 0.0)
+    betas = np.linalg.solve(systems, right[:, :, None])[:, :, 0]
+    left = gram[-1, -1] - 2 * (betas * right).sum(axis=1) + np.einsum("oi,ij,oj->o", betas, gram[:-1, :-1], betas)
+    aic = (n - start) * np.log(np.maximum(left / (n - start), EXACT_FIT)) + 2 * (used.sum(axis=1) + 1)
+    for i in sorted(range(len(orders)), key=lambda i: (round(aic[i], 6), sum(orders[i]), orders[i][1])):
+        p, q_ = orders[i]
+        beta = np.linalg.lstsq(every[:, columns(p, q_)], every[:, -1], rcond=None)[0]
+        roots = np.abs(np.roots(np.concatenate([[1.0], beta[1 + p :]]))) if q_ else np.zeros(1)
+        if roots.max(initial=0.0) < 1.0:
+            ar = beta[1 : 1 + p]
+            return Arma(centre + scale * beta[0] - centre * ar.sum(), ar, beta[1 + p :], scale * _errors(z, beta, p, q_))
+    return Arma(centre, np.zeros(0), np.zeros(0), x - centre)
+
+
+def forecast(x: np.ndarray, steps: int, max_p: int = 5, max_d: int = 2, max_q: int = 5) -> np.ndarray:
+    """Forecast of a series by autoregressive and moving-average terms on its differences."""
     if np.ptp(x) == 0:
         return np.full(steps, x[0])
     levels = [x]
     while len(levels) <= max_d and len(levels[-1]) > 6 and _unit_root(levels[-1]):
         levels.append(np.diff(levels[-1]))
-    base = levels[-1]
-    beta = _fit_autoregression(base, max_p)
-    history = list(base)
-    ahead = []
-    for _ in range(steps):
-        value = beta[0] + sum(b * history[-i] for i, b in enumerate(beta[1:], start=1))
-        history.append(value)
-        ahead.append(value)
-    out = np.array(ahead)
+    out = fit_arma(levels[-1], max_p, max_q).ahead(levels[-1], steps)
     for level in reversed(levels[:-1]):
         out = level[-1] + np.cumsum(out)
     return out

@@ -11,13 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.operators import encode
-from chronopanel.operators.features import prepare_series
-from chronopanel.schema import DATE, ENTITY, KEYS, PanelError, numeric_columns, q, series, spread
+from chronopanel.operators.features import prepare_series, prepare_windows
+from chronopanel.schema import DATE, ENTITY, KEYS, PanelError, numeric_columns, q, spread
+from chronopanel.sources.writers import train_or_load
 
 # Variance shares used when choosing and describing components.
 DEFAULT_VARIANCE = 0.95
@@ -26,13 +29,29 @@ DESCRIBED_VARIANCE = 0.8
 
 @dataclass(frozen=True)
 class Components:
-    """Fitted components: scaling statistics, unit loadings (component by feature), variance shares."""
+    """Fitted components: scaling statistics, unit loadings (component by feature), variance shares.
+
+    ``model`` is the same as a pipeline of MLlib's stages (assemble, scale, project, turn, cut off), which can be written,
+    read and applied by itself; ``of`` makes components of it again.
+    """
 
     features: tuple[str, ...]
     scaling: dict[str, tuple[float, float]]
     loadings: np.ndarray
     ratios: np.ndarray
-    prefix: str = "PC"
+    prefix: str
+    model: PipelineModel
+
+    @staticmethod
+    def of(model: PipelineModel) -> Components:
+        assembler, scaler, projection, turned, cut = model.stages
+        features, kept = tuple(assembler.getInputCols()), cut.getIndices()
+        factor = np.asarray(turned.getScalingVec().toArray())
+        deviation = np.asarray(scaler.std.toArray()) / np.abs(factor[0])
+        means = np.asarray(scaler.mean.toArray())
+        scaling = {c: (float(m), float(d) or 1.0) for c, m, d in zip(features, means, deviation, strict=True)}
+        loadings = projection.pc.toArray().T * np.sign(factor)[:, None]
+        return Components(features, scaling, loadings[kept], projection.explainedVariance.toArray()[kept], cut.getOutputCol(), model)
 
 
 def fix_signs(loadings: np.ndarray) -> np.ndarray:
@@ -42,26 +61,46 @@ def fix_signs(loadings: np.ndarray) -> np.ndarray:
     return loadings * np.where(sign == 0, 1.0, sign)[:, None]
 
 
-def _fit(scaled: DataFrame, features: Sequence[str], scaling, n_components: float | int, prefix: str) -> Components:
+def _fits(df: DataFrame, features: Sequence[str], n_components: float | int, parts: Sequence[tuple[str, Column | None]]) -> list[Components]:
+    """Components of every part (prefix, condition) of the rows, under one scaling by all of them."""
     if not features:
         raise PanelError("no numeric features")
-    ready = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="error").transform(scaled)
-    model = PCA(k=len(features), inputCol="__x", outputCol="__pc").fit(ready.select("__x"))
-    ratios = model.explainedVariance.toArray()
-    loadings = fix_signs(model.pc.toArray().T)
-    if isinstance(n_components, float):
-        k = int(np.searchsorted(np.cumsum(ratios), n_components - 1e-12)) + 1
-    else:
-        k = n_components
-    k = max(1, min(k, len(features)))
-    return Components(tuple(features), scaling, loadings[:k], ratios[:k], prefix)
+    columns = lambda stage: f"__pca_{stage}"
+    assembler = VectorAssembler(inputCols=list(features), outputCol=columns("raw"), handleInvalid="error")
+    raw = assembler.transform(df)
+    n = df.count()
+    scaler = StandardScaler(withMean=True, inputCol=columns("raw"), outputCol=columns("scaled")).fit(raw)
+    scaled = scaler.transform(raw)
+    # missing values are refused by the fit, and give missing scores later
+    lenient = VectorAssembler(inputCols=list(features), outputCol=columns("raw"), handleInvalid="keep")
+    out = []
+    for prefix, condition in parts:
+        rows_ = scaled if condition is None else scaled.where(condition)
+        model = PCA(k=len(features), inputCol=columns("scaled"), outputCol=columns("projected")).fit(rows_.select(columns("scaled")))
+        ratios, pc = model.explainedVariance.toArray(), model.pc.toArray().T
+        if isinstance(n_components, float):
+            k = int(np.searchsorted(np.cumsum(ratios), n_components - 1e-12)) + 1
+        else:
+            k = n_components
+        k = max(1, min(k, len(features)))
+        fixed = fix_signs(pc)
+        # the scaler divides by sample deviations; components are of population ones
+        factor = np.where((fixed * pc).sum(axis=1) < 0, -1.0, 1.0) * np.sqrt(n / (n - 1) if n > 1 else 1.0)
+        turned = ElementwiseProduct(scalingVec=Vectors.dense(factor), inputCol=columns("projected"), outputCol=columns("turned"))
+        cut = VectorSlicer(inputCol=columns("turned"), outputCol=prefix, indices=list(range(k)))
+        out.append(Components.of(PipelineModel([lenient, scaler, model, turned, cut])))
+    return out
 
 
 def pca_fit(df: DataFrame, features: Sequence[str] | None = None, n_components: float | int = DEFAULT_VARIANCE, prefix: str = "PC") -> Components:
     """Components of standardised features: a share of variance (float) or a number (int)."""
-    features = list(features or numeric_columns(df))
-    scaling = encode.fit_standard(df, features)
-    return _fit(encode.scale(df, scaling), features, scaling, n_components, prefix)
+    return _fits(df, list(features or numeric_columns(df)), n_components, [(prefix, None)])[0]
+
+
+def pca_train_or_load(df: DataFrame, folder: str, features: Sequence[str], n_components: float | int = DEFAULT_VARIANCE, prefix: str = "PC") -> Components:
+    """Components stored under their parameters, or fitted and stored."""
+    params = {"features": "-".join(features), "n": n_components, "prefix": prefix}
+    return Components.of(train_or_load("pca", params, folder, lambda: pca_fit(df, features, n_components, prefix).model))
 
 
 def pca_transform(df: DataFrame, fitted: Components, keep: Sequence[str] = KEYS) -> DataFrame:
@@ -70,21 +109,17 @@ def pca_transform(df: DataFrame, fitted: Components, keep: Sequence[str] = KEYS)
 
 
 def pca_project(df: DataFrame, fits: Sequence[Components], keep: Sequence[str] = KEYS) -> DataFrame:
-    """Rows projected on several component sets at once, in the JVM.
-
-    Scaled values stand in one array per set, so that expressions stay small
-    however many features there are.
-    """
-    inputs = [
-        F.array(*[(q(c) - F.lit(float(f.scaling[c][0]))) / F.lit(float(f.scaling[c][1])) for c in f.features]).alias(f"__x{n}")
-        for n, f in enumerate(fits)
+    """Rows projected on several component sets, each by one product per row of its stored model."""
+    needed = list(dict.fromkeys([*keep, *(c for f in fits for c in f.features)]))
+    scored = df.select(*[q(c) for c in needed])
+    for f in fits:
+        scored = f.model.transform(scored)
+        scored = scored.drop(*[s.getOutputCol() for s in f.model.stages[:-1]])
+        scored = scored.withColumn(f.prefix, vector_to_array(f.prefix))
+    out = [
+        F.nanvl(q(f.prefix)[i], F.lit(None).cast("double")).alias(f"{f.prefix}{i + 1}") for f in fits for i in range(len(f.loadings))
     ]
-    out = []
-    for n, f in enumerate(fits):
-        for i, row in enumerate(f.loadings):
-            terms = F.zip_with(F.col(f"__x{n}"), F.lit([float(w) for w in row]), lambda x, w: x * w)
-            out.append(F.aggregate(terms, F.lit(0.0), lambda total, t: total + t).alias(f"{f.prefix}{i + 1}"))
-    return df.select(*[q(c) for c in keep], *inputs).select(*[q(c) for c in keep], *out)
+    return scored.select(*[q(c) for c in keep], *out)
 
 
 def explained_variance(spark, fitted: Components) -> DataFrame:
@@ -100,12 +135,8 @@ def class_pca_fit(
 ) -> tuple[Components, Components]:
     """Majority and minority components under one common scaling."""
     features = [c for c in (features or numeric_columns(df)) if c != label]
-    scaling = encode.fit_standard(df, features)
-    scaled = encode.scale(df, scaling)
-    return tuple(
-        _fit(scaled.where(q(label) == cls), features, scaling, n_components, name)
-        for cls, name in ((0, "Majority_PC"), (1, "Minority_PC"))
-    )
+    parts = [(name, q(label) == cls) for cls, name in ((0, "Majority_PC"), (1, "Minority_PC"))]
+    return tuple(_fits(df, features, n_components, parts))
 
 
 def class_pca_transform(df: DataFrame, fits: Sequence[Components], keep: Sequence[str] = KEYS) -> DataFrame:
@@ -152,13 +183,21 @@ EIGEN_SCHEMA = (
 )
 
 
-def _eigen_row(country, day, n: int, cov: np.ndarray) -> tuple:
-    values, vectors = np.linalg.eigh(cov)
-    order = np.argsort(values)[::-1]
-    values, loadings = values[order], fix_signs(vectors[:, order].T)
-    total = values.sum()
-    ratios = values / total if total > 0 else np.zeros_like(values)
-    return country, day, n, values.tolist(), ratios.tolist(), np.cumsum(ratios).tolist(), loadings.tolist()
+def _eigen_rows(country, days, sizes, cov: np.ndarray) -> pd.DataFrame:
+    """Decompositions of many covariance matrices at once."""
+    values, vectors_ = np.linalg.eigh(cov)
+    values, loadings = values[:, ::-1], np.swapaxes(vectors_, 1, 2)[:, ::-1]
+    top = np.abs(loadings).argmax(axis=2)
+    sign = np.sign(np.take_along_axis(loadings, top[:, :, None], axis=2))
+    loadings = loadings * np.where(sign == 0, 1.0, sign)
+    total = values.sum(axis=1, keepdims=True)
+    ratios = np.where(total > 0, values / np.where(total > 0, total, 1.0), 0.0)
+    columns = [values, ratios, np.cumsum(ratios, axis=1), loadings]
+    found = dict(zip(("eigenvalues", "ratios", "cumulative", "components"), (c.tolist() for c in columns), strict=True))
+    return pd.DataFrame({ENTITY: country, DATE: days, "n_rows": sizes, **found})
+
+
+_NO_EIGEN = pd.DataFrame(columns=[ENTITY, DATE, "n_rows", "eigenvalues", "ratios", "cumulative", "components"])
 
 
 def sliding_pca(
@@ -166,28 +205,55 @@ def sliding_pca(
 ) -> DataFrame:
     """Eigen decomposition of every window of every country, keyed by the window's last date.
 
-    Rows are numbered per country and copied to the windows they belong to;
-    preparation and covariance are per window, so windows run independently.
+    Windows overlap, but no row is copied: a country's rows come to one task once, its windows are views of them, and all
+    are prepared, each by its own values only as ``prepare_series`` would, and decomposed together. Moments of shared
+    stretches cannot be added up, as filling, scale, trend and season are a window's own.
     """
     features = list(features or numeric_columns(df))
-    w = series()
-    numbered = df.select(*KEYS, *[q(c) for c in features], (F.row_number().over(w) - 1).alias("__i"), F.count("*").over(Window.partitionBy(ENTITY)).alias("__n"))
-    first = F.greatest(F.lit(0), F.ceil((F.col("__i") - window + 1) / step))
-    last = F.least(F.floor(F.col("__i") / step), F.floor((F.col("__n") - window) / step))
-    member = numbered.where(first <= last).withColumn("__w", F.explode(F.sequence(first, last)))
-    ready = prepare_series(spread(member, ENTITY, "__w"), features, window_size=window, by=(ENTITY, "__w"), **(prepare or {}))
-    return _covariance_by_group(ready, features)
+    options = {"standardise": True, "trend": "rolling_mean", "window_size": window, "period": 12, **(prepare or {})}
+    rows_ = spread(df.select(*KEYS, *[q(c).cast("double").alias(c) for c in features]), ENTITY)
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(DATE)
+        x, days = pdf[features].to_numpy(dtype=float), pdf[DATE].to_numpy()
+        if len(x) < window or window < 2 or len(features) < 2:
+            return _NO_EIGEN
+        views = np.lib.stride_tricks.sliding_window_view(x, window, axis=0)[::step].swapaxes(1, 2)
+        ready = prepare_windows(views, **options)
+        ready = ready - ready.mean(axis=1, keepdims=True)
+        cov = np.swapaxes(ready, 1, 2) @ ready / (window - 1)
+        return _eigen_rows(key[0], days[window - 1 :: step], window, cov)
 
+    return rows_.groupBy(ENTITY).applyInPandas(one, EIGEN_SCHEMA)
 
-def _covariance_by_group(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[list(features)].to_numpy(dtype=float)
-        if x.shape[0] < 2 or x.shape[1] < 2:
-            return pd.DataFrame(columns=["a", "b", "c", "d", "e", "f", "g"])
-        return pd.DataFrame([_eigen_row(pdf[ENTITY].iloc[0], pdf[DATE].max(), len(x), np.cov(x.T))])
 
-    named = lambda pdf: one(pdf).set_axis([ENTITY, DATE, "n_rows", "eigenvalues", "ratios", "cumulative", "components"], axis=1)
-    return df.groupBy(ENTITY, "__w").applyInPandas(named, EIGEN_SCHEMA)
+# Rows of the recursion that are worked out together.
+RECURSION_BLOCK = 64
+
+
+def recursive_moments(x: np.ndarray, forgetting: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance with forgetting after every row, started by the first row.
+
+    With m the mean so far and S the mean of outer products so far, both decay alike, and the covariance is S - m m'.
+    Both merge: what came before a block enters it with the weight that the block's rows leave over, so blocks are
+    triangular products and only (weight, mean, matrix) is carried from one to the next.
+    """
+    n, width = x.shape
+    shifted = x - x[0]  # keeps the two terms of the covariance small
+    both = np.concatenate([shifted, (shifted[:, :, None] * shifted[:, None, :]).reshape(n, -1)], axis=1)
+    steps = np.arange(RECURSION_BLOCK)
+    gap = steps[:, None] - steps[None, :]
+    kernel = np.where(gap >= 0, (1 - forgetting) * forgetting ** np.maximum(gap, 0), 0.0)
+    out = np.empty_like(both)
+    carried = both[0]
+    out[0] = carried
+    for at in range(1, n, RECURSION_BLOCK):
+        block = both[at : at + RECURSION_BLOCK]
+        own = kernel[: len(block), : len(block)] @ block
+        out[at : at + len(block)] = own + forgetting ** (1 + steps[: len(block)])[:, None] * carried
+        carried = out[at + len(block) - 1]
+    mean, outer = out[:, :width], out[:, width:].reshape(n, width, width)
+    return mean + x[0], outer - mean[:, :, None] * mean[:, None, :]
 
 
 def dynamic_pca(
@@ -200,29 +266,23 @@ def dynamic_pca(
 ) -> DataFrame:
     """Recursive mean and covariance with forgetting; components after each ``every`` rows.
 
-    The recursion is sequential inside a country and independent between them.
+    Countries are independent; inside one the recursion is worked out in blocks.
     """
     features = list(features or numeric_columns(df))
     rows_ = spread(df.select(*KEYS, *[q(c) for c in features]), ENTITY)
     ready = prepare_series(rows_, features, **(prepare or {}))
-    names = [ENTITY, DATE, "n_rows", "eigenvalues", "ratios", "cumulative", "components"]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(DATE)
         x, days = pdf[features].to_numpy(dtype=float), pdf[DATE].to_numpy()
-        mean, cov, n, out = None, None, 0, []
-        for now, day in zip(x, days):
-            if not np.isfinite(now).all():
-                continue
-            if mean is None:
-                mean, cov, n = now.copy(), np.zeros((len(now), len(now))), 1
-            else:
-                moved = forgetting * mean + (1 - forgetting) * now
-                cov = forgetting * cov + (1 - forgetting) * np.outer(now - mean, now - moved)
-                mean, n = moved, n + 1
-            if n >= min_samples and n % every == 0:
-                out.append(_eigen_row(pdf[ENTITY].iloc[0], day, n, (cov + cov.T) / 2))
-        return pd.DataFrame(out, columns=names)
+        there = np.isfinite(x).all(axis=1)
+        x, days = x[there], days[there]
+        number = np.arange(1, len(x) + 1)
+        shown = np.flatnonzero((number >= min_samples) & (number % every == 0))
+        if not len(shown):
+            return _NO_EIGEN
+        cov = recursive_moments(x, forgetting)[1][shown]
+        return _eigen_rows(key[0], days[shown], number[shown], (cov + np.swapaxes(cov, 1, 2)) / 2)
 
     return ready.groupBy(ENTITY).applyInPandas(one, EIGEN_SCHEMA)
 

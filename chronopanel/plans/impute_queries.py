@@ -8,7 +8,7 @@ from chronopanel.operators import fill, impute, joins
 from chronopanel.plans import views
 from chronopanel.plans.registry import query
 from chronopanel.plans.views import with_views
-from chronopanel.schema import DATE, ENTITY, KEYS
+from chronopanel.schema import DATE, ENTITY, KEYS, series
 
 SPN = with_views("spn")
 C = ["total", "orders"]
@@ -154,6 +154,22 @@ def forecast_leading(spark, sf):
     return done.join(marked.where("shown").select(*KEYS), list(KEYS))
 
 
+# A series that follows an autoregression exactly, of another level and pace per supplier, is continued exactly.
+EXACT_SQL = f"""{with_views('sm')}, s AS (SELECT Country, Date, k, row_number() OVER (PARTITION BY Country ORDER BY Date) - 1 AS t FROM sm)
+SELECT Country, Date, 100 + k + (40 + k % 7) * pow(0.7 + (k % 5) / 50.0, t) AS v FROM s WHERE t >= 30 AND t < 36"""
+
+
+@query("imp3_forecast_exact", EXACT_SQL, approx=["v"], digits=2)
+def forecast_exact(spark, sf):
+    k = F.col("k")
+    t = F.row_number().over(series()) - 1
+    panel = views.supplier_month(spark, sf).select(*KEYS, "k", t.alias("t"))
+    value = 100 + k + (40 + k % 7) * F.pow(0.7 + (k % 5) / 50.0, F.col("t"))
+    gaps = panel.select(*KEYS, F.when(F.col("t") < 30, value).alias("v"))
+    done = impute.forecast_fill(gaps, ["v"])
+    return done.join(panel.where("t >= 30 AND t < 36").select(*KEYS), list(KEYS))
+
+
 @query("imp4_regression_impute")
 def regression_impute(spark, sf):
     return impute.regression_impute(views.sparse(spark, sf), ["quantity", "revenue", "lines"])

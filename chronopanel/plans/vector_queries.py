@@ -28,6 +28,23 @@ def pca(spark, sf):
     return vectors.pca_transform(rows, vectors.pca_fit(rows, _names(), 0.8), ["vec_id"])
 
 
+# Two standardised variables: their sum and difference over root two, the stronger first, up to sign.
+STORED = f"""{VEC}, s AS (SELECT vec_id, (e1 - avg(e1) OVER ()) / stddev_pop(e1) OVER () AS a, (e2 - avg(e2) OVER ()) / stddev_pop(e2) OVER () AS b FROM vec),
+r AS (SELECT corr(e1, e2) AS r FROM vec)
+SELECT vec_id, abs(a + CASE WHEN r < 0 THEN -b ELSE b END) / sqrt(2) AS first, abs(a - CASE WHEN r < 0 THEN -b ELSE b END) / sqrt(2) AS second FROM s, r"""
+
+
+@query("vec1_mod8_stored_components", STORED, approx=["first", "second"])
+def stored_components(spark, sf):
+    """Components fitted and stored, read again, and applied as read."""
+    rows = views.vectors(spark, sf)
+    folder = views.scratch(spark, "components")
+    vectors.pca_train_or_load(rows, folder, ["e1", "e2"], 2)
+    read = vectors.pca_train_or_load(rows.limit(0), folder, ["e1", "e2"], 2)  # nothing to fit: it has to be the stored one
+    scored = vectors.pca_transform(rows, read, ["vec_id"])
+    return scored.select("vec_id", F.abs("PC1").alias("first"), F.abs("PC2").alias("second"))
+
+
 # Scores are centred, uncorrelated, and their variances sum to the number of
 # standardised features when all components are kept.
 @query("vec1_pca_properties", "SELECT count(*) AS n, true AS centred, true AS uncorrelated, 4.0::DOUBLE AS total_variance FROM embeddings", approx=["total_variance"])
@@ -128,6 +145,25 @@ def dynamic(spark, sf):
     return found.select(*KEYS, "n_rows", *[F.col("eigenvalues")[i].alias(f"eigenvalue_{i + 1}") for i in range(3)])
 
 
+# The recursion itself, row by row, for two variables as they are.
+@query(
+    "vec6_dynamic_pair",
+    f"""WITH RECURSIVE {with_views('sm').removeprefix('WITH ')}, r AS (SELECT Country, Date, quantity AS x, lines AS y, row_number() OVER (PARTITION BY Country ORDER BY Date) AS i FROM sm),
+d AS (SELECT Country, Date, i, x AS mx, y AS my, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM r WHERE i = 1
+  UNION ALL SELECT r.Country, r.Date, r.i, 0.9 * d.mx + 0.1 * x, 0.9 * d.my + 0.1 * y,
+  0.9 * d.a + 0.1 * (x - d.mx) * (x - (0.9 * d.mx + 0.1 * x)), 0.9 * d.b + 0.1 * (y - d.my) * (y - (0.9 * d.my + 0.1 * y)),
+  0.9 * d.c + 0.1 * (x - d.mx) * (y - (0.9 * d.my + 0.1 * y)) FROM d JOIN r ON r.Country = d.Country AND r.i = d.i + 1)
+SELECT Country, Date, CAST(i AS INTEGER) AS n_rows, (a + b) / 2 + sqrt((a - b) * (a - b) / 4 + c * c) AS eigenvalue_1,
+  (a + b) / 2 - sqrt((a - b) * (a - b) / 4 + c * c) AS eigenvalue_2 FROM d WHERE i >= 10 AND i % 5 = 0""",
+    approx=["eigenvalue_1", "eigenvalue_2"],
+    digits=4,
+)
+def dynamic_pair(spark, sf):
+    plain = {"standardise": False, "trend": None, "period": None}
+    found = vectors.dynamic_pca(_panel(spark, sf), ["quantity", "lines"], 0.9, 10, 5, plain)
+    return found.select(*KEYS, "n_rows", *[F.col("eigenvalues")[i].alias(f"eigenvalue_{i + 1}") for i in range(2)])
+
+
 @query("vec7_global_components")
 def global_components(spark, sf):
     found = vectors.global_components(_latest(spark, sf))
