@@ -26,8 +26,8 @@ Words travel as 64 bits of hash with their language and are spelled out again on
 Scale: tasks count the grams of ``HELD_BYTES`` of text at a time and send each once. Words that make up more than one
 part in ``HOT_PARTS`` of all (at most as many; found in a first pass by counts in the tasks, those rarer than a quarter of
 that left out there) are spread by their second word, and where that is hot too by the third; only their few partial
-sums meet again. The rest of the work is on phrases of at least ``min_count`` occurrences. Ranks are limited before their
-shuffle.
+sums meet again. The rest of the work is on phrases of at least ``min_count`` occurrences. Ranks are taken of parts of a
+language first.
 """
 
 from __future__ import annotations
@@ -303,8 +303,11 @@ def collocations(
         F.when(later, F.col("f_end")).otherwise(F.coalesce("last_two", "f_end")).alias("r"),
         F.when(later, F.col("s2")).otherwise(F.col("s1")).alias("score"),
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = cut.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    # the best of each part of a language first, so that no task ranks all of its phrases
+    parted = cut.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    some = parted.withColumn("rank", F.row_number().over(order("lang", "part"))).where(F.col("rank") <= top)
+    best = some.withColumn("rank", F.row_number().over(order("lang"))).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
