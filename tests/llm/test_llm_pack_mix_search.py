@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -275,3 +275,32 @@ def test_pipeline(spark, docs, tmp_path):
     docs.drop("size").limit(0).write.parquet(f"{folder}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{folder}/none").collect() == []
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "mixing", "packing"]
+
+
+def test_shards_draw_their_sources(spark):
+    """Shard counts scatter as multinomial draws do, other seeds draw otherwise, and few draws are corrected."""
+    rows = [(i, "w " * 50, f"s{i % 3}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING").repartition(3)
+    mixture = mixing.mix(df, block_words=5, shard_slots=100)
+    quota = [f["n_slots"] for f in mixture.facts]
+    total = sum(quota)
+    slots = mixture.assigned().collect()
+    assert sorted((r["shard"], r["slot"]) for r in slots) == sorted((i // 100, i % 100) for i in range(total))
+    for no, n in enumerate(quota):
+        assert sorted(r["j"] for r in slots if r["source_no"] == no) == list(range(n))
+    assert sum(r["drawn"] != r["source_no"] for r in slots) < 6 * total**0.5
+    counts = Counter((r["shard"], r["drawn"]) for r in slots)
+    whole = [s for s in range(total // 100)]
+    for no, n in enumerate(quota):
+        p = n / total
+        own = np.array([counts[s, no] for s in whole])
+        assert abs(own.mean() - 100 * p) < 4 * (100 * p * (1 - p) / len(whole)) ** 0.5
+        assert 0.6 < own.var() / (100 * p * (1 - p)) < 1.5  # dealt out evenly it would be near nothing
+    before = Counter()
+    for r in sorted(mixture.shards().collect(), key=lambda r: r["shard"]):
+        assert (r["n"], r["before"]) == (counts[r["shard"], r["drawn"]], before[r["drawn"]])
+        before[r["drawn"]] += r["n"]
+    other = mixing.mix(df, block_words=5, shard_slots=100, seed=18).drawn().orderBy("shard", "slot").collect()
+    same = [r["drawn"] for r in mixture.drawn().orderBy("shard", "slot").collect()]
+    assert same != [r["drawn"] for r in other]
+    assert same == [r["drawn"] for r in sorted(slots, key=lambda r: (r["shard"], r["slot"]))]
