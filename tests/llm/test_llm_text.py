@@ -323,3 +323,19 @@ def test_pii_beside_the_base(spark, n):
     for r in got:
         kinds = [a["no"] for a in r["added"]]
         assert kinds == ([] if r["doc"]["no"] is None else [r["doc"]["no"]]), (r["doc"]["text"], r["added"])
+
+
+def test_loud_prose_is_no_secret(spark):
+    """Words in capitals and capitalised ones are taught where they look like keys; findings of the base are still found."""
+    rng = random.Random(12)
+    loud = lambda: " ".join(w.upper() if rng.random() < 0.5 else w.capitalize() for w in ordinary(rng, 30).split())
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [loud() + (f" api_key: {hexes()} " if i % 4 == 0 else " ") + loud() for i in range(300)] + [f"{loud()} bearer: Zx81kkQ0aPq9LmNo77Tu {loud()}"]
+    df = spark.createDataFrame([(t,) for t in texts], "text STRING")
+    network = secrets.fit(df)
+    found = [(r["doc"]["text"][f["start"] : f["end"]], f["base"]) for r in secrets.scan(df, network).collect() for f in r["findings"]]
+    assert sum(base for _, base in found) >= 75
+    added = [value for value, base in found if not base]
+    assert any("Zx81kkQ0aPq9LmNo77Tu" in v for v in added)
+    assert not [v for v in added if v.isalpha()]
+    assert network.held_out["found"] == network.held_out["findings"] > 20 and network.held_out["taken"] <= 2
