@@ -9,7 +9,8 @@ whole text: batches are cut into pieces of bounded length, bucket numbers look u
 document come out of one ``reduceat`` per language.
 
 A text that is null or without letters gets ``und`` and score 0; so does every text if nothing could be learned. Ties
-go to the first language by code point. The score is the posterior probability of the answer. Repeated rows get the same
+go to the first language by code point. The score is the posterior probability of the answer, which is near 1 for any
+longer text; whether it is like that language at all, its likeness tells. Repeated rows get the same
 answer each, an empty table gives an empty one, and rows with null label or text are never learned from. Input rows come
 back in the struct ``doc``, so their names cannot clash with the results.
 """
@@ -81,10 +82,15 @@ def _sample(df: DataFrame, label: Column, max_rows: int, id_col: str, text_col:
 
 
 class Model:
-    """Languages in code point order and their log probabilities, float32 [language, bucket]; priors are equal."""
+    """Languages in code point order and their log probabilities, float32 [language, bucket]; priors are equal.
 
-    def __init__(self, languages: list[str], table: np.ndarray):
-        self.languages, self.table = languages, table
+    ``typical`` is the mean log probability of the grams a language was learned from, ``unseen`` that of a gram it never
+    had: between the two lies how much a text is like that language at all.
+    """
+
+    def __init__(self, languages: list[str], table: np.ndarray, typical: np.ndarray):
+        self.languages, self.table, self.typical = languages, table, typical
+        self.unseen = table.min(axis=1) if len(languages) else typical
 
 
 def fit(
@@ -105,19 +111,21 @@ def fit(
     counts = sample.mapInPandas(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toPandas()  # languages x buckets at most
     languages = sorted(set(found["label"]))
-    table = np.full((len(languages), BUCKETS), alpha)
+    table, seen = np.full((len(languages), BUCKETS), alpha), np.zeros((len(languages), BUCKETS))
     for i, lang in enumerate(languages):
         own = found[found["label"] == lang]
-        table[i, own["bucket"].to_numpy()] += own["n"].to_numpy()
+        seen[i, own["bucket"].to_numpy()] = own["n"].to_numpy()
+    table = table + seen
     if languages:
         table = np.log(table / table.sum(axis=1, keepdims=True))
-    return Model(languages, table.astype(np.float32))
+    return Model(languages, table.astype(np.float32), (seen * table).sum(axis=1) / np.maximum(seen.sum(axis=1), 1))
 
 
-def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Language and posterior of each text."""
+def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and posterior of each text, and how like that language its average gram is: 1 typical, 0 never seen."""
     n, langs = len(texts), len(model.languages)
     sums = np.zeros((n, langs))
+    grams = np.zeros(n)
     has = np.zeros(n, dtype=bool)
 
     def flush(parts: list[tuple[np.ndarray, int]], owners: list[int]) -> None:
@@ -133,6 +141,7 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
                 out = (lengths >= e) & (lengths - e >= np.minimum(owned, lengths - g + 1)) & (ends - e < len(b))
                 counts[ends[out] - e] = False
             live = starts < len(b)
+            grams[np.asarray(owners)[live]] += np.add.reduceat(counts, starts[live], dtype=np.int64)
             for k in range(langs):
                 values = np.where(counts, model.table[k][b], np.float32(0))
                 sums[np.asarray(owners)[live], k] += np.add.reduceat(values, starts[live], dtype=np.float64)
@@ -152,23 +161,25 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
             held += piece[1]
     flush(parts, owners)
     if not langs:
-        return [UND] * n, np.zeros(n)
+        return [UND] * n, np.zeros(n), np.zeros(n)
     best = sums.argmax(axis=1)
     top = sums.max(axis=1, keepdims=True)
     posterior = 1.0 / np.exp(sums - top).sum(axis=1)
     names = [model.languages[b] if h else UND for b, h in zip(best, has, strict=True)]
-    return names, np.where(has, posterior, 0.0)
+    mean = sums[np.arange(n), best] / np.maximum(grams, 1)
+    likeness = (mean - model.unseen[best]) / np.maximum(model.typical - model.unseen, 1e-9)[best]
+    return names, np.where(has, posterior, 0.0), np.where(has, likeness, 0.0)
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(doc, lang_pred, score) for every row, from the whole text alone."""
+    """(doc, lang_pred, score, likeness) for every row, from the whole text alone."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, likeness double")
     def answer(texts: pd.Series) -> pd.DataFrame:
-        names, score = score_texts(shared.value, list(texts))
-        return pd.DataFrame({"lang_pred": names, "score": score})
+        names, score, likeness = score_texts(shared.value, list(texts))
+        return pd.DataFrame({"lang_pred": names, "score": score, "likeness": likeness})
 
     doc = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     # called non-deterministic lest a later filter on the answer evaluate it twice
-    return df.select(doc.alias("doc"), answer.asNondeterministic()(F.col(text_col).cast("string")).alias("a")).select("doc", "a.lang_pred", "a.score")
+    return df.select(doc.alias("doc"), answer.asNondeterministic()(F.col(text_col).cast("string")).alias("a")).select("doc", "a.lang_pred", "a.score", "a.likeness")

@@ -22,10 +22,16 @@ def _with_text(df: DataFrame, doc: str, text: Column) -> DataFrame:
     return df.select(*[new[c].alias(c) if c in new else F.col(doc)[c].alias(c) for c in fields.names])
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """Documents whose language is known; those without a letter (null texts too) or with no likely language go."""
+def keep_identified(docs: DataFrame, least_score: float = 0.5, least_likeness: float = 0.6) -> DataFrame:
+    """Documents whose language is known; those without a letter (null texts too) or in no learned language go.
+
+    The answer has to be likely among the learned languages, and the text's average gram not too far from what is typical
+    of that language towards what it never has: other languages and junk lie below. A null ``lang`` becomes the answer.
+    """
     found = language.identify(docs, language.fit(docs, F.col("lang")))
-    return found.where((F.col("lang_pred") != language.UND) & (F.col("score") >= least_score)).select("doc.*")
+    sure = (F.col("lang_pred") != language.UND) & (F.col("score") >= least_score) & (F.col("likeness") >= least_likeness)
+    named = {"lang": F.coalesce("doc.lang", "lang_pred")}
+    return found.where(sure).select(*[named.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_shared_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:

@@ -61,7 +61,7 @@ def test_language_scores_by_definition(languages):
     want = [by_hand(t) if t and language._codes(t).size else 0.0 for t in texts]
     for piece in (7, 64, 1 << 18):
         language._PIECE = piece
-        names, score = language.score_texts(model, texts)
+        names, score, _ = language.score_texts(model, texts)
         assert np.allclose(score, want, atol=1e-6)
     language._PIECE = 1 << 18
 
@@ -339,3 +339,23 @@ def test_loud_prose_is_no_secret(spark):
     assert any("Zx81kkQ0aPq9LmNo77Tu" in v for v in added)
     assert not [v for v in added if v.isalpha()]
     assert network.held_out["found"] == network.held_out["findings"] > 20 and network.held_out["taken"] <= 2
+
+
+def test_language_stage_drops_what_is_in_no_language(spark):
+    """Junk, other scripts and unlearned languages go; clean texts stay, short ones too, and get a language where they had none."""
+    from chronopanel.llm import stages
+
+    rng = random.Random(6)
+    own = {"en": "the of and to in that is was he for it with as his on be at by had not".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein".split()}
+    rows = []
+    for lang, words in own.items():
+        stems = ["".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(300)]
+        rows += [(len(rows) + i, " ".join(rng.choice(stems) for _ in range(rng.randint(20, 200))), lang) for i in range(150)]
+    clean = [r[0] for r in rows]
+    rows += [(1000, "The of and to in that", None), (1001, "der die und in den von zu", None)]
+    junk = ["xkcd qzwv bnmp tkrs ghtz wrtp " * 5, "Привет как дела это русский текст " * 4, "日本語のテキストです。これは何ですか" * 4, "zzzzqqqq xxxx jjjj kkkk", "1234 $$ 77", None, ""]
+    rows += [(2000 + i, t, None) for i, t in enumerate(junk)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    got = {r["doc_id"]: r["lang"] for r in stages.keep_identified(df).collect()}
+    assert set(got) == {*clean, 1000, 1001}
+    assert (got[1000], got[1001]) == ("en", "de") and all(got[r[0]] == r[2] for r in rows[:300])
