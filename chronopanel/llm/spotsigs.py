@@ -77,30 +77,37 @@ def fingerprints(df: DataFrame, chain: int = 2, text_col: str = "text") -> DataF
 def near_pairs(df: DataFrame, threshold: float = 0.8, chain: int = 2, id_col: str = "doc_id", text_col: str = "text"):
     """(classes, pairs): (id, class) of every row, and (a, b, likeness) of classes at least ``threshold`` alike.
 
-    A class is named by the smallest id with that set of signatures.
+    A class is a set of signatures, told apart by 128 bits of hash (``key``) and named by the smallest id with that set:
+    null if no row of it has an id, and the same for two classes that share a repeated id. ``a`` is the smaller name,
+    nulls first. Null and empty texts have the signature of an empty text.
     """
     rows = kept(fingerprints(df.select(id_col, text_col), chain, text_col).select(F.col(f"doc.{id_col}").alias("id"), "sigs"))
-    key = [F.xxhash64("sigs").alias("k1"), F.xxhash64(F.lit("set"), "sigs").alias("k2")]
-    named = rows.select("id", "sigs", *key)
-    sets = kept(named.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.first("sigs").alias("sigs")))
-    classes = named.select("id", "k1", "k2").join(sets.select("k1", "k2", "class"), ["k1", "k2"]).select("id", "class")
-    n = F.size("sigs")
-    each = sets.select("class", n.alias("n"), F.explode("sigs").alias("s"))
-    rare = kept(each.groupBy("s").agg(F.count("*").alias("df"), F.min("n").alias("shortest")).where("df > 1").select("s", "df"))
-    ranked = each.join(rare, "s", "left").select("class", "n", "s", F.coalesce("df", F.lit(1).cast("long")).alias("df"))
-    order = Window.partitionBy("class").orderBy("df", "s")
+    key = F.concat(F.hex(F.xxhash64("sigs")), F.lit("-"), F.hex(F.xxhash64(F.lit("set"), "sigs")))
+    named = rows.select("id", "sigs", key.alias("key"))
+    sets = kept(named.groupBy("key").agg(F.min("id").alias("class"), F.first("sigs").alias("sigs")))
+    classes = named.select("id", "key").join(sets.select("key", "class"), "key").select("id", "class", "key")
+    each = sets.select("key", F.size("sigs").alias("n"), F.explode("sigs").alias("s"))
+    rare = kept(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
+    ranked = each.join(rare, "s", "left").select("key", "n", "s", F.coalesce("df", F.lit(1).cast("long")).alias("df"))
+    order = Window.partitionBy("key").orderBy("df", "s")
     reach = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
     prefix = ranked.withColumn("r", F.row_number().over(order)).where((F.col("r") <= reach) & (F.col("df") > 1))
     part = F.floor(F.log("n") / F.log(F.lit(1 / threshold)) + 1e-9) if threshold < 1 else F.col("n")
-    left = prefix.select(F.col("class").alias("a"), F.col("n").alias("na"), "s", part.alias("part"))
+    left = prefix.select(F.col("key").alias("a_key"), F.col("n").alias("na"), "s", part.alias("part"))
     right = prefix.select(
-        F.col("class").alias("b"), F.col("n").alias("nb"), "s", F.explode(F.array(part, part + 1, part - 1)).alias("part")
+        F.col("key").alias("b_key"), F.col("n").alias("nb"), "s", F.explode(F.array(part, part + 1, part - 1)).alias("part")
     )
     fits = (F.col("na") >= F.lit(threshold) * F.col("nb") - 1e-9) & (F.col("nb") >= F.lit(threshold) * F.col("na") - 1e-9)
-    met = left.join(right, ["s", "part"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    own = lambda name: sets.select(F.col("class").alias(name), F.col("sigs").alias(f"sigs_{name}"))
-    scored = met.join(own("a"), "a").join(own("b"), "b").select("a", "b", likeness(F.col("sigs_a"), F.col("sigs_b")).alias("likeness"))
-    return classes, scored.where(F.col("likeness") >= threshold)
+    met = left.join(right, ["s", "part"]).where((F.col("a_key") < F.col("b_key")) & fits).select("a_key", "b_key").distinct()
+    own = lambda name: sets.select(
+        F.col("key").alias(f"{name}_key"), F.col("class").alias(name), F.col("sigs").alias(f"sigs_{name}")
+    )
+    scored = met.join(own("a"), "a_key").join(own("b"), "b_key")
+    scored = scored.withColumn("likeness", likeness(F.col("sigs_a"), F.col("sigs_b"))).where(F.col("likeness") >= threshold)
+    turned = F.col("b").isNull() | (F.col("a") > F.col("b"))
+    end = lambda one, other, name: F.when(turned, F.col(other)).otherwise(F.col(one)).alias(name)
+    pairs = scored.select(end("a", "b", "a"), end("b", "a", "b"), "likeness", end("a_key", "b_key", "a_key"), end("b_key", "a_key", "b_key"))
+    return classes, pairs
 
 
 def with_next(df: DataFrame, order_col: str, rows_per_range: int = 1000, most_ranges: int = 10_000) -> DataFrame:

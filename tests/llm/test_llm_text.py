@@ -69,7 +69,7 @@ def test_language_scores_by_definition(languages):
 def test_language_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id LONG, text STRING, lang STRING")
     model = language.fit(df, F.col("lang"))
-    assert [tuple(r)[1:] for r in language.identify(df, model).collect()] == [("und", 0.0)]
+    assert [tuple(r)[1:] for r in language.identify(df, model).collect()] == [("und", 0.0, 0.0)]
     assert language.identify(df.limit(0), model).collect() == []
 
 
@@ -359,3 +359,21 @@ def test_language_stage_drops_what_is_in_no_language(spark):
     got = {r["doc_id"]: r["lang"] for r in stages.keep_identified(df).collect()}
     assert set(got) == {*clean, 1000, 1001}
     assert (got[1000], got[1001]) == ("en", "de") and all(got[r[0]] == r[2] for r in rows[:300])
+
+
+def test_near_pairs_of_rows_without_or_with_repeated_ids(spark):
+    """Sets are told apart by themselves, not by their ids."""
+    rng = random.Random(3)
+    body = lambda seed: " ".join(f"the {w}{i} is a {w}{i + 1} of" for i in range(0, 60, 2) for w in [f"q{seed}"])
+    one, two = body(1), body(2)
+    near = lambda t: t + " the very end of"
+    rows = [(1, one), (1, two), (None, near(one)), (None, near(two)), (None, near(two)), (5, "quite another text is a thing of the past")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    sigs = {r["doc"]["text"]: set(r["sigs"]) for r in spotsigs.fingerprints(df).collect()}
+    assert all(len(sigs[t] & sigs[near(t)]) / len(sigs[t] | sigs[near(t)]) >= 0.8 for t in (one, two))
+    classes, pairs = spotsigs.near_pairs(df, 0.8)
+    named = classes.collect()
+    assert len(named) == len(rows) and len({r["key"] for r in named}) == 5
+    found = pairs.collect()
+    assert [(r["a"], r["b"]) for r in found] == [(None, 1)] * 2 and len({(r["a_key"], r["b_key"]) for r in found}) == 2
