@@ -226,7 +226,7 @@ def test_pruning_skips_blocks(monkeypatch):
     plain = topk_search._products
     monkeypatch.setattr(topk_search, "_products", lambda q, m: scored.append(len(m)) or plain(q, m))
     queries = centres[:1]
-    who, ids, score = topk_search.best_of_blocks(queries, np.array([-1]), blocks, 5)
+    who, ids, score, _ = topk_search.best_of_blocks(queries, np.array([-1]), blocks, 5)
     everything = sorted((-int(s), int(i)) for own, m in blocks for i, s in zip(own, (queries @ m.T)[0]))[:5]
     assert [(-int(s), int(i)) for i, s in zip(ids, score)] == everything
     assert len(scored) < 2 + 4
@@ -304,3 +304,21 @@ def test_shards_draw_their_sources(spark):
     same = [r["drawn"] for r in mixture.drawn().orderBy("shard", "slot").collect()]
     assert same != [r["drawn"] for r in other]
     assert same == [r["drawn"] for r in sorted(slots, key=lambda r: (r["shard"], r["slot"]))]
+
+
+def test_clustered_vectors_skip_blocks(spark):
+    """Of the pairs of query and block few are scored where vectors lie in clusters, and the result is that of all."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(50, 16)) * 2
+    rows = [(i, (centres[i % 50] + rng.normal(size=16) * 0.05).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>").repartition(4)
+    visits = (spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
+    got = defaultdict(list)
+    for r in topk_search.top_k(df, F.col("vec_id") % 200 == 0, 10, visits=visits).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["id"], r["score"]))
+    x = np.floor(1024 * np.array([v for _, v in rows])).astype(np.int64)
+    for q in range(0, 4000, 200):
+        score = x @ x[q]
+        assert got[q] == sorted(((i, int(s)) for i, s in enumerate(score) if i != q), key=lambda p: (-p[1], p[0]))[:10]
+    scored, every = (v.value for v in visits)
+    assert 0 < scored < 0.2 * every
