@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,30 +82,87 @@ def split_date(df: DataFrame) -> DataFrame:
     return df.where(F.col("split") == "train").agg(F.max(DATE).alias("split_date"))
 
 
-def split_geographic(
-    df: DataFrame, train_prop: float = 0.8, test_prop: float | None = None, orders: int = 16
-) -> DataFrame:
-    """Disjoint country sets near the wanted row totals; leftovers have no split.
+# Countries whose sets are chosen exactly, and the share of all rows that sums of them are told apart by.
+LARGEST = 64
+SHARE_UNITS = 100_000
+
+
+def reachable(sizes: list[int], limit: int) -> np.ndarray:
+    """For every sum up to ``limit`` the number of the last item of one subset with this sum: -1 for none, -2 if unreachable."""
+    last = np.full(limit + 1, -2, dtype=np.int64)
+    last[0] = -1
+    for i, size in enumerate(sizes):
+        if 0 < size <= limit:
+            new = (last[:-size] > -2) & (last[size:] == -2)
+            last[size:][new] = i
+    return last
+
 
-    Countries are laid end to end by row count, in ``orders`` seeded hash orders
-    at once. In each a country is for training if its middle lies within the
-    training share, for testing if within the share after it, so either total
-    misses its aim by at most one country. The order that misses least is used.
-    Running totals go through blocks, so no task holds all countries.
+def subsets_near(sizes: list[int], aim: float, spare: int, choices: int = 1) -> list[tuple[float, list[int]]]:
+    """(miss, items): sets whose sum, with up to ``spare`` more from elsewhere, comes nearest to ``aim``.
+
+    Of sums that are as good but for a two-thousandth of all, ``choices`` evenly spaced ones are given.
+    """
+    last = reachable(sizes, int(sum(sizes)))
+    sums = np.flatnonzero(last > -2)
+    miss = np.maximum(sums - aim, 0) + np.maximum(aim - sums - spare, 0)
+    order = np.lexsort([sums, miss])
+    good = order[miss[order] <= miss[order[0]] + SHARE_UNITS // 2000]
+    good = good[np.unique(np.linspace(0, len(good) - 1, choices).astype(int))]
+    out = []
+    for i in good:
+        left, items = int(sums[i]), []
+        while last[left] >= 0:
+            items.append(int(last[left]))
+            left -= sizes[items[-1]]
+        out.append((float(miss[i]), items))
+    return out
+
+
+def _two_sets(units: list[int], train: float, test: float, spare: int) -> tuple[list[int], list[int]]:
+    """Items for training and for testing that miss both aims by least, in units; ``spare`` can be given to either."""
+    found = []
+    for missed, chosen in subsets_near(units, train, spare, 32):
+        rest = [i for i in range(len(units)) if i not in chosen]
+        used = min(max(train - sum(units[i] for i in chosen), 0), spare)
+        again, own = subsets_near([units[i] for i in rest], test, int(spare - used))[0]
+        found.append((missed + again, chosen, [rest[i] for i in own]))
+    return min(found)[1:]
+
+
+def split_geographic(df: DataFrame, train_prop: float = 0.8, test_prop: float | None = None, seed: int = 1) -> DataFrame:
+    """Disjoint country sets as near to the wanted row totals as countries allow; leftovers have no split.
+
+    Of the ``LARGEST`` countries, which reach the driver with their row counts, every sum that some of them have is found
+    by a table of subset sums in units of a hundred-thousandth of the rows; the sets for training and for testing are
+    those that come nearest to their aims once smaller countries fill them up. All other countries are laid end to end in
+    a seeded hash order, by running totals in blocks, and fill what is missing.
     """
     test_prop = 1 - train_prop if test_prop is None else test_prop
-    counts = df.groupBy(ENTITY).agg(F.count("*").alias("n"))
-    laid = counts.select(ENTITY, "n", F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("seed")).withColumn(
-        "__h", F.xxhash64(ENTITY, "seed")
-    )
-    total = counts.agg(F.sum("n")).scalar()
-    middle = (F.col("__cum") - F.col("n") / 2) / total
-    side = F.when(middle <= train_prop, "train").when(middle <= train_prop + test_prop, "test")
-    placed = running_totals(laid, ["seed"], "__h", {"__cum": "n"}).select(ENTITY, "n", "seed", side.alias("split"))
-    held = lambda name: F.coalesce(F.sum(F.when(F.col("split") == name, F.col("n"))), F.lit(0)) / F.sum("n")
-    misses = placed.groupBy("seed").agg((F.abs(held("train") - train_prop) + F.abs(held("test") - test_prop)).alias("miss"))
-    best = misses.agg(F.min_by("seed", F.struct("miss", "seed"))).scalar()
-    sets = placed.where((F.col("seed") == best) & F.col("split").isNotNull()).select(ENTITY, "split")
+    counts = df.groupBy(ENTITY).agg(F.count("*").alias("n")).withColumn("__h", F.xxhash64(ENTITY, F.lit(seed)))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    head = counts.orderBy(F.desc("n"), "__h").limit(LARGEST)
+    large = sorted(head.collect(), key=lambda r: r["__h"])
+    units = [round(r["n"] / total * SHARE_UNITS) for r in large]
+    spare = max(SHARE_UNITS - sum(units), 0) if len(large) == LARGEST else 0
+    everything = train_prop + test_prop > 1 - 1e-9
+    if everything:
+        train = subsets_near(units, train_prop * SHARE_UNITS, spare)[0][1]
+        test = [i for i in range(len(large)) if i not in train]
+    else:
+        train, test = _two_sets(units, train_prop * SHARE_UNITS, test_prop * SHARE_UNITS, spare)
+    missing = lambda chosen, prop: max(round(prop * total) - sum(large[i]["n"] for i in chosen), 0)
+    fill_train = missing(train, train_prop)
+    fill_test = total if everything else missing(test, test_prop)
+    named = [(large[i][ENTITY], side) for side, chosen in (("train", train), ("test", test)) for i in chosen]
+    sets = df.sparkSession.createDataFrame(named, f"{ENTITY} STRING, split STRING")
+    if spare:
+        # hashes tie for no two countries in practice; the name settles it
+        others = counts.join(head.select(ENTITY), ENTITY, "left_anti").withColumn("__one", F.lit(1))
+        middle = F.col("__cum") - F.col("n") / 2
+        side = F.when(middle <= fill_train, "train").when(middle <= fill_train + fill_test, "test")
+        small = running_totals(others, ["__one"], "__h", {"__cum": "n"}).select(ENTITY, side.alias("split"))
+        sets = sets.unionByName(small.where(F.col("split").isNotNull()))
     return df.join(sets, ENTITY, "left")
 
 

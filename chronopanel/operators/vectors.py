@@ -367,6 +367,10 @@ def aggregate_eigen(eigen: DataFrame, by: str = "last") -> DataFrame:
     )
 
 
+# Matrix cells a task holds before it passes its sums on.
+MAX_HELD_CELLS = 4_000_000
+
+
 def class_separation(df: DataFrame, by: str, features: Sequence[str], label: str = "label") -> DataFrame:
     """Distance between class centroids of each category under its pooled covariance.
 
@@ -378,6 +382,8 @@ def class_separation(df: DataFrame, by: str, features: Sequence[str], label: str
     shift = np.array([v or 0.0 for v in df.agg(*[F.avg(q(c)) for c in features]).first()])
     rows_ = df.select(q(by).alias("by"), (q(label) == 1).alias("positive"), F.array(*[q(c).cast("double") for c in features]).alias("x"))
 
+    out = lambda held: pd.DataFrame({"by": list(held), "cells": [c.tobytes() for c in held.values()]})
+
     def products(batches):
         held: dict = {}
         for batch in batches:
@@ -390,7 +396,10 @@ def class_separation(df: DataFrame, by: str, features: Sequence[str], label: str
                 sums = [x0.T @ x0, x0.T @ one, one.T @ one, np.array([(x0 * s).sum(0) for s in (yes, no)]), np.array([(one * s).sum(0) for s in (yes, no)])]
                 cells = np.concatenate([s.reshape(-1) for s in sums])
                 held[key] = held[key] + cells if key in held else cells
-        yield pd.DataFrame({"by": list(held), "cells": [c.tobytes() for c in held.values()]})
+            if len(held) * 3 * n * n > MAX_HELD_CELLS:  # however many categories there are
+                yield out(held)
+                held = {}
+        yield out(held)
 
     kind = df.schema[by].dataType.simpleString()
     added = lambda pdf: np.sum([np.frombuffer(c) for c in pdf["cells"]], axis=0)

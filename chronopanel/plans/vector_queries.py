@@ -179,15 +179,22 @@ def project(spark, sf):
     return scored.select(*KEYS, "own", *[F.col("scores")[i].alias(f"score_{i + 1}") for i in range(2)])
 
 
-@query(
-    "vec8_class_separation",
-    f"""{VEC}, s AS (SELECT category, avg(CASE WHEN label = 1 THEN e1 END) - avg(CASE WHEN label = 0 THEN e1 END) AS d1, avg(CASE WHEN label = 1 THEN e2 END) - avg(CASE WHEN label = 0 THEN e2 END) AS d2,
-  var_samp(e1) AS a, var_samp(e2) AS b, covar_samp(e1, e2) AS c FROM vec GROUP BY 1)
-SELECT category, sqrt((b * d1 * d1 - 2 * c * d1 * d2 + a * d2 * d2) / (a * b - c * c)) AS distance FROM s""",
-    approx=["distance"],
-)
+def _separation_sql(names: list[str]) -> str:
+    """Squared distance d' S^-1 d per category by elimination: each variable in turn is taken out of those after it."""
+    n = len(names)
+    cov = [f"covar_samp({a}, {b}) AS s{i}_{j}" for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+    gap = [f"avg(CASE WHEN label = 1 THEN {a} END) - avg(CASE WHEN label = 0 THEN {a} END) AS d{i}" for i, a in enumerate(names)]
+    steps = [f"z0 AS (SELECT category, 0.0::DOUBLE AS q, {', '.join(cov + gap)} FROM vec GROUP BY 1)"]
+    for k in range(n):
+        left = [f"s{i}_{j} - s{k}_{i} * s{k}_{j} / s{k}_{k} AS s{i}_{j}" for i in range(k + 1, n) for j in range(i, n)]
+        left += [f"d{i} - s{k}_{i} * d{k} / s{k}_{k} AS d{i}" for i in range(k + 1, n)]
+        steps.append(f"z{k + 1} AS (SELECT {', '.join(['category', f'q + d{k} * d{k} / s{k}_{k} AS q', *left])} FROM z{k})")
+    return f"{VEC}, {', '.join(steps)} SELECT category, sqrt(q) AS distance FROM z{n}"
+
+
+@query("vec8_class_separation", _separation_sql(E4), approx=["distance"])
 def separation(spark, sf):
-    return vectors.class_separation(views.vectors(spark, sf), "category", ["e1", "e2"])
+    return vectors.class_separation(views.vectors(spark, sf), "category", E4)
 
 
 @query("top5_top_categories")
@@ -196,37 +203,86 @@ def top_categories(spark, sf):
     return vectors.top_categories(found, "category")
 
 
+@query("top5_top_categories_four", f"{_separation_sql(E4)} ORDER BY distance DESC, category LIMIT 3", approx=["distance"])
+def top_categories_four(spark, sf):
+    return vectors.top_categories(vectors.class_separation(views.vectors(spark, sf), "category", E4), "category")
+
+
+# Of e1, a linear function of it and e2 the first component follows from the correlation r of e1 and e2: with the first two
+# as one variable of variance 2, the matrix is [[2, sqrt(2) r], [sqrt(2) r, 1]].
 @query(
-    "top5_top_categories_pair",
-    f"""{VEC}, s AS (SELECT category, avg(CASE WHEN label = 1 THEN e1 END) - avg(CASE WHEN label = 0 THEN e1 END) AS d1, avg(CASE WHEN label = 1 THEN e2 END) - avg(CASE WHEN label = 0 THEN e2 END) AS d2,
-  var_samp(e1) AS a, var_samp(e2) AS b, covar_samp(e1, e2) AS c FROM vec GROUP BY 1)
-SELECT category, sqrt((b * d1 * d1 - 2 * c * d1 * d2 + a * d2 * d2) / (a * b - c * c)) AS distance FROM s ORDER BY distance DESC, category LIMIT 3""",
-    approx=["distance"],
+    "top2_top_components_three",
+    f"""{VEC}, r AS (SELECT corr(e1, e2) AS r FROM vec), l AS (SELECT r, (3 + sqrt(1 + 8 * r * r)) / 2 AS l FROM r),
+v AS (SELECT (l - 1) / sqrt((l - 1) * (l - 1) + 2 * r * r) AS u, sqrt(2) * abs(r) / sqrt((l - 1) * (l - 1) + 2 * r * r) AS w FROM l)
+SELECT 'PC' AS prefix, 'e1' AS feature, u / sqrt(2) AS abs_loading FROM v UNION ALL SELECT 'PC', 'line', u / sqrt(2) FROM v UNION ALL SELECT 'PC', 'e2', w FROM v""",
+    approx=["abs_loading"],
 )
-def top_categories_pair(spark, sf):
-    return vectors.top_categories(vectors.class_separation(views.vectors(spark, sf), "category", ["e1", "e2"]), "category")
+def top_components_three(spark, sf):
+    rows = views.vectors(spark, sf).select("e1", (F.col("e1") * 2 + 1).alias("line"), "e2")
+    return vectors.top_components(vectors.loadings_rows(spark, vectors.pca_fit(rows, ["e1", "line", "e2"], 3)), 1, 10)
+
+
+# Two variables under one scaling, per class: covariances [[a, c], [c, b]], larger root l, first component (l - b, c).
+CLASS_SQL = f"""{VEC}, z AS (SELECT vec_id, label, (e1 - avg(e1) OVER ()) / stddev_pop(e1) OVER () AS x, (e2 - avg(e2) OVER ()) / stddev_pop(e2) OVER () AS y FROM vec),
+k AS (SELECT label, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c FROM z GROUP BY 1),
+l AS (SELECT *, (a + b + sqrt((a - b) * (a - b) + 4 * c * c)) / 2 AS l FROM k),
+u AS (SELECT label, CASE WHEN label = 1 THEN 'Minority_PC' ELSE 'Majority_PC' END AS prefix, (l - b) / sqrt((l - b) * (l - b) + c * c) AS p, c / sqrt((l - b) * (l - b) + c * c) AS q FROM l)"""
+
+
+def _class_pair(spark, sf, n):
+    return vectors.class_pca_fit(views.vectors(spark, sf), "label", ["e1", "e2"], n)
 
 
-# Two standardised variables load with equal weight on either component.
 @query(
-    "top2_top_components_pair",
-    "SELECT 'PC' AS prefix, unnest(['e1', 'e2']) AS feature, sqrt(0.5)::DOUBLE AS abs_loading",
-    approx=["abs_loading"],
+    "top3_top_rank_components_pair",
+    f"""{CLASS_SQL} SELECT 'e1' AS feature, CAST(sum(CASE WHEN abs(p) > abs(q) THEN 2 ELSE 1 END) AS BIGINT) AS score FROM u
+UNION ALL SELECT 'e2', CAST(sum(CASE WHEN abs(p) > abs(q) THEN 1 ELSE 2 END) AS BIGINT) FROM u""",
 )
-def top_components_pair(spark, sf):
-    fitted = vectors.pca_fit(views.vectors(spark, sf), ["e1", "e2"], 2)
-    return vectors.top_components(vectors.loadings_rows(spark, fitted), 1, 10)
+def top_rank_pair(spark, sf):
+    """By the first components of both classes."""
+    return vectors.top_rank_components(vectors.loadings_rows(spark, *_class_pair(spark, sf, 1)), 10)
+
+
+@query(
+    "vec4_loadings_table_pair",
+    f"""{CLASS_SQL}, w AS (SELECT *, least(abs(p), abs(q)) / greatest(abs(p), abs(q)) * 100 AS small FROM u)
+SELECT prefix, 1 AS component, 'e1' AS feature, CASE WHEN abs(p) >= abs(q) THEN 100.0 ELSE small END AS percent FROM w
+UNION ALL SELECT prefix, 1, 'e2', CASE WHEN abs(p) >= abs(q) THEN small ELSE 100.0 END FROM w
+UNION ALL SELECT prefix, 2, 'e1', CASE WHEN abs(p) >= abs(q) THEN small ELSE 100.0 END FROM w
+UNION ALL SELECT prefix, 2, 'e2', CASE WHEN abs(p) >= abs(q) THEN 100.0 ELSE small END FROM w""",
+    approx=["percent"],
+)
+def loadings_pair(spark, sf):
+    return vectors.loadings_table(vectors.loadings_rows(spark, *_class_pair(spark, sf, 2)), 10, 2).select("prefix", "component", "feature", "percent")
 
 
-# Ranks of two variables with loadings 3:1 in the first component and 1:3 in the second, in both classes.
-@query("top3_top_rank_components_fixed", "SELECT f.feature, CAST(6 AS BIGINT) AS score FROM (SELECT unnest(['e1', 'e2']) AS feature) f, (SELECT count(*) AS n FROM embeddings) c WHERE c.n > 0")
-def top_rank_fixed(spark, sf):
-    side = views.vectors(spark, sf).groupBy((F.col("label") == 1).alias("minority")).count()
-    cells = side.select(F.when(F.col("minority"), "Minority_PC").otherwise("Majority_PC").alias("prefix"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("component"), F.lit(f"e{j + 1}").alias("feature"), F.lit(j).alias("position"), F.lit(0.75 if (c - 1) == j else 0.25).alias("loading"))
-        for c in (1, 2) for j in (0, 1)
-    ])).alias("x")).select("prefix", "x.*")
-    return vectors.top_rank_components(cells, 10)
+@query(
+    "vec3_class_pca_pair",
+    f"""{CLASS_SQL} SELECT vec_id, abs(x * p + y * q) AS first, abs(y * p - x * q) AS second FROM z JOIN u ON u.label = z.label""",
+    approx=["first", "second"],
+)
+def class_pca_pair(spark, sf):
+    """Scores on the components of a row's own class, up to sign."""
+    rows = views.vectors(spark, sf)
+    scored = vectors.class_pca_transform(rows, _class_pair(spark, sf, 2), ["vec_id", "label"])
+    own = lambda i: F.abs(F.when(F.col("label") == 1, F.col(f"Minority_PC{i}")).otherwise(F.col(f"Majority_PC{i}")))
+    return scored.select("vec_id", own(1).alias("first"), own(2).alias("second"))
+
+
+# Countries weigh by the share w of their first component, and two standardised variables have shares (1 +- |c|) / 2.
+@query(
+    "vec7_global_components_pair",
+    f"""{with_views('sm')}, r AS (SELECT Country, Date, quantity, lines, row_number() OVER (PARTITION BY Country ORDER BY Date) - 1 AS i, count(*) OVER (PARTITION BY Country) AS n FROM sm),
+w AS (SELECT Country, max(i) AS s FROM r WHERE i % 12 = 0 AND i + 36 <= n GROUP BY 1),
+c AS (SELECT w.Country, (1 + abs(corr(quantity, lines))) / 2 AS w FROM w JOIN r ON r.Country = w.Country AND r.i >= w.s AND r.i < w.s + 36 GROUP BY 1)
+SELECT 1 AS component, sum(w * w) / sum(w) AS ratio, sum(w * w) / sum(w) AS cumulative FROM c
+UNION ALL SELECT 2, sum(w * (1 - w)) / sum(w), 1.0 FROM c""",
+    approx=["ratio", "cumulative"],
+)
+def global_components_pair(spark, sf):
+    plain = {"trend": None, "period": None}
+    latest = vectors.latest_components(vectors.sliding_pca(_panel(spark, sf), ["quantity", "lines"], 36, 12, plain))
+    return vectors.global_components(latest).select("component", "ratio", "cumulative")
 
 
 # A variable and a linear function of it have one component, the standardised variable times the root of two.
@@ -243,6 +299,28 @@ def class_pca_line(spark, sf):
     return scored.select("vec_id", F.abs(F.when(F.col("label") == 1, F.col("Minority_PC1")).otherwise(F.col("Majority_PC1"))).alias("score"))
 
 
+@query(
+    "top5_top_categories_pair",
+    f"""{VEC}, s AS (SELECT category, avg(CASE WHEN label = 1 THEN e1 END) - avg(CASE WHEN label = 0 THEN e1 END) AS d1, avg(CASE WHEN label = 1 THEN e2 END) - avg(CASE WHEN label = 0 THEN e2 END) AS d2,
+  var_samp(e1) AS a, var_samp(e2) AS b, covar_samp(e1, e2) AS c FROM vec GROUP BY 1)
+SELECT category, sqrt((b * d1 * d1 - 2 * c * d1 * d2 + a * d2 * d2) / (a * b - c * c)) AS distance FROM s ORDER BY distance DESC, category LIMIT 3""",
+    approx=["distance"],
+)
+def top_categories_pair(spark, sf):
+    return vectors.top_categories(vectors.class_separation(views.vectors(spark, sf), "category", ["e1", "e2"]), "category")
+
+
+# Two standardised variables load with equal weight on either component.
+@query(
+    "top2_top_components_pair",
+    "SELECT 'PC' AS prefix, unnest(['e1', 'e2']) AS feature, sqrt(0.5)::DOUBLE AS abs_loading",
+    approx=["abs_loading"],
+)
+def top_components_pair(spark, sf):
+    fitted = vectors.pca_fit(views.vectors(spark, sf), ["e1", "e2"], 2)
+    return vectors.top_components(vectors.loadings_rows(spark, fitted), 1, 10)
+
+
 @query(
     "vec4_loadings_table_line",
     "SELECT unnest(['Majority_PC', 'Majority_PC', 'Minority_PC', 'Minority_PC']) AS prefix, unnest(['e1', 'e2', 'e1', 'e2']) AS feature, 100.0::DOUBLE AS percent",
