@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.operators import expanding
 from chronopanel.operators.fill import imputation_mask
 from chronopanel.operators.neighbours import HELD_NUMBERS, SAMPLE, BoxCells, cells_for, check_metric, nearest, parts_for, search
 from chronopanel.operators.select import filter_countries
@@ -544,8 +545,10 @@ def regression_impute(
     Inputs are the other variables, or those of ``features`` (missing ones as
     0), the days since the first date, year and month. The default linear fit needs no loop: each date contributes its
     cross-product matrix, matrices are summed over earlier dates, and every
-    date solves its own small system. Any MLlib regressor can be passed
-    instead and is fitted once per date and column with masked cells.
+    date solves its own small system. ``estimator="trees"`` grows the regression
+    trees of all dates together instead, without a loop over dates as well. Any
+    MLlib regressor can be passed and is fitted once per date and column with
+    masked cells.
     """
     from chronopanel.operators.encode import label_encode
 
@@ -566,6 +569,8 @@ def regression_impute(
         return [*others, F.col("__code").cast("double"), F.col("__days"), F.col("__year"), F.col("__month")]
 
     joined = base.join(flags.select(*KEYS, *[q(c).alias(f"__w_{i}") for i, c in enumerate(columns)]), list(KEYS), "left")
+    if estimator == "trees":
+        return _regression_by_trees(joined, df, columns, inputs)
     if estimator is not None:
         return _regression_by_estimator(joined, df, columns, inputs, estimator)
     rows_ = joined.select(
@@ -648,6 +653,28 @@ def regression_impute(
     )
 
 
+def _regression_by_trees(joined: DataFrame, df: DataFrame, columns, inputs) -> DataFrame:
+    """The trees of a date learn from all rows of earlier dates, those of all dates grow at once."""
+    days = [r[0] for r in df.select(DATE).where(F.col(DATE).isNotNull()).distinct().orderBy(DATE).collect()]  # calendar days
+    place = joined.sparkSession.createDataFrame([(d, i) for i, d in enumerate(days)], f"{DATE} DATE, __day INT")
+    placed = cut_lineage(joined.join(place, DATE))
+    pieces = None
+    for i, c in enumerate(columns):
+        names = [f"__x{j}" for j in range(len(inputs(c)))]
+        rows_ = placed.select(
+            *KEYS, *[e.alias(n) for e, n in zip(inputs(c), names, strict=True)], q(c).cast("double").alias("label"),
+            (F.col("__day") + 1).alias("first"), F.lit(len(days)).alias("until"), "__day", F.col(f"__w_{i}").alias("want"),
+        )
+        forest = expanding.fit(rows_.drop("want"), names, len(days), least_rows=MIN_TRAINING_ROWS // 2)
+        asked = rows_.where("want AND label IS NULL")
+        part = expanding.predict(asked, forest, "__day", list(KEYS)).select(*KEYS, F.lit(c).alias("variable"), F.col("prediction").alias("value"))
+        pieces = part if pieces is None else pieces.unionByName(part)
+    wide = to_wide(pieces, columns).select(*KEYS, *[q(c).alias(f"__p_{c}") for c in columns])
+    return replace_columns(df.join(wide, list(KEYS), "left"), {c: F.coalesce(q(c), q(f"__p_{c}")) for c in columns}).select(
+        *[q(c) for c in df.columns]
+    )
+
+
 def _regression_by_estimator(joined: DataFrame, df: DataFrame, columns, inputs, estimator) -> DataFrame:
     """One MLlib fit per date and column with masked cells."""
     from pyspark.ml.functions import array_to_vector

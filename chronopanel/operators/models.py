@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.operators import encode, split
+from chronopanel.operators import encode, expanding, split
 from chronopanel.operators.evaluate import window_metrics
 from chronopanel.operators.select import filter_date_range
 from chronopanel.schema import DATE, KEYS, PanelError, cut_lineage, numeric_columns, q
@@ -120,12 +120,45 @@ def feature_importances(history: DataFrame, window: int, top_n: int = 20) -> Dat
 
 
 class RollingResult:
-    """Predictions, per-window metrics, importances and the last model of a rolling run."""
+    """Predictions, per-window metrics, importances and the last model (or the forest of all windows) of a rolling run."""
 
-    def __init__(self, predictions: DataFrame, metrics: DataFrame, history: DataFrame | None, model: PipelineModel):
+    def __init__(self, predictions: DataFrame, metrics: DataFrame, history: DataFrame | None, model: PipelineModel | expanding.Forest):
         self.predictions, self.metrics, self.history, self.model = predictions, metrics, history, model
 
 
+def _rolling_together(stacked, test, windows, per_date, in_training, label, numTrees: int = 20, maxDepth: int = 4, featureShare: float = 0.5):
+    """All windows of a rolling run at once; a row is in the training sets from one window on, or up to one."""
+    if not windows:
+        raise PanelError("no test rows in any window")
+    spark, n = stacked.sparkSession, len(windows)
+    features = feature_columns(test, label)
+    starts = F.array(*[F.lit(w["start_date"]) for w in windows])
+    begun = F.size(F.filter(starts, lambda s: s <= F.col(DATE)))
+    rows_ = stacked.select(
+        *KEYS, *[q(c) for c in features], q(label), F.when(F.col("__kind") == 2, begun).otherwise(0).alias("first"),
+        F.when(F.col("__kind") == 1, begun).otherwise(n).alias("until"),
+    )
+    forest = expanding.fit(rows_, features, n, label, depth=maxDepth, trees=numTrees, feature_share=featureShare, least_rows=1)
+    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w["window"]).alias("window"), F.lit(w["start_date"]).alias("s"), F.lit(w["end_date"]).alias("e")) for i, w in enumerate(windows)])
+    inside = F.filter(spans, lambda w: (w["s"] <= F.col(DATE)) & (F.col(DATE) < w["e"]))
+    asked = test.select("*", F.explode(inside).alias("__w")).select(*test.columns, F.col("__w.i").alias("__i"), F.col("__w.window").alias("window"))
+    keep = [*test.columns, "window"]
+    scored = expanding.predict(asked, forest, "__i", keep)
+    own = [q(c) for c in keep if c != label]
+    predictions = scored.select(
+        *own, q(label).cast("int").alias("y_true"), (F.col("prediction") > 0.5).cast("int").alias("y_pred"), F.col("prediction").alias("y_pred_proba")
+    )
+    sizes = []
+    for w in windows:
+        seen = [r for r in per_date if in_training(r["__kind"], r[DATE], w["start_date"])]
+        total = sum(r["n"] for r in seen)
+        sizes.append((w["window"], w["start_date"], w["end_date"], total, sum(r["p"] or 0.0 for r in seen) / total if total else None))
+    trained = spark.createDataFrame(sizes, "window INT, start_date DATE, end_date DATE, train_samples LONG, train_crisis_rate DOUBLE")
+    gains = [(w["window"], c, float(v)) for i, w in enumerate(windows) for c, v in zip(features, forest.importances(i), strict=True)]
+    history = spark.createDataFrame(gains, "window INT, feature STRING, importance DOUBLE")
+    return RollingResult(predictions, trained.join(window_metrics(predictions), "window", "left"), history, forest)
+
+
 def fit_predict_rolling(
     train: DataFrame,
     test: DataFrame,
@@ -140,7 +173,9 @@ def fit_predict_rolling(
 
     The driver loops over windows (calendar steps); every fit and prediction is
     a distributed job. Training and test rows are checkpointed once so that no
-    window re-runs the plan that produced them. A test row takes the place of
+    window re-runs the plan that produced them. With ``kind="histogram_forest"``
+    the trees of all windows grow together instead: then the number of jobs
+    depends on their depth and not on the windows. A test row takes the place of
     the training row of its key once it lies before the window; which rows that
     concerns is found once, so a window's training set is a mere filter, stored
     while the model is fitted. Sizes come from one count per date.
@@ -158,6 +193,9 @@ def fit_predict_rolling(
         return (kind == 0) | ((kind == 1) & (date >= start)) | ((kind == 2) & (date < start))
 
     windows = split.rolling_windows(test, test_months, step_months, include_last).orderBy("window").collect()
+    if kind == "histogram_forest":
+        held = [w for w in windows if any(r["__kind"] == 2 and w["start_date"] <= r[DATE] < w["end_date"] for r in per_date)]
+        return _rolling_together(stacked, test, held, per_date, in_training, label, **params)
     predictions, history, sizes, model = None, None, [], None
     for w in windows:
         rows_ = filter_date_range(test, w["start_date"], w["end_date"])

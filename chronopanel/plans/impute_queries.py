@@ -175,6 +175,30 @@ def regression_impute(spark, sf):
     return impute.regression_impute(views.sparse(spark, sf), ["quantity", "revenue", "lines"])
 
 
+@query("imp4_trees")
+def trees_impute(spark, sf):
+    """Regression trees of all dates, grown together."""
+    return impute.regression_impute(views.sparse(spark, sf), ["quantity", "revenue", "lines"], estimator="trees")
+
+
+# The target is a step of another variable: trees over earlier dates restore it.
+@query(
+    "imp4_trees_step",
+    f"""{with_views('nm')}, b AS (SELECT *, CASE WHEN orders > 8 THEN 10 ELSE 2 END AS y, dense_rank() OVER (ORDER BY Date) AS d FROM nm)
+SELECT Country, Date, CAST(y AS DOUBLE) AS y FROM b WHERE d > 24""",
+    approx=["y"],
+)
+def trees_step(spark, sf):
+    panel = views.nation_month(spark, sf).select(*KEYS, (F.col("orders") > 8).cast("double").alias("high"))
+    first = panel.agg(F.min(DATE)).scalar()
+    m = F.year(DATE) * 12 + F.month(DATE)
+    known = (m % 3 != 0) | (F.months_between(DATE, first) < 23.5)
+    gaps = panel.select(*KEYS, "high", F.when(known, 2 + 8 * F.col("high")).alias("y"))
+    done = impute.regression_impute(gaps, ["y"], features=["high"], estimator="trees")
+    late = done.select(*KEYS, "y", F.months_between(DATE, first).alias("m")).where("m > 23.5")
+    return late.select(*KEYS, "y")
+
+
 def _kept(before, after, columns):
     """Rows, known cells that stayed as they were, and cells that were filled."""
     renamed = after.select(*KEYS, *[F.col(c).alias(f"{c}_after") for c in columns])

@@ -150,6 +150,26 @@ def prediction_windows(spark, sf):
     return _rolling(spark, sf).predictions.select(*KEYS, "window", "y_true")
 
 
+@query("mod4_windows_together")
+def windows_together(spark, sf):
+    """Metrics of windows whose trees grow in one run."""
+    train, test = _sets(spark, sf)
+    return models.fit_predict_rolling(train, test, "histogram_forest", test_months=12, step_months=12).metrics
+
+
+# On a feature that gives the label away, all windows at once: training sets, truth and predictions.
+@query(
+    "mod4_together_separable",
+    f"""{with_views('lnm')}, {WINDOWS}, n AS (SELECT wd.w, count(*) AS train_samples FROM wd JOIN lnm ON lnm.Date < wd.s OR lnm.Date <= DATE '1998-12-31' GROUP BY 1)
+SELECT Country, Date, wd.w AS "window", label AS y_true, label AS y_pred, n.train_samples FROM te JOIN wd ON te.Date >= wd.s AND te.Date < wd.e JOIN n ON n.w = wd.w""",
+)
+def together_separable(spark, sf):
+    train, test = _hinted_sets(spark, sf)
+    done = models.fit_predict_rolling(train, test, "histogram_forest", test_months=12, step_months=12, numTrees=1, featureShare=1.0)
+    sizes = done.metrics.select("window", "train_samples")
+    return done.predictions.select(*KEYS, "window", "y_true", "y_pred").join(sizes, "window").select(*KEYS, "window", "y_true", "y_pred", "train_samples")
+
+
 @query("mod6_predict_latest")
 def latest(spark, sf):
     _, test = _sets(spark, sf)
