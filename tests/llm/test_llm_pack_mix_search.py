@@ -247,7 +247,7 @@ def test_stages_one_by_one(spark, docs):
     for r, p, g in zip(rows, prints, brute.groups(prints), strict=True):
         heads.setdefault(g, []).append(r["doc_id"])
     firsts = sorted(str(min(x for x in ids if x is not None)) if any(x is not None for x in ids) else "None" for ids in heads.values())
-    assert sorted(str(r["doc_id"]) for r in one.collect()) != [] and one.count() == len(firsts)
+    assert sorted(str(r["doc_id"]) for r in one.collect()) == firsts
     mixed = stages.take_mixture(table, block_words=7).collect()
     size = lambda t: len(__import__("re").findall(brute.WORD, t or ""))
     taken = defaultdict(int)
