@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 HASH_BITS = 16
 BUCKETS = 1 << HASH_BITS
 UND = "und"
+#: Texts of fewer grams are too short to be found unlike a language.
+LEAST_GRAMS = 64
 _PIECE = 1 << 18
 _GRAMS = (1, 2, 3)
 
@@ -122,7 +124,7 @@ def fit(
 
 
 def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language and posterior of each text, and how like that language its average gram is: 1 typical, 0 never seen."""
+    """Language and posterior of each text, and how like that language its average gram is: 1 typical (or too few), 0 never seen."""
     n, langs = len(texts), len(model.languages)
     sums = np.zeros((n, langs))
     grams = np.zeros(n)
@@ -168,7 +170,7 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
     names = [model.languages[b] if h else UND for b, h in zip(best, has, strict=True)]
     mean = sums[np.arange(n), best] / np.maximum(grams, 1)
     likeness = (mean - model.unseen[best]) / np.maximum(model.typical - model.unseen, 1e-9)[best]
-    return names, np.where(has, posterior, 0.0), np.where(has, likeness, 0.0)
+    return names, np.where(has, posterior, 0.0), np.where(has, np.where(grams < LEAST_GRAMS, 1.0, likeness), 0.0)
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
