@@ -15,6 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     where their ends went. Node numbers should be hashes: then each round removes a constant share of the nodes in
     expectation, chains included. All tables that meet in a join are checkpointed first, so nothing is computed twice,
     a lost executor costs one step, and adaptive execution can split the partition of a node with very many links.
+    Links from a node to itself, repeated ones and both directions of one change nothing; nodes without another are not in
+    the result, and no links give an empty one. Node numbers must not be null.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = kept(both.where("a <> b").distinct())

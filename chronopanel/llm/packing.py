@@ -17,7 +17,8 @@ in two steps, in hash buckets and over buckets, since one length may hold a thir
 sequence and offset by binary search. No text, id or piece passes the driver.
 
 Null and empty texts are one piece of one token. Repeated rows are documents of their own. An empty table gives an empty
-result. Input columns come back inside the struct ``doc``, so names cannot clash.
+result. Input columns come back inside the struct ``doc``, so names cannot clash. Very long texts are tokenised whole and
+become as many pieces as they fill.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ order of rarity can be the first it shares with a match. Candidates are then com
 before anything is paired.
 
 All on DataFrame functions. Null texts count as empty, repeated rows are documents of their own, empty tables give empty
-results, and input columns come back inside the struct ``doc``.
+results, and input columns come back inside the struct ``doc``. A very long text is one row's work, read whole.
 """
 
 from __future__ import annotations
