@@ -180,8 +180,9 @@ def brute_knn(pdf, columns, feats, k, metric):
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
 def test_knn_against_brute_force(panel, metric, monkeypatch):
     """Small blocks and batches, so that merging over many of them is exercised."""
-    monkeypatch.setattr(impute, "POINTS_PER_BLOCK", 7)
-    monkeypatch.setattr(impute, "QUERIES_PER_BATCH", 5)
+    monkeypatch.setattr(neighbours, "POINTS_PER_BLOCK", 7)
+    monkeypatch.setattr(neighbours, "QUERIES_PER_BATCH", 5)
+    monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 7)
     monkeypatch.setattr(impute, "VALUES_PER_BLOCK", 20)
     got = table(impute.knn_impute(panel.drop("label"), ["x", "y"], 4, metric=metric))
     want = brute_knn(table(panel.drop("label")), ["x", "y"], ["x", "y", "z"], 4, metric)
