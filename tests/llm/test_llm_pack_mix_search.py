@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 import brute
 import corpus_pipeline
 from chronopanel.llm import mixing, packing, stages, tokens, topk_search
+from chronopanel.llm.queries import QUERIES
 
 PATH = packing.default_tokenizer()
 PLAIN = Tokenizer.from_file(PATH)
@@ -217,6 +218,25 @@ def test_top_k(spark):
     assert topk_search.top_k(df, F.lit(False)).collect() == []
 
 
+def test_top_k_leaves_out_the_own_row_alone(spark, tmp_path):
+    """Other rows of the query's id, equal ones too, and rows without an id are candidates; bounds pass 64 bits."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4).round(2)]) for i in range(150)]
+    rows += [(0, rows[0][1]), (100, rows[100][1]), (100, rows[100][1]), (100, rows[7][1]), (None, rows[0][1]), (None, [9.0] * 4)]
+    rows += [(200, [1e6, -1e6, 1e6, 1e6]), (201, [3e6, 3e6, 0.0, 0.0]), (202, [-2e6, -2e6, 1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["query_id"], r["rank"], -1 if r["vec_id"] is None else r["vec_id"], r["score"]) for r in QUERIES["op10_topk_search"](spark, str(tmp_path)).collect())
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    want = []
+    for n, (i, v) in enumerate(whole):
+        if i is not None and i % 100 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w)), j is None, j) for m, (j, w) in enumerate(whole) if m != n)[:10]
+            want += [(i, rank + 1, -1 if j is None else j, -s) for rank, (s, _, j) in enumerate(found)]
+    assert got == sorted(want)
+    queries, top, low = np.array([[2**31, 2**31]]), np.array([[2**32, 2**32]]), np.array([[0, 0]])
+    assert topk_search._bounds(queries, top, low)[0, 0] >= 2.0**64
+
+
 def test_pruning_skips_blocks(monkeypatch):
     """Clustered blocks: far ones are never scored, and the answer is the same."""
     rng = np.random.default_rng(1)
