@@ -39,10 +39,19 @@ def classifier_pipeline(features: Sequence[str], kind: str | Estimator = "random
     return Pipeline(stages=[assembler, _base(kind, seed, label, **params)])
 
 
+def _with_classes(df: DataFrame, label: str) -> DataFrame:
+    """The label with its number of classes, two at least: the rows before some date may hold no crisis at all."""
+    most = df.agg(F.max(q(label).cast("double"))).first()[0]
+    if most is None or not most.is_integer():
+        return df
+    classes = {"ml_attr": {"type": "nominal", "vals": [str(i) for i in range(max(2, int(most) + 1))]}}
+    return df.withMetadata(label, classes)
+
+
 def train_classifier(df: DataFrame, kind: str | Estimator = "random_forest", features: Sequence[str] | None = None, label: str = LABEL, **params) -> PipelineModel:
     """Random forest, gradient boosting, or any given estimator on all variables but the keys."""
     features = list(features or feature_columns(df, label))
-    return classifier_pipeline(features, kind, label, **params).fit(df.fillna(0.0, subset=features))
+    return classifier_pipeline(features, kind, label, **params).fit(_with_classes(df.fillna(0.0, subset=features), label))
 
 
 def predict(model: Transformer, df: DataFrame, label: str = LABEL, fill: bool = True) -> DataFrame:
@@ -71,7 +80,7 @@ def grid_search(
     held = split.stratified_holdout(df.fillna(0.0, subset=features), label=label)
     folded = split.stratified_kfold(held.where("split = 'train'").drop("split"), folds, label)
     # Folds are read many times; store them once.
-    ready = cut_lineage(folded)
+    ready = _with_classes(cut_lineage(folded), label)
     pipeline = classifier_pipeline(features, kind, label)
     model = pipeline.getStages()[-1]
     builder = ParamGridBuilder()

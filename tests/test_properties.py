@@ -330,3 +330,18 @@ def test_dotted_names(spark):
 
 def test_artefact_names_are_deterministic():
     assert writers.artefact_name("rf", {"b": 2, "a": 1}) == writers.artefact_name("rf", {"a": 1, "b": 2})
+
+
+def test_training_rows_without_a_crisis(spark):
+    """One class in the training rows: the other has probability zero, in rolling windows too until it was seen."""
+    days = [dt.date(2000 + i // 12, 1 + i % 12, 1) for i in range(48)]
+    rows = [(c, d, float(j + i), int(d.year == 2002)) for j, c in enumerate("AB") for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "Country STRING, Date DATE, v DOUBLE, label INT")
+    train, test = df.where("Date < '2001-01-01'"), df.where("Date >= '2001-01-01'")
+    model = models.train_classifier(train, "random_forest", numTrees=3, maxDepth=2)
+    done = models.predict(model, test).collect()
+    assert len(done) == 72 and all(r["y_pred"] == 0 and r["y_pred_proba"] == 0.0 for r in done)
+    rolled = models.fit_predict_rolling(train, test, test_months=12, step_months=12, numTrees=3, maxDepth=2)
+    assert {r["window"]: r["n"] for r in rolled.predictions.groupBy("window").agg(F.count("y_pred_proba").alias("n")).collect()} == {1: 24, 2: 24, 3: 22}
+    assert [r["train_samples"] for r in rolled.metrics.orderBy("window").collect()] == [24, 48, 72]
+    assert rolled.history.count() == 3
