@@ -4,6 +4,8 @@ Points are put into cells of points that lie together. Of every cell a little is
 feature (``BoxCells``) or the distances to its pivot (``PivotCells``), from which follows how near a query could be to
 anything in it. Cells are visited best first: each query meets its nearest cell, which gives a distance its ``k``
 neighbours cannot exceed, then in rounds of growing size the next ones, as long as they could hold something as near.
+Where that would be many cells a query, as on data without structure, whole groups of cells are visited instead: then a
+query is copied once per group of ``POINTS_PER_BLOCK`` points and not once per cell.
 Where cells are cut follows a bounded sample; what is known of them, and so the result, covers all points. Cells and
 queries meet in tasks of bounded size that compute distances with numpy and emit the best ``k`` per query; no pair of
 rows is ever materialised. On data without any structure every cell has to be visited.
@@ -24,6 +26,7 @@ from chronopanel.schema import cut_lineage, renewed, spread
 # Points and queries that one task holds at once.
 POINTS_PER_BLOCK = 50_000
 QUERIES_PER_BATCH = 50_000
+LEAST_BATCH = 4096
 # Cells aim at this many points, within a range of cells that is small enough for every task.
 POINTS_PER_CELL = 1024
 LEAST_CELLS, MOST_CELLS = 8, 4096
@@ -31,8 +34,14 @@ LEAST_CELLS, MOST_CELLS = 8, 4096
 SAMPLE = 20_000
 # Numbers a task works on at once.
 HELD_NUMBERS = 2_000_000
+# Rows and columns of distances computed together, few enough to stay in a core's cache.
+TILE = (32, 4096)
 # A round of a search visits so many times the cells visited before.
 ROUND = 8
+# Cells that a query may still have to visit, on average, after the second round; above, groups of cells are visited.
+MOST_VISITS = 16
+# Rows a task passes on at once: what it holds does not grow with the cells a query visits.
+ROWS_AT_ONCE = 16_384
 # What rounding may add to a bound.
 SLACK = 1e-9
 
@@ -205,35 +214,84 @@ def search(
     numbers = np.array(sorted(sizes))
     table = spark.createDataFrame([(c, parts_for(n, POINTS_PER_BLOCK)) for c, n in sizes.items()], "cell int, parts int")
 
+    def ranked(batches):
+        """Pieces of the queries with the bound of every cell and the distance a nearest one cannot exceed."""
+        for batch in batches:
+            step = max(1, HELD_NUMBERS // max(len(numbers), 1))
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                limit = part["limit"].to_numpy(dtype=float)
+                yield part.drop(columns=["limit"]), bounds(part)[:, numbers], np.where(np.isnan(limit), np.inf, limit)[:, None]
+
+    def passed_on(part: pd.DataFrame, row: np.ndarray, cell: np.ndarray):
+        for at in range(0, len(row), ROWS_AT_ONCE):
+            own = slice(at, at + ROWS_AT_ONCE)
+            yield part.iloc[row[own]].assign(cell=cell[own].astype(np.int32))
+
     def routed(asked: DataFrame, lo: int, hi: int) -> DataFrame:
         """Queries with their cells number ``lo`` to ``hi`` by bound, as far as those could hold a nearest one."""
 
         def route(batches):
-            for batch in batches:
-                step = max(1, HELD_NUMBERS // max(len(numbers), 1))
-                for at in range(0, len(batch), step):
-                    part = batch.iloc[at : at + step]
-                    low = bounds(part)[:, numbers]
-                    limit = part["limit"].to_numpy(dtype=float)
-                    limit = np.where(np.isnan(limit), np.inf, limit)[:, None]
-                    order = np.argsort(low, axis=1, kind="stable")[:, lo:hi]
-                    ranked = np.take_along_axis(low, order, axis=1)
-                    row, place = np.nonzero(np.isfinite(ranked) & (ranked <= limit))
-                    yield part.iloc[row].drop(columns=["limit"]).assign(cell=numbers[order[row, place]].astype(np.int32))
+            for part, low, limit in ranked(batches):
+                order = np.argsort(low, axis=1, kind="stable")[:, lo:hi]
+                near_first = np.take_along_axis(low, order, axis=1)
+                row, place = np.nonzero(np.isfinite(near_first) & (near_first <= limit))
+                yield from passed_on(part, row, numbers[order[row, place]])
+
+        return asked.mapInPandas(route, f"{schema}, cell int")
+
+    def visits(asked: DataFrame, lo: int) -> tuple[int, int]:
+        """Queries, and cells from number ``lo`` on by bound that could hold a nearest one, over all queries."""
+
+        def count(batches):
+            n = wanted = 0
+            for part, low, limit in ranked(batches):
+                could = np.isfinite(low) & (low <= limit)
+                n, wanted = n + len(part), wanted + int(np.maximum(could.sum(axis=1) - lo, 0).sum())
+            yield pd.DataFrame({"n": [n], "wanted": [wanted]})
+
+        found_ = asked.mapInPandas(count, "n long, wanted long").agg(F.sum("n"), F.sum("wanted")).first()
+        return found_[0] or 0, found_[1] or 0
+
+    def routed_to_groups(asked: DataFrame, starts: np.ndarray) -> DataFrame:
+        """Queries with every group of cells, which begin at ``starts``, of which any could hold a nearest one."""
+
+        def route(batches):
+            for part, low, limit in ranked(batches):
+                could = np.logical_or.reduceat(np.isfinite(low) & (low <= limit), starts, axis=1)
+                yield from passed_on(part, *np.nonzero(could))
 
         return asked.mapInPandas(route, f"{schema}, cell int")
 
-    def met(asked: DataFrame) -> DataFrame:
-        loads = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_PER_BATCH).cast("int").alias("batches")).join(table, "cell")
+    def met(asked: DataFrame, stored: DataFrame = points, parts: DataFrame = table, per_batch: int = QUERIES_PER_BATCH) -> DataFrame:
+        loads = asked.groupBy("cell").agg(F.ceil(F.count("*") / per_batch).cast("int").alias("batches")).join(parts, "cell")
         loads = cut_lineage(loads)
         range_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = asked.join(loads, "cell").withColumn("batch", F.pmod(F.xxhash64(*keys), "batches").cast("int"))
-        right = points.join(renewed(loads), "cell").withColumn("part", F.pmod(F.xxhash64(*points.columns[:1], F.lit(1)), "parts").cast("int"))
+        right = stored.join(renewed(loads), "cell").withColumn("part", F.pmod(F.xxhash64(*stored.columns[:1], F.lit(1)), "parts").cast("int"))
         group = ["cell", "batch", "part"]
         left = left.withColumn("part", range_("parts")).drop("batches", "parts")
         right = right.withColumn("batch", range_("batches")).drop("batches", "parts")
         return spread(left, *group).groupBy(*group).cogroup(spread(renewed(right), *group).groupBy(*group)).applyInPandas(meet, found)
 
+    def met_by_groups(asked: DataFrame, n: int) -> DataFrame:
+        """All that the queries' groups of cells hold: visited cells are met once more, so this stands for the rounds before."""
+        group = np.zeros(len(numbers), np.int64)
+        held = 0
+        for i, c in enumerate(numbers):
+            held += sizes[c]
+            new = i and held > POINTS_PER_BLOCK
+            group[i] = group[i - 1] + bool(new) if i else 0
+            held = sizes[c] if new else held
+        of = spark.createDataFrame([(int(c), int(g)) for c, g in zip(numbers, group, strict=True)], "cell int, g int")
+        together = points.join(F.broadcast(of), "cell").withColumn("cell", F.col("g")).select(points.columns)
+        totals = np.bincount(group, [sizes[c] for c in numbers])
+        parts = spark.createDataFrame([(g, parts_for(int(n), POINTS_PER_BLOCK)) for g, n in enumerate(totals)], "cell int, parts int")
+        # few groups are met by more batches of queries, so that every core has some
+        tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        per_batch = min(QUERIES_PER_BATCH, max(LEAST_BATCH, n * len(totals) // tasks))
+        return met(routed_to_groups(asked, np.flatnonzero(np.diff(group, prepend=-1))), together, parts, per_batch)
+
     near = met(routed(queries.withColumn("limit", F.lit(None).cast("double")), 0, 1))
     by_distance = Window.partitionBy(*keys).orderBy("distance")
     done = 1
@@ -241,8 +299,11 @@ def search(
         near = cut_lineage(near)
         limits = near.select(*keys, "distance", F.row_number().over(by_distance).alias("place")).where(F.col("place") == k)
         limited = queries.join(limits.select(*keys, F.col("distance").alias("limit")), list(keys), "left")
-        if routed(limited, done, len(numbers)).isEmpty():
+        asking, wanted = visits(limited, done)
+        if not wanted:
             break
+        if done >= ROUND and wanted > MOST_VISITS * asking:
+            return met_by_groups(limited, asking)
         near = near.unionByName(met(routed(limited, done, done * ROUND)))
         done *= ROUND
     return near
@@ -254,9 +315,13 @@ def distances(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarra
         norms = np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(points, axis=1))
         return 1.0 - (queries @ points.T) / np.where(norms > 0, norms, 1.0)
     out = np.zeros((len(queries), len(points)))
-    for f in range(points.shape[1]):
-        delta = points[:, f][None, :] - queries[:, f][:, None]
-        out += np.abs(delta) if metric == "manhattan" else delta * delta
+    for at in range(0, len(points), TILE[1]):
+        columns = np.ascontiguousarray(points[at : at + TILE[1]].T)
+        for top in range(0, len(queries), TILE[0]):
+            own, tile = queries[top : top + TILE[0]], out[top : top + TILE[0], at : at + TILE[1]]
+            for f in range(len(columns)):
+                delta = columns[f][None, :] - own[:, f][:, None]
+                tile += np.abs(delta, out=delta) if metric == "manhattan" else np.multiply(delta, delta, out=delta)
     return out if metric == "manhattan" else np.sqrt(out)
 
 

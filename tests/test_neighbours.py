@@ -98,6 +98,22 @@ def test_clustered_points_skip_cells(spark, monkeypatch, metric):
     assert cells > 20 and sum(a * b for a, b in log()) < 0.25 * queries * points
 
 
+@pytest.mark.parametrize("metric", neighbours.METRICS)
+def test_scattered_points_are_copied_per_group_of_cells(spark, monkeypatch, metric):
+    """Without structure a query visits groups of cells, not every cell by itself; the edges are those of all pairs."""
+    monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 8)
+    monkeypatch.setattr(neighbours, "POINTS_PER_BLOCK", 200)
+    seen, log = visits(monkeypatch, neighbours)
+    x = np.random.default_rng(6).normal(size=(600, 24))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id LONG, v ARRAY<DOUBLE>")
+    found = {}
+    for r in neighbours.knn_edges(df, "id", "v", 5, metric).collect():
+        found.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    assert {i: [j for _, j in sorted(f)] for i, f in found.items()} == {i: [j for _, j in f] for i, f in brute_edges(range(600), x, 5, metric).items()}
+    queries, cells, _ = seen[0]
+    assert cells > 60 and sum(a for a, _ in log()) < 16 * queries
+
+
 def brute_imputation(rows, columns, k, metric="euclidean"):
     """{(Country, Date): values} of every row, from rows of (Country, Date, {column: value})."""
     out = {}
