@@ -5,12 +5,12 @@ from generators that also take spaced or bracketed addresses, bracketed dots and
 they overlap one another and the base. Those that do not overlap a base span are scored by gradient boosted trees on
 features of format (lengths, digits, groups, signs) and of context (the characters around, words that announce a kind).
 
-*Training.* Candidates of at most ``max_docs`` rows expected, chosen by hash (a documented bound). Positive are those that
+*Training.* Candidates of all rows, fitted by MLlib on the cluster. Positive are those that
 overlap a base span of their kind, and their variants: without the plus sign, with bracketed or spaced signs, in other
 groups. Negative are those that overlap a base span of another kind or fail what their kind demands in any writing (bytes
 above 255, check digits, fewer than ten digits, dates). All others look like personal data outside the base: they are
 unknown and taught as neither. A fixed set of made-up examples of both labels and every kind (``prior``) goes along, so
-tables of any size are learned from; only a sample without any candidate has no judge. The plus sign and the check digit
+tables of any size are learned from; only a table without any candidate has no judge. The plus sign and the check digit
 are withheld from the trees: they have to tell by format and context. On half of the examples, kept out of the fit, every
 kind gets the lowest threshold from which examples are right in at least ``precision`` of cases; as unknown ones are not
 among them, this is a precision against sure negatives. Selected spans do not overlap: the likelier goes first, then the
@@ -279,13 +279,9 @@ def _variants(no: Column, what: Column) -> Column:
     return F.array_distinct(each)
 
 
-def fit(df: DataFrame, max_docs: int = 10_000, precision: float = 0.95, text_col: str = "text", seed: int = 17) -> Judge | None:
+def fit(df: DataFrame, precision: float = 0.95, text_col: str = "text", seed: int = 17) -> Judge | None:
     texts = df.select(F.col(text_col).cast("string").alias("text"))
-    n = texts.count()
-    if not n:
-        return None
-    place = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    spans = _with_spans(texts.where(place < min(1.0, max_docs / n)), "text", beside=False)
+    spans = _with_spans(texts, "text", beside=False)
     met = F.filter("base", lambda b: _overlaps(b, F.col("c.start"), F.col("c.end")))
     own = F.exists("met", lambda b: b["no"] == F.col("c.no"))
     label = F.when(own, F.lit(1.0)).when((F.size("met") > 0) | _sure_not("c"), F.lit(0.0))
@@ -295,15 +291,16 @@ def fit(df: DataFrame, max_docs: int = 10_000, precision: float = 0.95, text_col
     labelled = found.withColumn("label", label).select(
         "label", "c.no", F.explode(writings).alias("what"), "c.before", "c.after", (F.pmod("from", F.lit(2)) == 1).alias("held")
     )
+    labelled = kept(labelled)  # every row's candidates, searched for once
     if labelled.limit(1).count() == 0:
         return None
     made = [
         F.struct(*[F.lit(v).alias(c) for c, v in zip(fields, (*e, i // 2 % 2 == 1))]) for i, e in enumerate(prior())
     ]
     together = labelled.where("label IS NOT NULL").unionByName(df.sparkSession.range(1).select(F.inline(F.array(*made))))
-    sample = kept(_featured(together).select("label", "features", "no", "held"))
-    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.2, seed=seed).fit(sample.where("NOT held"))
-    scored = trees.transform(sample.where("held")).select(
+    examples = kept(_featured(together).select("label", "features", "no", "held"))
+    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.2, seed=seed).fit(examples.where("NOT held"))
+    scored = trees.transform(examples.where("held")).select(
         "no", "label", F.floor(vector_to_array("probability")[1] * 200).alias("step")
     )
     found = scored.groupBy("no", "step").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()

@@ -377,3 +377,11 @@ def test_near_pairs_of_rows_without_or_with_repeated_ids(spark):
     assert len(named) == len(rows) and len({r["key"] for r in named}) == 5
     found = pairs.collect()
     assert [(r["a"], r["b"]) for r in found] == [(None, 1)] * 2 and len({(r["a_key"], r["b_key"]) for r in found}) == 2
+
+
+def test_pii_learns_from_all_rows(spark, monkeypatch):
+    """No row of a larger table is left out of the search for examples."""
+    seen, plain = [], pii._with_spans
+    monkeypatch.setattr(pii, "_with_spans", lambda df, *a, **k: seen.append(df.count()) or plain(df.limit(50), *a, **k))
+    rows = spark.range(12_000).select(F.concat(F.lit("call +1 555 010 "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"))
+    assert pii.fit(rows) is not None and seen == [12_000]
