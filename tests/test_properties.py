@@ -345,3 +345,23 @@ def test_training_rows_without_a_crisis(spark):
     assert {r["window"]: r["n"] for r in rolled.predictions.groupBy("window").agg(F.count("y_pred_proba").alias("n")).collect()} == {1: 24, 2: 24, 3: 22}
     assert [r["train_samples"] for r in rolled.metrics.orderBy("window").collect()] == [24, 48, 72]
     assert rolled.history.count() == 3
+
+
+def test_stored_models_and_results_without_a_crisis(spark, tmp_path):
+    """One class in the training rows: a model read again still gives both probabilities, and its rows can be stored."""
+    days = [dt.date(2000 + i // 12, 1 + i % 12, 1) for i in range(24)]
+    rows = [(c, d, float(j + i), int(d.year == 2001)) for j, c in enumerate("AB") for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "Country STRING, Date DATE, v DOUBLE, label INT")
+    train, test = df.where("Date < '2001-01-01'"), df.where("Date >= '2001-01-01'")
+    fit = lambda: models.train_classifier(train, "random_forest", numTrees=3, maxDepth=2)
+    for _ in range(2):
+        model = writers.train_or_load("random_forest", {"n": 3}, str(tmp_path / "models"), fit)
+        assert {(r["y_pred"], r["y_pred_proba"]) for r in models.predict(model, test).collect()} == {(0, 0.0)}
+
+    class Slim:
+        def transform(self, rows):
+            return models.predict(model, rows)
+
+    writers.write_results(Slim(), train, test, str(tmp_path / "results"), "forest", "1", {})
+    stored = writers.read_results(spark, str(tmp_path / "results"), "forest").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in stored} == {"train": 24, "test": 24}
