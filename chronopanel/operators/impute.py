@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from chronopanel.operators import expanding
 from chronopanel.operators.fill import imputation_mask
 from chronopanel.operators.neighbours import HELD_NUMBERS, SAMPLE, BoxCells, cells_for, check_metric, nearest, parts_for, search
 from chronopanel.operators.select import filter_countries
-from chronopanel.ordered import assign_blocks
+from chronopanel.ordered import assign_blocks, largest_group
 from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, numeric_columns, q, renewed, replace_columns, spread, to_long, to_wide
 
 # Weight guard of the neighbour average, quantiles whose distance scales a feature (its median cancels out).
@@ -232,11 +233,26 @@ def _cells(rows_: DataFrame, targets: DataFrame) -> tuple[BoxCells, DataFrame, d
 
     def ranges(batches):
         for batch in batches:
-            for cell, own in batch.groupby("cell"):
-                x = np.array(own["x"].tolist(), dtype=float)
-                there = ~np.isnan(x)
-                low, high = np.where(there, x, np.inf).min(axis=0), np.where(there, x, -np.inf).max(axis=0)
-                yield summary(low, high, there.sum(axis=0), len(own), min(own[DATE])).assign(cell=np.int32(cell))
+            if not len(batch):
+                continue
+            batch = batch.sort_values("cell", kind="stable")
+            number, start, n = np.unique(batch["cell"].to_numpy(), return_index=True, return_counts=True)
+            x = np.array(batch["x"].tolist(), dtype=float)
+            there = ~np.isnan(x)
+            low = np.minimum.reduceat(np.where(there, x, np.inf), start, axis=0)
+            high = np.maximum.reduceat(np.where(there, x, -np.inf), start, axis=0)
+            known = np.add.reduceat(there.astype(np.int64), start, axis=0)
+            first = np.minimum.reduceat(np.array([d.toordinal() for d in batch[DATE]]), start)
+            yield pd.DataFrame(
+                {
+                    "low": low.tolist(),
+                    "high": high.tolist(),
+                    "known": known.tolist(),
+                    "n": n,
+                    "first": [date.fromordinal(int(d)) for d in first],
+                    "cell": number.astype(np.int32),
+                }
+            )
 
     def merge(key, own: pd.DataFrame) -> pd.DataFrame:
         stack = lambda c: np.array(own[c].tolist(), dtype=float)
@@ -270,6 +286,13 @@ def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=N
         F.concat(*[F.when(q(c).isNotNull(), "1").otherwise("0") for c in features]).alias("own"),
     )
     targets = rows_.join(asks, list(KEYS)).where(F.col("own").contains("1")).select(*KEYS, "x", F.col("own").alias("pattern"))
+    # Equal rows of a date ask once, for one neighbour more, as each leaves out itself: where few values occur, very many
+    # rows are equally near, and every one of them would meet all cells that hold these values.
+    alike = [DATE, "pattern", "x"]
+    members, together = targets, largest_group(rows_, KEYS) <= 1
+    if together:
+        targets = members.groupBy(*alike).agg(F.min(ENTITY).alias(ENTITY)).select(*KEYS, "x", "pattern")
+    wanted_k = k + 1 if together else k
     if normalise:
         stats = _scaling_statistics(rows_.select("own", DATE, "x"), targets.select("pattern", DATE), parts_for(df.count(), VALUES_PER_BLOCK))
         targets = targets.join(stats, ["pattern", DATE], "left")
@@ -316,9 +339,10 @@ def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=N
                         d += gap if metric == "manhattan" else gap * gap
                     d = d if metric == "manhattan" else np.sqrt(d)
                     asked = np.array([t.toordinal() for t in part[DATE]])
-                    self_ = (part[ENTITY].to_numpy()[:, None] == country[usable][None, :]) & (asked[:, None] == ordinal[usable][None, :])
-                    d[self_ | (ordinal[usable][None, :] > asked[:, None])] = np.inf
-                    row, column = nearest(d, k)
+                    d[ordinal[usable][None, :] > asked[:, None]] = np.inf
+                    if not together:
+                        d[(part[ENTITY].to_numpy()[:, None] == country[usable][None, :]) & (asked[:, None] == ordinal[usable][None, :])] = np.inf
+                    row, column = nearest(d, wanted_k)
                     found = usable[column]
                     out.append(
                         pd.DataFrame(
@@ -336,10 +360,14 @@ def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=N
             return pd.concat(out, ignore_index=True)
         return pd.DataFrame({c: pd.Series(dtype="object") for c in (ENTITY, DATE, "n_country", "n_date", "distance", "y")}).astype({"distance": "float64"})
 
-    near = search(targets, placed, list(KEYS), k, sizes, bounds, meet, schema)
+    near = search(targets, placed, list(KEYS), wanted_k, sizes, bounds, meet, schema)
     best = near.groupBy(*KEYS).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("distance", "n_country", "n_date", "y"))), 1, k).alias("best")
+        F.slice(F.array_sort(F.collect_list(F.struct("distance", "n_country", "n_date", "y"))), 1, wanted_k).alias("best")
     )
+    if together:
+        shared = best.join(targets, list(KEYS)).select(*alike, "best")
+        others = F.filter("best", lambda b: (b["n_country"] != F.col(ENTITY)) | (b["n_date"] != F.col(DATE)))
+        best = members.join(shared, alike).select(*KEYS, F.slice(others, 1, k).alias("best"))
     averages = [_weighted_average(i).alias(f"__v_{i}") for i in range(len(masked))]
     filled = df.join(asks, list(KEYS), "left").join(best.select(*KEYS, *averages), list(KEYS), "left")
     exprs = {
