@@ -516,13 +516,17 @@ def consecutive_dates(dates: Column) -> Column:
     """Whether all gaps of a date array stay near the most common gap (smallest on ties)."""
     from chronopanel.functions.scalars import gap_tolerance
 
-    gaps = F.array_sort(day_gaps(dates))
-    counted = F.transform(
-        F.array_distinct(gaps),
-        lambda g: F.struct(F.size(F.filter(gaps, lambda h: h == g)).alias("n"), (-g).alias("neg")),
-    )
-    mode = -F.array_max(counted)["neg"]
-    return (F.size(dates) < 2) | F.forall(gaps, lambda g: F.abs(g - mode) <= gap_tolerance(mode))
+    # each step is bound to a name once: written out, a lambda would work the array out anew for every element
+    bound = lambda value, step: F.transform(F.array(value), step)[0]
+
+    def even(gaps: Column) -> Column:
+        counted = F.transform(
+            F.array_distinct(gaps),
+            lambda g: F.struct(F.size(F.filter(gaps, lambda h: h == g)).alias("n"), (-g).alias("neg")),
+        )
+        return bound(-F.array_max(counted)["neg"], lambda mode: F.forall(gaps, lambda g: F.abs(g - mode) <= gap_tolerance(mode)))
+
+    return bound(dates, lambda d: (F.size(d) < 2) | bound(F.array_sort(day_gaps(d)), even))
 
 
 def history_tail(train: DataFrame, test: DataFrame, length: int = 12) -> DataFrame:
