@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.operators.aggregate import global_by_date
-from chronopanel.schema import DATE, ENTITY, expanding, q, replace_columns, series, to_long, to_wide, whole
+from chronopanel.schema import DATE, ENTITY, cut_lineage, expanding, q, replace_columns, series, to_long, to_wide, whole
 
 BACKFILLS = ("mean", "median", "mode", "zero")
 
@@ -70,7 +70,8 @@ def backfill(
     """Fill the cells before a series' first value with 0 or a statistic of that date.
 
     The statistic is taken across countries from the unfilled panel. Series
-    without any value are left alone.
+    without any value are left alone. For the median, which takes several
+    passes, the panel is checkpointed first.
     """
     if fill not in BACKFILLS:
         raise ValueError(f"fill must be one of {BACKFILLS}")
@@ -79,6 +80,8 @@ def backfill(
         return replace_columns(df, {c: F.when(_is_leading(c, by), F.lit(0.0)).otherwise(q(c)) for c in names})
     if ENTITY not in df.columns:
         return df
+    if fill == "median":
+        df = cut_lineage(df)
     if fill == "mean":
         stats = df.groupBy(DATE).agg(*[F.avg(q(c)).alias(f"__g_{c}") for c in names])
     else:

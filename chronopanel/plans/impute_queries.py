@@ -8,7 +8,7 @@ from chronopanel.operators import fill, impute, joins
 from chronopanel.plans import views
 from chronopanel.plans.registry import query
 from chronopanel.plans.views import with_views
-from chronopanel.schema import DATE, ENTITY, KEYS, series
+from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, series
 
 SPN = with_views("spn")
 C = ["total", "orders"]
@@ -249,7 +249,7 @@ def panel_fill_keys(spark, sf):
 def panel_fill(spark, sf):
     from chronopanel.plans.recipes import run_recipe
 
-    return run_recipe(views.sparse(spark, sf), DEVELOPED)[0]
+    return run_recipe(cut_lineage(views.sparse(spark, sf)), DEVELOPED)[0]  # read by every step that looks at the data
 
 
 # A recipe in the order of the annual data preparation.
