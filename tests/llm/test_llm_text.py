@@ -1,6 +1,7 @@
 """Language ID, quality, PII, secrets and fingerprints."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -385,3 +386,44 @@ def test_pii_learns_from_all_rows(spark, monkeypatch):
     monkeypatch.setattr(pii, "_with_spans", lambda df, *a, **k: seen.append(df.count()) or plain(df.limit(50), *a, **k))
     rows = spark.range(12_000).select(F.concat(F.lit("call +1 555 010 "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"))
     assert pii.fit(rows) is not None and seen == [12_000]
+
+
+def plain_candidates(text, base):
+    """Spans beside the base findings and whether they may be secrets, one by one."""
+    values = {m.span(1) for m in re.finditer(r"[A-Za-z_]{2,20}[\"']?\x20*[:=]\x20*[\"']?([^\s\"']{8,})", text, re.ASCII)}
+    names = re.compile(r"(?i)(pass|pwd|secret|token|key|auth|bearer|credential|private|signature|login|kennwort|clave)")
+    out = []
+    for s, e in sorted({m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{8,}", text)} | values):
+        if not any(a < e and s < b for _, a, b, _ in base):
+            kind = 1 if text[s:e].startswith("AKIA") else 2 if re.fullmatch("[0-9a-f]+", text[s:e]) else 0
+            switches = len(re.findall("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", text[s:e]))
+            named = names.search(text, max(0, s - secrets.BEFORE), e) is not None
+            out.append((kind, s, e, s in {a for a, _ in values} or switches >= 4 or "=" in text[s:e].rstrip("=") or named))
+    return out
+
+
+def test_candidates_of_many_texts_at_once():
+    """What is found in texts laid end to end is what is found in each of them."""
+    rng = random.Random(4)
+    parts = ["a", "7", "=", ":", " ", '"', "key", "Pass", "AKIA", "deadbeef", "f" * 31, "0a1b2c3d", "token", "ſecret", "é", "-", "\n", "abcdefgh", "x_y", "\0"]
+    texts = [t or "" for t in SECRETS] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    met = secrets.Met(texts)
+    got = [[] for _ in texts]
+    for i, s, e, kind, sure in zip(met.owner, met.starts, met.ends, met.kinds, met.sure):
+        got[i].append((kind, s - met.offsets[i], e - met.offsets[i], not sure))
+    for text, base, own in zip(texts, met.base, got):
+        assert [(s, k, e) for k, s, e, _ in base] == brute.secret_base(text)
+        assert own == plain_candidates(text, base)
+
+
+def test_secrets_are_learned_from_all_rows(spark, monkeypatch):
+    """All findings of a table are taught or held out, in shares that tasks train with, whatever its size."""
+    monkeypatch.setattr(secrets, "HARDENED", 1)
+    monkeypatch.setattr(secrets, "WIDER", 64)
+    monkeypatch.setattr(secrets, "STEPS", 600)
+    rng = random.Random(9)
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    df = spark.createDataFrame([(f"{ordinary(rng, 3)} token = {hexes()} {ordinary(rng, 3)}",) for _ in range(6000)], "text STRING")
+    network = secrets.fit(df)
+    assert 5700 < network.held_out["findings"] < 6300  # half of two findings a row
+    assert network.held_out["found"] >= 0.98 * network.held_out["findings"]
