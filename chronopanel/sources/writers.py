@@ -63,7 +63,8 @@ def artefact_name(kind: str, params: Mapping) -> str:
 
 def _exists(path: str) -> bool:
     """Whether the path's own file system has it."""
-    sc = SparkSession.getActiveSession().sparkContext
+    # A thread that has not used the session yet has no active one; this gives the one there is.
+    sc = SparkSession.builder.getOrCreate().sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
 

@@ -1,6 +1,7 @@
 """Rules every operator keeps: no look-ahead, disjoint sets, known cells untouched."""
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -365,3 +366,12 @@ def test_stored_models_and_results_without_a_crisis(spark, tmp_path):
     writers.write_results(Slim(), train, test, str(tmp_path / "results"), "forest", "1", {})
     stored = writers.read_results(spark, str(tmp_path / "results"), "forest").groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in stored} == {"train": 24, "test": 24}
+
+
+def test_stored_models_from_another_thread(spark, tmp_path):
+    """A thread without an active session finds, stores and loads models as the main one does."""
+    df = spark.createDataFrame([("A", dt.date(2000, 1, i + 1), float(i), i % 2) for i in range(20)], "Country STRING, Date DATE, v DOUBLE, label INT")
+    fit = lambda: models.train_classifier(df, "random_forest", numTrees=2, maxDepth=2)
+    load = lambda: writers.train_or_load("random_forest", {"n": 2}, str(tmp_path), fit).stages[-1].numClasses
+    with ThreadPoolExecutor(1) as pool:
+        assert [pool.submit(load).result() for _ in range(2)] == [2, 2]
