@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators import expanding
 from chronopanel.operators.fill import imputation_mask
-from chronopanel.operators.neighbours import HELD_NUMBERS, SAMPLE, BoxCells, cells_for, check_metric, nearest, parts_for, search
+from chronopanel.operators.neighbours import HELD_NUMBERS, SAMPLE, BoxCells, BoxTree, cells_for, check_metric, nearest, parts_for, search
 from chronopanel.operators.select import filter_countries
 from chronopanel.ordered import assign_blocks, largest_group
 from chronopanel.schema import DATE, ENTITY, KEYS, cut_lineage, numeric_columns, q, renewed, replace_columns, spread, to_long, to_wide
@@ -214,7 +214,7 @@ def _cells(rows_: DataFrame, targets: DataFrame) -> tuple[BoxCells, DataFrame, d
     """Cells with what is known of them, the rows with their cell, and rows per cell."""
     sample = rows_.orderBy(F.xxhash64(*KEYS)).limit(SAMPLE).select("x").collect()
     if not sample:
-        return BoxCells(()), rows_.withColumn("cell", F.lit(0)), {}
+        return BoxCells((), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0)), rows_.withColumn("cell", F.lit(0)), {}
     x = np.array([r["x"] for r in sample], dtype=float)
     used = targets.agg(*[F.avg(F.substring("pattern", i + 1, 1).cast("double")).alias(f"u{i}") for i in range(x.shape[1])]).first()
     cut = BoxCells.cut(x, cells_for(rows_.count()), np.array([u or 0.0 for u in used]))
@@ -228,9 +228,6 @@ def _cells(rows_: DataFrame, targets: DataFrame) -> tuple[BoxCells, DataFrame, d
 
     placed = cut_lineage(rows_.mapInPandas(place, f"{schema}, cell int"))
 
-    def summary(low, high, known, n, first):
-        return pd.DataFrame({"low": [low.tolist()], "high": [high.tolist()], "known": [known.tolist()], "n": [n], "first": [first]})
-
     def ranges(batches):
         for batch in batches:
             if not len(batch):
@@ -241,13 +238,11 @@ def _cells(rows_: DataFrame, targets: DataFrame) -> tuple[BoxCells, DataFrame, d
             there = ~np.isnan(x)
             low = np.minimum.reduceat(np.where(there, x, np.inf), start, axis=0)
             high = np.maximum.reduceat(np.where(there, x, -np.inf), start, axis=0)
-            known = np.add.reduceat(there.astype(np.int64), start, axis=0)
             first = np.minimum.reduceat(np.array([d.toordinal() for d in batch[DATE]]), start)
             yield pd.DataFrame(
                 {
                     "low": low.tolist(),
                     "high": high.tolist(),
-                    "known": known.tolist(),
                     "n": n,
                     "first": [date.fromordinal(int(d)) for d in first],
                     "cell": number.astype(np.int32),
@@ -256,19 +251,17 @@ def _cells(rows_: DataFrame, targets: DataFrame) -> tuple[BoxCells, DataFrame, d
 
     def merge(key, own: pd.DataFrame) -> pd.DataFrame:
         stack = lambda c: np.array(own[c].tolist(), dtype=float)
-        low, high, known = stack("low").min(axis=0), stack("high").max(axis=0), stack("known").sum(axis=0)
-        return summary(low, high, known.astype(int), own["n"].sum(), min(own["first"])).assign(cell=key[0])
+        low, high = stack("low").min(axis=0), stack("high").max(axis=0)
+        return pd.DataFrame({"low": [low.tolist()], "high": [high.tolist()], "n": [own["n"].sum()], "first": [min(own["first"])], "cell": [key[0]]})
 
-    kind = "low array<double>, high array<double>, known array<long>, n long, first date, cell int"
+    kind = "low array<double>, high array<double>, n long, first date, cell int"
     found = placed.select(DATE, "x", "cell").mapInPandas(ranges, kind).groupBy("cell").applyInPandas(merge, kind).collect()
     size = 1 + max(r["cell"] for r in found)
     width = len(found[0]["low"])
-    low, high, known = np.full((size, width), np.inf), np.full((size, width), -np.inf), np.zeros((size, width))
-    first = np.full(size, np.inf)
+    low, high, first = np.full((size, width), np.inf), np.full((size, width), -np.inf), np.full(size, np.inf)
     for r in found:
-        low[r["cell"]], high[r["cell"]], known[r["cell"]] = r["low"], r["high"], r["known"]
-        first[r["cell"]] = r["first"].toordinal()
-    return BoxCells(cut, low, high, known, first), placed, {r["cell"]: r["n"] for r in found}
+        low[r["cell"]], high[r["cell"]], first[r["cell"]] = r["low"], r["high"], r["first"].toordinal()
+    return BoxCells(cut, low, high, first), placed, {r["cell"]: r["n"] for r in found}
 
 
 def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=None, metric="euclidean", normalise=True) -> DataFrame:
@@ -308,11 +301,6 @@ def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=N
     targets = cut_lineage(targets.mapInPandas(scaled, kind))
     cells, placed, sizes = _cells(rows_.select(*KEYS, "x", "y"), targets)
 
-    def bounds(pdf: pd.DataFrame) -> np.ndarray:
-        day = np.array([d.toordinal() for d in pdf[DATE]], dtype=float)
-        stacked = lambda c: np.array(pdf[c].tolist(), dtype=float)
-        return cells.bounds(stacked("x"), stacked("scale"), day, metric)
-
     schema = f"{ENTITY} string, {DATE} date, n_country string, n_date date, distance double, y array<double>"
 
     def meet(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
@@ -360,7 +348,7 @@ def _knn_pass(df: DataFrame, columns, k: int, mask: DataFrame | None, features=N
             return pd.concat(out, ignore_index=True)
         return pd.DataFrame({c: pd.Series(dtype="object") for c in (ENTITY, DATE, "n_country", "n_date", "distance", "y")}).astype({"distance": "float64"})
 
-    near = search(targets, placed, list(KEYS), wanted_k, sizes, bounds, meet, schema)
+    near = search(targets, placed, list(KEYS), wanted_k, sizes, BoxTree(cells, metric), meet, schema)
     best = near.groupBy(*KEYS).agg(
         F.slice(F.array_sort(F.collect_list(F.struct("distance", "n_country", "n_date", "y"))), 1, wanted_k).alias("best")
     )

@@ -4,6 +4,7 @@ Points are put into cells of points that lie together. Of every cell a little is
 feature (``BoxCells``) or the distances to its pivot (``PivotCells``), from which follows how near a query could be to
 anything in it. Cells are visited best first: each query meets its nearest cell, which gives a distance its ``k``
 neighbours cannot exceed, then in rounds of growing size the next ones, as long as they could hold something as near.
+Cells of a tree are found by going down it (``BoxTree``), so their number does not count.
 Where that would be many cells a query, as on data without structure, whole groups of cells are visited instead: then a
 query is copied once per group of ``POINTS_PER_BLOCK`` points and not once per cell.
 Where cells are cut follows a bounded sample; what is known of them, and so the result, covers all points. Cells and
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.schema import cut_lineage, renewed, spread
+from chronopanel.schema import DATE, cut_lineage, renewed, spread
 
 # Points and queries that one task holds at once.
 POINTS_PER_BLOCK = 50_000
@@ -85,7 +86,6 @@ class BoxCells:
     tree: tuple[tuple[int, float, int, int, int], ...]
     low: np.ndarray | None = None
     high: np.ndarray | None = None
-    known: np.ndarray | None = None
     first: np.ndarray | None = None
 
     @staticmethod
@@ -143,20 +143,88 @@ class BoxCells:
             go(0, np.arange(len(x)))
         return out
 
-    def bounds(self, x: np.ndarray, scale: np.ndarray, day: np.ndarray, metric: str) -> np.ndarray:
-        """Least distance of every query to anything in every cell; inf where a cell has nothing it could use."""
-        out = np.zeros((len(x), len(self.low)))
-        out[self.first[None, :] > day[:, None]] = np.inf
-        for f in range(x.shape[1]):
-            q = np.flatnonzero(~np.isnan(x[:, f]))
-            if not len(q):
+
+class BoxTree:
+    """The boxes of cells and of the nodes above them: a query goes down only where something could be as near as it needs.
+
+    The least distance to a node's box is one to each box below it, so what a query does not follow holds no cell for it, and
+    the work follows the cells that are found and not all there are.
+    """
+
+    def __init__(self, cells: BoxCells, metric: str):
+        leaves = max([len(cells.low), *(-c for node in cells.tree for c in node[2:])])
+        n, width = leaves + len(cells.tree), cells.low.shape[1]
+        self.metric, self.leaves, self.root = metric, leaves, leaves if cells.tree else 0
+        self.low, self.high, self.first = np.full((width, n), np.inf), np.full((width, n), -np.inf), np.full(n, np.inf)
+        here = len(cells.low)
+        self.low[:, :here], self.high[:, :here], self.first[:here] = cells.low.T, cells.high.T, cells.first
+        self.below = np.array([[-1 - c if c < 0 else leaves + c for c in node[2:]] for node in cells.tree], np.int64).reshape(-1, 3)
+        for i in reversed(range(len(self.below))):  # what is below a node comes after it
+            own, at = self.below[i], leaves + i
+            self.low[:, at], self.high[:, at] = self.low[:, own].min(axis=1), self.high[:, own].max(axis=1)
+            self.first[at] = self.first[own].min()
+
+    def bounds(self, x: np.ndarray, scale: np.ndarray, day: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Least distance of each query ``row`` to anything in ``node`` beside it; inf where that has nothing it could use."""
+        out = np.zeros(len(row))
+        with np.errstate(invalid="ignore"):
+            for f in np.flatnonzero(~np.isnan(x).all(axis=0)):
+                v = x[row, f]
+                gap = np.maximum(np.maximum(self.low[f, node] - v, v - self.high[f, node]), 0) / scale[row, f]
+                out += np.where(np.isnan(v), 0, gap * gap if self.metric == "euclidean" else gap)
+        out[self.first[node] > day[row]] = np.inf
+        return (np.sqrt(out) if self.metric == "euclidean" else out) * (1 - SLACK)
+
+    def _downwards(self, x: np.ndarray, scale: np.ndarray, day: np.ndarray) -> np.ndarray:
+        """Bound of the cell each query comes to by the nearest node at every step: its nearest cell is no farther."""
+        node, limit = np.full(len(x), self.root), np.full(len(x), np.inf)
+        row = np.arange(len(x))
+        while len(row):
+            leaf = node < self.leaves
+            limit[row[leaf]] = self.bounds(x, scale, day, row[leaf], node[leaf])
+            row, node = row[~leaf], node[~leaf]
+            if len(row):
+                below = self.below[node - self.leaves]
+                low = self.bounds(x, scale, day, np.repeat(row, 3), below.ravel()).reshape(-1, 3)
+                node = below[np.arange(len(row)), np.where(np.isnan(low), np.inf, low).argmin(axis=1)]
+        return np.where(np.isnan(limit), np.inf, limit)
+
+    def _within(self, x: np.ndarray, scale: np.ndarray, day: np.ndarray, limit: np.ndarray):
+        """(query, cell, bound) of all cells within each query's limit; None if those are too many to hold at once."""
+        row, node = np.arange(len(x)), np.full(len(x), self.root)
+        found, held = [], 0
+        while len(row):
+            low = self.bounds(x, scale, day, row, node)
+            near = np.isfinite(low) & (low <= limit[row])
+            row, node, low = row[near], node[near], low[near]
+            leaf = node < self.leaves
+            found.append((row[leaf], node[leaf], low[leaf]))
+            held += int(leaf.sum())
+            row, node = np.repeat(row[~leaf], 3), self.below[node[~leaf] - self.leaves].ravel()
+            if len(x) > 1 and held + len(row) > HELD_NUMBERS:
+                return None
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def pairs(self, asked: pd.DataFrame, limit: np.ndarray, hi: int | None):
+        """As ``EveryCell.pairs``; ``asked`` has the arrays x and scale, and the date."""
+        day = np.array([d.toordinal() for d in asked[DATE]], dtype=float)
+        x, scale = (np.array(asked[c].tolist(), dtype=float).reshape(len(asked), -1) for c in ("x", "scale"))
+        if hi == 1:
+            limit = np.minimum(limit, self._downwards(x, scale, day))
+        open_ = [slice(0, len(asked))]
+        while open_:
+            own = open_.pop()
+            found = self._within(x[own], scale[own], day[own], limit[own])
+            if found is None:
+                middle = (own.start + own.stop) // 2
+                open_ += [slice(middle, own.stop), slice(own.start, middle)]
                 continue
-            v, s = x[q, f][:, None], scale[q, f][:, None]
-            gap = np.maximum(np.maximum(self.low[None, :, f] - v, v - self.high[None, :, f]), 0) / s
-            gap = gap * gap if metric == "euclidean" else gap
-            gap[:, self.known[:, f] == 0] = np.inf
-            out[q] += gap
-        return (np.sqrt(out) if metric == "euclidean" else out) * (1 - SLACK)
+            row, cell, low = found
+            order = np.lexsort([cell, low, row])
+            row, cell = row[order], cell[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            near = place < (hi or np.inf)
+            yield asked.iloc[own], row[near], cell[near], place[near]
 
 
 @dataclass(frozen=True)
@@ -194,13 +262,32 @@ class PivotCells:
         return low * low / 2 if self.metric == "cosine" else low
 
 
+class EveryCell:
+    """Cells whose bounds, one per query and cell, are all computed."""
+
+    def __init__(self, bounds: Callable[[pd.DataFrame], np.ndarray], sizes: dict[int, int]):
+        self.bounds, self.numbers = bounds, np.array(sorted(sizes), np.int64)
+
+    def pairs(self, asked: pd.DataFrame, limit: np.ndarray, hi: int | None):
+        """Pieces of the queries, each with (query, cell, number of the cell by bound from 0 on) for all cells that could
+        hold something within the query's limit, or for the first ``hi`` of them."""
+        step = max(1, HELD_NUMBERS // max(len(self.numbers), 1))
+        for at in range(0, len(asked), step):
+            part = asked.iloc[at : at + step]
+            low = self.bounds(part)[:, self.numbers]
+            order = np.argsort(low, axis=1, kind="stable")[:, :hi]
+            near_first = np.take_along_axis(low, order, axis=1)
+            row, place = np.nonzero(np.isfinite(near_first) & (near_first <= limit[at : at + step, None]))
+            yield part, row, self.numbers[order[row, place]], place
+
+
 def search(
     queries: DataFrame,
     points: DataFrame,
     keys: Sequence[str],
     k: int,
     sizes: dict[int, int],
-    bounds: Callable[[pd.DataFrame], np.ndarray],
+    cells: EveryCell | BoxTree,
     meet: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     found: str,
 ) -> DataFrame:
@@ -211,64 +298,74 @@ def search(
     """
     spark = queries.sparkSession
     schema = queries.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    numbers = np.array(sorted(sizes))
-    table = spark.createDataFrame([(c, parts_for(n, POINTS_PER_BLOCK)) for c, n in sizes.items()], "cell int, parts int")
+    numbers = np.array(sorted(sizes), np.int64)
+    several = 1 + max(sizes, default=-1)
 
-    def ranked(batches):
-        """Pieces of the queries with the bound of every cell and the distance a nearest one cannot exceed."""
+    def pairs(batches, hi: int | None):
         for batch in batches:
-            step = max(1, HELD_NUMBERS // max(len(numbers), 1))
-            for at in range(0, len(batch), step):
-                part = batch.iloc[at : at + step]
-                limit = part["limit"].to_numpy(dtype=float)
-                yield part.drop(columns=["limit"]), bounds(part)[:, numbers], np.where(np.isnan(limit), np.inf, limit)[:, None]
+            if len(batch):
+                limit = batch["limit"].to_numpy(dtype=float)
+                yield from cells.pairs(batch.drop(columns=["limit"]), np.where(np.isnan(limit), np.inf, limit), hi)
 
     def passed_on(part: pd.DataFrame, row: np.ndarray, cell: np.ndarray):
         for at in range(0, len(row), ROWS_AT_ONCE):
             own = slice(at, at + ROWS_AT_ONCE)
             yield part.iloc[row[own]].assign(cell=cell[own].astype(np.int32))
 
-    def routed(asked: DataFrame, lo: int, hi: int) -> DataFrame:
+    def routed(asked: DataFrame, lo: int, hi: int | None) -> DataFrame:
         """Queries with their cells number ``lo`` to ``hi`` by bound, as far as those could hold a nearest one."""
 
         def route(batches):
-            for part, low, limit in ranked(batches):
-                order = np.argsort(low, axis=1, kind="stable")[:, lo:hi]
-                near_first = np.take_along_axis(low, order, axis=1)
-                row, place = np.nonzero(np.isfinite(near_first) & (near_first <= limit))
-                yield from passed_on(part, row, numbers[order[row, place]])
+            for part, row, cell, place in pairs(batches, hi):
+                yield from passed_on(part, row[place >= lo], cell[place >= lo])
 
         return asked.mapInPandas(route, f"{schema}, cell int")
 
-    def visits(asked: DataFrame, lo: int) -> tuple[int, int]:
-        """Queries, and cells from number ``lo`` on by bound that could hold a nearest one, over all queries."""
+    def loads(asked: DataFrame, lo: int, hi: int | None, ahead: int | None) -> tuple[int, dict[int, int], dict[int, int]]:
+        """Queries in all, and by cell those it is number ``lo`` to ``hi``, or to ``ahead``, of the cells for by bound."""
 
         def count(batches):
-            n = wanted = 0
-            for part, low, limit in ranked(batches):
-                could = np.isfinite(low) & (low <= limit)
-                n, wanted = n + len(part), wanted + int(np.maximum(could.sum(axis=1) - lo, 0).sum())
-            yield pd.DataFrame({"n": [n], "wanted": [wanted]})
-
-        found_ = asked.mapInPandas(count, "n long, wanted long").agg(F.sum("n"), F.sum("wanted")).first()
-        return found_[0] or 0, found_[1] or 0
-
-    def routed_to_groups(asked: DataFrame, starts: np.ndarray) -> DataFrame:
-        """Queries with every group of cells, which begin at ``starts``, of which any could hold a nearest one."""
+            n, next_, later = 0, np.zeros(several, np.int64), np.zeros(several, np.int64)
+            for part, _, cell, place in pairs(batches, ahead):
+                n += len(part)
+                later += np.bincount(cell[place >= lo], minlength=several)
+                next_ += np.bincount(cell[(place >= lo) & (place < (hi or np.inf))], minlength=several)
+            some = np.flatnonzero(later)
+            yield pd.DataFrame({"cell": [-1, *some], "next": [n, *next_[some]], "later": [0, *later[some]]})
+
+        counted = asked.mapInPandas(count, "cell int, next long, later long").groupBy("cell").agg(F.sum("next"), F.sum("later")).collect()
+        n = sum(r[1] for r in counted if r[0] < 0)
+        return n, {r[0]: r[1] for r in counted if r[0] >= 0 and r[1]}, {r[0]: r[2] for r in counted if r[0] >= 0}
+
+    def routed_to_groups(asked: DataFrame, group: np.ndarray) -> tuple[DataFrame, dict[int, int]]:
+        """Queries with every group of cells of which any could hold a nearest one, and queries per group."""
+        groups = int(group.max()) + 1
+
+        def met_(batches):
+            for part, row, cell, _ in pairs(batches, None):
+                both = np.unique(row * groups + group[cell])
+                yield part, both // groups, both % groups
 
         def route(batches):
-            for part, low, limit in ranked(batches):
-                could = np.logical_or.reduceat(np.isfinite(low) & (low <= limit), starts, axis=1)
-                yield from passed_on(part, *np.nonzero(could))
+            for own in met_(batches):
+                yield from passed_on(*own)
 
-        return asked.mapInPandas(route, f"{schema}, cell int")
-
-    def met(asked: DataFrame, stored: DataFrame = points, parts: DataFrame = table, per_batch: int = QUERIES_PER_BATCH) -> DataFrame:
-        loads = asked.groupBy("cell").agg(F.ceil(F.count("*") / per_batch).cast("int").alias("batches")).join(parts, "cell")
-        loads = cut_lineage(loads)
+        def count(batches):
+            total = np.zeros(groups, np.int64)
+            for _, _, g in met_(batches):
+                total += np.bincount(g, minlength=groups)
+            yield pd.DataFrame({"cell": np.arange(groups, dtype=np.int32), "n": total})
+
+        counted = asked.mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect()
+        return asked.mapInPandas(route, f"{schema}, cell int"), {r[0]: r[1] for r in counted if r[1]}
+
+    def met(asked: DataFrame, load: dict[int, int], stored: DataFrame = points, held: dict[int, int] = sizes, per_batch: int = QUERIES_PER_BATCH) -> DataFrame:
+        """``load`` has the queries, ``held`` the points of every cell: at most ``MOST_CELLS`` and those without a value."""
+        table = [(int(c), parts_for(n, per_batch), parts_for(held[c], POINTS_PER_BLOCK)) for c, n in load.items()]
+        sent = F.broadcast(spark.createDataFrame(table, "cell int, batches int, parts int"))
         range_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = asked.join(loads, "cell").withColumn("batch", F.pmod(F.xxhash64(*keys), "batches").cast("int"))
-        right = stored.join(renewed(loads), "cell").withColumn("part", F.pmod(F.xxhash64(*stored.columns[:1], F.lit(1)), "parts").cast("int"))
+        left = asked.join(sent, "cell").withColumn("batch", F.pmod(F.xxhash64(*keys), "batches").cast("int"))
+        right = stored.join(sent, "cell").withColumn("part", F.pmod(F.xxhash64(*stored.columns[:1], F.lit(1)), "parts").cast("int"))
         group = ["cell", "batch", "part"]
         left = left.withColumn("part", range_("parts")).drop("batches", "parts")
         right = right.withColumn("batch", range_("batches")).drop("batches", "parts")
@@ -276,35 +373,36 @@ def search(
 
     def met_by_groups(asked: DataFrame, n: int) -> DataFrame:
         """All that the queries' groups of cells hold: visited cells are met once more, so this stands for the rounds before."""
-        group = np.zeros(len(numbers), np.int64)
-        held = 0
-        for i, c in enumerate(numbers):
-            held += sizes[c]
-            new = i and held > POINTS_PER_BLOCK
-            group[i] = group[i - 1] + bool(new) if i else 0
-            held = sizes[c] if new else held
-        of = spark.createDataFrame([(int(c), int(g)) for c, g in zip(numbers, group, strict=True)], "cell int, g int")
+        group = np.zeros(several, np.int64)
+        held: dict[int, int] = {}
+        at = 0
+        for c in numbers:
+            at += bool(held.get(at)) and held[at] + sizes[c] > POINTS_PER_BLOCK
+            group[c], held[at] = at, held.get(at, 0) + sizes[c]
+        of = spark.createDataFrame([(int(c), int(group[c])) for c in numbers], "cell int, g int")
         together = points.join(F.broadcast(of), "cell").withColumn("cell", F.col("g")).select(points.columns)
-        totals = np.bincount(group, [sizes[c] for c in numbers])
-        parts = spark.createDataFrame([(g, parts_for(int(n), POINTS_PER_BLOCK)) for g, n in enumerate(totals)], "cell int, parts int")
         # few groups are met by more batches of queries, so that every core has some
         tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        per_batch = min(QUERIES_PER_BATCH, max(LEAST_BATCH, n * len(totals) // tasks))
-        return met(routed_to_groups(asked, np.flatnonzero(np.diff(group, prepend=-1))), together, parts, per_batch)
+        per_batch = min(QUERIES_PER_BATCH, max(LEAST_BATCH, n * len(held) // tasks))
+        return met(*routed_to_groups(asked, group), together, held, per_batch)
 
-    near = met(routed(queries.withColumn("limit", F.lit(None).cast("double")), 0, 1))
+    first = queries.withColumn("limit", F.lit(None).cast("double"))
+    near = met(routed(first, 0, 1), loads(first, 0, 1, 1)[1])
     by_distance = Window.partitionBy(*keys).orderBy("distance")
     done = 1
     while done < len(numbers):
         near = cut_lineage(near)
         limits = near.select(*keys, "distance", F.row_number().over(by_distance).alias("place")).where(F.col("place") == k)
-        limited = queries.join(limits.select(*keys, F.col("distance").alias("limit")), list(keys), "left")
-        asking, wanted = visits(limited, done)
+        limited = cut_lineage(queries.join(limits.select(*keys, F.col("distance").alias("limit")), list(keys), "left"))
+        asking, load, later = loads(limited, done, done * ROUND, None)
+        wanted = sum(later.values())
         if not wanted:
             break
         if done >= ROUND and wanted > MOST_VISITS * asking:
             return met_by_groups(limited, asking)
-        near = near.unionByName(met(routed(limited, done, done * ROUND)))
+        if wanted <= asking:  # less than a cell a query: all that are left at once
+            return near.unionByName(met(routed(limited, done, None), later))
+        near = near.unionByName(met(routed(limited, done, done * ROUND), load))
         done *= ROUND
     return near
 
@@ -406,7 +504,7 @@ def knn_edges(df: DataFrame, id_column: str, vector: str, k: int = 15, metric: s
         return pd.concat(found, ignore_index=True) if found else empty
 
     sizes = {r["cell"]: r["n"] for r in known}
-    near_ = search(points, placed.select("id", "x", "cell"), ["id"], k, sizes, bounds, meet, "id long, neighbour long, distance double")
+    near_ = search(points, placed.select("id", "x", "cell"), ["id"], k, sizes, EveryCell(bounds, sizes), meet, "id long, neighbour long, distance double")
     # k rows per cell a point visits: a bounded list per point
     merged = near_.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("best"))
     return merged.select("id", F.posexplode("best").alias("pos", "b")).select(

@@ -201,6 +201,46 @@ def test_imputation_visits_few_cells(spark, monkeypatch):
     assert made[1] < 0.3 * queries * points
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_queries_go_down_to_few_cells(monkeypatch, metric):
+    """The cells within a limit, nearest first, are those of all bounds; few boxes are looked at for them."""
+    rng = np.random.default_rng(8)
+    x, day = rng.normal(size=(4000, 3)) * [1, 10, 1], rng.integers(1, 50, size=4000)
+    x[rng.random(x.shape) < 0.15] = np.nan
+    cut = neighbours.BoxCells.cut(x, 400, np.array([1.0, 1.0, 0.0]))
+    cell = neighbours.BoxCells(cut).assign(x)
+    n = cell.max() + 1
+    low, high, first = np.full((n, 3), np.inf), np.full((n, 3), -np.inf), np.full(n, np.inf)
+    np.minimum.at(low, cell, np.where(np.isnan(x), np.inf, x))
+    np.maximum.at(high, cell, np.where(np.isnan(x), -np.inf, x))
+    np.minimum.at(first, cell, day)
+    tree = neighbours.BoxTree(neighbours.BoxCells(cut, low, high, first), metric)
+    asked = x[:300].copy()
+    asked[:, 2] = np.nan
+    asked = asked[~np.isnan(asked).all(axis=1)]
+    scale, days = rng.uniform(0.5, 2, size=asked.shape), rng.integers(1, 50, size=len(asked))
+    gap = np.maximum(np.maximum(low[None] - asked[:, None], asked[:, None] - high[None]), 0) / scale[:, None]
+    gap = np.where(np.isnan(asked)[:, None], 0, gap * gap if metric == "euclidean" else gap).sum(axis=2)
+    every = np.where(first[None] > days[:, None], np.inf, np.sqrt(gap) if metric == "euclidean" else gap)
+
+    looked = []
+    real = neighbours.BoxTree.bounds
+    monkeypatch.setattr(neighbours.BoxTree, "bounds", lambda self, *a: looked.append(len(a[3])) or real(self, *a))
+    frame = pd.DataFrame({DATE: [datetime.date.fromordinal(int(d)) for d in days], "x": list(asked), "scale": list(scale), "at": range(len(asked))})
+    for limit, hi in ((np.full(len(asked), np.inf), 1), (np.full(len(asked), 0.05), None), (np.full(len(asked), np.inf), None)):
+        looked.clear()
+        got = {}
+        for part, row, found, place in tree.pairs(frame, limit, hi):
+            for r, c, p in zip(part["at"].to_numpy()[row], found, place, strict=True):
+                got.setdefault(r, []).append((p, c))
+        for i, own in enumerate(every):
+            wanted = own[np.isfinite(own) & (own <= limit[i])]
+            found = [c for _, c in sorted(got.get(i, []))]
+            assert own[found] == pytest.approx(np.sort(wanted)[:hi], rel=1e-6) and len(set(found)) == len(found)
+        if hi or np.isfinite(limit).all():
+            assert sum(looked) < 0.2 * len(asked) * len(low)
+
+
 def test_history_join(spark):
     from chronopanel.operators import joins
 
