@@ -9,7 +9,7 @@ Where that would be many cells a query, as on data without structure, whole grou
 query is copied once per group of ``POINTS_PER_BLOCK`` points and not once per cell.
 Where cells are cut follows a bounded sample; what is known of them, and so the result, covers all points. Cells and
 queries meet in tasks of bounded size that compute distances with numpy and emit the best ``k`` per query; no pair of
-rows is ever materialised. On data without any structure every cell has to be visited.
+rows is ever materialised. Points of graphs are first compared by a bound that costs a fraction of a distance (``closest``). On data without any structure every cell has to be visited.
 """
 
 from __future__ import annotations
@@ -45,6 +45,12 @@ MOST_VISITS = 16
 ROWS_AT_ONCE = 16_384
 # What rounding may add to a bound.
 SLACK = 1e-9
+# Queries and points whose pairs are screened together.
+SCREEN = {"manhattan": (64, 4096)}
+# Where a screen leaves more than one of so many pairs, or no limit is known, so many points are compared in full.
+SCREENED, IN_FULL = 4, 512
+# Levels of a feature in a screen, features whose levels add up in 8 bits, and the shares of values between which levels lie.
+LEVELS, LEVELS_ADDED, ENDS = 127, 2, (0.005, 0.995)
 
 METRICS = ("euclidean", "manhattan", "cosine")
 
@@ -294,7 +300,8 @@ def search(
     """What ``meet`` finds, with ``found`` as schema, for each query in all cells that could hold one of its ``k`` nearest.
 
     ``queries`` are unique by ``keys``, ``points`` carry their ``cell``; ``sizes`` are points per cell. ``found`` has the
-    keys and ``distance``; of what comes back each query's ``k`` smallest distances are its nearest.
+    keys and ``distance``; of what comes back each query's ``k`` smallest distances are its nearest. Queries come to
+    ``meet`` with the ``limit`` above which nothing of use to them lies.
     """
     spark = queries.sparkSession
     schema = queries.schema.simpleString().removeprefix("struct<").removesuffix(">")
@@ -305,7 +312,8 @@ def search(
         for batch in batches:
             if len(batch):
                 limit = batch["limit"].to_numpy(dtype=float)
-                yield from cells.pairs(batch.drop(columns=["limit"]), np.where(np.isnan(limit), np.inf, limit), hi)
+                limit = np.where(np.isnan(limit), np.inf, limit)
+                yield from cells.pairs(batch.assign(limit=limit), limit, hi)
 
     def passed_on(part: pd.DataFrame, row: np.ndarray, cell: np.ndarray):
         for at in range(0, len(row), ROWS_AT_ONCE):
@@ -319,7 +327,7 @@ def search(
             for part, row, cell, place in pairs(batches, hi):
                 yield from passed_on(part, row[place >= lo], cell[place >= lo])
 
-        return asked.mapInPandas(route, f"{schema}, cell int")
+        return asked.mapInPandas(route, f"{schema}, limit double, cell int")
 
     def loads(asked: DataFrame, lo: int, hi: int | None, ahead: int | None) -> tuple[int, dict[int, int], dict[int, int]]:
         """Queries in all, and by cell those it is number ``lo`` to ``hi``, or to ``ahead``, of the cells for by bound."""
@@ -357,7 +365,7 @@ def search(
             yield pd.DataFrame({"cell": np.arange(groups, dtype=np.int32), "n": total})
 
         counted = asked.mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect()
-        return asked.mapInPandas(route, f"{schema}, cell int"), {r[0]: r[1] for r in counted if r[1]}
+        return asked.mapInPandas(route, f"{schema}, limit double, cell int"), {r[0]: r[1] for r in counted if r[1]}
 
     def met(asked: DataFrame, load: dict[int, int], stored: DataFrame = points, held: dict[int, int] = sizes, per_batch: int = QUERIES_PER_BATCH) -> DataFrame:
         """``load`` has the queries, ``held`` the points of every cell: at most ``MOST_CELLS`` and those without a value."""
@@ -381,8 +389,8 @@ def search(
             group[c], held[at] = at, held.get(at, 0) + sizes[c]
         of = spark.createDataFrame([(int(c), int(group[c])) for c in numbers], "cell int, g int")
         together = points.join(F.broadcast(of), "cell").withColumn("cell", F.col("g")).select(points.columns)
-        # few groups are met by more batches of queries, so that every core has some
-        tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # few groups are met by more batches of queries, so that every core has some; each copies the points once more
+        tasks = 8 * spark.sparkContext.defaultParallelism
         per_batch = min(QUERIES_PER_BATCH, max(LEAST_BATCH, n * len(held) // tasks))
         return met(*routed_to_groups(asked, group), together, held, per_batch)
 
@@ -423,6 +431,104 @@ def distances(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarra
     return out if metric == "manhattan" else np.sqrt(out)
 
 
+class _ByLevels:
+    """Which pairs could be within a manhattan limit, by features of few levels, whose sums fit small integers.
+
+    Cutting off at the ends only brings points together, and rounding changes each difference by a level at most.
+    """
+
+    def __init__(self, x: np.ndarray, qx: np.ndarray):
+        low, high = np.quantile(x[:: max(1, len(x) // LEAST_BATCH)], ENDS, axis=0)
+        self.step = float((high - low).max() / LEVELS)
+        level = lambda v: np.rint((np.clip(v, low, low + LEVELS * self.step) - low) / self.step).astype(np.int8)
+        if self.usable():
+            points, queries = level(x).T, level(qx).T
+            both = np.column_stack([points, queries])
+            some = np.flatnonzero(both.min(axis=1) < both.max(axis=1))  # a feature of one level adds no difference
+            self.points, self.queries = np.ascontiguousarray(points[some]), np.ascontiguousarray(queries[some])[:, :, None]
+
+    def usable(self) -> bool:
+        return 0 < self.step < np.inf
+
+    def near(self, rows: slice, columns: slice, limit: np.ndarray) -> np.ndarray:
+        shape = (len(limit), self.points[0, columns].size if len(self.points) else columns.stop - columns.start)
+        total = np.zeros(shape, np.uint16 if len(self.points) * LEVELS < 2**16 else np.uint32)
+        delta, few = np.empty(shape, np.int8), np.empty(shape, np.int8)
+        added = few.view(np.uint8)
+        for f in range(0, len(self.points), LEVELS_ADDED):
+            np.absolute(np.subtract(self.points[f, columns], self.queries[f, rows], out=few), out=few)
+            for g in range(f + 1, min(f + LEVELS_ADDED, len(self.points))):
+                np.absolute(np.subtract(self.points[g, columns], self.queries[g, rows], out=delta), out=delta)
+                np.add(added, delta.view(np.uint8), out=added)
+            np.add(total, added, out=total)
+        most = limit / self.step * (1 + SLACK) + len(self.points) * (1 + 1e-6)
+        return total <= np.minimum(most, np.iinfo(total.dtype).max).astype(total.dtype)[:, None]
+
+
+def closest(x: np.ndarray, ids: np.ndarray, qx: np.ndarray, asked: np.ndarray, limit: np.ndarray, k: int, metric: str):
+    """(row, column, distance) of the ``k`` points nearest to every query, none with its own id, equal ones by column.
+
+    Of what lies above a query's ``limit`` nothing has to be found. Distances are those of ``distances``. Under manhattan
+    ones most pairs are left out by a bound that costs less; the limit falls with what is found.
+    """
+    screen = None
+    if metric == "manhattan" and x.shape[1] and np.isfinite(x).all() and np.isfinite(qx).all():
+        with np.errstate(over="ignore", invalid="ignore"):
+            screen = _ByLevels(x, qx)
+        screen = screen if screen.usable() else None
+    if screen is None:
+        for at in range(0, len(qx), max(1, HELD_NUMBERS // len(x))):
+            own = slice(at, at + max(1, HELD_NUMBERS // len(x)))
+            d = distances(x, qx[own], metric)
+            d[asked[own][:, None] == ids[None, :]] = np.inf
+            row, column = nearest(d, k)
+            yield row + at, column, d[row, column]
+        return
+    features, own_features = np.ascontiguousarray(x.T), np.ascontiguousarray(qx.T)
+    queries, width = SCREEN[metric]
+    for top in range(0, len(qx), queries):
+        rows = slice(top, min(top + queries, len(qx)))
+        own, at = limit[rows] * (1 + SLACK), 0
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        while at < len(x):
+            columns = slice(at, min(at + width, len(x)))
+            near = screen.near(rows, columns, own) if np.isfinite(own).all() else None
+            if near is not None and np.count_nonzero(near) <= near.size // SCREENED:
+                row, column = np.divmod(np.flatnonzero(near), near.shape[1])
+                column += at
+                # summed in any order first; what is left, in that of ``distances``
+                about, many = np.empty(len(row)), max(1, HELD_NUMBERS // x.shape[1])
+                for i in range(0, len(row), many):
+                    delta = x[column[i : i + many]] - qx[row[i : i + many] + top]
+                    delta = np.abs(delta, out=delta) if metric == "manhattan" else np.multiply(delta, delta, out=delta)
+                    total = delta.sum(axis=1)
+                    about[i : i + many] = total if metric == "manhattan" else np.sqrt(total)
+                other = (about <= own[row] * (1 + SLACK)) & (asked[rows][row] != ids[column])
+                row, column = row[other], column[other]
+                d = np.zeros(len(row))
+                for v, q in zip(features, own_features[:, rows], strict=True):
+                    delta = v[column] - q[row]
+                    d += np.abs(delta, out=delta) if metric == "manhattan" else np.multiply(delta, delta, out=delta)
+                d = d if metric == "manhattan" else np.sqrt(d)
+            else:
+                columns = slice(at, min(at + IN_FULL, len(x)))
+                every = distances(x[columns], qx[rows], metric)
+                every[asked[rows][:, None] == ids[columns][None, :]] = np.inf
+                row, column = nearest(every, k)
+                d = every[row, column]
+                column = column + at
+            at = columns.stop
+            if len(row):
+                row, column, d = (np.concatenate(c) for c in zip(best, (row, column, d), strict=True))
+                order = np.lexsort([column, d, row])
+                row, column, d = row[order], column[order], d[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                best = row[place < k], column[place < k], d[place < k]
+                last = place == k - 1
+                own[row[last]] = np.minimum(own[row[last]], d[last])
+        yield best[0] + top, best[1], best[2]
+
+
 def _direction(x: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(norms > 0, norms, 1.0)
@@ -448,7 +554,7 @@ def _placed(points: DataFrame, cells: PivotCells) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.stack(batch["x"].to_numpy())
+            x = np.stack(batch["x"].to_numpy()).astype(float)
             d = cells.between(_direction(x) if cells.metric == "cosine" else x)
             cell = d.argmin(axis=1)
             away = d[np.arange(len(x)), cell]
@@ -457,7 +563,7 @@ def _placed(points: DataFrame, cells: PivotCells) -> DataFrame:
                 cell[none], away[none] = len(cells.pivots), 1.0
             yield batch.assign(cell=cell.astype(np.int32), away=away)
 
-    return points.mapInPandas(place, "id long, x array<double>, cell int, away double")
+    return points.mapInPandas(place, f"id long, x {points.schema['x'].dataType.simpleString()}, cell int, away double")
 
 
 def knn_edges(df: DataFrame, id_column: str, vector: str, k: int = 15, metric: str = "euclidean") -> DataFrame:
@@ -467,7 +573,9 @@ def knn_edges(df: DataFrame, id_column: str, vector: str, k: int = 15, metric: s
     bounds how near a cell can come.
     """
     check_metric(metric)
-    points = cut_lineage(df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")))
+    # floats stay floats where they are stored and sent, and are doubles wherever they are computed with
+    kind = "array<float>" if df.select(vector).dtypes[0][1] == "array<float>" else "array<double>"
+    points = cut_lineage(df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast(kind).alias("x")))
     n = points.count()
     k = min(k, max(n - 1, 1))
     sample = points.orderBy(F.xxhash64("id")).limit(4 * cells_for(n)).collect()
@@ -482,7 +590,7 @@ def knn_edges(df: DataFrame, id_column: str, vector: str, k: int = 15, metric: s
     cells = PivotCells(cells.pivots, metric, near[:-1], far[:-1])
 
     def bounds(batch: pd.DataFrame) -> np.ndarray:
-        x = np.stack(batch["x"].to_numpy())
+        x = np.stack(batch["x"].to_numpy()).astype(float)
         low = cells.bounds(_direction(x) if metric == "cosine" else x)
         if metric == "cosine":
             low[~x.any(axis=1)] = 0.0  # everything is at distance one from a query without direction
@@ -492,14 +600,10 @@ def knn_edges(df: DataFrame, id_column: str, vector: str, k: int = 15, metric: s
         found = []
         if len(queries) and len(candidates):
             candidates = candidates.sort_values("id")
-            ids, asked = candidates["id"].to_numpy(), queries["id"].to_numpy()
-            x, qx = np.stack(candidates["x"].to_numpy()), np.stack(queries["x"].to_numpy())
-            for at in range(0, len(asked), max(1, HELD_NUMBERS // len(ids))):
-                own = slice(at, at + max(1, HELD_NUMBERS // len(ids)))
-                d = distances(x, qx[own], metric)
-                d[asked[own][:, None] == ids[None, :]] = np.inf
-                row, column = nearest(d, k)
-                found.append(pd.DataFrame({"id": asked[own][row], "neighbour": ids[column], "distance": d[row, column]}))
+            ids, asked, limit = candidates["id"].to_numpy(), queries["id"].to_numpy(), queries["limit"].to_numpy()
+            x, qx = (np.stack(v["x"].to_numpy()).astype(float) for v in (candidates, queries))
+            for row, column, d in closest(x, ids, qx, asked, limit, k, metric):
+                found.append(pd.DataFrame({"id": asked[row], "neighbour": ids[column], "distance": d}))
         empty = pd.DataFrame({"id": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "distance": np.zeros(0)})
         return pd.concat(found, ignore_index=True) if found else empty
 

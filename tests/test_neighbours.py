@@ -114,6 +114,34 @@ def test_scattered_points_are_copied_per_group_of_cells(spark, monkeypatch, metr
     assert cells > 60 and sum(a for a, _ in log()) < 16 * queries
 
 
+SCREENED = ["manhattan"]
+
+
+@pytest.mark.parametrize("metric", SCREENED)
+@pytest.mark.parametrize("kind", ["even", "far", "tails", "whole"])
+def test_screens_keep_all_near_pairs(monkeypatch, metric, kind):
+    """The nearest are those of all distances, bit for bit; on even data few distances are computed in full."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 30))
+    x = {"even": x, "far": x + 1e5, "tails": x * np.exp(3 * rng.normal(size=x.shape)), "whole": np.rint(x / 2)}[kind]
+    x[100:140] = x[0]  # copies
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 10)
+    d = neighbours.distances(x, x[asked], metric)
+    d[np.arange(len(asked)), asked] = np.inf
+    row, column = neighbours.nearest(d, 5)
+    want = {(r, c, d[r, c]) for r, c in zip(row, column, strict=True)}
+    in_full = []
+    real = neighbours.distances
+    monkeypatch.setattr(neighbours, "distances", lambda points, queries, m: in_full.append(len(points) * len(queries)) or real(points, queries, m))
+    limit = d[row, column].reshape(-1, 5)[:, 4]
+    for start in (np.full(len(asked), np.inf), limit, limit * 1.05):
+        in_full.clear()
+        found = [np.concatenate(c) for c in zip(*neighbours.closest(x, ids, x[asked], asked, start, 5, metric), strict=True)]
+        assert set(zip(*found, strict=True)) == want and len(found[0]) == len(want)
+        if kind == "even":
+            assert sum(in_full) < 0.5 * d.size
+
+
 def brute_imputation(rows, columns, k, metric="euclidean"):
     """{(Country, Date): values} of every row, from rows of (Country, Date, {column: value})."""
     out = {}
