@@ -46,7 +46,7 @@ ROWS_AT_ONCE = 16_384
 # What rounding may add to a bound.
 SLACK = 1e-9
 # Queries and points whose pairs are screened together.
-SCREEN = {"manhattan": (64, 4096)}
+SCREEN = {"euclidean": (256, 4096), "manhattan": (64, 4096)}
 # Where a screen leaves more than one of so many pairs, or no limit is known, so many points are compared in full.
 SCREENED, IN_FULL = 4, 512
 # Levels of a feature in a screen, features whose levels add up in 8 bits, and the shares of values between which levels lie.
@@ -431,6 +431,26 @@ def distances(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarra
     return out if metric == "manhattan" else np.sqrt(out)
 
 
+class _ByProducts:
+    """Which pairs could be within a euclidean limit, by products of 32 bits and what their rounding may add."""
+
+    def __init__(self, x: np.ndarray, qx: np.ndarray):
+        middle = x.mean(axis=0)
+        self.x, self.q = (x - middle).astype(np.float32), (qx - middle).astype(np.float32)
+        half, own = ((v.astype(float) ** 2).sum(axis=1) / 2 for v in (self.x, self.q))
+        self.points = np.ascontiguousarray(np.column_stack([self.x, -half]).T.astype(np.float32))
+        self.queries = np.column_stack([self.q, np.ones(len(qx), np.float32)])
+        self.own, self.error = own, 1e-6 * (x.shape[1] + 8) * (np.sqrt(own) + np.sqrt(half.max())) ** 2 + 1e-36
+
+    def usable(self) -> bool:
+        """Whether all numbers keep clear of the ends of 32 bits."""
+        return bool(np.isfinite(self.error).all() and self.error.max() < 1e30)
+
+    def near(self, rows: slice, columns: slice, limit: np.ndarray) -> np.ndarray:
+        least = self.own[rows] - limit * limit / 2 - self.error[rows]
+        return self.queries[rows] @ self.points[:, columns] >= np.maximum(least, -3e38).astype(np.float32)[:, None]
+
+
 class _ByLevels:
     """Which pairs could be within a manhattan limit, by features of few levels, whose sums fit small integers.
 
@@ -468,13 +488,13 @@ class _ByLevels:
 def closest(x: np.ndarray, ids: np.ndarray, qx: np.ndarray, asked: np.ndarray, limit: np.ndarray, k: int, metric: str):
     """(row, column, distance) of the ``k`` points nearest to every query, none with its own id, equal ones by column.
 
-    Of what lies above a query's ``limit`` nothing has to be found. Distances are those of ``distances``. Under manhattan
-    ones most pairs are left out by a bound that costs less; the limit falls with what is found.
+    Of what lies above a query's ``limit`` nothing has to be found. Distances are those of ``distances``. Under euclidean
+    and manhattan ones most pairs are left out by a bound that costs less; the limit falls with what is found.
     """
     screen = None
-    if metric == "manhattan" and x.shape[1] and np.isfinite(x).all() and np.isfinite(qx).all():
+    if metric != "cosine" and x.shape[1] and np.isfinite(x).all() and np.isfinite(qx).all():
         with np.errstate(over="ignore", invalid="ignore"):
-            screen = _ByLevels(x, qx)
+            screen = (_ByProducts if metric == "euclidean" else _ByLevels)(x, qx)
         screen = screen if screen.usable() else None
     if screen is None:
         for at in range(0, len(qx), max(1, HELD_NUMBERS // len(x))):

@@ -114,7 +114,7 @@ def test_scattered_points_are_copied_per_group_of_cells(spark, monkeypatch, metr
     assert cells > 60 and sum(a for a, _ in log()) < 16 * queries
 
 
-SCREENED = ["manhattan"]
+SCREENED = ["manhattan", "euclidean"]
 
 
 @pytest.mark.parametrize("metric", SCREENED)
