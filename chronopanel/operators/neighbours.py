@@ -638,7 +638,9 @@ def knn_edges(df: DataFrame, id_column: str, vector: str, k: int = 15, metric: s
 
 def graph_properties(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Vertices, edges of the symmetric graph and their density."""
-    pairs = edges.select("id", "neighbour").unionByName(edges.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour")))
+    # both directions of an edge from one reading of the edges
+    both = F.explode(F.array(F.struct("id", "neighbour"), F.struct(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"))))
+    pairs = edges.select(both.alias("pair")).select("pair.*")
     n_edges = pairs.distinct().agg(F.count("*")).scalar()
     return vertices.agg(F.count("*").alias("n_vertices")).select(
         "n_vertices", n_edges.alias("n_edges"), (n_edges / (F.col("n_vertices") * F.col("n_vertices"))).alias("edge_density")

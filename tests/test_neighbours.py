@@ -114,6 +114,20 @@ def test_scattered_points_are_copied_per_group_of_cells(spark, monkeypatch, metr
     assert cells > 60 and sum(a for a, _ in log()) < 16 * queries
 
 
+def test_graph_properties_read_the_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    rows = [(1, 2), (2, 1), (3, 1), (1, 2), (4, 3)]
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(counted), "id LONG, neighbour LONG")
+    found = neighbours.graph_properties(edges, spark.range(5)).first()
+    assert (found["n_vertices"], found["n_edges"], found["edge_density"]) == (5, 6, 6 / 25)
+    assert read.value == len(rows)
+
+
 SCREENED = ["manhattan", "euclidean"]
 
 
